@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import decontamination, language_id, lm_scoring, mixing, simhash, token_counts, warc
+from chronolith.llm import ann, decontamination, language_id, lm_scoring, mixing, simhash, token_counts, toxicity, warc
 from chronolith.llm.common import held_out, table
 
 
@@ -40,6 +40,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs.select("doc_id", out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
