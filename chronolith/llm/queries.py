@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ann, decontamination, language_id, lm_scoring, mixing, simhash, token_counts, toxicity, warc
+from chronolith.llm import ann, decontamination, language_id, lm_scoring, mixing, secrets, simhash, token_counts, toxicity, warc
 from chronolith.llm.common import held_out, table
 
 
@@ -51,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
