@@ -214,3 +214,18 @@ def near_duplicates(docs: DataFrame, *, radius: int = 4, id_col: str = "doc_id",
 
 def hex16(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+
+def first_of_groups(docs: DataFrame, *, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (any one, if that id has several rows or is null).
+
+    Only ids are compared with the groups' first ones; texts stay where they are unless their row is kept.
+    """
+    groups = near_duplicates(docs, radius=radius, id_col=id_col, text_col=text_col)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__id")).distinct()
+    picked = docs.join(first, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    repeated = kept(picked.groupBy(F.col(id_col).alias("__id")).count().filter("count > 1").select("__id"))
+    if repeated.isEmpty():
+        return picked
+    others = picked.join(repeated, picked[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    return others.unionByName(picked.join(repeated, picked[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col]))

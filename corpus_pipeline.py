@@ -1,13 +1,42 @@
-"""A training-corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""A training-corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents; each works on all that the one before kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronolith.llm import decontamination, language_id, mixing, secrets, simhash
+from chronolith.llm.common import held_out, table, written
+
+#: A text whose best language reaches less than this is rejected; clean texts of a learned language are far above.
+LEAST_SCORE = 0.05
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts, texts without letters, and texts that no language claims."""
+    model = language_id.fit_language_model(docs, ~held_out("doc_id", 4, 2))
+    named = language_id.identify(docs, model, pred_col="__lang", score_col="__score")
+    return named.filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id."""
+    return simhash.first_of_groups(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages contaminate go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
 
-from chronolith.llm import mixing
-from chronolith.llm.common import table, written
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; all documents stay."""
+    return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +45,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
     ("mixing", mixing_stage),
 ]
 
-#: The language model and the mix can't be said in SQL; tests hold the stages against brute force.
+#: The language model can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
