@@ -15,7 +15,7 @@ def topk_mean(rows: DataFrame, bag: str, item: str, score: str, k: int | None =
     """Mean of the k largest scores of each bag, or of the given share of it (rounded up, at least one)."""
     n = F.count("*").over(W.partitionBy(bag))
     want = F.lit(k) if k is not None else F.greatest(F.lit(1), F.ceil(n * F.lit(ratio)))
-    ranked = rows.select(bag, score, F.row_number().over(W.partitionBy(bag).orderBy(F.col(score).desc(), item)).alias("rn"), n.alias("n")).filter(F.col("rn") <= want)
+    ranked = rows.select(bag, score, F.row_number().over(W.partitionBy(bag).orderBy(F.col(score).desc(), item)).alias("rn"), want.alias("want")).filter("rn <= want")
     return ranked.groupBy(bag).agg(F.avg(score).alias("topk_mean"), F.count("*").alias("used"), F.max(score).alias("bag_max"))
 
 
