@@ -2,7 +2,7 @@
 
 The k-gram hashes of a text are cut to the smallest of each window of ``window - k + 1`` neighbours. A passage of at
 least ``window`` words that a document and a benchmark item share is then selected alike on both sides, so joining the
-selected fingerprints finds every such passage. Each hit is extended word by word to both sides, and counts if the
+selected fingerprints (those of documents first held against the set of the benchmark's, if that is small) finds every such passage. Each hit is extended word by word to both sides, and counts if the
 equal run reaches the window; that makes the result exact, whatever the hashes do. Items shorter than the window are
 one window of their own length, whose hash is looked up at every position of the documents.
 
@@ -22,30 +22,36 @@ from pyspark.sql import functions as F
 WINDOW = 13
 K = 5
 #: Bytes of benchmark text up to which its fingerprints, with the words around them, are broadcast.
-MAX_BROADCAST = 2 << 20
+MAX_BROADCAST = 1 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _HIGH = -(1 << 32)
 
 
 def words_of(text: Column) -> Column:
     """Words of the text with A-Z in lower case; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def _gram_hashes(hashes: str, n: int) -> Column:
     """A hash for each run of n words; none if there are fewer words."""
     h = F.col(hashes)
-    return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def winnowed(df: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """``df`` (with ``hashes`` of its words) plus ``prints``: array of (h, pos), the fingerprints that winnowing selects."""
+def winnowed(df: DataFrame, window: int = WINDOW, k: int = K, known: list[int] | None = None) -> DataFrame:
+    """``df`` (with ``hashes`` of its words) plus ``prints``: array of (h, pos), the fingerprints that winnowing selects.
+
+    If ``known`` is given, only they matter: rows without any of these hashes aren't winnowed, as none could be selected.
+    """
     w = window - k + 1
+    none = F.array().cast("array<bigint>")
     packed = F.transform("grams", lambda h, i: h.bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("long")))  # smallest hash, then leftmost
+    if known is not None:
+        packed = F.when(F.exists("grams", lambda h: h.isin(known)) if known else F.lit(False), packed).otherwise(none)
     least = F.transform(F.sequence(F.lit(1), F.greatest(F.size("packed") - w + 1, F.lit(1))), lambda i: F.array_min(F.slice("packed", i, w)))
-    picked = F.when(F.size("packed") > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+    picked = F.when(F.size("packed") > 0, F.array_distinct(least)).otherwise(none)
     prints = F.transform("picked", lambda p: F.struct(F.get("grams", p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("h"), p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")))
     return df.withColumn("grams", _gram_hashes("hashes", k)).withColumn("packed", packed).withColumn("picked", picked).withColumn("prints", prints).drop("grams", "packed", "picked")
 
@@ -56,25 +62,32 @@ def _around(words: Column, pos: Column, left: int, right: int) -> Column:
     return F.slice(words, pos - lo + 1, lo + right)
 
 
+def _with_context(prints: Column, reach: int, k: int, known: list[int] | None) -> Column:
+    """The fingerprints with the words around them, only those in ``known`` if that is given.
+
+    The words go along here, as exploding rows that hold a whole text would copy it for each fingerprint.
+    """
+    if known is not None:
+        prints = F.filter(prints, lambda p: p["h"].isin(known)) if known else F.slice(prints, 1, 0)
+    return F.transform(prints, lambda p: F.struct(p["h"].alias("h"), p["pos"].alias("pos"), _around(F.col("words"), p["pos"], reach, k + reach).alias("near")))
+
+
 def _hits(docs: DataFrame, items: DataFrame, broadcast: bool, need: int, k: int) -> DataFrame:
-    """Rows of ``docs`` (rid, doc_id, n_words, words, prints with one null marker) that mark a row or hit an item.
+    """Rows of ``docs`` (rid, doc_id, n_words, prints with one null marker) that mark a row or hit an item.
 
     ``items``: h, item_id, ctx and at (the position of the k-gram in ctx). A hit has the interval [start, stop) of
     the document's words that equal the item's, which is at least ``need`` words long.
     """
     reach = need - k
     # explode_outer: for explode() Spark infers a filter on the array, and would work out the whole array for it again
-    rows = docs.select("rid", "doc_id", "n_words", "words", F.explode_outer("prints").alias("p")).select("rid", "doc_id", "n_words", "words", "p.h", "p.pos")
-    if not broadcast:  # the words around a fingerprint go with it, not those of the whole text
-        rows = rows.withColumns({"from": F.greatest(F.col("pos") - reach, F.lit(0)), "words": _around(F.col("words"), F.greatest("pos", F.lit(0)), reach, k + reach)})
-    else:
-        rows = rows.withColumn("from", F.lit(0))
+    rows = docs.select("rid", "doc_id", "n_words", F.explode_outer("prints").alias("p")).select("rid", "doc_id", "n_words", "p.*").filter("pos IS NOT NULL")
     joined = rows.join(F.broadcast(items) if broadcast else items, "h", "left").filter((F.col("pos") < 0) | F.col("ctx").isNotNull())
-    lo = F.least(F.col("pos"), F.col("at"))
+    own = F.least(F.col("pos"), F.lit(reach))  # words before the k-gram in near
+    lo = F.least(own, F.col("at"))
     equal = F.when(
         F.col("pos") >= 0,
         F.zip_with(
-            F.slice("words", F.col("pos") - F.col("from") - F.col("lo") + 1, F.col("lo") + k + reach),
+            F.slice("near", own - F.col("lo") + 1, F.col("lo") + k + reach),
             F.slice("ctx", F.col("at") - F.col("lo") + 1, F.col("lo") + k + reach),
             lambda a, b: F.coalesce(a == b, F.lit(False)),
         ),
@@ -104,11 +117,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     base = base.withColumn("n_words", F.size("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    marker = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("pos")))
-    hits = _hits(winnowed(base, window, k).withColumn("prints", F.concat(marker, "prints")), prints, small, window, k)
+    marker = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("pos"), F.lit(None).cast("array<string>").alias("near")))
+    known = [r["h"] for r in prints.select("h").distinct().collect()] if small else None  # bounded by MAX_BROADCAST
+    near = winnowed(base, window, k, known).withColumn("prints", _with_context(F.col("prints"), reach, k, known))
+    hits = _hits(near.withColumn("prints", F.concat(marker, "prints")), prints, small, window, k)
     for n in sorted(short):
         own = items.filter(F.col("n") == n).select(F.xxhash64("hashes").alias("h"), "item_id", F.col("words").alias("ctx"), F.lit(0).alias("at")).distinct()
-        every = base.withColumn("prints", F.transform(_gram_hashes("hashes", n), lambda h, i: F.struct(h.alias("h"), i.alias("pos"))))
+        every = base.withColumn("grams", _gram_hashes("hashes", n)).withColumn("prints", F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("pos"))))
+        known = [r["h"] for r in own.select("h").distinct().collect()] if small else None
+        every = every.withColumn("prints", _with_context(F.col("prints"), 0, n, known))
         hits = hits.unionByName(_hits(every, own, small, n, n))
     by_doc = hits.groupBy("rid", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set(F.when(F.col("span").isNotNull(), F.col("item_id")))).alias("items"))
     empty = F.array().cast("array<struct<start:int,stop:int>>")
@@ -130,6 +147,6 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; rows are told apart by id and text."""
+    """``docs`` without the contaminated ones; every row of a contaminated id goes."""
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
