@@ -155,16 +155,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the text replaced by ``score`` and ``predicted``; only the text is read for a score."""
-    rows = docs.withColumnRenamed(text_col, "text")
+    others = [c for c in docs.columns if c not in (text_col, score_col, "predicted")]
+    # other columns travel as one, so their names can't meet those of the features
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__kept"), F.col(text_col).alias("text"))
     if model.trees is None:
-        out = rows.drop("text").withColumn(score_col, F.lit(model.share))
+        out = rows.select("__kept", F.lit(model.share).alias("__score"))
     else:
-        x = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(add_features(rows, model.lexicon)).drop(*FEATURES)
+        x = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(add_features(rows, model.lexicon))
         x = model.trees.setFeaturesCol("__x").setPredictionCol("__t").setRawPredictionCol("__r").setProbabilityCol("__p").transform(x)
         x = x.withColumn("p", vector_to_array("__p")[1])
+        value = F.col("p")
         if model.steps is not None:
             x = model.steps.setPredictionCol("__s").transform(x)
-        # the calibrated value, with the trees' own order among texts of one step
-        value = F.col("__s") * 0.98 + F.col("p") * 0.02 if model.steps is not None else F.col("p")
-        out = x.withColumn(score_col, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).drop("__x", "__t", "__r", "__p", "p", "__s")
-    return out.withColumn("predicted", (F.col(score_col) >= threshold).cast("int"))
+            # the calibrated value, with the trees' own order among texts of one step
+            value = F.col("__s") * 0.98 + F.col("p") * 0.02
+        out = x.select("__kept", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("__score"))
+    return out.select(*[F.col(f"__kept.`{c}`").alias(c) for c in others], F.col("__score").alias(score_col), (F.col("__score") >= threshold).cast("int").alias("predicted"))
