@@ -78,11 +78,13 @@ def max_abs_error(a: str, b: str) -> Column:
 
 def masked_softmax(values: Column, mask: Column) -> Column:
     """Softmax over the entries whose mask is true; 0 elsewhere, all 0 without any."""
+    from chronolith.operators.attention import let
+
     pairs = F.arrays_zip(values.alias("v"), mask.alias("m"))
     top = F.array_max(F.transform(pairs, lambda p: F.when(p["m"], p["v"])))
-    e = F.transform(pairs, lambda p: F.when(p["m"], F.exp(p["v"] - top)).otherwise(0.0))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+    e = let(top, lambda t: F.transform(pairs, lambda p: F.when(p["m"], F.exp(p["v"] - t)).otherwise(0.0)))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return let(e, lambda a: let(total(a), lambda t: F.transform(a, lambda x: F.when(t > 0, x / t).otherwise(0.0))))
 
 
 def effective_rank(rows: DataFrame, key: str, vec: str) -> DataFrame:

@@ -461,12 +461,12 @@ def farthest_point_fill(b):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from chronolith.plans import more_queries  # noqa: F401  registers its own
+    from chronolith.plans import more_queries, sequence_queries  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronolith.plans import more_queries  # noqa: F401
+    from chronolith.plans import more_queries, sequence_queries  # noqa: F401
 
     return dict(ORACLES)
