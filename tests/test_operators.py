@@ -173,3 +173,50 @@ def test_empty_tables(spark):
     assert metrics.roc_auc(none, "s", "y").first()["auc"] is None
     v = spark.createDataFrame([], "id string, n long")
     assert sampling.uniform_segments(v, "id", "n", 4).count() == 0 and sampling.dense_windows(v, "id", "n", 3, 1, 1).count() == 0
+
+
+def test_captions_and_spans(spark):
+    rows = spark.createDataFrame([("Abuse028_x264 0:01 1:02.5 ##A man falls",), ("bad line",)], "value string")
+    got = texts.captions(rows).collect()
+    assert tuple(got[0]) == ("abuse028_x264", 1.0, 62.5, "A man falls") and got[1]["start"] is None
+    spans = texts.variable_spans(spark.createDataFrame([("v1 3 9 12 20",), ("v2",), ("v3 1 2 3",)], "value string")).collect()
+    assert [([tuple(s) for s in r["spans"]], r["even"]) for r in spans] == [([(3, 9), (12, 20)], True), ([], True), ([(1, 2)], False)]
+
+
+def test_paths_and_names(spark):
+    df = spark.createDataFrame([("a\\b/c.mp4",), ("/abs",), ("a/../b",), ("C:/x",), ("a//b",), ("ok",)], "p string")
+    assert [r[0] for r in df.select(text.relative_path(F.col("p"))).collect()] == ["a/b/c.mp4", None, None, None, None, "ok"]
+    names = spark.createDataFrame([("x/Vid_C.npy",), ("y\\Vid__12.MP4",), ("Vid.txt",)], "p string")
+    assert {r[0] for r in names.select(text.canonical_id(F.col("p"))).collect()} == {"vid"}
+
+
+def test_label_table_keeps_vanished_rows(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("video_id,video_path,label\nv1,old/v1.mp4,Fight\nv9,old/v9.mp4,Fall\n")
+    old = records.read_labels_csv(spark, str(tmp_path / "l.csv"))
+    listing = spark.createDataFrame([("v1", "A/cam1/v1.mp4"), ("v2", "B/cam2/v2.mp4"), ("v3", "v3.mp4")], "video_id string, video_path string")
+    got = {r["video_id"]: (r["video_path"], r["label"], r["camera_id"]) for r in records.update_labels(old, listing, "none").collect()}
+    assert got == {"v1": ("A/cam1/v1.mp4", "Fight", ""), "v2": ("B/cam2/v2.mp4", "B", "cam2"), "v3": ("v3.mp4", "none", ""), "v9": ("old/v9.mp4", "Fall", "")}
+
+
+def test_malformed_lines(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"video_id": "a", "weak_label": 1, "num_frames": 4, "intervals": []}\n{"video_id": \n')
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        records.read_jsonl(spark, str(tmp_path / "m.jsonl"), records.TRUTH).collect()
+    loose = records.read_jsonl(spark, str(tmp_path / "m.jsonl"), records.TRUTH, strict=False).collect()
+    assert len(loose) == 2 and sum(r["_corrupt_record"] is not None for r in loose) == 1
+
+
+def test_plans_stay_without_pairwise_joins(spark, tmp_path):
+    rows = spark.createDataFrame([("a", i, i + 4, i % 3) for i in range(20)], "id string, s long, e long, v long")
+    grid = spark.range(30).select(F.lit("a").alias("id"), F.col("id").alias("frame"))
+    for df in (intervals.dense_mean_runs(rows, "id", "s", "e", "v"), intervals.project(rows, grid, "id", "s", "e", "v", "s", "max"), intervals.overlap_targets(rows, rows, "id", "s", "e", "s", "e", "v", 0.5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("v", "c", "f1", 0), ("w", "d", "f2", 1)], "video_id string, clip_id string, encoder_fingerprint string, x int").write.partitionBy("encoder_fingerprint").parquet(str(tmp_path / "i"))
+    found = records.find_features(spark.read.parquet(str(tmp_path / "i")), "v", None, "f1").select("clip_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(encoder_fingerprint" in plan and "EqualTo(video_id,v)" in plan and [r[0] for r in found.collect()] == ["c"]
+    assert "x:int" not in plan.split("ReadSchema")[1]
