@@ -1,7 +1,7 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a whole text: densities of two lexicons (words that mark toxic texts, learned from the labels, in plain
-and in unmasked form), their nearness to words of the second person, and the rates of capitals, punctuation, masked
+Features of a whole text: densities of a lexicon (words and stems that mark toxic texts, learned from the labels) in
+plain and in unmasked form, their nearness to words of the second person, and the rates of capitals, punctuation, masked
 words and repeats. Trees and calibration are fitted on a bounded sample of at most ``MAX_LABELLED`` labelled rows (those
 with the smallest id hashes), on separate parts of it; all texts are scored in one pass without a shuffle.
 
@@ -31,7 +31,7 @@ from chronolith.llm.common import kept
 MAX_LABELLED = 20_000
 LEXICON = 200
 NEAR = 6
-FEATURES = ("words", "plain", "plain_kinds", "masked", "strong", "near_you", "capitals", "marks", "exclaims", "symbols", "masks", "repeats", "digits")
+FEATURES = ("words", "plain", "plain_kinds", "masked", "strong", "evidence", "near_you", "capitals", "marks", "exclaims", "symbols", "masks", "repeats", "digits")
 #: Words of the second person in the corpus's languages.
 SECOND_PERSON = frozenset("you your yours u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tú ti vosotros".split())
 #: Signs that stand for letters in masked words.
@@ -51,6 +51,18 @@ def unmasked(word: str) -> str:
     return _REPEAT.sub(r"\1", _INNER.sub("", word.translate(MASK)))
 
 
+def stems(word: str) -> list[str]:
+    """Beginnings of 5 to 8 letters, longest first, marked as such; compounds of one stem share them."""
+    return [word[:n] + "*" for n in range(min(8, len(word) - 1), 4, -1)]
+
+
+def marked(word: str, lexicon: dict[str, float]) -> str | None:
+    """The entry that a word meets: itself, or its longest stem."""
+    if word in lexicon:
+        return word
+    return next((s for s in stems(word) if s in lexicon), None)
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     raw = text.lower().split()
     n = max(len(raw), 1)
@@ -60,13 +72,13 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     kinds = set()
     for w, c in freq.items():
         p = plain(w)
-        if p in lexicon:
-            kind[w] = p
+        if m := marked(p, lexicon):
+            kind[w] = m
             hits += c
         elif p and not p.isalpha() and (u := unmasked(p)) != p:
             masks += c
-            if u in lexicon:
-                kind[w] = u
+            if m := marked(u, lexicon):
+                kind[w] = m
                 masked += c
         if w in kind:
             kinds.add(kind[w])
@@ -81,7 +93,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     upper = int(((b >= 65) & (b <= 90)).sum())
     punct = int(((b >= 33) & (b <= 47) | (b >= 58) & (b <= 64)).sum())
     return [
-        float(np.log1p(len(raw))), hits / n, float(len(kinds)), masked / n, strong, near / n,
+        float(np.log1p(len(raw))), hits / n, float(len(kinds)), masked / n, strong, sum(lexicon[k] for k in kinds), near / n,
         upper / size, punct / size, text.count("!") / n, sum(text.count(s) for s in "*#$%&@") / size, masks / n,
         1 - len(freq) / n, int(((b >= 48) & (b <= 57)).sum()) / size,
     ]
@@ -101,15 +113,20 @@ def add_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def learn_lexicon(labelled: DataFrame, least: int = 4, ratio: float = 1.2) -> dict[str, float]:
-    """Words whose document frequency in toxic texts is larger, by log-odds; from (text, y)."""
+def learn_lexicon(labelled: DataFrame, least: float = 24.0) -> dict[str, float]:
+    """Words and stems that more of the toxic texts have, with their log-odds; from (text, y).
+
+    An entry needs a log-likelihood ratio of ``least``, more than chance gives among a hundred thousand words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
                 words = {p for w in set((t or "").lower().split()) if (p := plain(w)) and 2 < len(p) < 40}
-                found[int(y)].update(words | {unmasked(p) for p in words if not p.isalpha()})
+                words |= {unmasked(p) for p in words if not p.isalpha()}
+                found[int(y)].update(words)
+                found[int(y)].update({s for w in words for s in stems(w)})
         words = list(found[0].keys() | found[1].keys())
         for at in range(0, len(words), 20_000):
             w = words[at : at + 20_000]
@@ -117,9 +134,13 @@ def learn_lexicon(labelled: DataFrame, least: int = 4, ratio: float = 1.2) -> di
 
     sums = labelled.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
-    odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1.0))
-    top = sums.filter(F.col("toxic") >= least).withColumn("odds", odds).filter(F.col("odds") > ratio).withColumn("weight", F.col("odds") * F.log1p("toxic"))
-    return {r["word"]: float(r["odds"]) for r in top.orderBy(F.col("weight").desc(), "word").limit(LEXICON).collect() if r["word"]}
+    pos, neg = n.get(1, 0), n.get(0, 0)
+    rate = max(pos, 0.5) / max(pos + neg, 1)
+    t, c = F.col("toxic"), F.col("clean")
+    part = lambda x, share: F.when(x > 0, x * F.log(x / ((t + c) * share))).otherwise(0.0)
+    tested = sums.withColumns({"odds": F.log((t + 0.5) / (pos + 1.0)) - F.log((c + 0.5) / (neg + 1.0)), "ratio": 2 * (part(t, rate) + part(c, max(1 - rate, 1e-9)))})
+    top = tested.filter((F.col("ratio") >= least) & (F.col("odds") > 1)).orderBy(F.col("ratio").desc(), "word").limit(LEXICON)
+    return {r["word"]: float(r["odds"]) for r in top.collect() if r["word"]}
 
 
 @dataclass
