@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import fresh_path
+from chronolith.llm.common import fresh_path, kept
 
 #: Captures in one file at most.
 FILE_CAPTURES = 1000
@@ -139,10 +139,12 @@ def read_records(spark: SparkSession, path: str, *, with_payload: bool = True) -
     return files.select("content").mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, once: bool = False) -> DataFrame:
     """One row per capture: structs ``response``, ``request``, ``metadata``, ``refers_to`` and the payload's figures.
 
     The three records meet under the identifier of the response; revisits then find the payload that they refer to.
+    With ``once`` the captures are checkpointed between the two steps, so the archives are parsed once; that suits
+    records read without payloads.
     """
     key = F.coalesce("concurrent_to", "record_id")
     is_main = F.col("warc_type").isin("response", "revisit")
@@ -153,6 +155,7 @@ def assemble(records: DataFrame) -> DataFrame:
         part(F.col("warc_type") == "request", "record_id", "target_uri").alias("request"),
         part(F.col("warc_type") == "metadata", "record_id", "page_id").alias("metadata"),
     ).filter("copies > 0")
+    captures = kept(captures) if once else captures
     revisited = captures.filter(F.col("response.warc_type") == "revisit").select(F.col("response.refers_to").alias("to_id")).distinct()
     origin = (
         captures.join(revisited, F.col("capture_id") == F.col("to_id"), "left_semi")
@@ -177,7 +180,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(pages, path)
     kind = dict(pages.dtypes)["page_id"]
-    return assemble(read_records(spark, path, with_payload=False)).select(
+    return assemble(read_records(spark, path, with_payload=False), once=True).select(
         F.col("metadata.page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("response.warc_type").alias("record_type"), F.col("refers_to.page_id").cast(kind).alias("refers_to"),
     )
