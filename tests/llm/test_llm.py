@@ -88,14 +88,13 @@ def test_lm_probabilities_of_short_words_add_up():
 
 
 def test_lm_adapts_to_repeats():
-    p = np.array([0.001, 0.001])
-    even, burst = np.array([1, 1]), np.array([20, 1])
-    assert lm_scoring.adapted(p, np.log(p), burst, 100.0) > lm_scoring.adapted(p, np.log(p), burst, float("inf"))
+    p, first = np.array([0.001, 0.001]), np.array([0])
+    burst = np.array([20, 1])
+    assert lm_scoring.adapted(p, np.log(p), burst, first, 100.0)[0] > lm_scoring.adapted(p, np.log(p), burst, first, float("inf"))[0]
     seq = 1.0
     for j, t in enumerate([0, 0, 1, 0]):
         seq *= (50 * 0.001 + [0, 0, 1, 0][:j].count(t)) / (50 + j)
-    assert lm_scoring.adapted(p, np.log(p), np.array([3, 1]), 50.0) == pytest.approx(np.log(seq), abs=1e-6)
-    assert even.sum() == 2
+    assert lm_scoring.adapted(p, np.log(p), np.array([3, 1]), first, 50.0)[0] == pytest.approx(np.log(seq), abs=1e-6)
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
@@ -120,6 +119,18 @@ def test_mix_odd(odd, empty):
     assert mixing.select_mix(odd).columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_selected_rows_are_those_of_the_mix(spark, copies):
+    rows = [(i, text(n=rng.randint(1, 9)), "en", "ab"[i % 2]) for i in range(200)] * copies + ODD
+    df = frame(spark, rows)
+    want, got = Counter(), Counter()
+    for r in mixing.mix_by_source(df).collect():
+        want[r["doc_id"]] += r["copies"]
+    for r in mixing.select_mix(df).collect():
+        got[r["doc_id"]] += r["copies"]
+    assert got == Counter({k: v for k, v in want.items() if v})
+
+
 def test_water_fill():
     t = mixing.water_fill(100, {"a": 1, "b": 2, "c": 3}, {"a": 300, "b": 15, "c": 300})
     assert t == {"b": 15.0, "a": pytest.approx(21.25), "c": pytest.approx(63.75)}
