@@ -19,10 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.llm.common import kept
+
 WINDOW = 13
 K = 5
 #: Bytes of benchmark text up to which its fingerprints, with the words around them, are broadcast.
 MAX_BROADCAST = 1 << 20
+#: Contaminated ids that are broadcast at most.
+MAX_IDS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -147,6 +151,10 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; every row of a contaminated id goes."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` without the contaminated ones; every row of a contaminated id goes.
+
+    Up to ``MAX_IDS`` contaminated ids are broadcast, so the texts stay where they are; more are joined by a shuffle.
+    """
+    bad = kept(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct())
+    small = bad.limit(MAX_IDS + 1).count() <= MAX_IDS
+    return docs.join(F.broadcast(bad) if small else bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
