@@ -196,8 +196,15 @@ def select_mix(docs: DataFrame, *, source_col: str = "source", id_col: str = "do
     Decisions come back to the texts by id, text hash and a number that tells copies of a row apart.
     """
     taken, _, _ = mix(docs, F.array(F.col(source_col)), by_rank(), id_col=id_col, text_col=text_col, seed=seed)
-    pick = taken.filter(F.col("copies") > 0).select(F.col("id").alias("__id"), F.col("text_hash").alias("__t"), F.col("nth").alias("__n"), F.col("copies").alias("__copies"))
+    named = taken.select(F.col("id").alias("__id"), F.col("text_hash").alias("__t"), F.col("nth").alias("__n"), F.col("copies").alias("__copies"))
+    several = kept(named.filter("__n > 1").select("__id", "__t").distinct())
+    d = docs.alias("d")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("__t"))
+    columns = [*[F.col(f"d.`{c}`") for c in docs.columns if c != "copies"], F.col("__copies").alias("copies")]
+    pick = named.filter("__copies > 0")
+    if several.isEmpty():  # the texts move once, and need no order
+        return d.join(pick, same).select(*columns)
+    alone = d.join(several, same, "left_anti").join(pick, same).select(*columns)
     order = W.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col))).orderBy(F.col(source_col).asc_nulls_last())
-    numbered = docs.withColumn("__nth", F.row_number().over(order)).alias("d")
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("__t")) & (F.col("d.__nth") == F.col("__n"))
-    return numbered.join(pick, on).select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "copies"], F.col("__copies").alias("copies"))
+    numbered = d.join(several, same, "left_semi").withColumn("__nth", F.row_number().over(order)).alias("d")
+    return alone.unionByName(numbered.join(pick, same & (F.col("d.__nth") == F.col("__n"))).select(*columns))
