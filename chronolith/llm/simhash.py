@@ -217,15 +217,21 @@ def hex16(c: Column) -> Column:
 
 
 def first_of_groups(docs: DataFrame, *, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (any one, if that id has several rows or is null).
+    """``docs`` with exactly one row of each component: that of the smallest id, null ids last.
 
-    Only ids are compared with the groups' first ones; texts stay where they are unless their row is kept.
+    Rows are told apart by id and text hash, as ids may be null or repeat with other texts; of rows equal in both,
+    which are always in one component, one stays. Only these keys are compared; texts stay where they are unless their
+    row is kept.
     """
-    groups = near_duplicates(docs, radius=radius, id_col=id_col, text_col=text_col)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__id")).distinct()
-    picked = docs.join(first, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    repeated = kept(picked.groupBy(F.col(id_col).alias("__id")).count().filter("count > 1").select("__id"))
+    text_hash = F.xxhash64(F.col(text_col))
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), text_hash.alias("text_hash"))
+    groups = near_duplicates(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), radius=radius, id_col="__key", text_col="__text")
+    first = groups.select(F.col("component_id.id").alias("__id"), F.col("component_id.text_hash").alias("__t")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (text_hash == F.col("__t"))
+    picked = docs.join(first, same, "left_semi")
+    repeated = kept(picked.groupBy(F.col(id_col).alias("__id"), text_hash.alias("__t")).count().filter("count > 1").select("__id", "__t"))
     if repeated.isEmpty():
         return picked
-    others = picked.join(repeated, picked[id_col].eqNullSafe(F.col("__id")), "left_anti")
-    return others.unionByName(picked.join(repeated, picked[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col]))
+    again = picked[id_col].eqNullSafe(F.col("__id")) & (text_hash == F.col("__t"))
+    copies = picked.join(repeated, again, "left_semi").withColumn("__t", text_hash).dropDuplicates([id_col, "__t"]).drop("__t")
+    return picked.join(repeated, again, "left_anti").unionByName(copies)

@@ -307,6 +307,13 @@ def test_one_of_each_group_stays(spark, odd):
     assert sorted(got, key=str) == sorted({1, 4, None, 5, 6, 7, 8}, key=str)
 
 
+def test_groups_keep_one_row_whatever_the_ids(spark):
+    a, b, c, d = (text(n=80) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (3, c), (7, c), (7, d), (7, d), (9, None), (None, None), (None, d)]
+    got = [(r["doc_id"], r["text"]) for r in simhash.first_of_groups(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (3, c), (7, d), (9, None)], key=str)
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
