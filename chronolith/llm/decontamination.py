@@ -25,7 +25,7 @@ WINDOW = 13
 K = 5
 #: Bytes of benchmark text up to which its fingerprints, with the words around them, are broadcast.
 MAX_BROADCAST = 1 << 20
-#: Contaminated ids that are broadcast at most.
+#: Contaminated keys that are broadcast at most.
 MAX_IDS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -151,10 +151,16 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; every row of a contaminated id goes.
+    """``docs`` without the contaminated rows.
 
-    Up to ``MAX_IDS`` contaminated ids are broadcast, so the texts stay where they are; more are joined by a shuffle.
+    Decisions come back by id and text hash, as ids may be null or repeat with other texts; equal texts have equal
+    decisions. Up to ``MAX_IDS`` contaminated keys are broadcast, so the texts stay where they are; more are joined by
+    a shuffle.
     """
-    bad = kept(contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct())
+    text_hash = F.xxhash64("text")
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), text_hash.alias("text_hash")).alias("doc_id"), "text")
+    found = contamination(keyed, benchmark).filter("contaminated")
+    bad = kept(found.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.text_hash").alias("__t")).distinct())
     small = bad.limit(MAX_IDS + 1).count() <= MAX_IDS
-    return docs.join(F.broadcast(bad) if small else bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (text_hash == F.col("__t"))
+    return docs.join(F.broadcast(bad) if small else bad, same, "left_anti")

@@ -148,11 +148,16 @@ def digest(findings: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with each secret found in a text replaced by ``MARK``; no row goes. ``count_col`` follows the text."""
-    secret = scan(docs, id_col=id_col, text_col=text_col).filter("is_secret")
-    by_doc = kept(secret.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("__secrets")))
+    """``docs`` with each secret found in a text replaced by ``MARK``; no row goes. ``count_col`` follows the text.
+
+    Secrets come back by id and text hash, as ids may be null or repeat with other texts.
+    """
+    text_hash = F.xxhash64(F.col(text_col))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_hash.alias("text_hash")).alias("doc_id"), F.col(text_col).alias("text"))
+    secret = scan(keyed).filter("is_secret")
+    by_doc = kept(secret.groupBy(F.col("doc_id.id").alias("__id"), F.col("doc_id.text_hash").alias("__t")).agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("__secrets")))
     small = by_doc.agg(F.coalesce(F.sum(F.size("__secrets")), F.lit(0))).first()[0] <= MAX_BROADCAST
-    joined = docs.join(F.broadcast(by_doc) if small else by_doc, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(F.broadcast(by_doc) if small else by_doc, docs[id_col].eqNullSafe(F.col("__id")) & (text_hash == F.col("__t")), "left")
     # a PEM header stands for its whole block
     block = F.regexp_replace(F.col(text_col), r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(-----END [A-Z ]*PRIVATE KEY-----|$)", F.lit(MARK.replace("[", r"\[")))
     start = F.when(F.exists("__secrets", lambda s: s["value"].startswith("-----")), block).otherwise(F.col(text_col))

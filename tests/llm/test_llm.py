@@ -233,6 +233,17 @@ def test_contamination_of_empty_tables(spark, odd, empty):
     assert decontamination.clean(odd, none).count() == len(ODD)
 
 
+def test_clean_and_redact_decide_by_row(spark):
+    item, token = text(n=20), hexes()
+    bad, good, other = f"{text(n=5)} {item}", text(n=60), text(n=60)
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontamination.clean(frame(spark, [(None, bad), (None, good), (7, good), (7, bad), (8, None)]), b).collect()
+    assert sorted([(r["doc_id"], r["text"]) for r in left], key=str) == sorted([(None, good), (7, good), (8, None)], key=str)
+    rows = [(None, f'{good} token = "{token}"'), (None, f"{other} {token[:4]} commit {token}"), (None, None)]
+    got = {r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
+    assert got == {f'{good} token = "{secrets.MARK}"', rows[1][1], None}
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
