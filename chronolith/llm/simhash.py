@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import kept
+from chronolith.llm.common import kept, written
 
 SHINGLE = 4
 BLOCKS = 6
@@ -47,11 +47,25 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         return h64(joined, 42)
     ends = [*accumulate(len(w) + 1 for w in words)]
     starts = [0, *ends[: len(words) - shingle]]
-    h = np.array([h64(joined[a : b - 1], 42) for a, b in zip(starts, ends[shingle - 1 :])], np.dtype(">u8"))
+    return majority(np.array([h64(joined[a : b - 1], 42) for a, b in zip(starts, ends[shingle - 1 :])], np.dtype(">u8")))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set."""
+    h = h.astype(">u8", copy=False)
     counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLANES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(2 * counts.ravel() > len(h)).tobytes(), "big")
 
 
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 of the text's shingles, sorted; a text of fewer words is one shingle, one without words none."""
+    import xxhash
+
+    words = text.lower().split() if text else []
+    joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in joined], np.uint64))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -216,20 +230,151 @@ def hex16(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def first_of_groups(docs: DataFrame, *, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with exactly one row of each component: that of the smallest id, null ids last.
+# near-duplicates by the similarity of shingle sets, for the pipeline ----------------------------------------------
+
+SET_SHINGLE = 5
+SIMILARITY = 0.8
+#: A set has a key for each of ``BANDS`` groups of ``BAND`` minimum hashes; sets that share a key meet in a shard. At
+#: similarity 0.8 two sets share none with a chance of (1 - 0.8^4)^20 = 0.00003.
+BANDS, BAND = 20, 4
+#: Radius of the BK-trees: fingerprints of sets at similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9.
+SET_RADIUS = 24
+#: Bytes of sets in a chunk of a crowded shard.
+SHARD_BYTES = 16 << 20
+_MIX = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band of a set, told apart by band; none for an empty set."""
+    import xxhash
+
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_MIX), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096, None] * _MIX[None, :]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, x.min(0))
+    rows = least.reshape(BANDS, BAND)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), n) for n, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def set_rows(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, node (hash of the shingle set), fp (SimHash of the set), keys (of the bands) and the set."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sets = [shingle_set(t.as_py(), SET_SHINGLE) for t in b.column(2)]
+                node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
+                fp = np.array([majority(h) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
+                cols = [b.column(0), b.column(1), pa.array(node), pa.array(fp), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64())), pa.array([h.tobytes() for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "fp", "keys", "shingles"])
+
+    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, node long, fp long, keys array<long>, shingles binary")
+
+
+def set_links(rid: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], split: int, least: float, radius: int) -> list[tuple[int, int]]:
+    """Links between the first ``split`` rows and the others (all rows, if there are no others) whose sets are at least
+    ``least`` similar. A pair that the links so far join isn't compared, so a group of copies costs one comparison each."""
+    root = list(range(len(rid)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    n = np.array([len(x) for x in sets])
+    first = split if split < len(rid) else 0
+    out = []
+    for node, near in BKTree(fps[:split]).within(fps[first:], radius):
+        near = near + first
+        near = near[(np.minimum(n[near], n[node]) >= least * np.maximum(n[near], n[node])) & (near != node)]
+        for q in near.tolist():
+            a, b = find(node), find(q)
+            if a != b:
+                both = len(np.intersect1d(sets[node], sets[q], assume_unique=True))
+                if both / (n[node] + n[q] - both) >= least:
+                    root[b] = a
+                    out.append((int(rid[node]), int(rid[q])))
+    return out
+
+
+def _set_shards(least: float, radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard (key, i, j), as for ``_shard_links``."""
+        rest = None
+        for batch in _with_end(batches):
+            frame = None if batch is None else batch.to_pandas()
+            if rest is not None:
+                frame = rest if frame is None else pd.concat([rest, frame], ignore_index=True)
+            if frame is None or not len(frame):
+                rest = frame
+                continue
+            key = frame[["key", "i", "j"]].to_numpy()
+            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(frame)]
+            if batch is not None:  # the last shard may go on in the next batch
+                rest, bounds = frame.iloc[bounds[-2] :], bounds[:-1]
+            out = []
+            for a, b in zip(bounds, bounds[1:]):
+                own = frame.iloc[a:b]
+                own = own.iloc[np.argsort(own["chunk"].to_numpy() != key[a][1], kind="stable")]
+                split = int((own["chunk"].to_numpy() == key[a][1]).sum())
+                # a pair of different chunks needs rows of both; with rows of only one of them there is nothing to compare
+                if b - a < 2 or not split or (split == b - a and key[a][1] != key[a][2]):
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in own["shingles"]]
+                out += set_links(own["rid"].to_numpy(), own["fp"].to_numpy(np.int64).view(np.uint64), sets, split, least, radius)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def similar_links(sets: DataFrame, least: float = SIMILARITY, radius: int = SET_RADIUS, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between the ``rid`` of distinct sets (rid, fp, keys, shingles) that span the pairs found similar."""
+    dealt = sets.select("rid", F.explode("keys").alias("key"), F.octet_length("shingles").cast("long").alias("bytes"))
+    shards = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("rid")).alias("members")).filter("n > 1")
+    # shards of the same members are searched once
+    shards = shards.groupBy("n", "members").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("n") / shard), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("int")
+    rows = (
+        dealt.drop("bytes").join(shards.select("key", chunks.alias("chunks")), "key")
+        .withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("rid", "key", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    )
+    placed = rows.join(sets.select("rid", "fp", "shingles"), "rid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return placed.mapInArrow(_set_shards(least, radius), "a long, b long").distinct()
+
+
+def first_of_groups(docs: DataFrame, *, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with exactly one row of each group of near-duplicates: that of the smallest id, null ids last.
+
+    Near-duplicates have sets of 5-word shingles with a Jaccard similarity of ``least`` or more, and groups are what
+    these pairs join. Candidates meet in shards by the bands of their minimum hashes, where BK-trees of the sets' SimHash
+    give those within ``SET_RADIUS`` bits; each candidate pair that isn't joined yet is compared by the sets themselves.
 
     Rows are told apart by id and text hash, as ids may be null or repeat with other texts; of rows equal in both,
-    which are always in one component, one stays. Only these keys are compared; texts stay where they are unless their
-    row is kept.
+    which are always in one group, one stays. Only these keys are compared with the groups' first rows.
     """
+    rows = written(set_rows(docs, id_col=id_col, text_col=text_col).withColumn("rid", F.monotonically_increasing_id()), "shingle_sets")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text_hash"))
+    nodes = rows.select("node", "rid", key.alias("key")).groupBy("node").agg(F.min("key").alias("key"), F.min("rid").alias("rid"))
+    roots = connected(similar_links(rows.join(nodes.select("rid"), "rid", "left_semi")))
+    # equal sets are one node, and a node without a link is a group of its own
+    label = nodes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min("key").alias("key"))
+    first = kept(label.select(F.col("key.id").alias("__id"), F.col("key.text_hash").alias("__t")))
     text_hash = F.xxhash64(F.col(text_col))
-    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), text_hash.alias("text_hash"))
-    groups = near_duplicates(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), radius=radius, id_col="__key", text_col="__text")
-    first = groups.select(F.col("component_id.id").alias("__id"), F.col("component_id.text_hash").alias("__t")).distinct()
     same = docs[id_col].eqNullSafe(F.col("__id")) & (text_hash == F.col("__t"))
+    repeated = kept(rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t")).count().filter("count > 1").select("__id", "__t"))
     picked = docs.join(first, same, "left_semi")
-    repeated = kept(picked.groupBy(F.col(id_col).alias("__id"), text_hash.alias("__t")).count().filter("count > 1").select("__id", "__t"))
     if repeated.isEmpty():
         return picked
     again = picked[id_col].eqNullSafe(F.col("__id")) & (text_hash == F.col("__t"))

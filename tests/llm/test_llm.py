@@ -325,6 +325,31 @@ def test_groups_keep_one_row_whatever_the_ids(spark):
     assert sorted(got, key=str) == sorted([(None, a), (None, b), (3, c), (7, d), (9, None)], key=str)
 
 
+def test_similar_texts_are_one_group(spark, monkeypatch):
+    """Groups are those that brute force joins at similarity 0.8 of 5-word shingles, in whole and in cut shards."""
+    shingles = lambda t: {" ".join(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    rows = []
+    for i in range(30):
+        t = text(n=200).split()
+        rows.append((10 * i, " ".join(t)))
+        for k in range(1, 4):
+            own = list(t)
+            for at in rng.sample(range(200), k + 1):
+                own[at] = f"changed{at}"
+            rows.append((10 * i + k, " ".join(own)))
+        rows.append((10 * i + 4, " ".join(t[:100] + text(n=100).split())))  # half of it is other text
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    want = [rows[r][0] for r in sorted(set(root))]
+    assert 30 < len(want) < len(rows) - 60
+    assert sorted(r["doc_id"] for r in simhash.first_of_groups(frame(spark, rows)).collect()) == want
+    monkeypatch.setattr(simhash, "SHARD_BYTES", 1600)
+    assert sorted(r["doc_id"] for r in simhash.first_of_groups(frame(spark, rows)).collect()) == want
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
