@@ -55,20 +55,49 @@ class LanguageModel:
     languages: list[str]
     landmarks: np.ndarray  # landmarks x BUCKETS, presence
     weights: np.ndarray  # (landmarks + 1) x languages: the Nyström map and the ridge regressions as one matrix
+    grams: np.ndarray | None = None  # languages x BUCKETS: 1 where a landmark of the language has an n-gram
+    least: np.ndarray | None = None  # the share of a text's n-grams that its language must know to claim it
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        k = kernel(presence(texts), self.landmarks)
-        return k @ self.weights[:-1] + self.weights[-1]
+        return self._margins(presence(texts))
+
+    def _margins(self, p: np.ndarray) -> np.ndarray:
+        return kernel(p, self.landmarks) @ self.weights[:-1] + self.weights[-1]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        return self.assess(texts)[:2]
+
+    def assess(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and whether the language claims the text.
+
+        The margins of a text sum to the same number whatever it says, so the score of the best is never low; how many
+        of the text's n-grams the language knows can be.
+        """
+        names, scores, claimed = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         real = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
         if real and self.languages:
-            m = self.margins([texts[i] for i in real])
+            p = presence([texts[i] for i in real])
+            m = self._margins(p)
             best = m.argmax(1)
+            share = np.ones(len(real)) if self.grams is None else (p & self.grams[best]).sum(1, dtype=np.int64) / p.sum(1, dtype=np.int64)
+            claimed[real] = True if self.least is None else share >= self.least[best]
             for i, b, s in zip(real, best, np.clip((m[np.arange(len(real)), best] + 1) / 2, 0, 1)):
                 names[i], scores[i] = self.languages[b], float(s)
-        return names, scores
+        return names, scores, claimed
+
+
+def known_grams(rows: np.ndarray, each: int) -> tuple[np.ndarray, float]:
+    """The n-grams of a language's landmarks (the first ``each`` rows), and the least share of them that it claims.
+
+    That share is midway between chance (the share of buckets in use) and the lowest of the language's own training
+    rows, where a landmark's own n-grams count only if another landmark has them; with one row nothing is rejected.
+    """
+    n = rows[:each].sum(0, dtype=np.int64)
+    if len(rows) < 2:
+        return (n > 0).astype(np.uint8), 0.0
+    need = np.where(np.arange(len(rows)) < each, 2, 1)
+    own = [float((n[r > 0] >= k).mean()) for r, k in zip(rows, need)]
+    return (n > 0).astype(np.uint8), min(min(own), (min(own) + float((n > 0).mean())) / 2)
 
 
 def fit_language_model(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 128, ridge: float = 1e-2) -> LanguageModel:
@@ -114,25 +143,28 @@ def fit_language_model(docs: DataFrame, train: Column, *, id_col: str = "doc_id"
     penalty = np.eye(design.shape[1]) * ridge * len(languages)
     penalty[-1, -1] = 1e-9
     solved = np.linalg.solve((design * w[:, None]).T @ design + penalty, (design * w[:, None]).T @ y)
-    return LanguageModel(languages, z, np.vstack([to_features @ solved[:-1], solved[-1:]]).astype(np.float32))
+    known = [known_grams(x[n][:per_language], each) for n in languages]
+    return LanguageModel(languages, z, np.vstack([to_features @ solved[:-1], solved[-1:]]).astype(np.float32), np.stack([g for g, _ in known]), np.array([t for _, t in known]))
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score; only the text is read for a prediction."""
+def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", claim_col: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language, its score and, if asked for, whether the language claims the text; only the text is read."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # landmarks x BUCKETS bytes, whatever the input
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, claimed boolean")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            names, scores, all_texts = [], [], s.tolist()
+            names, scores, claims, all_texts = [], [], [], s.tolist()
             for at in range(0, len(all_texts), 256):
-                n, v = sent.value.predict([t if isinstance(t, str) else None for t in all_texts[at : at + 256]])
+                n, v, c = sent.value.assess([t if isinstance(t, str) else None for t in all_texts[at : at + 256]])
                 names += n
                 scores.append(v)
-            yield pd.DataFrame({"lang": names, "score": np.concatenate(scores) if scores else np.zeros(0)})
+                claims += c.tolist()
+            yield pd.DataFrame({"lang": names, "score": np.concatenate(scores) if scores else np.zeros(0), "claimed": np.array(claims, bool)})
 
     tmp = "__language_id"
-    cols = [F.col(f"`{c}`") for c in docs.columns if c not in (pred_col, score_col)]
+    cols = [F.col(f"`{c}`") for c in docs.columns if c not in (pred_col, score_col, claim_col)]
     out = docs.withColumn(tmp, predict(F.col(text_col)))
-    return out.select(*cols, F.col(f"{tmp}.lang").alias(pred_col), F.col(f"{tmp}.score").alias(score_col))
+    claim = [F.col(f"{tmp}.claimed").alias(claim_col)] if claim_col else []
+    return out.select(*cols, F.col(f"{tmp}.lang").alias(pred_col), F.col(f"{tmp}.score").alias(score_col), *claim)

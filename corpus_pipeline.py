@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 from chronolith.llm import decontamination, language_id, mixing, secrets, simhash
 from chronolith.llm.common import held_out, table, written
 
-#: A text whose best language reaches less than this is rejected; clean texts of a learned language are far above.
-LEAST_SCORE = 0.05
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts, texts without letters, and texts that no language claims."""
     model = language_id.fit_language_model(docs, ~held_out("doc_id", 4, 2))
-    named = language_id.identify(docs, model, pred_col="__lang", score_col="__score")
-    return named.filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = language_id.identify(docs, model, pred_col="__lang", score_col="__score", claim_col="__claimed")
+    return named.filter((F.col("__lang") != "und") & F.col("__claimed")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

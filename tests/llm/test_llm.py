@@ -159,6 +159,17 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(df, none).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_no_language_claims(spark):
+    import base64
+
+    import corpus_pipeline
+
+    rows = [(i, text(n, 60), n) for i in range(150) for n in [("en", "de", "fr")[i % 3]]]
+    junk = [base64.b64encode(rng.randbytes(300)).decode(), " ".join("".join(rng.choice("qwzuipsdfgjkxvbm") for _ in range(7)) for _ in range(60)), "Сегодня мы пошли гулять в парк потому что погода была хорошая " * 3, "我们今天去公园散步然后回家吃饭因为天气很好" * 4]
+    docs = frame(spark, rows + [(1000 + i, t, None) for i, t in enumerate(junk)])
+    assert {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {r[0] for r in rows}
+
+
 def test_language_kernel_matches_sets():
     p = language_id.presence(["abcd", "abce", ""])
     k = language_id.kernel(p, p)
