@@ -1,7 +1,7 @@
 """Secret scans in DataFrame operations only: candidates by form, then a random forest against false positives.
 
-Texts are split at white space; a candidate is a long run of key characters with a digit or mixed case, a value
-that follows a key word, or a private key's header. Each has features: its length, the share of character classes and
+Texts are split at white space; a candidate is a long run of key characters with a digit or mixed case, the whole value
+that is assigned to a name for secrets, a published form of key wherever it stands in a word, or a private key's header. Each has features: its length, the share of character classes and
 the transitions between them, how much of it common words cover, whether it looks like a path, address or number, and
 which words stand next to it. The forest learns from labelled findings; where the caller has none, they are derived
 from the texts: findings of a format that only secrets have, or assigned to a name for secrets, are positive; numbers,
@@ -43,6 +43,9 @@ DIGEST_NAME = r"(?i)(sha-?(1|256|512)|md5|commit|checksum|digest|etag|revision|i
 COMMON = r"(example|index|image|page|test|data|file|config|user|mail|http|https|www|com|net|org|html|name|value|main|local|public|static|source|version|content|default|the|and|ing|ion)"
 RUN = r"[A-Za-z0-9+/_=.@:-]{8,}"
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: A published form within a word, and a name with the sign of assignment after it.
+FORMAT = "(?<![A-Za-z0-9])(?:" + "|".join(p.strip("^$").replace("(", "(?:") for p in FORMATS.values()) + ")(?![A-Za-z0-9])"
+NAMED = KEY_NAME + r"[\"'`]?(=>|:=|[:=])"
 
 FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "kinds", "hex", "common", "slashes", "dots", "address", "numeric", "uuid", "key_near", "digest_near", "assigned", "quoted", "in_word")
 
@@ -57,21 +60,36 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(words, F.array().cast("array<string>")).alias("words"))
     word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
     # cheap tests on whole words first; only few words go on
-    long_ = lambda w: (F.length(w) >= 16) & w.rlike(r"[0-9]|[a-z][A-Z]")
-    named = lambda i, w: (F.length(w) >= 8) & (word(i - 1).isin("=", ":", "=>", ":=") & word(i - 2).rlike(KEY_NAME) | w.rlike(KEY_NAME + r"[\"']?[:=]"))
-    found = F.filter(F.transform("words", lambda w, i: F.when(long_(w) | named(i, w) | (w == "-----BEGIN"), i)), lambda i: i.isNotNull())
+    long_ = lambda w: (F.length(w) >= 16) & (w.rlike(r"[0-9]|[a-z][A-Z]") | w.rlike(FORMAT))
+    after_name = lambda i: word(i - 1).isin("=", ":", "=>", ":=") & word(i - 2).rlike(KEY_NAME) | word(i - 1).rlike(NAMED + "$")
+    named = lambda i, w: (F.length(w) >= 8) & (after_name(i) | w.rlike(NAMED))
+    found = F.filter(F.transform("words", lambda w, i: F.when(long_(w) | named(i, w) | w.contains("-----BEGIN"), i)), lambda i: i.isNotNull())
     at = base.withColumn("found", found).select("doc_id", "words", F.explode_outer("found").alias("position")).filter("position IS NOT NULL")
     i = F.col("position")
     near = at.select(
         "doc_id", "position", word(i).alias("word"), word(i - 1).alias("before1"), word(i - 2).alias("before2"), word(i - 3).alias("before3"), word(i + 1).alias("after1"),
-        F.concat_ws(" ", F.slice("words", i + 1, 4)).alias("ahead"),
+        F.concat_ws(" ", F.slice("words", i + 1, 4)).alias("ahead"), named(i, word(i)).alias("named"),
     )
-    value = F.when(F.col("ahead").rlike("^" + PEM), F.array(F.regexp_extract("ahead", PEM, 0))).otherwise(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)))
-    runs = near.withColumn("values", value).select("*", F.posexplode_outer("values").alias("nth", "value")).drop("values", "ahead")
+    # an assigned value is taken whole: up to its closing quote, or the word without quotes and closing signs
+    assigned = F.regexp_replace(F.when(F.col("word").rlike(NAMED), F.regexp_extract("word", NAMED + "(.*)$", 4)).otherwise(F.col("word")), "^[({\\[]+", "")
+    quoted = F.regexp_extract(assigned, r"^([\"'`])(.*?)\1", 2)
+    bare = F.regexp_replace(F.regexp_replace(assigned, "^[\"'`]+", ""), "[\"'`,;.)}>\\]]+$", "")
+    bare = F.when(F.col("word").rlike("://|[?]"), F.regexp_extract(bare, "^[^&#]*", 0)).otherwise(bare)
+    whole = F.when(F.length(quoted) > 0, quoted).otherwise(bare)
+    runs = lambda c: F.regexp_extract_all(c, F.lit(RUN), F.lit(0))
+    value = (
+        F.when(F.col("ahead").rlike(r"^\S*" + PEM), F.array(F.regexp_extract("ahead", PEM, 0)))
+        .when(F.col("word").rlike(FORMAT), F.concat(F.regexp_extract_all("word", F.lit(FORMAT), F.lit(0)), runs(F.regexp_replace("word", FORMAT, " "))))
+        .when(F.col("named"), F.array(whole))
+        .otherwise(runs(F.col("word")))
+    )
+    parts = near.withColumn("values", value).select("*", F.posexplode_outer("values").alias("nth", "value")).drop("values", "ahead")
     cut = F.regexp_replace("value", r"^[.:=/-]+|[.:=]+$", "")
     inner = F.when(F.col("value").rlike("(?i)^[a-z_-]+[:=]"), F.regexp_replace("value", r"^[A-Za-z_-]+[:=]+", "")).otherwise(cut)
-    kept_ = runs.filter("value IS NOT NULL").withColumn("value", F.when(F.col("value").startswith("-----"), F.col("value")).otherwise(inner))
-    return kept_.filter((F.length("value") >= 8) & (F.col("value").rlike(r"[0-9]|[a-z][A-Z]") | F.col("value").startswith("-----")))
+    known = F.col("value").startswith("-----") | F.col("value").rlike("^" + FORMAT + "$")
+    as_is = known | (F.col("named") & ~F.col("word").rlike(FORMAT))
+    kept_ = parts.filter("value IS NOT NULL").withColumn("value", F.when(as_is, F.col("value")).otherwise(inner))
+    return kept_.filter((F.length("value") >= 8) & (F.col("named") | F.col("value").rlike(r"[0-9]|[a-z][A-Z]") | known))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -90,7 +108,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "numeric": hit(v.rlike(r"^[0-9.:_+-]+$")),
         "uuid": hit(v.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
         "key_near": hit(before.rlike(KEY_NAME) | F.col("word").rlike(KEY_NAME)), "digest_near": hit(before.rlike(DIGEST_NAME)),
-        "assigned": hit(F.col("before1").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_-]+[:=]")),
+        "assigned": hit(F.col("named") | F.col("before1").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_-]+[:=]")),
         "quoted": hit(F.col("word").rlike("[\"'`]")),
         "in_word": F.length(v) / F.greatest(F.length("word"), F.lit(1)),
     })
@@ -128,7 +146,7 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc
     ``labels``: findings (doc_id, position, nth, y) to learn from; they are derived if it is None.
     """
     found = with_features(candidates(docs, id_col=id_col, text_col=text_col)).withColumn("kind", kind_of())
-    found = kept(found.drop("word", "before1", "before2", "before3", "after1").withColumn("rule", derived_label()))
+    found = kept(found.drop("word", "before1", "before2", "before3", "after1", "named").withColumn("rule", derived_label()))
     known = found.withColumn("y", F.col("rule")) if labels is None else found.join(labels.select("doc_id", "position", "nth", "y"), ["doc_id", "position", "nth"])
     model = fit(known.filter("y IS NOT NULL"))
     if model is None:

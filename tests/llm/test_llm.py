@@ -446,6 +446,21 @@ def test_secrets(spark, odd, empty):
     assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
+def test_secrets_of_other_forms(spark):
+    aws, slack = "AKIA" + "QWERTYUIOPASDFGH", "xoxb-abcdefghijklmnop"
+    forms = {
+        "password: Hunter2xyz99": "Hunter2xyz99", '{"password": "s3cr3tPass9"}': "s3cr3tPass9", "password=P@ss!w0rd#99,": "P@ss!w0rd#99", 'pwd:"a1B2;c3D4"': "a1B2;c3D4",
+        "secret := q1w2e3r4t5": "q1w2e3r4t5", f"see {aws} there": aws, f"aws_access_key_id = {aws}": aws, f"https://{slack}@host.example/x": slack,
+        'key="-----BEGIN RSA PRIVATE KEY----- abc -----END RSA PRIVATE KEY-----"': "-----BEGIN RSA PRIVATE KEY-----",
+        "https://a.example/x?token=q1w2e3r4t5&page=2": "q1w2e3r4t5",
+    }
+    df = frame(spark, list(enumerate(forms)) + [(50, "the author: Somebody and a keyword list")])
+    got = {(r["doc_id"], r["value"]) for r in secrets.scan(df).filter("is_secret").collect()}
+    assert set(enumerate(forms.values())) <= got and not any(i == 50 for i, _ in got)
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert all(v not in out[i] and secrets.MARK in out[i] for i, v in enumerate(forms.values()))
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
