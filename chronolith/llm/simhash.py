@@ -241,6 +241,8 @@ BANDS, BAND = 20, 4
 SET_RADIUS = 24
 #: Bytes of sets in a chunk of a crowded shard.
 SHARD_BYTES = 16 << 20
+#: Sets with a shared key up to which their shards are broadcast, so that only these sets move.
+MAX_MEMBERS = 100_000
 _MIX = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -337,20 +339,24 @@ def _set_shards(least: float, radius: int):
     return run
 
 
-def similar_links(sets: DataFrame, least: float = SIMILARITY, radius: int = SET_RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) between the ``rid`` of distinct sets (rid, fp, keys, shingles) that span the pairs found similar."""
-    dealt = sets.select("rid", F.explode("keys").alias("key"), F.octet_length("shingles").cast("long").alias("bytes"))
-    shards = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("rid")).alias("members")).filter("n > 1")
-    # shards of the same members are searched once
-    shards = shards.groupBy("n", "members").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"))
-    chunks = F.greatest(F.ceil(F.col("n") / shard), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("int")
+def similar_links(sets: DataFrame, keys: DataFrame, least: float = SIMILARITY, radius: int = SET_RADIUS, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) between the ``rid`` of ``keys`` (rid, keys; one row of each distinct set of ``sets``) that span the pairs found similar.
+
+    Sets that share a key, directly or over others, are one shard; so each set moves once, not for each of its keys.
+    """
+    dealt = keys.select("rid", F.explode("keys").alias("key"))
+    first = dealt.groupBy("key").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = connected(dealt.join(first, "key").filter("rid <> first").select(F.col("rid").alias("a"), F.col("first").alias("b")))
+    members = kept(met.withColumnsRenamed({"node": "rid", "root": "key"}).join(sets.select("rid", "bytes"), "rid"))
+    chunks = F.greatest(F.ceil(F.count("*") / shard), F.ceil(F.sum("bytes") / SHARD_BYTES)).cast("int")
     rows = (
-        dealt.drop("bytes").join(shards.select("key", chunks.alias("chunks")), "key")
+        members.join(members.groupBy("key").agg(chunks.alias("chunks")), "key")
         .withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("rid", "key", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     )
-    placed = rows.join(sets.select("rid", "fp", "shingles"), "rid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    small = members.limit(MAX_MEMBERS + 1).count() <= MAX_MEMBERS
+    placed = sets.select("rid", "fp", "shingles").join(F.broadcast(rows) if small else rows, "rid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return placed.mapInArrow(_set_shards(least, radius), "a long, b long").distinct()
 
 
@@ -364,10 +370,10 @@ def first_of_groups(docs: DataFrame, *, least: float = SIMILARITY, id_col: str =
     Rows are told apart by id and text hash, as ids may be null or repeat with other texts; of rows equal in both,
     which are always in one group, one stays. Only these keys are compared with the groups' first rows.
     """
-    rows = written(set_rows(docs, id_col=id_col, text_col=text_col).withColumn("rid", F.monotonically_increasing_id()), "shingle_sets")
+    rows = written(set_rows(docs, id_col=id_col, text_col=text_col).withColumns({"rid": F.monotonically_increasing_id(), "bytes": F.octet_length("shingles").cast("long")}), "shingle_sets")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text_hash"))
     nodes = rows.select("node", "rid", key.alias("key")).groupBy("node").agg(F.min("key").alias("key"), F.min("rid").alias("rid"))
-    roots = connected(similar_links(rows.join(nodes.select("rid"), "rid", "left_semi")))
+    roots = connected(similar_links(rows, rows.select("rid", "keys").join(nodes.select("rid"), "rid", "left_semi")))
     # equal sets are one node, and a node without a link is a group of its own
     label = nodes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min("key").alias("key"))
     first = kept(label.select(F.col("key.id").alias("__id"), F.col("key.text_hash").alias("__t")))
