@@ -1,24 +1,26 @@
-"""Language-model scores by logistic context mixing.
-
-A text is its tokens: words without white space, A-Z in lower case, and an end. A token is coded as its bytes and a
-final space (the end as a line feed), bit by bit. Six predictors each give a bit's odds from counts of the training
-tokens under a hashed context: the last 1, 2, 3, 4 and 6 bytes of the word, and the whole word so far. A mixer adds
-their stretched odds with weights from the set that a gate selects by bit position and by how much the contexts have
-seen; it learns online, by a pass of gradient steps over the training tokens in which each token is left out of its
-own counts (tokens of one hash fold in ``MIX_FOLDS``; the mixer has a few hundred weights). An adaptive map refines
-the result by what followed such predictions.
-
-Documents also differ in kind. A mixture of ``CLASSES`` bags of words, fitted on a bounded sample of ``SAMPLE`` training
-documents, gives each document a class; a token's probability in a class mixes the mixer's with the token's relative
-frequency there and in all classes, by shares that expectation maximisation finds for left-out tokens. A document is
-scored by its best class and adapts to its own words: with strength a, a token seen j times among t before it has
-probability (a p + j) / (a + t). Class and strength are paid for, so the probabilities of all texts add up to 1 at most.
-
-The mixer doesn't look beyond the token, so each distinct token is scored once. Texts are read once: blocks of
-documents write their distinct tokens and, per document, the numbers and frequencies of its tokens. Counts meet by
-token in a shuffle, scored tokens go back to their blocks by a join, and each block adds up its documents. Tokens,
-counts and statistics cover all training documents. Only the hashed count tables have a fixed size (``TABLE_BITS``),
-so the model that is broadcast doesn't grow.
+"""Language-model scores by online logistic context mixing over the words of a text.
+
+A text is its tokens: words without white space, A-Z in lower case, and an end. Each token is coded by binary decisions,
+and each decision by a mixer of several predictors with gated weights and an adaptive map after it (``bit_mixing``):
+
+* *Matches*: is the token the one that followed the two words before when they last stood in this document; is it the
+  one that follows them in more than half of their places in the corpus; the same for the one word before. Each is one
+  bit. Its predictors are what such bits were after as many matches in a row, after contexts seen as often, in
+  documents of the kind, and after both.
+* *Code*: if no match, a binary code of the ``BOOK`` commonest tokens and an escape, bit by bit down a tree. Its
+  predictors are the counts below each node in all texts, in those of the same commonest word, of the same commonest
+  letter beyond ASCII, and of both (the kind of a document, which is paid for).
+* *Escapes*: whether the token occurs in the corpus (then by its share of such tokens), else it is spelled: bits of
+  bytes, whose predictors are hashed contexts of 1, 2, 3, 4 and 6 bytes and the whole word so far.
+
+All counts are those of all training texts. A training text is scored with one occurrence of each of its own tokens and
+n-grams left out, so scores of training and held-out texts compare; mixers and maps learn from training texts alone.
+
+n-grams of one to three words are counted over the corpus by their hashes. Texts are read once into blocks of documents.
+A block sends its sorted hashes and counts to hash buckets as packed arrays and gets the totals back in the same order,
+so common words and contexts are pre-aggregated, and no bucket depends on one key. The number of buckets follows the
+size of the texts. What tasks or the driver hold as a whole is of fixed size: the book, ``KINDS`` kinds, the matches'
+cells, and the speller's tables.
 
 Defined cases: a null text is empty, its only token is the end; a null id is a training id; repeated rows each count
 and each get a row; an empty table gives an empty result; without training tokens all bits are even.
@@ -26,8 +28,6 @@ and each get a row; an empty table gives an empty result; without training token
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,25 +37,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.llm.bit_mixing import CHUNK, END, ORDERS, TABLE_BITS, Mixer, Speller, count_bits, learn_events, spelling_step, squash, stretched
 from chronolith.llm.common import written
 
-#: Bytes of text in a block of documents.
-BLOCK_BYTES = 32 << 20
-#: Slots of each predictor's table, as a power of two.
-TABLE_BITS = 20
-CHUNK = 1 << 12
-ORDERS = (1, 2, 3, 4, 6, 0)  # 0: the whole word so far
-SETS, BUCKETS, LIMIT = 96, 33, 8.0
-END = b"\n"
-PRIOR = 0.4
-#: The mixer learns from one of so many hash folds of the training tokens.
-MIX_FOLDS = 4
-#: Kinds of documents, the documents that they are found on at most, and the hashed words that tell them apart.
-CLASSES, SAMPLE, FEATURES = 8, 2000, 1024
-#: Strengths with which a document's own words count; infinite: not at all.
-STRENGTHS = (float("inf"), 3000.0, 600.0, 120.0)
-STEP, STEPS = 0.5, 62  # of the statistics from which the shares are found
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9)]
+#: Bytes of text in a block of documents, and n-grams in a bucket, about.
+BLOCK_BYTES, BUCKET_GRAMS = 16 << 20, 2_000_000
+#: Tokens with a code of their own.
+BOOK = (1 << 16) - 1
+#: Kinds of documents; the last one is for all others.
+KINDS = 64
+#: Steps of matches in a row, and of the places of a context.
+RUNS, PLACES = np.array([1, 2, 3, 5, 9, 17]), np.array([1, 2, 3, 5, 9, 33, 129, 1025])
+OWN, TWO, ONE, KNOWN = range(4)
+CELLS = 4 * 2 * (len(RUNS) + 1) * (len(PLACES) + 1) * KINDS
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_EVEN = ~np.uint64(1)
+_BEFORE = np.uint64(0xA0761D6478BD642F)  # stands for words before the text
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -64,219 +61,59 @@ def tokens(text: bytes | None) -> list[bytes]:
     return out
 
 
-class Coded:
-    """The bytes of some tokens one after the other, with the hashes of each byte's contexts."""
+# packed arrays ----------------------------------------------------------------------------------------------------
 
-    def __init__(self, toks: list[bytes]):
-        coded = [t if t == END else t + b" " for t in toks]
-        self.bytes = np.frombuffer(b"".join(coded), np.uint8)
-        length = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.start = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(coded)), length)
-        within = np.arange(len(self.bytes)) - self.start[self.owner]
-        b = self.bytes.astype(np.uint64) + np.uint64(1)
-        self.hashes = []
-        h = np.zeros(len(b), np.uint64)
-        for k in range(1, 7):
-            prev = np.zeros(len(b), np.uint64)
-            prev[k:] = b[:-k] if k < len(b) else 0
-            prev[within < k] = 0
-            h = h + prev * _MIX[k - 1]
-            if k in ORDERS:
-                self.hashes.append(h.copy())
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([[1], np.full(int(length.max(initial=1)), _MIX[6])]).astype(np.uint64))
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * power[within])])
-        self.hashes.append(run[:-1] - run[self.start][self.owner])
-        self.hashes = [(h ^ (h >> np.uint64(32))) * _MIX[4] for h in self.hashes]
-        self.hashes = [h ^ (h >> np.uint64(29)) for h in self.hashes]
 
-    def slots(self, bit: int, predictor: int, table_bits: int) -> np.ndarray:
-        node = (np.uint64(1 << bit) | (self.bytes >> np.uint8(8 - bit) if bit else np.uint8(0)).astype(np.uint64)) * _MIX[5]
-        return (((self.hashes[predictor] + node) * _MIX[0]) >> np.uint64(64 - table_bits)).astype(np.int64)
+def pack(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of unsigned numbers, plane by plane, so that equal bytes lie together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    def bit(self, bit: int) -> np.ndarray:
-        return (self.bytes >> np.uint8(7 - bit)) & np.uint8(1)
 
+def unpack(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
 
-def count_bits(toks: list[bytes], counts: np.ndarray, into: np.ndarray, table_bits: int = TABLE_BITS) -> None:
-    """Adds the tokens' bits, as often as they occur, to ``into``: predictors x slots x 2."""
-    c = Coded(toks)
-    weight = np.tile(counts[c.owner].astype(np.float64), 8)
-    for p in range(len(ORDERS)):
-        at = np.concatenate([2 * c.slots(bit, p, table_bits) + c.bit(bit) for bit in range(8)])
-        into[p] += np.bincount(at, weight, 2 << table_bits).reshape(-1, 2)
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)), 8)
 
-def _gate(bit: int, seen_word: np.ndarray, seen_three: np.ndarray) -> np.ndarray:
-    """The set of weights: by bit, by what the word so far has seen (4 steps), and the last three bytes (3 steps)."""
-    return (bit * 4 + np.searchsorted([1, 3, 16], seen_word, "right")) * 3 + np.searchsorted([1, 9], seen_three, "right")
 
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, 8), dtype=np.uint64)
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
 
-
-@dataclass
-class Mixer:
-    """Weights of each set, and the adaptive map's counts of zeros and ones by set and stretched prediction."""
-
-    weights: np.ndarray
-    map_counts: np.ndarray
-
-    @classmethod
-    def start(cls) -> Mixer:
-        return cls(np.full((SETS, len(ORDERS)), 0.3), np.zeros((SETS, BUCKETS, 2)))
-
-    def predict(self, inputs: list[np.ndarray], sets: np.ndarray) -> np.ndarray:
-        weights = self.weights.T.astype(np.float32)
-        out = np.zeros(len(sets), np.float32)
-        for w, x in zip(weights, inputs):
-            out += w[sets] * x
-        return np.clip(out, -LIMIT, LIMIT)
-
-    def table(self) -> np.ndarray:
-        """The map's probability of a one, by set and bucket."""
-        centre, n = _squash(np.linspace(-LIMIT, LIMIT, BUCKETS)), self.map_counts
-        return ((n[:, :, 1] + 20 * centre) / (n.sum(2) + 20)).astype(np.float32).ravel()
-
-    @staticmethod
-    def refined(mixed: np.ndarray, sets: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Probability of a one: a quarter the mixer's, three quarters the map's, between its two nearest buckets."""
-        x = (mixed + np.float32(LIMIT)) * np.float32((BUCKETS - 1) / (2 * LIMIT))
-        low = np.minimum(x.astype(np.int64), BUCKETS - 2)
-        part, at = x - low.astype(np.float32), sets * BUCKETS + low
-        return np.float32(0.25) * _squash(mixed) + np.float32(0.75) * (table[at] * (1 - part) + table[at + 1] * part)
-
-
-class Trainer:
-    """One online pass over training tokens with their counts; each token is left out of the tables once."""
-
-    def __init__(self, tables: list[np.ndarray], table_bits: int):
-        self.tables, self.bits = tables, table_bits
-        self.mixer, self.square = Mixer.start(), np.full((SETS, len(ORDERS)), 1e-3)
-        self.bins, self.seen = np.zeros((STEPS, STEPS)), 0
-
-    def step(self, toks: list[bytes], by_class: np.ndarray, totals: np.ndarray) -> None:
-        """``by_class``: the tokens' counts in each class; ``totals``: those of all tokens."""
-        c, counts = Coded(toks), by_class.sum(1)
-        weight = (1 + np.log(counts))[c.owner]
-        log_p, table, rows = np.zeros(len(toks)), self.mixer.table(), np.arange(len(c.bytes))
-        for bit in range(8):
-            y = c.bit(bit).astype(np.int64)
-            inputs, seen = [], []
-            for p in range(len(ORDERS)):
-                n = self.tables[p][c.slots(bit, p, self.bits)]
-                n[rows, y] = np.maximum(n[rows, y] - 1, 0)
-                inputs.append(np.log((n[:, 1] + np.float32(PRIOR)) / (n[:, 0] + np.float32(PRIOR))))
-                seen.append(n[:, 0] + n[:, 1])
-            sets = _gate(bit, seen[5], seen[2])
-            x = [np.clip(i, -LIMIT, LIMIT) for i in inputs]
-            mixed = self.mixer.predict(x, sets)
-            p1 = self.mixer.refined(mixed, sets, table)
-            log_p += np.bincount(c.owner, np.log(np.where(y == 1, p1, 1 - p1)), len(toks))
-            bucket = np.rint((mixed + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
-            self.mixer.map_counts += np.bincount((sets * BUCKETS + bucket) * 2 + y, weight, SETS * BUCKETS * 2).reshape(SETS, BUCKETS, 2)
-            error = (y - _squash(mixed)) * weight
-            mass = np.maximum(np.bincount(sets, weight, SETS), 1e-9)
-            for p in range(len(ORDERS)):
-                grad = np.bincount(sets, error * x[p], SETS) / mass
-                self.square[:, p] += grad * grad
-                self.mixer.weights[:, p] += 0.05 * grad / np.sqrt(self.square[:, p])
-        self.seen += len(toks)
-        # how much likelier its frequencies (itself left out) make a token than the mixer does: in the class, in all
-        at, g = np.nonzero(by_class)
-        own, n = by_class[at, g], counts[at]
-        ratio = lambda k, of: np.where(k > 0, np.clip(np.rint((np.log(np.maximum(k, 1e-9) / np.maximum(of, 1)) - log_p[at]) / STEP), -30, 30) + 31, 0).astype(np.int64)
-        np.add.at(self.bins, (ratio(own - 1, totals[g] - 1), ratio(n - 1, totals.sum() - 1)), own)
-
-
-def mixture_shares(bins: np.ndarray) -> np.ndarray:
-    """Shares of the frequency in the class, of that in all classes, and of the mixer, by expectation maximisation."""
-    odds = np.concatenate([[0.0], np.exp((np.arange(1, STEPS) - 31) * STEP)])
-    odds = np.stack([np.repeat(odds[:, None], STEPS, 1), np.repeat(odds[None, :], STEPS, 0), np.ones((STEPS, STEPS))])
-    share = np.array([0.6, 0.3, 0.1])
-    for _ in range(200 if bins.sum() else 0):
-        part = share[:, None, None] * odds
-        share = (bins * part / part.sum(0)).sum((1, 2)) / bins.sum()
-    share = np.maximum(share, 1e-5) if bins.sum() else np.array([0.0, 0.0, 1.0])
-    return share / share.sum()
+# n-grams ----------------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class TokenModel:
-    stretched: list[np.ndarray]  # for each predictor, by slot, float32
-    seen: list[np.ndarray]  # by slot, uint8: counts of the word so far and of three bytes, up to 255, for the gate
-    mixer: Mixer
-    table_bits: int
-
-    @classmethod
-    def of(cls, tables: list[np.ndarray], mixer: Mixer, table_bits: int) -> TokenModel:
-        stretched = [np.clip(np.log((t[:, 1] + np.float32(PRIOR)) / (t[:, 0] + np.float32(PRIOR))), -LIMIT, LIMIT) for t in tables]
-        return cls(stretched, [np.minimum(tables[p].sum(1), 255).astype(np.uint8) for p in (5, 2)], mixer, table_bits)
-
-    def log_p(self, toks: list[bytes]) -> np.ndarray:
-        """Natural logarithm of each token's probability by the mixer."""
-        c = Coded(toks)
-        out, table = np.zeros(len(toks)), self.mixer.table()
-        for bit in range(8):
-            slots = [c.slots(bit, p, self.table_bits) for p in range(len(ORDERS))]
-            x = [t[s] for t, s in zip(self.stretched, slots)]
-            sets = _gate(bit, self.seen[0][slots[5]], self.seen[1][slots[2]])
-            p1 = self.mixer.refined(self.mixer.predict(x, sets), sets, table)
-            out += np.bincount(c.owner, np.log(np.where(c.bit(bit) == 1, p1, 1 - p1)), len(toks))
-        return out
+def token_hashes(toks: list[bytes]) -> np.ndarray:
+    import xxhash
 
+    return np.fromiter(map(xxhash.xxh64_intdigest, toks), np.uint64, len(toks)) & _EVEN
 
-def _feature(token: bytes) -> int:
-    return zlib.crc32(token) % FEATURES
-
-
-@dataclass
-class Classes:
-    """Log-probabilities of the hashed words in each class, and of the classes."""
 
-    words: np.ndarray  # CLASSES x FEATURES
-    prior: np.ndarray
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M[3]
+    return (x ^ (x >> np.uint64(29))) * _M[0]
 
-    def of(self, features: np.ndarray, times: np.ndarray) -> int:
-        return int((self.words[:, features] @ times + self.prior).argmax())
 
+def gram_hashes(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the two and the three words that end at each token; ``first``: where documents begin."""
+    one, two = np.full(len(t), _BEFORE), np.full(len(t), _BEFORE)
+    one[1:], two[2:] = t[:-1], t[:-2]
+    one[first] = two[first] = _BEFORE
+    second = first[first + 1 < len(t)] + 1
+    two[second] = _BEFORE
+    return _mixed(one * _M[1] + t) & _EVEN, _mixed(_mixed(two * _M[2] + one) + t * _M[1]) & _EVEN
 
-def find_classes(rows: DataFrame) -> Classes:
-    """A mixture of bags of words on at most ``SAMPLE`` training documents, those of the smallest id hashes."""
-    train = rows.filter(~F.col("held_out")).withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)))
-    n = rows.count()
-    near = train.filter(F.col("h") < F.lit(float(1 << 30) * min(1.0, 2.0 * SAMPLE / max(n, 1)))).limit(2 * SAMPLE).select("h", "text")
 
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = []
-            for text in batch.column("text"):
-                freq = Counter(map(_feature, tokens(text.as_py())))
-                x = np.zeros(FEATURES, np.float32)
-                x[list(freq)] = list(freq.values())
-                data.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(data, pa.binary())], names=["h", "x"])
-
-    got = near.mapInArrow(bag, "h long, x binary").orderBy("h", "x").limit(SAMPLE).collect()
-    if not got:
-        return Classes(np.full((CLASSES, FEATURES), -np.log(FEATURES), np.float32), np.full(CLASSES, -np.log(CLASSES)))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got])
-    del got
-    unit = np.sqrt(x / x.sum(1, keepdims=True))
-    far, first = np.full(len(x), 2.0), [0]
-    for _ in range(CLASSES - 1):  # starts that are far from each other, drawn with a fixed seed
-        far = np.minimum(far, 1 - unit @ unit[first[-1]] + 1e-9)
-        first.append(int(np.random.RandomState(len(first)).choice(len(x), p=far**2 / (far**2).sum())))
-    part = np.eye(CLASSES)[(unit @ unit[first].T).argmax(1)]
-    for _ in range(20):
-        words = part.T @ x + 0.05
-        words, prior = np.log(words / words.sum(1, keepdims=True)), np.log((part.sum(0) + 1) / (len(x) + CLASSES))
-        z = x @ words.T + prior
-        z = np.exp(z - z.max(1, keepdims=True))
-        part = z / z.sum(1, keepdims=True)
-    return Classes(words.astype(np.float32), prior)
+def _counted(h: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and how often each occurs outside held-out texts."""
+    s = np.sort(h | out)
+    new = np.flatnonzero(np.concatenate([[True], (s[1:] & _EVEN) != (s[:-1] & _EVEN)])) if len(s) else np.zeros(0, np.int64)
+    train = np.concatenate([[0], np.cumsum(1 - (s & np.uint64(1)).astype(np.int64))])
+    return s[new] & _EVEN, np.diff(train[np.append(new, len(s))])
 
 
 class _Numbers(dict):
@@ -287,32 +124,51 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(rows: DataFrame, classes) -> DataFrame:
-    """doc_id, held_out, text -> the blocks' distinct tokens, and their documents as numbers of tokens and frequencies."""
+def commonest_letter(text: bytes) -> int:
+    """The first two bytes of the commonest letter beyond ASCII; 0 if there is none."""
+    a = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(a[:-1] >= 0xC0) if len(a) else a
+    if not len(at):
+        return 0
+    pair, n = np.unique(a[at].astype(np.int32) * 256 + a[at + 1], return_counts=True)
+    return int(pair[n.argmax()])
+
+
+def _blocks(rows: DataFrame, bits: int) -> DataFrame:
+    """doc_id, held_out, text -> a row per block (bucket -1), and one for each of its buckets of n-grams."""
     id_type = dict(rows.dtypes)["doc_id"]
-    schema = f"block long, pos int, token binary, {", ".join(f"n{g} long" for g in range(CLASSES))}, doc_id {id_type}, held_out boolean, n_bytes long, n_tokens long, ids binary"
+    schema = (
+        "block long, bucket int, k1 binary, t1 binary, k2 binary, t2 binary, k3 binary, t3 binary, tokens binary, ids binary, "
+        f"doc_id array<{id_type}>, held_out array<boolean>, n_bytes array<long>, length array<long>, top array<long>, letter array<int>"
+    )
 
     def close(block: int, number: dict, docs: list, arrow_id: pa.DataType) -> Iterator[pa.RecordBatch]:
-        toks, counts = list(number), []
-        feature = np.fromiter(map(_feature, toks), np.int64, len(toks))
-        trained: list[list] = [[] for _ in range(CLASSES)]
+        toks = list(number)
+        th = token_hashes(toks)
+        length = np.array([len(d[4]) for d in docs])
+        ids, first = np.concatenate([d[4] for d in docs]), np.cumsum(length) - length
+        out = np.repeat(np.array([d[1] for d in docs], np.uint64), length)
+        top = []
         for d in docs:
-            if not d[1]:
-                at, times = np.frombuffer(d[4], np.int32).reshape(2, -1)
-                trained[classes.value.of(feature[at], times.astype(np.float32))].append((at, times))
-        for own in trained:
-            both = np.concatenate(own, axis=1) if own else np.zeros((2, 0), np.int64)
-            counts.append(np.bincount(both[0], both[1], len(toks)).astype(np.int64))
+            w, n = np.unique(d[4][:-1], return_counts=True)
+            top.append(int(th[w[n == n.max()]].min().view(np.int64)) if len(w) else 0)
         names = [x.split()[0] for x in schema.split(", ")]
-        for at in range(0, len(toks), 20_000):
-            n = len(toks[at : at + 20_000])
-            cols = [pa.array([block] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(toks[at : at + n], pa.binary()), *[pa.array(x[at : at + n]) for x in counts]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, arrow_id), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
-        for at in range(0, len(docs), 2000):
-            part = docs[at : at + 2000]
-            n = len(part)
-            cols = [pa.array(c, t) for c, t in zip(zip(*part), (arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64())] * CLASSES, *cols], names=names)
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 8, *map(pa.list_, (arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+        head = [block, -1, *[None] * 6, b" ".join(toks), pack(ids, 3 if len(toks) < 1 << 24 else 4), [d[0] for d in docs], [d[1] for d in docs], [d[2] for d in docs], length.tolist(), top, [d[3] for d in docs]]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(head, types)], names=names)
+        h2, h3 = gram_hashes(th[ids], first)
+        order = np.argsort(th)
+        each = [(th[order], np.bincount(ids, 1.0 - out, len(toks)).astype(np.int64)[order]), _counted(h2, out), _counted(h3, out)]
+        edge = [np.append(np.searchsorted(k >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)) if bits else [0], len(k)) for k, _ in each]
+        cut = np.uint64(24 - bits)  # 40 bits tell the longer n-grams of a bucket apart
+        for at in range(0, 1 << bits, 64):
+            part = []
+            for b in range(at, min(at + 64, 1 << bits)):
+                k, n = zip(*((k[e[b] : e[b + 1]], n[e[b] : e[b + 1]]) for (k, n), e in zip(each, edge)))
+                if len(k[0]) + len(k[1]):
+                    part.append([block, b, pack_sorted(k[0]), pack(n[0], 4), pack_sorted(k[1] >> cut), pack(n[1], 4), pack_sorted(k[2] >> cut), pack(n[2], 4), *[None] * 8])
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number, docs, size, kind = TaskContext.get().partitionId() << 32, _Numbers(), [], 0, None
@@ -320,10 +176,9 @@ def _blocks(rows: DataFrame, classes) -> DataFrame:
             kind = batch.schema.field("doc_id").type
             for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")):
                 text = text.as_py() or b""
-                freq = Counter(tokens(text))
-                ids = np.array([*map(number.__getitem__, freq), *freq.values()], np.int32)
-                docs.append((doc_id, out, len(text), int(ids[len(freq) :].sum()), ids.tobytes()))
-                size += len(text)
+                ids = np.array([*map(number.__getitem__, tokens(text))], np.int32)
+                docs.append((doc_id, out, len(text), commonest_letter(text), ids))
+                size += len(text) + 64
                 if size > BLOCK_BYTES:
                     yield from close(block, number, docs, kind)
                     block, number, docs, size = block + 1, _Numbers(), [], 0
@@ -333,140 +188,427 @@ def _blocks(rows: DataFrame, classes) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch], at_once: int = 8000) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
-    """Tokens with their counts in each class."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, at_once):
-            part = batch.slice(at, at_once)
-            yield part, part.column("token").to_pylist(), np.stack([part.column(f"n{g}").to_numpy(zero_copy_only=False) for g in range(CLASSES)], 1).astype(np.float64)
+def _totals(blocks: DataFrame) -> DataFrame:
+    """For each block and bucket the totals of its n-grams (block not null); for each bucket its tokens' figures."""
+    schema = "bucket int, block long, r1 binary, r2 binary, r3 binary, distinct long, total long, book binary, times binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        k, n = np.concatenate(keys), np.concatenate(times).astype(np.int64)
+        order = np.argsort(k)
+        s = k[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(n[order], at) if len(s) else n
+        back = np.empty(len(k), np.int64)
+        back[order] = total[np.cumsum(new) - 1] if len(s) else 0
+        return s[at], total, np.split(back, np.cumsum([len(x) for x in keys])[:-1])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_pylist()
+        back, word, n = [], None, None
+        for g in (1, 2, 3):
+            k, total, own = merged([unpack_sorted(x) for x in column(f"k{g}")], [unpack(x, 4) for x in column(f"t{g}")])
+            back.append([pack(np.minimum(x, (1 << 32) - 1) if g > 1 else x, 4 if g > 1 else 8) for x in own])
+            if g == 1:
+                word, n = k, total
+        known = n > 0
+        often = np.lexsort((word, -n))[:BOOK]
+        often = often[n[often] > 0]
+        rows = [[key[0].as_py(), b, *x, None, None, None, None] for b, *x in zip(column("block"), *back)]
+        rows.append([key[0].as_py(), None, None, None, None, int(known.sum()), int(n.sum()), word[often].tobytes(), n[often].tobytes()])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return blocks.filter("bucket >= 0").select("block", "bucket", "k1", "t1", "k2", "t2", "k3", "t3").groupBy("bucket").applyInArrow(add, schema)
+
+
+# the code of common tokens ----------------------------------------------------------------------------------------
+
+
+def split_nodes(counts: np.ndarray) -> np.ndarray:
+    """lo, mid, hi and depth of the nodes of a binary tree over the leaves: each range is cut where its mass halves."""
+    c, found = np.concatenate([[0.0], np.cumsum(counts)]), []
+    lo, hi, depth = np.array([0]), np.array([len(counts)]), 0
+    while len(lo):
+        keep = hi - lo > 1
+        lo, hi = lo[keep], hi[keep]
+        half = (c[lo] + c[hi]) / 2
+        mid = np.searchsorted(c, half)
+        mid = np.where(np.abs(c[np.maximum(mid - 1, 0)] - half) < np.abs(c[np.minimum(mid, len(counts))] - half), mid - 1, mid)
+        mid = np.clip(mid, lo + 1, hi - 1)
+        found.append(np.stack([lo, mid, hi, np.full(len(lo), depth)]))
+        lo, hi, depth = np.concatenate([lo, mid]), np.concatenate([mid, hi]), depth + 1
+    return np.concatenate(found, 1)
 
 
-def fit(vocabulary: DataFrame, totals: np.ndarray, table_bits: int = TABLE_BITS) -> tuple[TokenModel, np.ndarray]:
-    """The model of the training tokens (token and counts), and the shares of the final mixture."""
-    spark = vocabulary.sparkSession
-    chunks = (1 << table_bits) // CHUNK
+@dataclass
+class Kinds:
+    """Documents by their commonest word and letter; the last kind is for all that aren't listed."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into, any_ = np.zeros((len(ORDERS), 1 << table_bits, 2)), False
-        for _, toks, counts in _token_batches(batches, 50_000):
-            count_bits(toks, counts.sum(1), into, table_bits)
-            any_ = True
-        for p in range(len(ORDERS) if any_ else 0):
-            full = [i for i in range(chunks) if into[p, i * CHUNK : (i + 1) * CHUNK].any()]
-            data = [into[p, i * CHUNK : (i + 1) * CHUNK].astype(np.float32).tobytes() for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array([p * chunks + i for i in full], pa.int64()), pa.array(data, pa.binary())], names=["chunk", "data"])
-
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total_ = np.zeros(2 * CHUNK)
-        for part in parts:
-            for x in part.column("data"):
-                total_ += np.frombuffer(x.as_py(), np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total_.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "data"])
+    pairs: list[tuple[int, int]]
+    times: np.ndarray
 
-    tables = [np.zeros((1 << table_bits, 2), np.float32) for _ in ORDERS]
-    parts = vocabulary.mapInArrow(count, "chunk long, data binary").groupBy("chunk")
-    for r in parts.applyInArrow(add, "chunk long, data binary").toLocalIterator():
-        p, i = divmod(r["chunk"], chunks)
-        tables[p][i * CHUNK : (i + 1) * CHUNK] = np.frombuffer(r["data"], np.float32).reshape(-1, 2)
-    sent = spark.sparkContext.broadcast(tables)  # predictors x slots x 8 bytes, whatever the input
+    def groups(self) -> list[np.ndarray]:
+        """For each predictor the group of each kind: all, of the word, of the letter, of both."""
+        out = [np.zeros(KINDS, np.int64)]
+        for part in (0, 1):
+            known = {v: i for i, v in enumerate(dict.fromkeys(p[part] for p in self.pairs))}
+            out.append(np.array([*(known[p[part]] for p in self.pairs), *[len(known)] * (KINDS - len(self.pairs))]))
+        return [*out, np.arange(KINDS)]
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trainer(sent.value, table_bits)
-        for _, toks, counts in _token_batches(batches, 4000):
-            t.step(toks, counts, totals)
-        if t.seen:
-            flat = np.concatenate([t.mixer.weights.ravel() * t.seen, t.mixer.map_counts.ravel(), t.bins.ravel(), [t.seen]])
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["i", "x"])
-
-    fold = vocabulary.filter(F.pmod(F.xxhash64("token"), F.lit(MIX_FOLDS)) == 0)
-    rows = fold.mapInArrow(train, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # as many rows as the model has parameters
-    mixer, shares = Mixer.start(), mixture_shares(np.zeros((STEPS, STEPS)))
-    if rows:
-        flat = np.zeros(len(rows))
-        for r in rows:
-            flat[r["i"]] = r["x"]
-        a, b = SETS * len(ORDERS), SETS * len(ORDERS) + SETS * BUCKETS * 2
-        mixer = Mixer((flat[:a] / flat[-1]).reshape(SETS, -1), flat[a:b].reshape(SETS, BUCKETS, 2))
-        shares = mixture_shares(flat[b:-1].reshape(STEPS, STEPS))
-    sent.unpersist()
-    del sent
-    return TokenModel.of(tables, mixer, table_bits), shares
+    def log_p(self) -> np.ndarray:
+        return np.log((self.times + 0.5) / (self.times.sum() + 0.5 * KINDS))
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift by 6, for positive x."""
-    y = x + 6
-    low = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - np.log(low)
+def code_log_p(counts: np.ndarray, kinds: Kinds) -> np.ndarray:
+    """Log-probability of each leaf in each kind by the mixer; ``counts``: kinds x leaves, the last leaf is the escape."""
+    lo, mid, hi, depth = split_nodes(counts.sum(0) + 1e-3)
+    out = np.zeros(counts.shape, np.float64)
+    if not len(lo):
+        return out
+    sums = []
+    for group in kinds.groups():
+        total = np.zeros((int(group.max()) + 1, counts.shape[1]))
+        np.add.at(total, group, counts)
+        c = np.concatenate([np.zeros((len(total), 1)), np.cumsum(total, 1)], 1)
+        sums.append((group, c[:, mid] - c[:, lo], c[:, hi] - c[:, mid]))
+    used = np.flatnonzero(counts.sum(1) > 0)
+    level = np.minimum(depth, 7) * 4
+
+    def cells(kind: int, less0: int, less1: int) -> tuple[list[np.ndarray], np.ndarray]:
+        n = [(np.maximum(zeros[g[kind]] - less0, 0), np.maximum(ones[g[kind]] - less1, 0)) for g, zeros, ones in sums]
+        return [stretched(b, a) for a, b in n], level + np.searchsorted([1, 10, 100], n[3][0] + n[3][1], "right")
+
+    events = []
+    for kind in used:
+        for y in (0, 1):  # each event is left out of its own counts
+            weight = sums[3][1 + y][kind]
+            real = weight > 0
+            x, sets = cells(kind, 1 - y, y)
+            events.append(([v[real] for v in x], sets[real], np.full(int(real.sum()), y), np.sqrt(weight[real])))
+    mixer = Mixer.start(32, 4)
+    if events:
+        x = [np.concatenate([e[0][p] for e in events]) for p in range(4)]
+        mixer = learn_events(x, *(np.concatenate([e[1] for e in events]), 32), *(np.concatenate([e[k] for e in events]) for k in (2, 3)))
+    table = mixer.table()
+    for kind in range(KINDS):
+        if kind not in used and kind > 0 and kind < KINDS - 1:
+            continue
+        x, sets = cells(kind, 0, 0)
+        p1 = np.clip(Mixer.refined(mixer.predict(x, sets), sets, table).astype(np.float64), 1e-9, 1 - 1e-9)
+        a, b = np.log(1 - p1), np.log(p1)
+        steps = np.zeros(counts.shape[1] + 1)
+        np.add.at(steps, lo, a)
+        np.add.at(steps, mid, b - a)
+        np.add.at(steps, hi, -b)
+        out[kind] = np.cumsum(steps)[:-1]
+    return out
+
 
+def match_log_p(hits: np.ndarray, misses: np.ndarray) -> np.ndarray:
+    """Log-probabilities (cells x 2) of a miss and a hit in each cell of matches, by the mixer."""
+    n_runs, n_places = len(RUNS) + 1, len(PLACES) + 1
+    cell = np.arange(CELLS)
+    kind, place = cell % KINDS, cell // KINDS % n_places
+    run, own, flag = cell // KINDS // n_places % n_runs, cell // KINDS // n_places // n_runs % 2, cell // KINDS // n_places // n_runs // 2
+    contexts = [flag * n_runs + run, flag * n_places + place, ((flag * 2 + own) * n_runs + run) * n_places + place, flag * KINDS + kind, (flag * n_places + place) * KINDS + kind]
+    inputs = []
+    for c in contexts:
+        h, m = np.bincount(c, hits), np.bincount(c, misses)
+        inputs.append(stretched(h, m)[c])
+    sets = (flag * 2 + own) * 3 + np.minimum(run, 2)
+    y, weight = np.repeat([0, 1], CELLS), np.concatenate([misses, hits])
+    real = weight > 0
+    mixer = learn_events([np.tile(x, 2)[real] for x in inputs], np.tile(sets, 2)[real], 24, y[real], np.sqrt(weight[real]), passes=30, batch=1 << 10)
+    table, mixed = mixer.table(), mixer.predict(inputs, sets)
+    p1 = np.clip(Mixer.refined(mixed, sets, table).astype(np.float64) if real.any() else squash(mixed.astype(np.float64)), 1e-6, 1 - 1e-6)
+    return np.stack([np.log(1 - p1), np.log(p1)], 1)
 
-def adapted(p: np.ndarray, log_p: np.ndarray, times: np.ndarray, first: np.ndarray, strength: float) -> np.ndarray:
-    """Log-probability of each document's tokens that adapts to those before: order doesn't matter for their product.
 
-    The documents' distinct tokens lie one after the other; ``first`` tells where each document begins.
+# documents --------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Book:
+    """What every task needs: the coded tokens by hash, the code's log-probabilities by kind, kinds, and totals."""
+
+    hashes: np.ndarray  # sorted
+    ranks: np.ndarray
+    kinds: Kinds
+    total: int
+    distinct: int
+    tail: float
+    codes: np.ndarray | None = None  # kinds x leaves
+
+    def leaves(self, th: np.ndarray) -> np.ndarray:
+        """The leaf of each token; the last one is the escape."""
+        if not len(self.hashes):
+            return np.zeros(len(th), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, th), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == th, self.ranks[at], len(self.hashes))
+
+    def kind(self, top: list[int], letter: list[int]) -> np.ndarray:
+        known = {p: i for i, p in enumerate(self.kinds.pairs)}
+        return np.array([known.get(p, KINDS - 1) for p in zip(top, letter)], np.int64)
+
+
+def decisions(th: np.ndarray, ids: np.ndarray, length: np.ndarray, train: np.ndarray, kind: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, leaf: np.ndarray, escape: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The matches of some documents: their owner, cell and outcome, and which tokens no match gives.
+
+    ``ids``: the documents' tokens one after the other; ``train``, ``kind``: by document; ``c1``: counts by token number;
+    ``c2``, ``c3``: those of the two and three words that end at each token; ``leaf``: of each token.
     """
-    if np.isinf(strength):
-        return np.add.reduceat(log_p * times, first)
-    terms = log_p + np.log(strength)
-    again = np.flatnonzero(times > 1)
-    x = strength * p[again]
-    terms[again] = _log_gamma(x + times[again]) - _log_gamma(x)
-    n = np.add.reduceat(times, first).astype(np.float64)
-    return np.add.reduceat(terms, first) - (_log_gamma(strength + n) - _log_gamma(np.array([strength])))
+    first = np.cumsum(length) - length
+    doc = np.repeat(np.arange(len(length)), length)
+    at = np.arange(len(ids))
+    inside = at != first[doc]
+    less = train[doc].astype(np.int64)
+    before = np.maximum(at - 1, 0)
+    places2 = np.where(inside, c2[before] - less, 0)
+    places1 = np.where(inside, c1[ids[before]] - less, 0)
+    hit2 = (places2 > 0) & (2 * (c3 - less) > places2)
+    hit1 = (places1 > 0) & (2 * (c2 - less) > places1)
+    # the token after the last place of the same two words in the document; the first word of a text counts with none before it
+    t = th[ids]
+    pair, _ = gram_hashes(t, first)
+    rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+    order = (np.sort((rank << np.uint64(32)) | at.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    last = np.full(len(ids), -1, np.int64)
+    same = (rank[order[1:]] == rank[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    last[order[1:][same]] = order[:-1][same]
+    here = np.where(inside, last[before], -1)
+    has_own = here >= 0
+    hit0 = has_own & (ids[np.where(has_own, here + 1, 0)] == ids)
+    matched = hit0 | hit2 | hit1
+    missed = np.maximum.accumulate(np.where(~matched | ~inside, at, 0))
+    run = np.where(inside, np.maximum(at - 1 - missed[before], 0), 0)
+    run = np.searchsorted(RUNS, run, "right")
+    n_runs, n_places = len(RUNS) + 1, len(PLACES) + 1
+    kind_ = kind[doc]
+
+    def cell(flag: int, own: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return (((flag * 2 + own) * n_runs + run) * n_places + np.searchsorted(PLACES, places, "right")) * KINDS + kind_
+
+    ask0, ask2 = has_own, (places2 > 0) & ~hit0
+    ask1 = (places1 > 0) & ~hit0 & ~hit2
+    left = ~matched
+    ask3 = left & (leaf[ids] == escape)
+    known = c1[ids] - less > 0
+    own = has_own.astype(np.int64)
+    parts = [(ask0, cell(OWN, own, places2), hit0), (ask2, cell(TWO, own, places2), hit2), (ask1, cell(ONE, own, places1), hit1), (ask3, cell(KNOWN, own, np.zeros(len(ids), np.int64)), known)]
+    return np.concatenate([doc[m] for m, _, _ in parts]), np.concatenate([c[m] for m, c, _ in parts]), np.concatenate([h[m] for m, _, h in parts]), left
+
+
+def _texts(block: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, their hashes, the documents' token numbers one after the other, and the documents' lengths."""
+    toks = block["tokens"].split(b" ")
+    ids = unpack(block["ids"], 3 if len(toks) < 1 << 24 else 4).astype(np.int64)
+    return toks, token_hashes(toks), ids, np.array(block["length"])
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """chunk, data: the sum of float arrays by chunk, first over some of the tasks each, then over all."""
+
+    def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part in rows:
+            for x in part.column("data"):
+                x = np.frombuffer(x.as_py(), np.float64)
+                total = x.copy() if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "data"])
+
+    some = parts.withColumn("task", F.spark_partition_id() % 64).groupBy("chunk", "task").applyInArrow(add, "chunk long, data binary")
+    return some.groupBy("chunk").applyInArrow(add, "chunk long, data binary")
+
+
+def _chunks(first: int, x: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """The non-zero chunks of an array, numbered from ``first``."""
+    full = [i for i in range(0, len(x), size) if x[i : i + size].any()]
+    if full:
+        yield pa.RecordBatch.from_arrays([pa.array([first + i // size for i in full], pa.int64()), pa.array([x[i : i + size].astype(np.float64).tobytes() for i in full], pa.binary())], names=["chunk", "data"])
+
+
+def _code_counts(blocks: DataFrame, sent) -> np.ndarray:
+    """Counts of the training tokens by kind and leaf."""
+    leaves = len(sent.value.hashes) + 1
+    per = -(-leaves // CHUNK)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, total = sent.value, np.zeros(KINDS * leaves)
+        for batch in batches:
+            for block in batch.to_pylist():
+                toks, th, ids, length = _texts(block)
+                train = ~np.repeat(np.array(block["held_out"], bool), length)
+                kind = np.repeat(book.kind(block["top"], block["letter"]), length)
+                total += np.bincount((kind * leaves + book.leaves(th)[ids])[train], minlength=KINDS * leaves)
+        for k, x in enumerate(total.reshape(KINDS, leaves)):
+            yield from _chunks(k * per, x, CHUNK)
+
+    out = np.zeros((KINDS, leaves))
+    main = blocks.filter("bucket = -1").select("tokens", "ids", "held_out", "length", "top", "letter")
+    for r in _added(main.mapInArrow(count, "chunk long, data binary")).toLocalIterator():
+        k, i = divmod(r["chunk"], per)
+        x = np.frombuffer(r["data"], np.float64)
+        out[k, i * CHUNK : i * CHUNK + len(x)] = x
+    return out
+
+
+def _decided(blocks: DataFrame, totals: DataFrame, sent, id_type: str) -> DataFrame:
+    """For each document its counts, its base score, the score of its codes, the outcomes of its matches, and its spelled tokens."""
+    schema = f"doc_id {id_type}, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, coded double, cells binary, times binary, spelled binary"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        book, block = sent.value, left.to_pylist()[0]
+        back = [np.concatenate([unpack(x.as_py(), w).astype(np.int64) for x in right.column(c)]) for c, w in (("r1", 8), ("r2", 4), ("r3", 4))]
+        toks, th, ids, length = _texts(block)
+        first = np.cumsum(length) - length
+        c1 = np.empty(len(toks), np.int64)
+        c1[np.argsort(th)] = back[0]
+        c2, c3 = (b[np.unique(h, return_inverse=True)[1]] for b, h in zip(back[1:], gram_hashes(th[ids], first)))
+        train = ~np.array(block["held_out"], bool)
+        kind, leaf = book.kind(block["top"], block["letter"]), book.leaves(th)
+        owner, cell, hit, plain = decisions(th, ids, length, train, kind, c1, c2, c3, leaf, len(book.hashes))
+        doc = np.repeat(np.arange(len(length)), length)
+        coded = np.bincount(doc[plain], book.codes[kind[doc[plain]], leaf[ids[plain]]], len(length)) + book.kinds.log_p()[kind]
+        escaped = plain & (leaf[ids] == len(book.hashes))
+        own = c1[ids] - train[doc]
+        seen = escaped & (own > 0)
+        coded += np.bincount(doc[seen], np.log(own[seen] / book.tail), len(length))
+        base = np.log10((c1 + 0.5) / (book.total + 0.5 * (book.distinct + 1)))
+        key, n = np.unique((owner << 32) | (cell * 2 + hit), return_counts=True)
+        edge = np.searchsorted(key >> 32, np.arange(len(length) + 1))
+        key = (key & 0xFFFFFFFF).astype(np.int32)
+        n = n.astype(np.int32)
+        new = np.flatnonzero(escaped & (own <= 0))
+        cut = np.searchsorted(doc[new], np.arange(len(length) + 1))
+        spelled = [b" ".join([toks[i] for i in ids[new[a:b]]]) if b > a else None for a, b in zip(cut, cut[1:])]
+        n_known = np.bincount(doc, c1[ids] > 0, len(length)).astype(np.int64)
+        columns = [left.column("doc_id").combine_chunks().flatten(), pa.array(block["held_out"], pa.bool_()), pa.array(block["n_bytes"], pa.int64()), pa.array(length, pa.int64()), pa.array(n_known),
+                   pa.array(np.bincount(doc, base[ids], len(length))), pa.array(coded), *(pa.array([x[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()) for x in (key, n)), pa.array(spelled, pa.binary())]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+    main = blocks.filter("bucket = -1").select("block", "tokens", "ids", "doc_id", "held_out", "n_bytes", "length", "top", "letter")
+    back = totals.filter("block IS NOT NULL").select(F.col("block").alias("to_block"), "bucket", "r1", "r2", "r3")
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(left, right.sort_by("bucket"))
+
+    return main.groupBy("block").cogroup(back.groupBy("to_block")).applyInArrow(both, schema)
+
+
+def _match_model(decided: DataFrame) -> np.ndarray:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS * 2)
+        for batch in batches:
+            cell, n = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32) for c in ("cells", "times"))
+            total += np.bincount(cell, n, CELLS * 2)
+        yield from _chunks(0, total, CHUNK)
+
+    out = np.zeros(-(-CELLS * 2 // CHUNK) * CHUNK)
+    for r in _added(decided.filter("NOT held_out").select("cells", "times").mapInArrow(count, "chunk long, data binary")).toLocalIterator():
+        x = np.frombuffer(r["data"], np.float64)
+        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(x)] = x
+    out = out[: CELLS * 2].reshape(-1, 2)
+    return match_log_p(out[:, 1], out[:, 0])
+
+
+def _words(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[list[bytes]]:
+    for batch in batches:
+        toks = [t for x in batch.column("spelled").to_pylist() for t in x.split(b" ")]
+        for at in range(0, len(toks), at_once):
+            yield toks[at : at + at_once]
+
+
+def _speller(decided: DataFrame, table_bits: int) -> Speller:
+    """Learns to spell from the training tokens that no other place has: each is one of its own counts only."""
+    spark = decided.sparkSession
+    chunks = (2 << table_bits) // CHUNK
+    words = decided.filter("NOT held_out AND spelled IS NOT NULL").select("spelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = np.zeros((len(ORDERS), 1 << table_bits, 2))
+        for toks in _words(batches, 50_000):
+            count_bits(toks, np.ones(len(toks)), into, table_bits)
+        for p in range(len(ORDERS)):
+            yield from _chunks(p * chunks, into[p].ravel(), CHUNK)
+
+    tables = [np.zeros(2 << table_bits, np.float32) for _ in ORDERS]
+    for r in _added(words.mapInArrow(count, "chunk long, data binary")).toLocalIterator():
+        p, i = divmod(r["chunk"], chunks)
+        tables[p][i * CHUNK : (i + 1) * CHUNK] = np.frombuffer(r["data"], np.float64)
+    tables = [t.reshape(-1, 2) for t in tables]
+    sent = spark.sparkContext.broadcast(tables)  # predictors x slots x 8 bytes, whatever the input
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, seen = Mixer.start(), 0
+        for toks in _words(batches, 4000):
+            spelling_step(mixer, sent.value, toks, table_bits)
+            seen += len(toks)
+        if seen:
+            yield from _chunks(0, np.concatenate([mixer.weights.ravel() * seen, mixer.map_counts.ravel(), [seen]]), CHUNK)
+
+    mixer, size = Mixer.start(), Mixer.start().weights.size
+    flat = np.zeros(size + mixer.map_counts.size + 1)
+    for r in _added(words.mapInArrow(train, "chunk long, data binary")).toLocalIterator():
+        x = np.frombuffer(r["data"], np.float64)
+        flat[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(x)] = x
+    if flat[-1]:
+        mixer.weights[:], mixer.map_counts[:] = (flat[:size] / flat[-1]).reshape(mixer.weights.shape), flat[size:-1].reshape(mixer.map_counts.shape)
+    sent.unpersist()
+    return Speller.of(tables, mixer, table_bits)
 
 
 def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", table_bits: int = TABLE_BITS) -> DataFrame:
     """doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte for each row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    classes = find_classes(rows)
-    both = written(_blocks(rows, spark.sparkContext.broadcast(classes)), "blocks")
-    each = [f"n{g}" for g in range(CLASSES)]
-    placed, texts = both.filter("pos IS NOT NULL").select("block", "pos", "token", *each), both.filter("pos IS NULL").select("block", "doc_id", "held_out", "n_bytes", "n_tokens", "ids")
-    vocabulary = written(placed.groupBy("token").agg(*[F.sum(x).alias(x) for x in each]).withColumn("c", sum(F.col(x) for x in each)), "vocabulary")
-    facts = vocabulary.agg(F.count(F.when(F.col("c") > 0, 1)).alias("v"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in each]).first()
-    v, totals = facts["v"], np.array([facts[x] for x in each], np.float64)
-    n = int(totals.sum())
-    model, shares = fit(vocabulary.filter("c > 0"), totals, table_bits)
-    sent = spark.sparkContext.broadcast(model)
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, toks, counts in _token_batches(batches):
-            data = [x.tobytes() for x in counts.astype(np.uint64)]
-            yield pa.RecordBatch.from_arrays([part.column("token"), pa.array(data, pa.binary()), pa.array(sent.value.log_p(toks))], names=["token", "counts", "lp"])
-
-    scored = vocabulary.mapInArrow(spelled, "token binary, counts binary, lp double")
-    back = placed.select("block", "pos", "token").join(scored, "token").select(F.col("block").alias("to_block"), "pos", "counts", "lp")
-    floor, prior = n + 0.5 * (v + 1), classes.prior
-    id_type = dict(texts.dtypes)["doc_id"]
-
-    def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = right.column("pos").to_numpy()
-        counts, lp = np.zeros((len(at), CLASSES)), np.zeros(len(at))
-        counts[at] = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.uint64).reshape(-1, CLASSES)
-        lp[at] = right.column("lp").to_numpy()
-        c = counts.sum(1)
-        base = np.log10((c + 0.5) / floor)
-        p = shares[0] * counts / np.maximum(totals, 1) + (shares[1] * c / max(n, 1) + shares[2] * np.exp(lp))[:, None]
-        del counts, lp
-        log_p = np.log(p)
-        parts = []
-        for start in range(0, left.num_rows, 1000):
-            own = [np.frombuffer(x, np.int32) for x in left.column("ids").slice(start, 1000).to_pylist()]
-            length = np.array([len(x) // 2 for x in own])
-            ids, times = (np.concatenate([x[k * (len(x) // 2) : (k + 1) * (len(x) // 2)] for x in own]) for k in (0, 1))
-            first = np.cumsum(length) - length  # no text is without a token
-            kinds = np.stack([np.add.reduceat(log_p[ids, g] * times, first) for g in range(CLASSES)], 1) + prior
-            g = kinds.argmax(1)
-            chosen = np.repeat(g, length)
-            fits = [adapted(p[ids, chosen], log_p[ids, chosen], times, first, a) for a in STRENGTHS]
-            best = np.max(fits, 0) + prior[g] - np.log(len(STRENGTHS))
-            parts.append((np.add.reduceat(np.where(c[ids] > 0, times, 0), first).astype(np.int64), np.add.reduceat(base[ids] * times, first), best / np.log(10)))
-        known, base_score, score_ = (np.concatenate(x) for x in zip(*parts))
-        names = ["doc_id", "held_out", "n_bytes", "n_tokens"]
-        return pa.table([*(left.column(x) for x in names), pa.array(known), pa.array(base_score), pa.array(score_)], names=[*names, "n_known", "base_score", "score"])
-
-    schema = f"doc_id {id_type}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double"
-    out = texts.groupBy("block").cogroup(back.groupBy("to_block")).applyInArrow(lambda a, b: add_up(a, b), schema)
-    bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
-    return out.select("doc_id", "held_out", "n_bytes", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(24, max(0, int(np.ceil(np.log2(max(size / 4.5 / BUCKET_GRAMS, 1))))))
+    blocks = written(_blocks(rows, bits), "blocks")
+    totals = written(_totals(blocks), "totals")
+    facts = totals.filter("block IS NULL")
+    sums = facts.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("book").to_pylist(), batch.column("times").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["h", "n"])
+
+    common = facts.select("book", "times").mapInArrow(listed, "h long, n long").orderBy(F.col("n").desc(), "h").limit(BOOK).collect()  # at most BOOK rows
+    h, n = np.array([r["h"] for r in common], np.int64).view(np.uint64), np.array([r["n"] for r in common], np.int64)
+    order = np.argsort(h)
+    each = blocks.filter("bucket = -1").select(F.explode(F.arrays_zip("held_out", "top", "letter")).alias("d")).filter("NOT d.held_out").groupBy("d.top", "d.letter").count()
+    listed_kinds = each.orderBy(F.col("count").desc(), "top", "letter").limit(KINDS - 1).collect()
+    train_docs = each.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    times = np.zeros(KINDS)
+    times[: len(listed_kinds)] = [r["count"] for r in listed_kinds]
+    times[-1] = train_docs - times.sum()
+    kinds = Kinds([(r["top"], r["letter"]) for r in listed_kinds], times)
+    book = Book(h[order], order, kinds, int(sums[1]), int(sums[0]), float(max(sums[1] - n.sum(), 1)))
+    counts = _code_counts(blocks, spark.sparkContext.broadcast(book))
+    book.codes = code_log_p(counts, kinds).astype(np.float32)
+    decided = written(_decided(blocks, totals, spark.sparkContext.broadcast(book), dict(rows.dtypes)["doc_id"]), "decided")
+    matches, speller = _match_model(decided), _speller(decided, table_bits)
+    sent = spark.sparkContext.broadcast((matches.ravel(), speller))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matched, spell = sent.value
+        for batch in batches:
+            length = np.array([len(x) // 4 for x in batch.column("cells").to_pylist()])
+            cell, n = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32) for c in ("cells", "times"))
+            log_p = batch.column("coded").to_numpy() + np.bincount(np.repeat(np.arange(len(length)), length), matched[cell] * n, len(length))
+            toks, owner = [], []
+            for i, x in enumerate(batch.column("spelled").to_pylist()):
+                if x is not None:
+                    toks += (t := x.split(b" "))
+                    owner += [i] * len(t)
+            for at in range(0, len(toks), 8000):
+                log_p += np.bincount(owner[at : at + 8000], spell.log_p(toks[at : at + 8000]), len(length))
+            names = ["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(log_p / np.log(10))], names=[*names, "score"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in decided.dtypes if c in ("doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base")) + ", score double"
+    out = decided.mapInArrow(finish, schema)
+    per_byte = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
+    return out.select("doc_id", "held_out", "n_bytes", "n_tokens", "n_known", F.lit(book.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", per_byte.alias("bits_per_byte"))

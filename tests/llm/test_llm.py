@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import ann, decontamination, language_id, lm_scoring, mixing, secrets, simhash, token_counts, toxicity, warc
+from chronolith.llm import ann, bit_mixing, decontamination, language_id, lm_scoring, mixing, secrets, simhash, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(5)
@@ -77,24 +77,114 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert got[0] > got[1]
 
 
-def test_lm_probabilities_of_short_words_add_up():
+def test_lm_spelled_probabilities_add_up():
     tables = np.zeros((6, 1 << 12, 2))
     toks = [w.encode() for w in ("ab", "abc", "b", "the", "then")]
-    lm_scoring.count_bits(toks, np.array([5.0, 3, 2, 9, 4]), tables, 12)
-    m = lm_scoring.TokenModel.of(tables.astype(np.float32), lm_scoring.Mixer.start(), 12)
+    bit_mixing.count_bits(toks, np.array([5.0, 3, 2, 9, 4]), tables, 12)
+    m = bit_mixing.Speller.of(list(tables.astype(np.float32)), bit_mixing.Mixer.start(), 12)
     one = [bytes([b]) for b in range(256) if b not in b" \t\n\x0b\x0c\r"]
-    total = np.exp(m.log_p(one)).sum() + np.exp(m.log_p([lm_scoring.END])).sum()
+    total = np.exp(m.log_p(one)).sum() + np.exp(m.log_p([bit_mixing.END])).sum()
     assert 0 < total <= 1 + 1e-6
 
 
-def test_lm_adapts_to_repeats():
-    p, first = np.array([0.001, 0.001]), np.array([0])
-    burst = np.array([20, 1])
-    assert lm_scoring.adapted(p, np.log(p), burst, first, 100.0)[0] > lm_scoring.adapted(p, np.log(p), burst, first, float("inf"))[0]
-    seq = 1.0
-    for j, t in enumerate([0, 0, 1, 0]):
-        seq *= (50 * 0.001 + [0, 0, 1, 0][:j].count(t)) / (50 + j)
-    assert lm_scoring.adapted(p, np.log(p), np.array([3, 1]), first, 50.0)[0] == pytest.approx(np.log(seq), abs=1e-6)
+def test_lm_codes_and_matches_are_probabilities():
+    r = np.random.RandomState(2)
+    counts = r.poisson(3, (lm_scoring.KINDS, 200)) * (np.arange(lm_scoring.KINDS)[:, None] < 5)
+    kinds = lm_scoring.Kinds([(1, 0), (2, 0), (1, 7), (3, 9)], np.array([5.0, 4, 3, 2] + [0] * (lm_scoring.KINDS - 5) + [1]))
+    assert np.exp(lm_scoring.code_log_p(counts.astype(float), kinds))[[0, 1, 4, 63]].sum(1) == pytest.approx(1, abs=1e-6)
+    assert np.exp(kinds.log_p()).sum() == pytest.approx(1)
+    hits = r.poisson(2, lm_scoring.CELLS) * 1.0
+    assert np.exp(lm_scoring.match_log_p(hits, hits[::-1])).sum(1) == pytest.approx(1)
+
+
+def test_lm_packing_round_trip():
+    k = np.sort(np.random.RandomState(3).randint(0, 1 << 62, 500)).astype(np.uint64)
+    assert (lm_scoring.unpack_sorted(lm_scoring.pack_sorted(k)) == k).all() and len(lm_scoring.unpack_sorted(lm_scoring.pack_sorted(k[:0]))) == 0
+    assert (lm_scoring.unpack(lm_scoring.pack(k % 70000, 3), 3) == k % 70000).all()
+
+
+def test_lm_decisions_against_a_walk_over_words():
+    r = random.Random(8)
+    docs = [[r.choice("abcde") for _ in range(r.randint(0, 30))] + ["\n"] for _ in range(40)]
+    docs += [docs[3], docs[5]]
+    train = [i % 4 != 0 for i in range(len(docs))]
+    grams = Counter(g for d, t in zip(docs, train) if t for i in range(len(d)) for g in ((d[i],), tuple(([None] + d)[i : i + 2]), tuple(([None, None] + d)[i : i + 3])))
+    want = []
+    for n, (d, t) in enumerate(zip(docs, train)):
+        run = 0
+        for i, w in enumerate(d):
+            pad = [None, None, *d]
+            places2 = (grams[tuple(pad[i : i + 2])] - t) if i else 0
+            places1 = (grams[(d[i - 1],)] - t) if i else 0
+            own = [j + 1 for j in range(i - 1) if pad[j + 1 : j + 3] == pad[i : i + 2]] if i else []
+            steps = [(0, bool(own), bool(own) and d[own[-1]] == w, places2), (1, places2 > 0, 2 * (grams[tuple(pad[i : i + 3])] - t) > places2, places2), (2, places1 > 0, 2 * (grams[tuple(pad[i + 1 : i + 3])] - t) > places1, places1)]
+            at = np.searchsorted(lm_scoring.RUNS, run, "right")
+            for flag, asked, hit, places in steps:
+                if asked:
+                    want.append((n, (((flag * 2 + bool(own)) * 7 + at) * 9 + np.searchsorted(lm_scoring.PLACES, places, "right")) * 64 + n % 3, hit))
+                    if hit:
+                        break
+            hit = any(a and h for _, a, h, _ in steps)
+            run = run + 1 if hit else 0
+            if not hit and w == "e":  # stands for a token without a code
+                want.append((n, (((3 * 2 + bool(own)) * 7 + at) * 9) * 64 + n % 3, grams[(w,)] - t > 0))
+    names = sorted({w for d in docs for w in d})
+    ids, length = np.array([names.index(w) for d in docs for w in d]), np.array([len(d) for d in docs])
+    th = lm_scoring.token_hashes([w.encode() for w in names])
+    c1 = np.array([grams[(w,)] for w in names])
+    c2 = np.array([grams[tuple(([None] + d)[i : i + 2])] for d in docs for i in range(len(d))])
+    c3 = np.array([grams[tuple(([None, None] + d)[i : i + 3])] for d in docs for i in range(len(d))])
+    leaf = np.array([9 if w == "e" else 0 for w in names])
+    got = lm_scoring.decisions(th, ids, length, np.array(train), np.arange(len(docs)) % 3, c1, c2, c3, leaf, 9)
+    assert sorted(zip(got[0].tolist(), got[1].tolist(), got[2].tolist())) == sorted((a, int(b), bool(c)) for a, b, c in want)
+
+
+def sequential_bits(train, test):
+    """Bits of the test texts by a plain sequential mixer of three hashed contexts over bytes, fed byte by byte."""
+    tables, weights = [{}, {}, {}], {}
+
+    def code(data):
+        bits, h = 0.0, (0, 0, 0)
+        for i, byte in enumerate(data):
+            ctx = [hash((k, bytes(data[max(0, i - k) : i]))) & 0x3FFFF for k in (1, 2, 4)]
+            node = 1
+            for b in range(7, -1, -1):
+                y = byte >> b & 1
+                keys = [(c, node) for c in ctx]
+                n = [t.get(k, (0.4, 0.4)) for t, k in zip(tables, keys)]
+                x = [np.log(b1 / b0) for b0, b1 in n]
+                w = weights.setdefault(b, [0.4, 0.4, 0.4])
+                p = min(max(1 / (1 + np.exp(-sum(u * v for u, v in zip(w, x)))), 1e-4), 1 - 1e-4)
+                bits -= np.log2(p if y else 1 - p)
+                for j in range(3):
+                    w[j] += 0.02 * (y - p) * x[j]
+                    tables[j][keys[j]] = (n[j][0] + (1 - y), n[j][1] + y)
+                node = node * 2 + y
+        return bits
+
+    for t in train:
+        code(t)
+    return sum(code(t) for t in test)
+
+
+def test_lm_against_a_sequential_mixer_and_copies(spark):
+    r = random.Random(4)
+    names = list(WORDS)
+    make = lambda: " ".join(r.choice(WORDS[k][: 60]) for k in [r.choice(names)] for _ in range(60))
+    rows = [(i, make()) for i in range(160)]
+    out = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    copied = out[:5]
+    kept_ = [i for i, _ in rows if i not in out]
+    twin = dict(zip(copied, kept_)) | dict(zip(kept_[20:40], kept_[40:60]))  # copies of training texts, held out and not
+    rows = [(i, dict(rows)[twin.get(i, i)]) for i, t in rows]
+    got = {x["doc_id"]: x for x in scored(frame(spark, rows)).collect()}
+    fresh = [i for i in out if i not in copied]
+    bits = sum(-got[i]["score"] * np.log2(10) for i in fresh)
+    assert bits < sequential_bits([t.encode() + b"\n" for i, t in rows if i not in out], [dict(rows)[i].encode() + b"\n" for i in fresh])
+    mean = lambda ids: np.mean([got[i]["bits_per_byte"] for i in ids])
+    assert mean(copied) < 0.6 * mean(fresh)
+    # training texts that have a copy are told from those that have none
+    assert mean(kept_[20:60]) < 0.6 * mean(kept_[5:20] + kept_[60:])
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
