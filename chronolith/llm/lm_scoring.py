@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from chronolith.llm.bit_mixing import CHUNK, END, ORDERS, TABLE_BITS, Mixer, Speller, count_bits, learn_events, spelling_step, squash, stretched
 from chronolith.llm.common import written
 
-#: Bytes of text in a block of documents, and n-grams in a bucket, about.
-BLOCK_BYTES, BUCKET_GRAMS = 16 << 20, 2_000_000
+#: Bytes of text in a block of documents, n-grams in a bucket, and tokens whose decisions are made at a time, about.
+BLOCK_BYTES, BUCKET_GRAMS, SLICE_TOKENS = 8 << 20, 2_000_000, 1 << 17
 #: Tokens with a code of their own.
 BOOK = (1 << 16) - 1
 #: Kinds of documents; the last one is for all others.
-KINDS = 64
+KINDS = 32
 #: Steps of matches in a row, and of the places of a context.
 RUNS, PLACES = np.array([1, 2, 3, 5, 9, 17]), np.array([1, 2, 3, 5, 9, 33, 129, 1025])
 OWN, TWO, ONE, KNOWN = range(4)
@@ -64,13 +64,24 @@ def tokens(text: bytes | None) -> list[bytes]:
 # packed arrays ----------------------------------------------------------------------------------------------------
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def pack(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of unsigned numbers, plane by plane, so that equal bytes lie together."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """The low ``width`` bytes of unsigned numbers, compressed plane by plane, as equal bytes lie together there."""
+    return squeeze(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    planes = np.frombuffer(expand(data), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel().astype(np.uint64)
@@ -134,41 +145,21 @@ def commonest_letter(text: bytes) -> int:
     return int(pair[n.argmax()])
 
 
-def _blocks(rows: DataFrame, bits: int) -> DataFrame:
-    """doc_id, held_out, text -> a row per block (bucket -1), and one for each of its buckets of n-grams."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """doc_id, held_out, text -> a row per block of documents, with its distinct tokens and its documents' token numbers."""
     id_type = dict(rows.dtypes)["doc_id"]
-    schema = (
-        "block long, bucket int, k1 binary, t1 binary, k2 binary, t2 binary, k3 binary, t3 binary, tokens binary, ids binary, "
-        f"doc_id array<{id_type}>, held_out array<boolean>, n_bytes array<long>, length array<long>, top array<long>, letter array<int>"
-    )
+    schema = f"block long, tokens binary, ids binary, doc_id array<{id_type}>, held_out array<boolean>, n_bytes array<long>, length array<long>, top array<long>, letter array<int>"
 
-    def close(block: int, number: dict, docs: list, arrow_id: pa.DataType) -> Iterator[pa.RecordBatch]:
+    def close(block: int, number: dict, docs: list, arrow_id: pa.DataType) -> pa.RecordBatch:
         toks = list(number)
-        th = token_hashes(toks)
-        length = np.array([len(d[4]) for d in docs])
-        ids, first = np.concatenate([d[4] for d in docs]), np.cumsum(length) - length
-        out = np.repeat(np.array([d[1] for d in docs], np.uint64), length)
-        top = []
+        th, top = token_hashes(toks), []
         for d in docs:
             w, n = np.unique(d[4][:-1], return_counts=True)
             top.append(int(th[w[n == n.max()]].min().view(np.int64)) if len(w) else 0)
-        names = [x.split()[0] for x in schema.split(", ")]
-        types = [pa.int64(), pa.int32(), *[pa.binary()] * 8, *map(pa.list_, (arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
-        head = [block, -1, *[None] * 6, b" ".join(toks), pack(ids, 3 if len(toks) < 1 << 24 else 4), [d[0] for d in docs], [d[1] for d in docs], [d[2] for d in docs], length.tolist(), top, [d[3] for d in docs]]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(head, types)], names=names)
-        h2, h3 = gram_hashes(th[ids], first)
-        order = np.argsort(th)
-        each = [(th[order], np.bincount(ids, 1.0 - out, len(toks)).astype(np.int64)[order]), _counted(h2, out), _counted(h3, out)]
-        edge = [np.append(np.searchsorted(k >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)) if bits else [0], len(k)) for k, _ in each]
-        cut = np.uint64(24 - bits)  # 40 bits tell the longer n-grams of a bucket apart
-        for at in range(0, 1 << bits, 64):
-            part = []
-            for b in range(at, min(at + 64, 1 << bits)):
-                k, n = zip(*((k[e[b] : e[b + 1]], n[e[b] : e[b + 1]]) for (k, n), e in zip(each, edge)))
-                if len(k[0]) + len(k[1]):
-                    part.append([block, b, pack_sorted(k[0]), pack(n[0], 4), pack_sorted(k[1] >> cut), pack(n[1], 4), pack_sorted(k[2] >> cut), pack(n[2], 4), *[None] * 8])
-            if part:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names)
+        ids = pack(np.concatenate([d[4] for d in docs]), 3 if len(toks) < 1 << 24 else 4)
+        row = [block, squeeze(b" ".join(toks)), ids, *([d[i] for d in docs] for i in range(3)), [len(d[4]) for d in docs], top, [d[3] for d in docs]]
+        types = [pa.int64(), pa.binary(), pa.binary(), *map(pa.list_, (arrow_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[x.split()[0] for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number, docs, size, kind = TaskContext.get().partitionId() << 32, _Numbers(), [], 0, None
@@ -180,47 +171,76 @@ def _blocks(rows: DataFrame, bits: int) -> DataFrame:
                 docs.append((doc_id, out, len(text), commonest_letter(text), ids))
                 size += len(text) + 64
                 if size > BLOCK_BYTES:
-                    yield from close(block, number, docs, kind)
+                    yield close(block, number, docs, kind)
                     block, number, docs, size = block + 1, _Numbers(), [], 0
         if docs:
-            yield from close(block, number, docs, kind)
+            yield close(block, number, docs, kind)
 
     return rows.mapInArrow(run, schema)
 
 
-def _totals(blocks: DataFrame) -> DataFrame:
-    """For each block and bucket the totals of its n-grams (block not null); for each bucket its tokens' figures."""
-    schema = "bucket int, block long, r1 binary, r2 binary, r3 binary, distinct long, total long, book binary, times binary"
-    names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+def _texts(block: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, their hashes, the documents' token numbers one after the other, and the documents' lengths."""
+    toks = expand(block["tokens"]).split(b" ")
+    ids = unpack(block["ids"], 3 if len(toks) < 1 << 24 else 4).astype(np.int64)
+    return toks, token_hashes(toks), ids, np.array(block["length"])
 
-    def merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        k, n = np.concatenate(keys), np.concatenate(times).astype(np.int64)
-        order = np.argsort(k)
-        s = k[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(n[order], at) if len(s) else n
-        back = np.empty(len(k), np.int64)
-        back[order] = total[np.cumsum(new) - 1] if len(s) else 0
-        return s[at], total, np.split(back, np.cumsum([len(x) for x in keys])[:-1])
+
+def _sent(blocks: DataFrame, bits: int, longer: bool) -> DataFrame:
+    """For each block and bucket of hashes, its distinct tokens (or its two and three words in a row), with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.to_pylist():
+                toks, th, ids, length = _texts(block)
+                out = np.repeat(np.array(block["held_out"], np.uint64), length)
+                if longer:
+                    each = [_counted(h, out) for h in gram_hashes(th[ids], np.cumsum(length) - length)]
+                else:
+                    order = np.argsort(th)
+                    each = [(th[order], np.bincount(ids, 1.0 - out, len(toks)).astype(np.int64)[order])]
+                edges = [np.append(np.searchsorted(k >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)) if bits else [0], len(k)) for k, _ in each]
+                if longer:  # 32 bits tell those of one bucket apart, about one in thousands wrongly
+                    each = [((k << np.uint64(bits)) >> np.uint64(32), n) for k, n in each]
+                rows = []
+                for b in range(1 << bits):
+                    part = [(k[e[b] : e[b + 1]], n[e[b] : e[b + 1]]) for (k, n), e in zip(each, edges)]
+                    if any(len(k) for k, _ in part):
+                        rows.append([block["block"], b, [pack_sorted(k) for k, _ in part], [pack(n, 4) for _, n in part]])
+                for at in range(0, len(rows), 64):
+                    types = (pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), types)], names=["block", "bucket", "keys", "times"])
+
+    return blocks.select("block", "tokens", "ids", "held_out", "length").mapInArrow(run, "block long, bucket int, keys array<binary>, times array<binary>")
+
+
+def _totals(sent: DataFrame, longer: bool) -> DataFrame:
+    """For each block and bucket the totals of what it sent; for tokens also each bucket's figures, with a null block."""
+    schema = "bucket int, block long, totals array<binary>, distinct long, total long, book binary, often binary"
+    types = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        column = lambda c: table.column(c).to_pylist()
-        back, word, n = [], None, None
-        for g in (1, 2, 3):
-            k, total, own = merged([unpack_sorted(x) for x in column(f"k{g}")], [unpack(x, 4) for x in column(f"t{g}")])
-            back.append([pack(np.minimum(x, (1 << 32) - 1) if g > 1 else x, 4 if g > 1 else 8) for x in own])
-            if g == 1:
-                word, n = k, total
-        known = n > 0
-        often = np.lexsort((word, -n))[:BOOK]
-        often = often[n[often] > 0]
-        rows = [[key[0].as_py(), b, *x, None, None, None, None] for b, *x in zip(column("block"), *back)]
-        rows.append([key[0].as_py(), None, None, None, None, int(known.sum()), int(n.sum()), word[often].tobytes(), n[often].tobytes()])
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    return blocks.filter("bucket >= 0").select("block", "bucket", "k1", "t1", "k2", "t2", "k3", "t3").groupBy("bucket").applyInArrow(add, schema)
+        keys, times, back = table.column("keys").to_pylist(), table.column("times").to_pylist(), []
+        k = n = np.zeros(0, np.uint64)
+        for g in range(len(keys[0])):
+            own = [unpack_sorted(x[g]) for x in keys]
+            k, n = np.concatenate(own), np.concatenate([unpack(x[g], 4) for x in times]).astype(np.int64)
+            order = np.argsort(k)
+            new = np.concatenate([[True], np.diff(k[order]) > 0])[: len(k)]
+            at = np.flatnonzero(new)
+            total = np.add.reduceat(n[order], at) if len(at) else n
+            each = np.empty(len(k), np.int64)
+            each[order] = total[np.cumsum(new) - 1]
+            back.append([pack(x if not longer else np.minimum(x, (1 << 32) - 1), 4 if longer else 8) for x in np.split(each, np.cumsum([len(x) for x in own])[:-1])])
+            k, n = k[order][at], total
+        rows = [[key[0].as_py(), b, list(x), None, None, None, None] for b, x in zip(table.column("block").to_pylist(), zip(*back))]
+        if not longer:
+            often = np.lexsort((k, -n))[:BOOK]
+            often = often[n[often] > 0]
+            rows.append([key[0].as_py(), None, None, int((n > 0).sum()), int(n.sum()), k[often].tobytes(), n[often].tobytes()])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return sent.groupBy("bucket").applyInArrow(add, schema)
 
 
 # the code of common tokens ----------------------------------------------------------------------------------------
@@ -272,30 +292,39 @@ def code_log_p(counts: np.ndarray, kinds: Kinds) -> np.ndarray:
         total = np.zeros((int(group.max()) + 1, counts.shape[1]))
         np.add.at(total, group, counts)
         c = np.concatenate([np.zeros((len(total), 1)), np.cumsum(total, 1)], 1)
-        sums.append((group, c[:, mid] - c[:, lo], c[:, hi] - c[:, mid]))
+        sums.append((group, (c[:, mid] - c[:, lo]).astype(np.float32), (c[:, hi] - c[:, mid]).astype(np.float32)))
+        del total, c
     used = np.flatnonzero(counts.sum(1) > 0)
     level = np.minimum(depth, 7) * 4
 
-    def cells(kind: int, less0: int, less1: int) -> tuple[list[np.ndarray], np.ndarray]:
-        n = [(np.maximum(zeros[g[kind]] - less0, 0), np.maximum(ones[g[kind]] - less1, 0)) for g, zeros, ones in sums]
-        return [stretched(b, a) for a, b in n], level + np.searchsorted([1, 10, 100], n[3][0] + n[3][1], "right")
-
-    events = []
-    for kind in used:
-        for y in (0, 1):  # each event is left out of its own counts
-            weight = sums[3][1 + y][kind]
-            real = weight > 0
-            x, sets = cells(kind, 1 - y, y)
-            events.append(([v[real] for v in x], sets[real], np.full(int(real.sum()), y), np.sqrt(weight[real])))
+    def cells(kind: int, at: np.ndarray | slice, less0: int, less1: int) -> tuple[list[np.ndarray], np.ndarray]:
+        n = [(np.maximum(zeros[g[kind], at] - less0, 0), np.maximum(ones[g[kind], at] - less1, 0)) for g, zeros, ones in sums]
+        return [stretched(b, a) for a, b in n], level[at] + np.searchsorted([1, 10, 100], n[3][0] + n[3][1], "right")
+
     mixer = Mixer.start(32, 4)
-    if events:
-        x = [np.concatenate([e[0][p] for e in events]) for p in range(4)]
-        mixer = learn_events(x, *(np.concatenate([e[1] for e in events]), 32), *(np.concatenate([e[k] for e in events]) for k in (2, 3)))
+    order = np.random.RandomState(1).permutation(len(lo))
+    for again in (True, True, False):  # the map counts the last pass only
+        for at in range(0, len(order), 512):
+            nodes, x, sets, y, weight = order[at : at + 512], [], [], [], []
+            for kind in used:
+                for bit in (0, 1):  # each event is left out of its own counts
+                    n = sums[3][1 + bit][kind, nodes]
+                    own = nodes[n > 0]
+                    inputs, at_set = cells(kind, own, 1 - bit, bit)
+                    x.append(inputs)
+                    sets.append(at_set)
+                    y.append(np.full(len(own), bit))
+                    weight.append(np.sqrt(n[n > 0]))
+            if x:
+                x, sets = [np.concatenate(v) for v in zip(*x)], np.concatenate(sets)
+                mixer.learn(x, sets, np.concatenate(y), np.concatenate(weight), mixer.predict(x, sets))
+        if again:
+            mixer.map_counts[:] = 0
     table = mixer.table()
     for kind in range(KINDS):
         if kind not in used and kind > 0 and kind < KINDS - 1:
             continue
-        x, sets = cells(kind, 0, 0)
+        x, sets = cells(kind, slice(None), 0, 0)
         p1 = np.clip(Mixer.refined(mixer.predict(x, sets), sets, table).astype(np.float64), 1e-9, 1 - 1e-9)
         a, b = np.log(1 - p1), np.log(p1)
         steps = np.zeros(counts.shape[1] + 1)
@@ -400,13 +429,6 @@ def decisions(th: np.ndarray, ids: np.ndarray, length: np.ndarray, train: np.nda
     return np.concatenate([doc[m] for m, _, _ in parts]), np.concatenate([c[m] for m, c, _ in parts]), np.concatenate([h[m] for m, _, h in parts]), left
 
 
-def _texts(block: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, their hashes, the documents' token numbers one after the other, and the documents' lengths."""
-    toks = block["tokens"].split(b" ")
-    ids = unpack(block["ids"], 3 if len(toks) < 1 << 24 else 4).astype(np.int64)
-    return toks, token_hashes(toks), ids, np.array(block["length"])
-
-
 def _added(parts: DataFrame) -> DataFrame:
     """chunk, data: the sum of float arrays by chunk, first over some of the tasks each, then over all."""
 
@@ -446,7 +468,7 @@ def _code_counts(blocks: DataFrame, sent) -> np.ndarray:
             yield from _chunks(k * per, x, CHUNK)
 
     out = np.zeros((KINDS, leaves))
-    main = blocks.filter("bucket = -1").select("tokens", "ids", "held_out", "length", "top", "letter")
+    main = blocks.select("tokens", "ids", "held_out", "length", "top", "letter")
     for r in _added(main.mapInArrow(count, "chunk long, data binary")).toLocalIterator():
         k, i = divmod(r["chunk"], per)
         x = np.frombuffer(r["data"], np.float64)
@@ -454,47 +476,54 @@ def _code_counts(blocks: DataFrame, sent) -> np.ndarray:
     return out
 
 
-def _decided(blocks: DataFrame, totals: DataFrame, sent, id_type: str) -> DataFrame:
+def _decided(blocks: DataFrame, words: DataFrame, longer: DataFrame, sent, id_type: str) -> DataFrame:
     """For each document its counts, its base score, the score of its codes, the outcomes of its matches, and its spelled tokens."""
     schema = f"doc_id {id_type}, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, coded double, cells binary, times binary, spelled binary"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         book, block = sent.value, left.to_pylist()[0]
-        back = [np.concatenate([unpack(x.as_py(), w).astype(np.int64) for x in right.column(c)]) for c, w in (("r1", 8), ("r2", 4), ("r3", 4))]
+        # a block's hashes are sorted, and so are the buckets
+        right = sorted(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist()), key=lambda r: r[0])
+        back = [np.concatenate([unpack(x[g], w).astype(np.int64) for _, x in right if len(x) == n]) for n, g, w in ((1, 0, 8), (2, 0, 4), (2, 1, 4))]
         toks, th, ids, length = _texts(block)
         first = np.cumsum(length) - length
         c1 = np.empty(len(toks), np.int64)
         c1[np.argsort(th)] = back[0]
         c2, c3 = (b[np.unique(h, return_inverse=True)[1]] for b, h in zip(back[1:], gram_hashes(th[ids], first)))
+        del back
         train = ~np.array(block["held_out"], bool)
         kind, leaf = book.kind(block["top"], block["letter"]), book.leaves(th)
-        owner, cell, hit, plain = decisions(th, ids, length, train, kind, c1, c2, c3, leaf, len(book.hashes))
-        doc = np.repeat(np.arange(len(length)), length)
-        coded = np.bincount(doc[plain], book.codes[kind[doc[plain]], leaf[ids[plain]]], len(length)) + book.kinds.log_p()[kind]
-        escaped = plain & (leaf[ids] == len(book.hashes))
-        own = c1[ids] - train[doc]
-        seen = escaped & (own > 0)
-        coded += np.bincount(doc[seen], np.log(own[seen] / book.tail), len(length))
         base = np.log10((c1 + 0.5) / (book.total + 0.5 * (book.distinct + 1)))
-        key, n = np.unique((owner << 32) | (cell * 2 + hit), return_counts=True)
-        edge = np.searchsorted(key >> 32, np.arange(len(length) + 1))
-        key = (key & 0xFFFFFFFF).astype(np.int32)
-        n = n.astype(np.int32)
-        new = np.flatnonzero(escaped & (own <= 0))
-        cut = np.searchsorted(doc[new], np.arange(len(length) + 1))
-        spelled = [b" ".join([toks[i] for i in ids[new[a:b]]]) if b > a else None for a, b in zip(cut, cut[1:])]
-        n_known = np.bincount(doc, c1[ids] > 0, len(length)).astype(np.int64)
-        columns = [left.column("doc_id").combine_chunks().flatten(), pa.array(block["held_out"], pa.bool_()), pa.array(block["n_bytes"], pa.int64()), pa.array(length, pa.int64()), pa.array(n_known),
-                   pa.array(np.bincount(doc, base[ids], len(length))), pa.array(coded), *(pa.array([x[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()) for x in (key, n)), pa.array(spelled, pa.binary())]
+        prior, escape = book.kinds.log_p(), len(book.hashes)
+        out: list[list] = [[] for _ in range(6)]
+        # some documents at a time, as the decisions need many times the room of the tokens
+        group = first // SLICE_TOKENS
+        for a, b in zip(cut := np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), [*cut[1:], len(length)]):
+            own = slice(first[a], first[b] if b < len(length) else len(ids))
+            t, n_docs, n = ids[own], b - a, length[a:b]
+            owner, cell, hit, plain = decisions(th, t, n, train[a:b], kind[a:b], c1, c2[own], c3[own], leaf, escape)
+            doc = np.repeat(np.arange(n_docs), n)
+            coded = np.bincount(doc[plain], book.codes[kind[a:b][doc[plain]], leaf[t[plain]]], n_docs) + prior[kind[a:b]]
+            escaped = plain & (leaf[t] == escape)
+            times = c1[t] - train[a:b][doc]
+            seen = escaped & (times > 0)
+            coded += np.bincount(doc[seen], np.log(times[seen] / book.tail), n_docs)
+            key, many = np.unique((owner << 32) | (cell * 2 + hit), return_counts=True)
+            edge = np.searchsorted(key >> 32, np.arange(n_docs + 1))
+            key, many = (key & 0xFFFFFFFF).astype(np.int32), many.astype(np.int32)
+            new = np.flatnonzero(escaped & (times <= 0))
+            ends = np.searchsorted(doc[new], np.arange(n_docs + 1))
+            spelled = [b" ".join([toks[i] for i in t[new[x:y]]]) if y > x else None for x, y in zip(ends, ends[1:])]
+            each = [np.bincount(doc, c1[t] > 0, n_docs).astype(np.int64).tolist(), np.bincount(doc, base[t], n_docs).tolist(), coded.tolist(), *([v[x:y].tobytes() for x, y in zip(edge, edge[1:])] for v in (key, many)), spelled]
+            for o, e in zip(out, each):
+                o += e
+        columns = [left.column("doc_id").combine_chunks().flatten(), pa.array(block["held_out"], pa.bool_()), pa.array(block["n_bytes"], pa.int64()), pa.array(length, pa.int64()),
+                   *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())))]
         return pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    main = blocks.filter("bucket = -1").select("block", "tokens", "ids", "doc_id", "held_out", "n_bytes", "length", "top", "letter")
-    back = totals.filter("block IS NOT NULL").select(F.col("block").alias("to_block"), "bucket", "r1", "r2", "r3")
-
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left, right.sort_by("bucket"))
-
-    return main.groupBy("block").cogroup(back.groupBy("to_block")).applyInArrow(both, schema)
+    main = blocks.select("block", "tokens", "ids", "doc_id", "held_out", "n_bytes", "length", "top", "letter")
+    back = words.filter("block IS NOT NULL").unionByName(longer).select(F.col("block").alias("to_block"), "bucket", "totals")
+    return main.groupBy("block").cogroup(back.groupBy("to_block")).applyInArrow(lambda a, b: run(a, b), schema)
 
 
 def _match_model(decided: DataFrame) -> np.ndarray:
@@ -565,20 +594,22 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(24, max(0, int(np.ceil(np.log2(max(size / 4.5 / BUCKET_GRAMS, 1))))))
-    blocks = written(_blocks(rows, bits), "blocks")
-    totals = written(_totals(blocks), "totals")
-    facts = totals.filter("block IS NULL")
+    blocks = written(_blocks(rows), "blocks")
+    words = written(_totals(_sent(blocks, bits, False), False), "words")
+    longer = _totals(_sent(blocks, bits, True), True)
+    facts = words.filter("block IS NULL")
     sums = facts.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.column("book").to_pylist(), batch.column("times").to_pylist()):
+            for a, b in zip(batch.column("book").to_pylist(), batch.column("often").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["h", "n"])
 
-    common = facts.select("book", "times").mapInArrow(listed, "h long, n long").orderBy(F.col("n").desc(), "h").limit(BOOK).collect()  # at most BOOK rows
+    common = facts.select("book", "often").mapInArrow(listed, "h long, n long").orderBy(F.col("n").desc(), "h").limit(BOOK).collect()  # at most BOOK rows
     h, n = np.array([r["h"] for r in common], np.int64).view(np.uint64), np.array([r["n"] for r in common], np.int64)
+    del common
     order = np.argsort(h)
-    each = blocks.filter("bucket = -1").select(F.explode(F.arrays_zip("held_out", "top", "letter")).alias("d")).filter("NOT d.held_out").groupBy("d.top", "d.letter").count()
+    each = blocks.select(F.explode(F.arrays_zip("held_out", "top", "letter")).alias("d")).filter("NOT d.held_out").groupBy("d.top", "d.letter").count()
     listed_kinds = each.orderBy(F.col("count").desc(), "top", "letter").limit(KINDS - 1).collect()
     train_docs = each.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     times = np.zeros(KINDS)
@@ -588,7 +619,8 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     book = Book(h[order], order, kinds, int(sums[1]), int(sums[0]), float(max(sums[1] - n.sum(), 1)))
     counts = _code_counts(blocks, spark.sparkContext.broadcast(book))
     book.codes = code_log_p(counts, kinds).astype(np.float32)
-    decided = written(_decided(blocks, totals, spark.sparkContext.broadcast(book), dict(rows.dtypes)["doc_id"]), "decided")
+    del counts
+    decided = written(_decided(blocks, words, longer, spark.sparkContext.broadcast(book), dict(rows.dtypes)["doc_id"]), "decided")
     matches, speller = _match_model(decided), _speller(decided, table_bits)
     sent = spark.sparkContext.broadcast((matches.ravel(), speller))
 

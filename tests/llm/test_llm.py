@@ -91,7 +91,7 @@ def test_lm_codes_and_matches_are_probabilities():
     r = np.random.RandomState(2)
     counts = r.poisson(3, (lm_scoring.KINDS, 200)) * (np.arange(lm_scoring.KINDS)[:, None] < 5)
     kinds = lm_scoring.Kinds([(1, 0), (2, 0), (1, 7), (3, 9)], np.array([5.0, 4, 3, 2] + [0] * (lm_scoring.KINDS - 5) + [1]))
-    assert np.exp(lm_scoring.code_log_p(counts.astype(float), kinds))[[0, 1, 4, 63]].sum(1) == pytest.approx(1, abs=1e-6)
+    assert np.exp(lm_scoring.code_log_p(counts.astype(float), kinds))[[0, 1, 4, lm_scoring.KINDS - 1]].sum(1) == pytest.approx(1, abs=1e-6)
     assert np.exp(kinds.log_p()).sum() == pytest.approx(1)
     hits = r.poisson(2, lm_scoring.CELLS) * 1.0
     assert np.exp(lm_scoring.match_log_p(hits, hits[::-1])).sum(1) == pytest.approx(1)
@@ -121,13 +121,13 @@ def test_lm_decisions_against_a_walk_over_words():
             at = np.searchsorted(lm_scoring.RUNS, run, "right")
             for flag, asked, hit, places in steps:
                 if asked:
-                    want.append((n, (((flag * 2 + bool(own)) * 7 + at) * 9 + np.searchsorted(lm_scoring.PLACES, places, "right")) * 64 + n % 3, hit))
+                    want.append((n, (((flag * 2 + bool(own)) * 7 + at) * 9 + np.searchsorted(lm_scoring.PLACES, places, "right")) * lm_scoring.KINDS + n % 3, hit))
                     if hit:
                         break
             hit = any(a and h for _, a, h, _ in steps)
             run = run + 1 if hit else 0
             if not hit and w == "e":  # stands for a token without a code
-                want.append((n, (((3 * 2 + bool(own)) * 7 + at) * 9) * 64 + n % 3, grams[(w,)] - t > 0))
+                want.append((n, (((3 * 2 + bool(own)) * 7 + at) * 9) * lm_scoring.KINDS + n % 3, grams[(w,)] - t > 0))
     names = sorted({w for d in docs for w in d})
     ids, length = np.array([names.index(w) for d in docs for w in d]), np.array([len(d) for d in docs])
     th = lm_scoring.token_hashes([w.encode() for w in names])
@@ -182,9 +182,9 @@ def test_lm_against_a_sequential_mixer_and_copies(spark):
     bits = sum(-got[i]["score"] * np.log2(10) for i in fresh)
     assert bits < sequential_bits([t.encode() + b"\n" for i, t in rows if i not in out], [dict(rows)[i].encode() + b"\n" for i in fresh])
     mean = lambda ids: np.mean([got[i]["bits_per_byte"] for i in ids])
-    assert mean(copied) < 0.6 * mean(fresh)
+    assert mean(copied) < 0.7 * mean(fresh)
     # training texts that have a copy are told from those that have none
-    assert mean(kept_[20:60]) < 0.6 * mean(kept_[5:20] + kept_[60:])
+    assert mean(kept_[20:60]) < 0.7 * mean(kept_[5:20] + kept_[60:])
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
