@@ -10,12 +10,12 @@ The partial pass compares hash buckets with a threshold, so that a pattern with
 without gathering it; only the few buckets around the threshold are walked in order, to fit the rest exactly.
 
 Defined cases: a null text has size 0; a null source is a source of its own, sorted last; an empty table gives an
-empty result; ties of the hash are broken by id; copies of a row are decided one by one.
+empty result; ties of the hash (one id, or a null one) are broken by size and text hash, so reruns agree whatever the
+partitions; copies of a row are decided one by one.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,58 +56,68 @@ def water_fill(total: float, weights: dict, caps: dict) -> dict:
 def min_cost_flow(supply: dict, quota: dict, epoch_costs: tuple[int, ...]) -> dict:
     """Tokens from each pattern to each of its sources: as much as the quotas take, at the least cost of repeats.
 
-    ``supply``: pattern (a tuple of sources) to tokens. Successive shortest paths with potentials; a path saturates a
-    supply, a quota or a flow that it takes back, so the work depends on the number of patterns alone.
+    ``supply``: pattern (a tuple of sources) to tokens. Only the arcs into patterns cost anything, and more flow never
+    takes back what a pattern gives, so the cheapest flow opens the epochs in the order of their costs and adds at each
+    as much as fits: by blocking flows over shortest paths, whose number hardly depends on that of the patterns.
     """
     patterns, sources = list(supply), list(quota)
-    np_, start, end = len(patterns), len(patterns) + len(sources), len(patterns) + len(sources) + 1
-    at = {s: np_ + i for i, s in enumerate(sources)}
+    start, end = len(patterns) + len(sources), len(patterns) + len(sources) + 1
+    at = {s: len(patterns) + i for i, s in enumerate(sources)}
     graph: list[list[list]] = [[] for _ in range(end + 1)]
 
-    def arc(u: int, v: int, cap: int, cost: int) -> list:
-        a, b = [v, cap, cost, None], [u, 0, -cost, None]
-        a[3], b[3] = b, a
+    def arc(u: int, v: int, cap: int) -> list:
+        a, b = [v, cap, None], [u, 0, None]
+        a[2], b[2] = b, a
         graph[u].append(a)
         graph[v].append(b)
         return a
 
-    for i, p in enumerate(patterns):
-        for cost in epoch_costs:
-            arc(start, i, supply[p], cost)
-    links = {(p, s): arc(i, at[s], 1 << 62, 0) for i, p in enumerate(patterns) for s in p}
+    opened = [arc(start, i, 0) for i in range(len(patterns))]
+    links = {(p, s): arc(i, at[s], 1 << 62) for i, p in enumerate(patterns) for s in p}
     for s in sources:
-        arc(at[s], end, quota[s], 0)
-    height = [0] * (end + 1)
-    while True:
-        dist, via = [None] * (end + 1), [None] * (end + 1)
-        dist[start], heap = 0, [(0, start)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist[u]:
-                continue
-            for a in graph[u]:
-                v, cap, cost, _ = a
-                if cap > 0 and (dist[v] is None or d + cost + height[u] - height[v] < dist[v]):
-                    dist[v], via[v] = d + cost + height[u] - height[v], a
-                    heapq.heappush(heap, (dist[v], v))
-        if dist[end] is None:
-            break
-        top = max(d for d in dist if d is not None)
-        height = [h + (top if d is None else d) for h, d in zip(height, dist)]
-        path, v = [], end
-        while v != start:
-            path.append(via[v])
-            v = via[v][3][0]
-        push = min(a[1] for a in path)
-        for a in path:
-            a[1] -= push
-            a[3][1] += push
-    return {k: a[3][1] for k, a in links.items()}
+        arc(at[s], end, quota[s])
+
+    def levels() -> list[int]:
+        level, row, depth = [-1] * (end + 1), [start], 0
+        level[start] = 0
+        while row and level[end] < 0:
+            depth += 1
+            row = list(dict.fromkeys(a[0] for u in row for a in graph[u] if a[1] > 0 and level[a[0]] < 0))
+            for v in row:
+                level[v] = depth
+        return level
+
+    def block(level: list[int]) -> None:
+        turn, u, path = [0] * (end + 1), start, []
+        while True:
+            if u == end:
+                push = min(a[1] for a in path)
+                for a in path:
+                    a[1] -= push
+                    a[2][1] += push
+                u, path = start, []
+            while turn[u] < len(graph[u]) and not (graph[u][turn[u]][1] > 0 and level[graph[u][turn[u]][0]] == level[u] + 1):
+                turn[u] += 1
+            if turn[u] < len(graph[u]):
+                path.append(graph[u][turn[u]])
+                u = path[-1][0]
+            elif path:
+                u = path.pop()[2][0]
+                turn[u] += 1
+            else:
+                return
+
+    for _ in sorted(epoch_costs):
+        for a, p in zip(opened, patterns):
+            a[1] += supply[p]
+        while (level := levels())[end] > 0:
+            block(level)
+    return {k: a[2][1] for k, a in links.items()}
 
 
 def _fit(tail: pd.DataFrame) -> pd.DataFrame:
-    """In hash order, takes each document that still fits."""
-    tail = tail.sort_values(["h", "row"], kind="stable")
+    """In hash order, takes each document that still fits; what ties in all of these are copies of one row."""
+    tail = tail.sort_values(["h", "size", "text_hash"], kind="stable")
     left, take = int(tail["rest"].iloc[0]) if len(tail) else 0, []
     for size in tail["size"]:
         take.append(0 < size <= left)

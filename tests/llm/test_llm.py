@@ -209,6 +209,62 @@ def test_mix_odd(odd, empty):
     assert mixing.select_mix(odd).columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_mix_reruns_agree_where_ids_repeat(spark):
+    rows = [(i % 7 if i % 3 else None, text(n=rng.randint(1, 30)), "en", "ab"[i % 2]) for i in range(400)]
+    one, other = (Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_by_source(frame(spark, rows).repartition(n)).collect()) for n in (2, 9))
+    assert one == other
+
+
+def test_overlapping_sources_reach_their_quotas(spark):
+    rows = [(i, text(n=rng.randint(5, 20)), "en", "ab"[i % 2]) for i in range(600)]
+    members = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))
+    taken, targets, sizes = mixing.mix(frame(spark, rows), members, lambda n: {"a": n["a"] * 0.4, "b": n["b"] * 0.7})
+    assert sizes["a"] + sizes["b"] > sum(len(t.split()) for _, t, *_ in rows)
+    got = taken.agg(F.sum(F.col("size") * F.col("copies"))).first()[0]
+    assert abs(got - sum(targets.values())) <= 40
+
+
+def brute_flow(supply, quota, costs):
+    """Total and cost of the cheapest greatest flow, unit by unit along cheapest paths."""
+    nodes = ["s", "t", *supply, *quota]
+    arcs = [["s", p, supply[p], c] for p in supply for c in costs] + [[p, q, 99, 0] for p in supply for q in p] + [[q, "t", quota[q], 0] for q in quota]
+    arcs += [[v, u, 0, -c] for u, v, _, c in arcs]
+    half, total, spent = len(arcs) // 2, 0, 0
+    while True:
+        far, via = {n: 1e9 for n in nodes} | {"s": 0}, {}
+        for _ in nodes:
+            for i, (u, v, cap, c) in enumerate(arcs):
+                if cap and far[u] + c < far[v]:
+                    far[v], via[v] = far[u] + c, i
+        if far["t"] >= 1e9:
+            return total, spent
+        v = "t"
+        while v != "s":
+            i = via[v]
+            arcs[i][2] -= 1
+            arcs[(i + half) % len(arcs)][2] += 1
+            v = arcs[i][0]
+        total, spent = total + 1, spent + far["t"]
+
+
+def test_flow_against_unit_paths():
+    r = random.Random(3)
+    for _ in range(30):
+        sources = ["x", "y", "z"][: r.randint(1, 3)]
+        patterns = {tuple(sorted(r.sample(sources, r.randint(1, len(sources))))) for _ in range(4)}
+        supply, quota = {p: r.randint(0, 5) for p in patterns}, {q: r.randint(0, 12) for q in sources}
+        flow = mixing.min_cost_flow(supply, quota, (0, 1, 4))
+        gave = {p: sum(flow[p, q] for q in p) for p in supply}
+        cost = sum(sum(sorted((0, 1, 4))[min(u // max(supply[p], 1), 2)] for u in range(gave[p])) for p in supply)
+        assert (sum(gave.values()), cost) == brute_flow(supply, quota, (0, 1, 4))
+        assert all(sum(flow[p, q] for p in supply if q in p) <= quota[q] for q in sources)
+    many = {(f"a{i}", f"a{i % 977}") if i % 977 != i else (f"a{i}",): 5 for i in range(100_000)}
+    quota = Counter()
+    for p in many:
+        quota[p[0]] += 7
+    assert sum(mixing.min_cost_flow(many, {f"a{i}": quota[f"a{i}"] for i in range(100_000)}, (0, 1, 4)).values()) > 0
+
+
 @pytest.mark.parametrize("copies", [1, 3])
 def test_selected_rows_are_those_of_the_mix(spark, copies):
     rows = [(i, text(n=rng.randint(1, 9)), "en", "ab"[i % 2]) for i in range(200)] * copies + ODD
