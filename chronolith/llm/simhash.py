@@ -30,6 +30,8 @@ from chronolith.llm.common import kept, written
 
 SHINGLE = 4
 BLOCKS = 6
+#: A fingerprint with more than one in so many rows is looked up without a shuffle.
+HOT = 1000
 SHARD = 2048
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLANES = np.arange(8, dtype=np.int64) * 256
@@ -218,12 +220,16 @@ def connected(links: DataFrame, max_steps: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable) for each row."""
     rows = kept(fingerprints(docs, id_col=id_col, text_col=text_col))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = connected(near_links(nodes.select("fp"), radius))
     linked = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     named = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("first_id").alias("joined_id")), "root").select("fp", "joined_id")
-    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("joined_id", "first_id").alias("component_id"))
-    return rows.join(label, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    label = kept(nodes.join(named, "fp", "left").select("fp", F.coalesce("joined_id", "first_id").alias("component_id"), "n"))
+    # a fingerprint with a HOT-th of all rows or more: there are HOT of them at most, and they don't move their rows
+    hot = F.col("n") >= rows.count() / HOT
+    columns = ["doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id"]
+    often = F.broadcast(label.filter(hot))
+    return rows.join(often, "fp").select(*columns).unionByName(rows.join(often, "fp", "left_anti").join(label.filter(~hot), "fp").select(*columns))
 
 
 def hex16(c: Column) -> Column:
