@@ -27,7 +27,8 @@ from pyspark.sql.window import Window as W
 from chronolith.llm.common import written
 
 SHARD_ROWS = 8192
-QUERY_BLOCK = 256
+#: Queries that go to a shard together; its graph is sent once for each such block.
+QUERY_BLOCK = 2048
 LINKS, EF_BUILD, EF_SEARCH = 12, 64, 96
 
 
