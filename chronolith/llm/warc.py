@@ -3,8 +3,8 @@
 A capture is a request, a response (or a revisit) and a metadata record; request and metadata name the response in
 ``WARC-Concurrent-To``. Of records with equal payloads of at least ``min_revisit`` bytes, that with the smallest
 page_id is the response and the others are revisits that refer to it. Records are built by SQL functions and written
-by Spark's text sink whose line separator is the end of a record; files hold a bounded number of captures, and are
-read with the binary source and parsed by content length, one file at a time.
+by Spark's text sink whose line separator is the end of a record; files hold a bounded number of captures and of bytes,
+and are read with the binary source and parsed by content length, one file at a time.
 
 Defined cases: a null payload is empty; a null url leaves out the target; a null page_id is a page of its own that
 comes last and never is referred to if another has the payload; copies of one row become as many captures of the same
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import fresh_path, kept
 
-#: Captures in one file at most.
-FILE_CAPTURES = 1000
+#: Captures in one file at most, and bytes of it before compression (unless one capture alone has more).
+FILE_CAPTURES, FILE_BYTES = 1000, 128 << 20
+#: Repeated payloads up to which their first pages are broadcast; more are joined by salted keys.
+MAX_BROADCAST = 100_000
 #: Revisits of one response are dealt out over so many keys.
 SALTS = 32
 
@@ -54,17 +56,26 @@ def write_warc(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z
         F.coalesce("html", F.lit("")).alias("payload"),
     ).withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload")})
     large = rows.filter(F.col("bytes") >= min_revisit)
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
-    joined = rows.join(first, "digest", "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    order = F.struct(F.col("page_id").isNull(), F.col("page_id").alias("id"), F.col("url").alias("url"))
+    first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
+    first = kept(first)
+    most = rows.agg(F.max(F.col("bytes") + F.coalesce(F.octet_length("url"), F.lit(0)) * 4)).first()[0]
+    # the payloads stay where they are, or move by a digest and a salt: copies of one page don't meet in one task
+    if first.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        joined = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url") + F.spark_partition_id(), F.lit(SALTS)).cast("int"))
+        joined = salted.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"], "left")
+    joined = joined.withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
     kind = F.when(F.col("revisit"), "revisit").otherwise("response")
-    own = _urn(kind, F.col("page_id"), F.col("digest"))
+    own = _urn(kind, F.col("page_id"), F.col("digest"), F.col("url"))
     http = lambda n: F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit(END))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
     main = _record(
         [("WARC-Type", kind), ("WARC-Record-ID", own), *common,
          ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
          ("WARC-Profile", F.when(F.col("revisit"), F.lit(REVISIT_PROFILE))),
-         ("WARC-Refers-To", F.when(F.col("revisit"), _urn(F.lit("response"), F.col("first_id"), F.col("digest")))),
+         ("WARC-Refers-To", F.when(F.col("revisit"), _urn(F.lit("response"), F.col("first_id"), F.col("digest"), F.col("first_url")))),
          ("Content-Type", F.lit("application/http; msgtype=response"))],
         F.concat(http(F.col("bytes")), F.when(F.col("revisit"), "").otherwise(F.col("payload"))),
     )
@@ -73,7 +84,7 @@ def write_warc(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z
     about = F.concat_ws("", F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("via: crawl\r\n"))
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn(F.lit("metadata"), own)), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], about)
     text = joined.select(F.concat_ws(END, request, main, metadata).alias("value"))
-    text.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+    text.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", max(1, min(FILE_CAPTURES, FILE_BYTES // ((most or 0) + 2048)))).text(path)
 
 
 def _inflate(data: bytes) -> bytes:
