@@ -41,7 +41,7 @@ from chronolith.llm.bit_mixing import CHUNK, END, ORDERS, TABLE_BITS, Mixer, Spe
 from chronolith.llm.common import written
 
 #: Bytes of text in a block of documents, n-grams in a bucket, and tokens whose decisions are made at a time, about.
-BLOCK_BYTES, BUCKET_GRAMS, SLICE_TOKENS = 8 << 20, 2_000_000, 1 << 17
+BLOCK_BYTES, BUCKET_GRAMS, SLICE_TOKENS = 6 << 20, 1_500_000, 1 << 17
 #: Tokens with a code of their own.
 BOOK = (1 << 16) - 1
 #: Kinds of documents; the last one is for all others.
@@ -557,7 +557,7 @@ def _speller(decided: DataFrame, table_bits: int) -> Speller:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = np.zeros((len(ORDERS), 1 << table_bits, 2))
-        for toks in _words(batches, 50_000):
+        for toks in _words(batches, 20_000):
             count_bits(toks, np.ones(len(toks)), into, table_bits)
         for p in range(len(ORDERS)):
             yield from _chunks(p * chunks, into[p].ravel(), CHUNK)
