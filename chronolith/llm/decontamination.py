@@ -2,12 +2,13 @@
 
 The k-gram hashes of a text are cut to the smallest of each window of ``window - k + 1`` neighbours. A passage of at
 least ``window`` words that a document and a benchmark item share is then selected alike on both sides, so joining the
-selected fingerprints (those of documents first held against the set of the benchmark's, if that is small) finds every such passage. Each hit is extended word by word to both sides, and counts if the
+selected fingerprints finds every such passage. Each hit is extended word by word to both sides, and counts if the
 equal run reaches the window; that makes the result exact, whatever the hashes do. Items shorter than the window are
-one window of their own length, whose hash is looked up at every position of the documents.
+one window of their own length, whose hash is looked up at every position of the documents; all lengths in one pass.
 
-The benchmark side is broadcast only if its texts are at most ``MAX_BROADCAST`` bytes, which is checked; beyond that
-the fingerprints meet in a shuffle join, with the words around each of them.
+The benchmark's fingerprints are held in the tasks, with the words around each of them, only if its texts are at most
+``MAX_BROADCAST`` bytes, which is checked. Beyond that the documents' fingerprints alone, without words, first meet the
+set of the benchmark's in a shuffle; only texts with a common fingerprint then bring the words around theirs.
 
 Defined cases: a null or wordless text has no words and is never contaminated; an item without words is no window; an
 item with a null id marks words but isn't listed; items of the same id count once; repeated documents each get a row;
@@ -23,7 +24,7 @@ from chronolith.llm.common import kept
 
 WINDOW = 13
 K = 5
-#: Bytes of benchmark text up to which its fingerprints, with the words around them, are broadcast.
+#: Bytes of benchmark text up to which its fingerprints, with the words around them, are held in the tasks.
 MAX_BROADCAST = 1 << 20
 #: Contaminated keys that are broadcast at most.
 MAX_IDS = 100_000
@@ -60,77 +61,86 @@ def winnowed(df: DataFrame, window: int = WINDOW, k: int = K, known: list[int] |
     return df.withColumn("grams", _gram_hashes("hashes", k)).withColumn("packed", packed).withColumn("picked", picked).withColumn("prints", prints).drop("grams", "packed", "picked")
 
 
-def _around(words: Column, pos: Column, left: int, right: int) -> Column:
+def _around(words: Column, pos: Column, left: int | Column, right: int | Column) -> Column:
     """The words from ``left`` before the position to ``right`` after it, as far as there are any."""
-    lo = F.least(pos, F.lit(left))
+    lo = F.least(pos, left if isinstance(left, Column) else F.lit(left))
     return F.slice(words, pos - lo + 1, lo + right)
 
 
-def _with_context(prints: Column, reach: int, k: int, known: list[int] | None) -> Column:
-    """The fingerprints with the words around them, only those in ``known`` if that is given.
-
-    The words go along here, as exploding rows that hold a whole text would copy it for each fingerprint.
-    """
-    if known is not None:
-        prints = F.filter(prints, lambda p: p["h"].isin(known)) if known else F.slice(prints, 1, 0)
-    return F.transform(prints, lambda p: F.struct(p["h"].alias("h"), p["pos"].alias("pos"), _around(F.col("words"), p["pos"], reach, k + reach).alias("near")))
-
-
-def _hits(docs: DataFrame, items: DataFrame, broadcast: bool, need: int, k: int) -> DataFrame:
+def _hits(docs: DataFrame, items: DataFrame, broadcast: bool) -> DataFrame:
     """Rows of ``docs`` (rid, doc_id, n_words, prints with one null marker) that mark a row or hit an item.
 
-    ``items``: h, item_id, ctx and at (the position of the k-gram in ctx). A hit has the interval [start, stop) of
-    the document's words that equal the item's, which is at least ``need`` words long.
+    A print has h, pos, k (words in it), reach (words around it that count) and near; ``items``: h, item_id, ctx and at
+    (the position of the k-gram in ctx). A hit has the interval [start, stop) of the document's words that equal the
+    item's, which is at least k + reach words long.
     """
-    reach = need - k
     # explode_outer: for explode() Spark infers a filter on the array, and would work out the whole array for it again
     rows = docs.select("rid", "doc_id", "n_words", F.explode_outer("prints").alias("p")).select("rid", "doc_id", "n_words", "p.*").filter("pos IS NOT NULL")
     joined = rows.join(F.broadcast(items) if broadcast else items, "h", "left").filter((F.col("pos") < 0) | F.col("ctx").isNotNull())
-    own = F.least(F.col("pos"), F.lit(reach))  # words before the k-gram in near
+    own = F.least(F.col("pos"), F.col("reach"))  # words before the k-gram in near
     lo = F.least(own, F.col("at"))
+    wide = F.col("lo") + F.col("k") + F.col("reach")
     equal = F.when(
         F.col("pos") >= 0,
-        F.zip_with(
-            F.slice("near", own - F.col("lo") + 1, F.col("lo") + k + reach),
-            F.slice("ctx", F.col("at") - F.col("lo") + 1, F.col("lo") + k + reach),
-            lambda a, b: F.coalesce(a == b, F.lit(False)),
-        ),
+        F.zip_with(F.slice("near", own - F.col("lo") + 1, wide), F.slice("ctx", F.col("at") - F.col("lo") + 1, wide), lambda a, b: F.coalesce(a == b, F.lit(False))),
     )
     # the run of equal words around the k-gram: after the last difference before it, up to the first one after it
     unequal = F.transform("equal", lambda e, i: F.when(~e, i))
     left = F.coalesce(F.array_max(F.filter(unequal, lambda i: i < F.col("lo"))) + 1, F.lit(0))
     right = F.coalesce(F.array_min(F.filter(unequal, lambda i: i >= F.col("lo"))), F.size("equal"))
     out = joined.withColumn("lo", lo).withColumn("equal", equal).withColumns({"left": left, "right": right})
-    found = (F.col("pos") >= 0) & (F.col("right") - F.col("left") >= need)
+    found = (F.col("pos") >= 0) & (F.col("right") - F.col("left") >= F.col("k") + F.col("reach"))
     return out.filter((F.col("pos") < 0) | found).select(
         "rid", "doc_id", "n_words", "item_id",
         F.when(found, F.struct((F.col("pos") - F.col("lo") + F.col("left")).alias("start"), (F.col("pos") - F.col("lo") + F.col("right")).alias("stop"))).alias("span"),
     )
 
 
+def _short(hashes: str, lengths: list[int]) -> Column:
+    """Prints (h, pos, k, reach) of all runs of so many words."""
+
+    def of(n: int) -> Column:
+        return F.transform(_gram_hashes(hashes, n), lambda h, i: F.struct(F.xxhash64(F.lit(n), h).alias("h"), i.alias("pos"), F.lit(n).alias("k"), F.lit(0).alias("reach")))
+
+    runs = [of(n) for n in lengths]
+    return F.concat(*runs) if runs else F.array().cast("array<struct<h:bigint,pos:int,k:int,reach:int>>")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, n_words, spans (merged, half-open, in words), n_hit, items (sorted) and contaminated, for each document."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
     items = items.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words"))
     facts = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(item_text_col))), F.lit(0)).alias("bytes")).first()
-    short = [r["n"] for r in items.filter((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect()]  # less than window values
+    short = sorted(r["n"] for r in items.filter((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect())  # less than window values
     small = facts["bytes"] <= MAX_BROADCAST
     reach = window - k
     prints = winnowed(items.filter(F.col("n") >= window), window, k).select("item_id", "words", F.explode_outer("prints").alias("p")).filter("p.h IS NOT NULL")
-    prints = prints.select(F.col("p.h").alias("h"), "item_id", _around(F.col("words"), F.col("p.pos"), reach, k + reach).alias("ctx"), F.least(F.col("p.pos"), F.lit(reach)).alias("at")).distinct()
+    prints = prints.select(F.col("p.h").alias("h"), "item_id", _around(F.col("words"), F.col("p.pos"), reach, k + reach).alias("ctx"), F.least(F.col("p.pos"), F.lit(reach)).alias("at"))
+    for n in short:
+        whole = items.filter(F.col("n") == n).select(F.xxhash64(F.lit(n), F.element_at(_gram_hashes("hashes", n), 1)).alias("h"), "item_id", F.col("words").alias("ctx"), F.lit(0).alias("at"))
+        prints = prints.unionByName(whole)
+    prints = kept(prints.distinct())
+    known = [r["h"] for r in prints.select("h").distinct().collect()] if small else None  # bounded by MAX_BROADCAST
 
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     base = base.withColumn("n_words", F.size("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    marker = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("pos"), F.lit(None).cast("array<string>").alias("near")))
-    known = [r["h"] for r in prints.select("h").distinct().collect()] if small else None  # bounded by MAX_BROADCAST
-    near = winnowed(base, window, k, known).withColumn("prints", _with_context(F.col("prints"), reach, k, known))
-    hits = _hits(near.withColumn("prints", F.concat(marker, "prints")), prints, small, window, k)
-    for n in sorted(short):
-        own = items.filter(F.col("n") == n).select(F.xxhash64("hashes").alias("h"), "item_id", F.col("words").alias("ctx"), F.lit(0).alias("at")).distinct()
-        every = base.withColumn("grams", _gram_hashes("hashes", n)).withColumn("prints", F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("pos"))))
-        known = [r["h"] for r in own.select("h").distinct().collect()] if small else None
-        every = every.withColumn("prints", _with_context(F.col("prints"), 0, n, known))
-        hits = hits.unionByName(_hits(every, own, small, n, n))
+    both = winnowed(base, window, k, known)
+    long_ = F.transform("prints", lambda p: F.struct(p["h"].alias("h"), p["pos"].alias("pos"), F.lit(k).alias("k"), F.lit(reach).alias("reach")))
+    every = F.concat(long_, _short("hashes", short))
+    if known is not None:
+        every = F.filter(every, lambda p: p["h"].isin(known)) if known else F.slice(every, 1, 0)
+    both = both.withColumn("prints", every)
+    if known is None:
+        alike = both.select("text_hash", F.explode_outer("prints").alias("p")).select("text_hash", "p.h").join(prints.select("h").distinct(), "h", "left_semi").select("text_hash").distinct()
+        alike = kept(alike)
+        few = alike.limit(MAX_IDS + 1).count() <= MAX_IDS
+        alike = (F.broadcast(alike) if few else alike).withColumn("alike", F.lit(True))
+        both = both.join(alike, "text_hash", "left").withColumn("prints", F.when(F.col("alike"), F.col("prints")))
+    # the words go along with the prints here, as exploding rows that hold a whole text would copy it for each of them
+    near = F.transform("prints", lambda p: F.struct(p["h"].alias("h"), p["pos"].alias("pos"), p["k"].alias("k"), p["reach"].alias("reach"), _around(F.col("words"), p["pos"], p["reach"], p["k"] + p["reach"]).alias("near")))
+    null = lambda t: F.lit(None).cast(t)
+    marker = F.array(F.struct(null("long").alias("h"), F.lit(-1).alias("pos"), null("int").alias("k"), null("int").alias("reach"), null("array<string>").alias("near")))
+    hits = _hits(both.withColumn("prints", F.concat(marker, F.coalesce(near, F.slice(marker, 1, 0)))), prints, small)
     by_doc = hits.groupBy("rid", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set(F.when(F.col("span").isNotNull(), F.col("item_id")))).alias("items"))
     empty = F.array().cast("array<struct<start:int,stop:int>>")
     merged = F.aggregate(
