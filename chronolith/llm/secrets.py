@@ -163,7 +163,7 @@ def planted(spark: SparkSession, n: int = PLANTED) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("doc_id")).select("doc_id", F.element_at(of, F.pmod(i, F.lit(len(rows))).cast("int") + 1).alias("r")).select("doc_id", "r.*")
 
 
-def fit(labelled: DataFrame, trees: int = 30, depth: int = 10) -> RandomForestClassificationModel | float | None:
+def fit(labelled: DataFrame, trees: int = 20, depth: int = 8) -> RandomForestClassificationModel | float | None:
     """A forest on labelled findings (features and y); the label alone if all have one, None without any."""
     h = labelled.select(*FEATURES, F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("doc_id", "position", "nth", "value"), F.lit(1 << 30)).alias("h"))
     n = {r["y"]: r["count"] for r in h.groupBy("y").count().collect()}
@@ -185,12 +185,12 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc
     drop = ("word", "before1", "before2", "before3", "after1", "named")
     found = kept(with_features(candidates(docs, id_col=id_col, text_col=text_col), words).withColumn("kind", kind_of()).drop(*drop))
     if labels is None:
-        given = planted(docs.sparkSession)
+        given = kept(planted(docs.sparkSession))  # the plans after it are small
         own = with_features(candidates(given), words).drop(*drop)
         known = own.join(given.select("doc_id", "planted", "y"), "doc_id").filter(F.col("value") == F.col("planted"))
     else:
         known = found.join(labels.select("doc_id", "position", "nth", "y"), ["doc_id", "position", "nth"])
-    model = fit(known.filter("y IS NOT NULL"))
+    model = fit(kept(known.filter("y IS NOT NULL").select("doc_id", "position", "nth", "value", "y", *FEATURES)))
     if isinstance(model, RandomForestClassificationModel):
         x = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(found)
         out = model.setFeaturesCol("x").transform(x).withColumn("score", vector_to_array("probability")[1])
