@@ -161,7 +161,13 @@ def gini_coefficient(b):
 def paired_bootstrap_ci(b):
     t = b.tile
     both = [metrics.histogram(t, c, "label", "frame_start", "frame_end", ("video_id",)).withColumnRenamed(c, "score").withColumn("system", F.lit(i)) for i, c in enumerate(("dense_c", "method_c"))]
-    return stats.paired_bootstrap(both[0].unionByName(both[1]), b.video.select("video_id", "weak_label"), "video_id", "weak_label", draws=200)
+    return stats.paired_bootstrap(both[0].unionByName(both[1]), b.video.select("video_id", "weak_label"), "video_id", "weak_label")
+
+
+@query()
+def hedges_bootstrap_ci(b):
+    one = _videos(b).groupBy("video_id").agg(F.avg("video_mean").alias("x"), F.max("weak_label").alias("weak_label"))
+    return stats.hedges_bootstrap(one, "video_id", "x", "weak_label")
 
 
 @query(GROUPS.replace("clip GROUP", "tile GROUP").replace("score_c", "dense_c").replace("SUM(y)", "SUM(label)").replace("1-y", "1-label").split("d AS (")[0].rstrip().rstrip(",") + """, m AS (SELECT method_c, SUM(label) p, SUM(1-label) n FROM tile GROUP BY method_c),

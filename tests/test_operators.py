@@ -68,20 +68,60 @@ def test_snapped_quotas(spark):
     assert total % 14 == 0 and 941 - 14 < total <= 941
 
 
-def test_bootstrap_matches_numpy_point(spark):
-    rows = [(v, s, sc, p, n) for v in range(4) for s in (0, 1) for sc, p, n in [(1, v % 2, 3), (2, 2 * (v % 2), 1 + s)]]
+def brute_metrics(scores, pos, neg):
+    """ROC AUC, PR area by trapezoids from (0, 1), and step AP of weighted rows."""
+    order = sorted(set(scores), reverse=True)
+    p, n = ([sum(x for s, x in zip(scores, c) if s == t) for t in order] for c in (pos, neg))
+    if not sum(p) or not sum(n):
+        return [float("nan")] * 3
+    tp = fp = auc = pr = ap = 0.0
+    last = 1.0
+    for a, b in zip(p, n):
+        tp, fp = tp + a, fp + b
+        auc += a * (sum(n) - fp + b / 2)
+        prec = tp / (tp + fp) if tp + fp else 1.0
+        pr, ap, last = pr + a * (last + prec) / 2, ap + a * prec, prec
+    return [auc / sum(p) / sum(n), pr / sum(p), ap / sum(p)]
+
+
+@pytest.mark.parametrize("each", [100_000, 20])
+def test_bootstrap_against_brute_force(spark, each):
+    import random
+
+    r = random.Random(4)
+    rows = [(v, s, r.randint(0, 9), r.randint(0, 3) * (v % 2), r.randint(0, 4)) for v in range(9) for s in (0, 1) for _ in range(4)]
     hist = spark.createDataFrame(rows, "video long, system int, score int, pos_frames long, neg_frames long")
-    videos = spark.createDataFrame([(v, v % 2) for v in range(4)], "video long, label int")
-    a = stats.paired_bootstrap(hist, videos, "video", "label", draws=50).first()
-    b = stats.paired_bootstrap(hist.repartition(7), videos, "video", "label", draws=50).first()
-    assert a == b and a["lower"] <= a["point"] <= a["upper"]
-
-
-def test_decision_keeps_the_margin():
-    assert stats.decision(-0.005 + 1e-16, 0.1, 1000, 1000) == "inconclusive"
-    assert stats.decision(-0.004, 0.1, 1000, 1000) == "supported"
-    assert stats.decision(-0.1, -0.006, 1000, 1000) == "inferior"
-    assert stats.decision(0.0, 0.1, 900, 1000) == "inconclusive"
+    videos = spark.createDataFrame([(v, v % 2) for v in range(9)], "video long, label int")
+    got = {x["metric"]: x for x in stats.paired_bootstrap(hist, videos, "video", "label", draws=150, each=each).collect()}
+    idx = {x["video"]: x["idx"] for x in stats.indexed(videos, "label", "video").collect()}
+    assert sorted(idx[v] for v in range(9) if v % 2) == [0, 1, 2, 3] and sorted(idx[v] for v in range(0, 9, 2)) == [0, 1, 2, 3, 4]
+    deltas = []
+    for block in (-1, 0, 1, 2):
+        w = stats.draw_weights(20260918, block, {0: 5, 1: 4}, 150)
+        assert (w[0].sum(1) == 5).all() and (w[1].sum(1) == 4).all()
+        for d in range(len(w[0])):
+            each_ = [brute_metrics(*zip(*[(sc, p * w[v % 2][d][idx[v]], n * w[v % 2][d][idx[v]]) for v, s, sc, p, n in rows if s == system])) for system in (0, 1)]
+            deltas.append([b - a for a, b in zip(*each_)])
+    assert len(deltas) == 151
+    for i, m in enumerate(("frame_roc_auc", "frame_pr_auc", "frame_ap")):
+        draws = sorted(x[i] for x in deltas[1:])
+        assert got[m]["point"] == pytest.approx(deltas[0][i]) and got[m]["valid_draws"] == 150 and got[m]["status"] == "available"
+        at = 0.025 * 149
+        assert got[m]["lower"] == pytest.approx(draws[int(at)] + (at % 1) * (draws[int(at) + 1] - draws[int(at)]))
+
+
+def test_hedges_bootstrap_redraws(spark):
+    videos = spark.createDataFrame([(0, 1.0, 0), (1, 2.0, 0), (2, 4.0, 1), (3, 5.0, 1)], "v long, x double, y int")
+    a = stats.hedges_bootstrap(videos, "v", "x", "y", replicates=300).first()
+    assert a["valid_draws"] == 300 and a["attempts"] > 300 and a["lower"] <= a["upper"]
+    assert stats.hedges_bootstrap(videos.filter("y = 0"), "v", "x", "y").first()["lower"] is None
+
+
+def test_decision_keeps_the_margin(spark):
+    rows = [(0.0, -0.005 - 1e-16, 0.1, 1000), (0.0, -0.004, 0.1, 1000), (-0.05, -0.1, -0.006, 1000), (0.0, -0.1, 0.1, 1000), (0.0, 0.0, 0.1, 900), (None, 0.0, 0.1, 1000)]
+    status, verdict = stats.decision(F.col("p"), F.col("l"), F.col("u"), F.col("n"), 1000)
+    got = [r["d"] for r in spark.createDataFrame(rows, "p double, l double, u double, n int").select(verdict.alias("d")).collect()]
+    assert got == ["supported", "supported", "inferior", "inconclusive", "NA", "NA"]
 
 
 def test_streams_equal_batches(spark, tmp_path):
