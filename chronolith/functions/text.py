@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def canonical_id(value: Column) -> Column:
     """Base name without a known suffix and without a clip suffix, trimmed, in lower case."""
     name = F.element_at(F.split(F.regexp_replace(value, r"\\", "/"), "/"), -1)
-    bare = F.regexp_replace(name, r"(?i)\.(mp4|avi|mkv|mov|webm|npy|npz|txt)$", "")
+    bare = F.regexp_replace(name, r"(?i)\.(mp4|avi|mkv|mov|webm|npy|npz|txt|fc6-1)$", "")
     return F.lower(F.trim(F.regexp_replace(bare, r"(?i)(__\d+|_c)$", "")))
 
 
@@ -37,9 +37,31 @@ def clock_seconds(value: Column) -> Column:
 
 
 def source_group(member: Column) -> Column:
-    """Group of a member by the part before '__#'; one shared group where there is none."""
-    parts = F.split(member, "__#")
-    return F.when(F.size(parts) > 1, F.concat(F.lit("source:"), F.sha2(F.lower(parts[0]).cast("binary"), 256))).otherwise("source:unknown")
+    """Group of a member by what stands before the one '__#' of its base name, without suffix and label; else one shared group."""
+    name = F.regexp_replace(F.element_at(F.split(member, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    parts = F.split(F.regexp_replace(name, "_label_(?!.*_label_).*$", ""), "__#")
+    ok = (F.size(parts) == 2) & (parts[0] != "") & (parts[1] != "")
+    return F.when(ok, F.concat(F.lit("source:"), F.sha2(F.lower(parts[0]).cast("binary"), 256))).otherwise("source:unknown")
+
+
+#: The categories.
+CATEGORIES = ("Abuse", "Arrest", "Arson", "Assault", "Burglary", "Explosion", "Fighting", "RoadAccidents", "Robbery", "Shooting", "Shoplifting", "Stealing", "Vandalism", "Normal")
+
+
+def category(value: Column) -> Column:
+    """The category that a name means, without regard to case, spaces and underscores; 'Normal' if it says so anywhere; else null."""
+    bare = F.lower(F.regexp_replace(F.trim(value), "[ _]", ""))
+    found = F.filter(F.array(*map(F.lit, CATEGORIES)), lambda c: F.lower(c) == bare)
+    return F.when(bare.contains("normal"), "Normal").otherwise(F.get(found, 0))
+
+
+def inferred_category(path: Column) -> Column:
+    """The category of the first folder or name that means one, else the one that the base name begins with, else null."""
+    parts = F.split(F.regexp_replace(path, r"\\", "/"), "/")
+    means = F.get(F.filter(F.transform(parts, category), lambda c: c.isNotNull()), 0)
+    base = F.lower(F.element_at(parts, -1))
+    prefix = F.get(F.filter(F.array(*map(F.lit, CATEGORIES[:-1])), lambda c: F.startswith(base, F.lower(c))), 0)
+    return F.coalesce(means, prefix)
 
 
 def hamming_hex(a: Column, b: Column) -> Column:
@@ -48,9 +70,19 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(blocks(a), blocks(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+#: Fixed value: ends of names whose values are hidden.
+SECRET_NAME = r"(?i)(?:^|[_-])(?:password|passwd|secret|token|api[_-]?key|cookie|credentials?|authorization)$"
+
+
 def redact(value: Column, key: Column) -> Column:
     """The value, hidden where its key names a secret."""
-    return F.when(key.rlike("(?i)(token|secret|passw|api_?key|credential)"), F.lit("[redacted]")).otherwise(value)
+    return F.when(key.rlike(SECRET_NAME), F.lit("<redacted>")).otherwise(value)
+
+
+def redact_json(text: Column) -> Column:
+    """JSON text whose strings, numbers and literals under a secret's name are hidden, at any depth."""
+    name = SECRET_NAME.removeprefix("(?i)(?:^|[_-])").removesuffix("$")
+    return F.regexp_replace(text, r'(?i)("(?:[^"\\]*[_-])?' + name + r'"\s*:\s*)("(?:[^"\\]|\\.)*"|[-+.\w]+)', '$1"<redacted>"')
 
 
 def fingerprint(*columns: Column) -> Column:

@@ -74,3 +74,9 @@ def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def canonical_leakage(rows: DataFrame, item: str, split: str) -> DataFrame:
     return split_leakage(rows, canonical_id(F.col(item).cast("string")), split)
+
+
+def label_sidecar(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """key, label and the number of members of the label; counts are joined, so no label's rows meet in one task."""
+    counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("members"))
+    return rows.select(key, label).join(counts, F.col(label).eqNullSafe(F.col("__label"))).select(key, label, "members")

@@ -122,3 +122,17 @@ def longest_cover(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
 def stab(tiles: DataFrame, points: DataFrame, key: str, start: str, end: str, frame: str) -> DataFrame:
     """The interval of the key over each point; points in none or in several are the caller's to reject."""
     return points.join(tiles, key).filter((F.col(start) <= F.col(frame)) & (F.col(frame) < F.col(end)))
+
+
+def clip_interval(seg_start: str, seg_end: str, frame_start: str, frame_end: str) -> tuple[Column, Column]:
+    """Bounds of a clip: its whole segment if that is known and not empty, else its frames."""
+    ok = F.coalesce((F.col(seg_start) >= 0) & (F.col(seg_start) < F.col(seg_end)), F.lit(False))
+    return F.when(ok, F.col(seg_start)).otherwise(F.col(frame_start)), F.when(ok, F.col(seg_end)).otherwise(F.col(frame_end))
+
+
+def truth_runs(df: DataFrame, key: str, lo: str, hi: str, label: str) -> DataFrame:
+    """key, runs ('lo-hi:label' in order) and frames: a sealed record of each key's equal labels, run by run."""
+    merged = merge_equal(df.select(key, lo, hi, label), key, lo, hi, [label])
+    parts = F.array_sort(F.collect_list(F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.col(label).alias("label"))))
+    text = F.concat_ws(",", F.transform("p", lambda r: F.concat(r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string"), F.lit(":"), r["label"].cast("string"))))
+    return merged.groupBy(key).agg(parts.alias("p"), F.sum(F.col(hi) - F.col(lo)).alias("frames")).select(key, text.alias("runs"), "frames")

@@ -46,3 +46,8 @@ def bce_focal(logit: Column, target: Column, positive_weight: float = 1.0, gamma
         return loss
     p = 1 / (1 + F.exp(-logit))
     return loss * F.pow(F.when(target > 0, 1 - p).otherwise(p), F.lit(gamma))
+
+
+def accumulate_epochs(batches: DataFrame, epoch: str, loss: str, size: str) -> DataFrame:
+    """Batches, samples and the mean loss of each epoch, where a batch counts by its size."""
+    return batches.groupBy(epoch).agg(F.count("*").alias("batches"), F.sum(size).alias("samples"), (F.sum(F.col(loss) * F.col(size)) / F.sum(size)).alias("loss"))

@@ -95,3 +95,16 @@ def even_positions(n: Column, most: int) -> Column:
 def rounded_positions(n: Column, count: int) -> Column:
     """Evenly spaced positions rounded half to even, each once."""
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (n - 1) / F.lit(max(count - 1, 1)), 0).cast("long")))
+
+
+def fps_indices(videos: DataFrame, num_frames: str, fps: str, sample_fps: float, count: int) -> DataFrame:
+    """``stride`` (frames a second over the wanted rate, rounded half to even, 1 at least) and ``frames``: the first ``count``
+    of its multiples; null for a video that is too short, as nothing is padded."""
+    stride = F.greatest(F.lit(1), F.bround(F.col(fps) / sample_fps).cast("long"))
+    frames = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: i * F.col("stride"))
+    return videos.withColumn("stride", stride).withColumn("frames", F.when(F.col("stride") * (count - 1) < F.col(num_frames), frames))
+
+
+def percentage_points(dense: Column, method: Column) -> Column:
+    """The difference on the scale of 0 to 100, never a relative one."""
+    return 100.0 * (method - dense)

@@ -141,7 +141,9 @@ def paired_bootstrap(hist: DataFrame, videos: DataFrame, key: str, label: str, d
     parts = max(1, -(-hist.count() // each))
     cuts = rows.agg(F.percentile_approx("score", [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000)).first()[0] if parts > 1 else []
     cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
-    rows = rows.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col("score"))))
+    # draws are dealt to chunks as well, so that few ranges still make many tasks
+    chunks = min(16, len(blocks))
+    rows = rows.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col("score")))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def curve(own: pd.DataFrame, block: int) -> tuple[np.ndarray, np.ndarray]:
         """Weighted frames by draw and distinct score, from the highest score down."""
@@ -154,10 +156,10 @@ def paired_bootstrap(hist: DataFrame, videos: DataFrame, key: str, label: str, d
         return tuple(np.add.reduceat(mine[:, order] * own[c].to_numpy(np.float64)[order], at, 1) for c in ("pos_frames", "neg_frames"))
 
     def sums(k, own):
-        got = [(b, *(x.sum(1).tobytes() for x in curve(own, b))) for b in blocks]
+        got = [(b, *(x.sum(1).tobytes() for x in curve(own, b))) for b in blocks if (b + 1) % chunks == k[2]]
         return pd.DataFrame([(int(k[0]), int(k[1]), *g) for g in got], columns=["system", "part", "block", "p", "n"])
 
-    groups = rows.groupBy("system", "part")
+    groups = rows.groupBy("system", "part", "chunk")
     total = groups.applyInPandas(sums, "system int, part int, block int, p binary, n binary")
 
     def above(k, own):
@@ -181,7 +183,7 @@ def paired_bootstrap(hist: DataFrame, videos: DataFrame, key: str, label: str, d
             out.append((int(k[0]), int(r.block), *(x.tobytes() for x in each_), r.pp, r.np))
         return pd.DataFrame(out, columns=["system", "block", "roc", "pr", "ap", "p", "n"])
 
-    given = groups.cogroup(before.groupBy("system", "part")).applyInPandas(lambda k, a, b: contribute(k, a, b), "system int, block int, roc binary, pr binary, ap binary, p binary, n binary")
+    given = groups.cogroup(before.withColumn("chunk", (F.col("block") + 1) % chunks).groupBy("system", "part", "chunk")).applyInPandas(lambda k, a, b: contribute(k, a, b), "system int, block int, roc binary, pr binary, ap binary, p binary, n binary")
 
     def deltas(k, own):
         value = {}

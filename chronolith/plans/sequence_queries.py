@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolith.functions import text
-from chronolith.operators import attention, intervals, metrics, sampling, selection, sequences, vectors
+from chronolith.operators import attention, audit, intervals, losses, metrics, sampling, selection, sequences, vectors
 from chronolith.plans.queries import NORMS, _norms, query, r6, r9
 
 
@@ -131,7 +131,7 @@ def feature_grid_pr(b):
     return metrics.precision_recall(b.tile, "dense_c", "label", weight=F.lit(16)).select(r9("pr_trapezoid").alias("pr_area"))
 
 
-@query("""SELECT url, lower(trim(regexp_replace(regexp_replace(list_last(string_split(url, '/')), '(?i)\\.(mp4|avi|mkv|mov|webm|npy|npz|txt)$', ''), '(?i)(__\\d+|_c)$', ''))) AS canonical, 'source:unknown' AS grp FROM pages""")
+@query("""SELECT url, lower(trim(regexp_replace(regexp_replace(list_last(string_split(url, '/')), '(?i)\\.(mp4|avi|mkv|mov|webm|npy|npz|txt|fc6-1)$', ''), '(?i)(__\\d+|_c)$', ''))) AS canonical, 'source:unknown' AS grp FROM pages""")
 def canonical_names(b):
     return b.table("pages").select("url", text.canonical_id(F.col("url")).alias("canonical"), text.source_group(F.col("url")).alias("grp"))
 
@@ -159,3 +159,56 @@ def pooled_comparison(b):
 
     e = b.token.withColumn("other", F.lead("embedding").over(W.partitionBy("pair_id").orderBy("token_id"))).filter("other IS NOT NULL")
     return e.select("pair_id", r6(vectors.relative_error("embedding", "other")).alias("relative"), r6(vectors.max_abs_error("embedding", "other")).alias("largest"))
+
+
+CATS = "['Abuse','Arrest','Arson','Assault','Burglary','Explosion','Fighting','RoadAccidents','Robbery','Shooting','Shoplifting','Stealing','Vandalism','Normal']"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, list_extract({CATS}, CAST(p_partkey % 14 AS INTEGER)+1) AS cat, p_name FROM part),
+v AS (SELECT p_partkey, CASE WHEN p_partkey%3=0 THEN upper(cat)||' '||'_' WHEN p_partkey%3=1 THEN 'un'||cat ELSE cat END AS folder, cat||'0'||p_partkey||'_x264.mp4' AS base FROM c),
+n AS (SELECT *, lower(replace(replace(trim(folder),' ',''),'_','')) AS bare FROM v)
+SELECT p_partkey, CASE WHEN bare LIKE '%normal%' THEN 'Normal' ELSE list_extract(list_filter({CATS}, lambda x: lower(x)=bare),1) END AS category,
+ CASE WHEN bare LIKE '%normal%' OR lower(base) LIKE '%normal%' THEN 'Normal' ELSE COALESCE(list_extract(list_filter({CATS}, lambda x: lower(x)=bare),1), list_extract(list_filter({CATS}, lambda x: starts_with(lower(base), lower(x))),1)) END AS inferred FROM n""")
+def categories(b):
+    cat = F.element_at(F.array(*map(F.lit, text.CATEGORIES)), (F.col("p_partkey") % 14 + 1).cast("int"))
+    folder = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper(cat), F.lit(" _"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("un"), cat)).otherwise(cat)
+    path = F.concat(folder, F.lit("/"), cat, F.lit("0"), F.col("p_partkey").cast("string"), F.lit("_x264.mp4"))
+    return b.table("part").select("p_partkey", text.category(folder).alias("category"), text.inferred_category(path).alias("inferred"))
+
+
+@query(""", f AS (SELECT video_id, num_frames, 24.0+MOD(video_id,7) AS fps FROM video), s AS (SELECT *, GREATEST(1, CAST(ROUND_EVEN(fps/8.0, 0) AS BIGINT)) AS stride FROM f)
+SELECT video_id, stride, CASE WHEN stride*3<num_frames THEN concat_ws(',', 0, stride, stride*2, stride*3) END AS frames FROM s""", "video")
+def fps_sample_indices(b):
+    return sampling.fps_indices(b.video.select("video_id", "num_frames", (24.0 + F.col("video_id") % 7).alias("fps")), "num_frames", "fps", 8.0, 4).select("video_id", "stride", F.array_join("frames", ",").alias("frames"))
+
+
+@query("""SELECT video_id, clip_index, CASE WHEN seg_start IS NOT NULL AND seg_end IS NOT NULL AND seg_start>=0 AND seg_start<seg_end THEN seg_start ELSE frame_start END AS lo,
+ CASE WHEN seg_start IS NOT NULL AND seg_end IS NOT NULL AND seg_start>=0 AND seg_start<seg_end THEN seg_end ELSE frame_end END AS hi
+ FROM (SELECT *, CASE WHEN MOD(clip_index,3)>0 THEN frame_start-4 END AS seg_start, CASE WHEN MOD(clip_index,2)=0 THEN frame_end+4 ELSE 0 END AS seg_end FROM clip)""", "clip")
+def clip_frame_interval(b):
+    rows = b.clip.withColumns({"seg_start": F.when(F.col("clip_index") % 3 > 0, F.col("frame_start") - 4), "seg_end": F.when(F.col("clip_index") % 2 == 0, F.col("frame_end") + 4).otherwise(0)})
+    lo, hi = intervals.clip_interval("seg_start", "seg_end", "frame_start", "frame_end")
+    return rows.select("video_id", "clip_index", lo.alias("lo"), hi.alias("hi"))
+
+
+@query("""SELECT label, ROUND(100.0*(AVG(method_c)-AVG(dense_c)),6) AS points FROM tile GROUP BY label""", "tile")
+def percentage_points(b):
+    return b.tile.groupBy("label").agg(r6(sampling.percentage_points(F.avg("dense_c"), F.avg("method_c"))).alias("points"))
+
+
+@query("""SELECT l_linenumber AS epoch, COUNT(*) AS batches, CAST(SUM(l_quantity) AS DOUBLE) AS samples, ROUND(SUM(l_discount*l_quantity)/SUM(l_quantity),6) AS loss FROM lineitem GROUP BY l_linenumber""")
+def epoch_accumulation(b):
+    return losses.accumulate_epochs(b.table("lineitem"), "l_linenumber", "l_discount", "l_quantity").select(F.col("l_linenumber").alias("epoch"), "batches", F.col("samples").cast("double").alias("samples"), r6("loss").alias("loss"))
+
+
+@query("""SELECT CAST(vec_id AS BIGINT) AS video_id, label, COUNT(*) OVER (PARTITION BY label) AS members FROM embeddings""")
+def label_sidecar(b):
+    return audit.label_sidecar(b.table("embeddings"), "vec_id", "label").select(F.col("vec_id").cast("long").alias("video_id"), "label", "members")
+
+
+@query("""SELECT video_id, list(struct_pack(lo:=lo, hi:=hi, label:=label) ORDER BY lo) AS runs, CAST(SUM(hi-lo) AS BIGINT) AS frames FROM (
+ SELECT video_id, MIN(frame_start) AS lo, MAX(frame_end) AS hi, MAX(label) AS label FROM (
+  SELECT *, SUM(fresh) OVER (PARTITION BY video_id ORDER BY frame_start) AS run FROM (
+   SELECT *, CASE WHEN label=LAG(label) OVER (PARTITION BY video_id ORDER BY frame_start) THEN 0 ELSE 1 END AS fresh FROM tile)) GROUP BY video_id, run) GROUP BY video_id""".replace("list(struct_pack(lo:=lo, hi:=hi, label:=label) ORDER BY lo)", "string_agg(lo||'-'||hi||':'||label, ',' ORDER BY lo)"), "tile")
+def sealed_truth(b):
+    return intervals.truth_runs(b.tile, "video_id", "frame_start", "frame_end", "label")

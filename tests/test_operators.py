@@ -260,3 +260,14 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(encoder_fingerprint" in plan and "EqualTo(video_id,v)" in plan and [r[0] for r in found.collect()] == ["c"]
     assert "x:int" not in plan.split("ReadSchema")[1]
+
+
+def test_names_groups_categories_and_redaction(spark):
+    df = spark.createDataFrame([("A/x__#01_label_B1.mp4",), ("A/x__#2__#3.mp4",), ("B/X__#9_label_A_label_C.mp4",), ("x__#",), ("Road_ Accidents/v.mp4",), ("a/Normal_Videos_01.mp4",), ("z/Arson003_x264.mp4",), ("clip.fc6-1",)], "p string")
+    got = df.select("p", text.source_group(F.col("p")).alias("g"), text.inferred_category(F.col("p")).alias("c"), text.canonical_id(F.col("p")).alias("i")).collect()
+    group = [r["g"] for r in got]
+    assert group[0] == group[2] != "source:unknown" and group[1] == group[3] == "source:unknown"
+    assert [r["c"] for r in got[4:7]] == ["RoadAccidents", "Normal", "Arson"] and got[7]["c"] is None and got[7]["i"] == "clip"
+    line = '{"a": {"api_key": "x\\"y", "session-cookie": 5, "keyboard": "q"}, "token": null, "tokens": "kept"}'
+    one = spark.createDataFrame([(line,)], "t string").select(text.redact_json(F.col("t")).alias("t")).first()["t"]
+    assert one == '{"a": {"api_key": "<redacted>", "session-cookie": "<redacted>", "keyboard": "q"}, "token": "<redacted>", "tokens": "kept"}'
