@@ -64,20 +64,23 @@ def coverage_rollup(summary: DataFrame) -> DataFrame:
 
 
 def project(clips: DataFrame, grid: DataFrame, key: str, start: str, end: str, score: str, order: str, reduction: str, fill: float = 0.0) -> DataFrame:
-    """Scores of the intervals over each grid point (key, frame) by max, mean, first or last; ``fill`` where there is none."""
-    points = clips.select(key, F.explode(F.sequence(start, F.col(end) - 1)).alias("frame"), score, order)
-    reduce_ = {"max": F.max(score), "mean": F.avg(score), "first": F.min_by(score, order), "last": F.max_by(score, order)}[reduction]
-    return grid.join(points.groupBy(key, "frame").agg(reduce_.alias("score")), [key, "frame"], "left").select(key, "frame", F.coalesce(F.col("score").cast("double"), F.lit(float(fill))).alias("score"))
+    """Scores of the intervals over each grid point (key, frame) by max, mean, first or last; ``fill`` where there is none.
 
+    Grid points and the intervals' frames meet in one aggregation, so nothing is joined.
+    """
+    types = dict(clips.dtypes)
+    points = clips.select(key, F.explode(F.sequence(F.col(start).cast("long"), F.col(end).cast("long") - 1)).alias("frame"), F.col(score).alias("__s"), F.col(order).alias("__o"), F.lit(0).cast("long").alias("__g"))
+    wanted = grid.select(key, F.col("frame").cast("long").alias("frame"), F.lit(None).cast(types[score]).alias("__s"), F.lit(None).cast(types[order]).alias("__o"), F.lit(1).cast("long").alias("__g"))
+    reduce_ = {"max": F.max("__s"), "mean": F.avg("__s"), "first": F.min_by("__s", "__o"), "last": F.max_by("__s", "__o")}[reduction]
+    seen = points.union(wanted).groupBy(key, "frame").agg(reduce_.alias("score"), F.sum("__g").alias("__g"))
+    return seen.filter(F.col("__g") > 0).select(key, "frame", F.coalesce(F.col("score").cast("double"), F.lit(float(fill))).alias("score"))
 
-def last_writer_labels(videos: DataFrame, spans: DataFrame, key: str, frames: str, start: str, end: str, label: str, order: str) -> DataFrame:
-    """Frames with a label: the latest annotation over a frame decides, also back to 0; without any it is 0.
 
-    Given as the number of frames and of positive frames for each video and as runs by ``label_runs``.
-    """
-    points = spans.select(key, F.explode(F.sequence(start, F.col(end) - 1)).alias("frame"), label, order).groupBy(key, "frame").agg(F.max_by(label, order).alias("label"))
-    grid = videos.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col(frames) - 1)).alias("frame"))
-    return grid.join(points, [key, "frame"], "left").select(key, "frame", F.coalesce("label", F.lit(0)).alias("label"))
+def last_writer_labels(videos: DataFrame, spans: DataFrame, key: str, frames: str, start: str, end: str, label: str, order: str) -> DataFrame:
+    """Frames with a label: the latest annotation over a frame decides, also back to 0; without any it is 0."""
+    grid = videos.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col(frames).cast("long") - 1)).alias("frame"))
+    out = project(spans, grid, key, start, end, label, order, "last")
+    return out.select(key, "frame", F.col("score").cast(dict(spans.dtypes)[label]).alias("label"))
 
 
 def overlap_targets(tokens: DataFrame, spans: DataFrame, key: str, t0: str, t1: str, s0: str, s1: str, label: str, least: float, reference: str = "token") -> DataFrame:
@@ -98,20 +101,25 @@ def overlap_targets(tokens: DataFrame, spans: DataFrame, key: str, t0: str, t1:
 def align(tables: list[tuple[DataFrame, str, str, str]], key: str) -> DataFrame:
     """Elementary intervals of several tilings (rows, start, end, value) of the same key, with each one's value there.
 
-    Each tiling's rows are disjoint; where one has no row its value is null.
+    Each tiling's rows are disjoint; where one has no row its value is null. All boundaries are ordered once in each key,
+    and the row of a tiling that began last is its row at a boundary.
     """
-    cuts = None
-    for df, a, b, _ in tables:
-        own = df.select(key, F.explode(F.array(a, b)).alias("lo"))
-        cuts = own if cuts is None else cuts.union(own)
-    out = cuts.distinct().withColumn("hi", F.lead("lo").over(_ordered(key, "lo"))).filter("hi IS NOT NULL")
+    names: list[str] = []
+    for *_, v in tables:
+        names.append(v if v not in names else f"{v}_{len(names)}")
+    types = [dict(df.dtypes)[v] for df, _, _, v in tables]
+    events = None
     for i, (df, a, b, v) in enumerate(tables):
-        events = out.select(key, "lo", F.lit(None).cast(dict(df.dtypes)[v]).alias("v"), F.lit(None).cast("long").alias("e")).withColumn("o", F.lit(1))
-        both = events.unionByName(df.select(key, F.col(a).cast("long").alias("lo"), F.col(v).alias("v"), F.col(b).cast("long").alias("e"), F.lit(0).alias("o")))
-        w = W.partitionBy(key).orderBy("lo", "o").rowsBetween(W.unboundedPreceding, 0)
-        seen = both.withColumn("s", F.last(F.when(F.col("o") == 0, F.struct("v", "e")), ignorenulls=True).over(w)).filter("o = 1")
-        out = out.join(seen.select(key, "lo", F.when(F.col("s.e") > F.col("lo"), F.col("s.v")).alias(v if i == 0 or v not in out.columns else f"{v}_{i}")), [key, "lo"])
-    return out
+        begins = F.when(F.col(b) > F.col(a), F.struct(F.col(v).alias("v"), F.col(b).cast("long").alias("e")))
+        slots = [(begins if j == i else F.lit(None)).cast(f"struct<v:{t},e:bigint>").alias(f"s{j}") for j, t in enumerate(types)]
+        empty = [F.lit(None).cast(f"struct<v:{t},e:bigint>").alias(f"s{j}") for j, t in enumerate(types)]
+        at = lambda pos, cells: F.struct(F.col(pos).cast("long").alias("lo"), *cells)
+        own = df.select(key, F.explode(F.array(at(a, slots), at(b, empty))).alias("x")).select(key, "x.*")
+        events = own if events is None else events.union(own)
+    w = _ordered(key, "lo")
+    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    seen = events.select(key, "lo", F.lead("lo").over(w).alias("hi"), *[F.last(f"s{i}", ignorenulls=True).over(up_to).alias(f"s{i}") for i in range(len(tables))])
+    return seen.filter("hi > lo").select(key, "lo", "hi", *[F.when(F.col(f"s{i}.e") > F.col("lo"), F.col(f"s{i}.v")).alias(n) for i, n in enumerate(names)])
 
 
 def longest_cover(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -119,9 +127,15 @@ def longest_cover(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return merge_equal(boundaries(df, key, start, end, {}).filter("depth > 0").withColumn("one", F.lit(1)), key, "lo", "hi", ["one"]).select(key, "lo", "hi")
 
 
-def stab(tiles: DataFrame, points: DataFrame, key: str, start: str, end: str, frame: str) -> DataFrame:
-    """The interval of the key over each point; points in none or in several are the caller's to reject."""
-    return points.join(tiles, key).filter((F.col(start) <= F.col(frame)) & (F.col(frame) < F.col(end)))
+def stab(tiles: DataFrame, points: DataFrame, key: str, start: str, end: str, frame: str, step: int = 64) -> DataFrame:
+    """The interval of the key over each point; points in none or in several are the caller's to reject.
+
+    Points and intervals meet in blocks of ``step`` frames of their key.
+    """
+    cells = F.explode(F.sequence(F.floor(F.col(start) / step), F.floor((F.col(end) - 1) / step)))
+    blocks = tiles.filter(F.col(start) < F.col(end)).withColumn("__cell", cells)
+    met = points.withColumn("__cell", F.floor(F.col(frame) / step)).join(blocks, [key, "__cell"])
+    return met.filter((F.col(start) <= F.col(frame)) & (F.col(frame) < F.col(end))).drop("__cell")
 
 
 def clip_interval(seg_start: str, seg_end: str, frame_start: str, frame_end: str) -> tuple[Column, Column]:

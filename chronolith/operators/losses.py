@@ -28,14 +28,20 @@ def ranking_loss_all_pairs(bags: DataFrame, label: str, bag_max: str, margin: fl
 
 
 def ranking_loss_cyclic(bags: DataFrame, key: str, label: str, bag_max: str, margin: float) -> DataFrame:
-    """Mean hinge when the i-th positive meets the i-th negative bag, the shorter list starting over."""
-    n = bags.agg(F.sum((F.col(label) > 0).cast("long")).alias("np"), F.sum((F.col(label) == 0).cast("long")).alias("nn"))
-    i = F.row_number().over(W.partitionBy(label).orderBy(key)) - 1
-    r = bags.select((F.col(label) > 0).alias("positive"), F.col(bag_max).alias("m"), i.alias("i"))
-    pos, neg = r.filter("positive").select("i", F.col("m").alias("p")), r.filter("NOT positive").select("i", F.col("m").alias("q"))
-    steps = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("np", "nn") - 1)).alias("step"), "np", "nn").select((F.col("step") % F.col("np")).alias("ip"), (F.col("step") % F.col("nn")).alias("iq"))
-    j = steps.join(pos.withColumnRenamed("i", "ip"), "ip").join(neg.withColumnRenamed("i", "iq"), "iq")
-    return j.agg(F.avg(F.greatest(F.lit(0.0), margin - F.col("p") + F.col("q"))).alias("loss"), F.count("*").alias("pairs"))
+    """Mean hinge when the i-th positive meets the i-th negative bag, the shorter list starting over.
+
+    Null and 0 pairs where either list is empty.
+    """
+    from chronolith.operators.selection import number_parts, numbered
+
+    own = bags.filter(F.col(label) >= 0).select(key, (F.col(label) > 0).alias("positive"), F.col(bag_max).alias("m"))
+    n = own.agg(F.count(F.when(F.col("positive"), 1)).alias("np"), F.count(F.when(~F.col("positive"), 1)).alias("nn"))
+    r = numbered(own, "positive", number_parts(own, key), [key]).join(F.broadcast(n))
+    longer = F.col("positive") == (F.col("np") >= F.col("nn"))
+    a = r.filter(longer).select((F.col("i") % F.greatest(F.lit(1), F.least("np", "nn"))).alias("j"), F.col("positive"), F.col("m").alias("a"))
+    b = r.filter(~longer).select(F.col("i").alias("j"), F.col("m").alias("b"))
+    gap = F.when(F.col("positive"), F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b"))
+    return a.join(b, "j").agg(F.avg(F.greatest(F.lit(0.0), margin + gap)).alias("loss"), F.count("*").alias("pairs"))
 
 
 def bce_focal(logit: Column, target: Column, positive_weight: float = 1.0, gamma: float = 0.0) -> Column:

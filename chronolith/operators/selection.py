@@ -65,25 +65,55 @@ def seeded(seed: str, item: str) -> Column:
     return F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col(item).cast("string")).cast("binary"), 256)
 
 
+def numbered(rows: DataFrame, by: str, part: Column, order: list) -> DataFrame:
+    """``rows`` with ``i``, their number from 0 within ``by``, and ``n``, how many there are.
+
+    ``part`` is a whole number that doesn't fall in the given order. Rows are ordered within a part and shifted by the
+    counts of the parts before, so no task orders all rows of a label.
+    """
+    r = rows.withColumns({"__part": part, "__by": F.struct(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("v"), F.col(by).isNull().alias("null"))})
+    inside = W.partitionBy("__by", "__part")
+    counts = r.groupBy("__by", "__part").agg(F.count("*").alias("__c"))
+    label = W.partitionBy("__by")
+    before = F.sum("__c").over(label.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    shift = counts.select("__by", "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__c").over(label).alias("n"))
+    placed = r.withColumn("i", F.row_number().over(inside.orderBy(*order)) - 1).join(shift, ["__by", "__part"])
+    return placed.withColumn("i", F.col("i") + F.col("__before")).drop("__by", "__part", "__before")
+
+
+def number_parts(rows: DataFrame, item: str) -> Column:
+    """Parts of about equal size for ``numbered`` by a numeric item."""
+    n = parts_wanted(rows)
+    value = F.col(item).try_cast("double")
+    cuts = rows.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < value)) if cuts else F.lit(0)
+
+
+def parts_wanted(rows: DataFrame) -> int:
+    return max(64, min(1000, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def split_by_hash(rows: DataFrame, item: str, label: str, seed: str, parts: tuple[str, str, str] = ("fit", "validation", "evaluation")) -> DataFrame:
     """Within each label, in seeded order: eight tenths, a tenth, and the rest, by integer division."""
-    w = W.partitionBy(label)
-    r = rows.select(item, label, (F.row_number().over(w.orderBy(seeded(seed, item), item)) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    hashed = rows.select(item, label, seeded(seed, item).alias("__h"))
+    start = F.conv(F.substring("__h", 1, 5), 16, 10).cast("long")
+    r = numbered(hashed, label, F.floor(start * parts_wanted(rows) / (1 << 20)), ["__h", item])
     first, second = F.floor(F.col("n") * 8 / 10), F.floor(F.col("n") / 10)
     return r.select(item, label, F.when(F.col("i") < first, parts[0]).when(F.col("i") < first + second, parts[1]).otherwise(parts[2]).alias("part"))
 
 
 def balanced_take(rows: DataFrame, item: str, label: str, most: int) -> DataFrame:
-    """The first ``most // 2`` of either label in item order, then the first others until there are ``most``."""
-    r = rows.withColumn("rn", F.row_number().over(W.partitionBy(label).orderBy(item)))
-    half = r.filter(F.col("rn") <= most // 2).select(item, label, F.lit(0).alias("late"))
-    rest = r.filter(F.col("rn") > most // 2).orderBy(item).limit(most).select(item, label, F.lit(1).alias("late"))
-    return half.union(rest).orderBy("late", item).limit(most).select(item, label)
+    """The first ``most // 2`` of either label in item order, then the first others until there are ``most``.
+
+    No row beyond the first ``most // 2 + most`` of its label can be taken, so only those are ordered together.
+    """
+    half = most // 2
+    first = rows.select(item, label, F.row_number().over(W.partitionBy(label).orderBy(item)).alias("rn")).filter(F.col("rn") <= half + most)
+    return first.withColumn("late", (F.col("rn") > half).cast("int")).orderBy("late", item).limit(most).select(item, label)
 
 
 def balanced_batches(rows: DataFrame, item: str, label: str, size: int) -> DataFrame:
     """Batches with ``size // 2`` of each label in item order; rows of the longer label beyond the other have none."""
-    rn = F.row_number().over(W.partitionBy(label).orderBy(item)) - 1
-    n = rows.groupBy(label).count().agg(F.min("count").alias("n"))
-    r = rows.withColumn("rn", rn).join(F.broadcast(n)).filter(F.col("rn") < F.col("n"))
-    return r.select(item, label, F.floor(F.col("rn") / (size // 2)).alias("batch"))
+    n = rows.groupBy(label).count().agg(F.min("count").alias("__least"))
+    r = numbered(rows, label, number_parts(rows, item), [item]).join(F.broadcast(n)).filter(F.col("i") < F.col("__least"))
+    return r.select(item, label, F.floor(F.col("i") / (size // 2)).alias("batch"))

@@ -121,16 +121,22 @@ def tracks_within(rows: DataFrame, key: str, space: list[str], time: str, most:
 
 
 def capped_take(rows: DataFrame, label: str, group: str, item: str, most: int) -> DataFrame:
-    """For each label whole groups in order of their first item, skipping those larger than what is left of ``most``."""
-    sizes = rows.groupBy(label, group).agg(F.count("*").alias("n"), F.min(item).alias("first"))
+    """For each label whole groups in order of their first item, skipping those larger than what is left of ``most``.
 
-    def run(k, part: pd.DataFrame) -> pd.DataFrame:
-        left, take = most, []
-        for n in part.sort_values("first")["n"]:
+    Of the groups of one size n only the first ``most / n`` can fit, so a label's choice is among at most
+    ``most * (1 + ln(most))`` groups however many it has.
+    """
+    sizes = rows.groupBy(label, group).agg(F.count("*").alias("n"), F.min(item).alias("first")).filter(F.col("n") <= most)
+    nth = F.row_number().over(W.partitionBy(label, "n").orderBy("first", group))
+    sizes = sizes.withColumn("__nth", nth).filter(F.col("__nth") <= most).filter(F.col("__nth") * F.col("n") <= most).drop("__nth")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, left, take = part.sort_values(["first", group]), most, []
+        for n in part["n"]:
             take.append(n <= left)
             left -= n if take[-1] else 0
-        return part.sort_values("first")[take][[label, group]]
+        return part[take][[label, group]]
 
     types = dict(rows.dtypes)
-    chosen = sizes.filter(F.col("n") <= most).groupBy(label).applyInPandas(run, f"{label} {types[label]}, {group} {types[group]}")
+    chosen = sizes.groupBy(label).applyInPandas(run, f"`{label}` {types[label]}, `{group}` {types[group]}")
     return rows.join(chosen, [label, group], "left_semi")
