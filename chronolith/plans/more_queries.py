@@ -20,7 +20,10 @@ def count_tumbling_chunks(b):
     return counts.tumbling(b.table("conversations"), "conv_id", ["turn", "role", "text"], 4).select("conv_id", "turn", "role", "chunk_index", "padding")
 
 
-@query("""SELECT stream_id, seq, total, largest FROM (SELECT stream_id, seq, CAST(SUM(value_c) OVER w AS BIGINT) AS total, MAX(value_c) OVER w AS largest FROM stream_event WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) WHERE seq>=16 AND MOD(seq-16,4)=0""", "stream_event")
+SLIDING = """SELECT stream_id, seq, total, largest FROM (SELECT stream_id, seq, CAST(SUM(value_c) OVER w AS BIGINT) AS total, MAX(value_c) OVER w AS largest FROM stream_event WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) WHERE seq>=16 AND MOD(seq-16,4)=0"""
+
+
+@query(SLIDING, "stream_event")
 def count_sliding_windows(b):
     return counts.sliding(b.stream_event, "stream_id", ["ts", "event_id"], "value_c", 16, 4)
 
@@ -30,7 +33,15 @@ def keep_recent_n(b):
     return counts.keep_recent(b.stream_event, "stream_id", ["seq"], 10).select("stream_id", "event_id", "value_c")
 
 
-@query()
+#: One step for each event of a stream: the counter and the time of the last firing go from event to event.
+FIRES = """, e AS MATERIALIZED (SELECT stream_id, seq, triggered, epoch_us(ts) AS us, epoch_us(ts)/CAST(1000000 AS DOUBLE) AS t FROM stream_event),
+r AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS us, CAST(0 AS BIGINT) AS cnt, CAST(NULL AS DOUBLE) AS fired_at, FALSE AS fire FROM e
+UNION ALL SELECT stream_id, seq, us, CASE WHEN fire THEN 0 ELSE c END, CASE WHEN fire THEN t ELSE fired_at END, fire FROM (SELECT *, c>=2 AND (fired_at IS NULL OR t-fired_at>=3600) AS fire FROM
+(SELECT e.stream_id, e.seq, e.us, e.t, r.fired_at, CASE WHEN e.triggered=1 THEN r.cnt+1 ELSE 0 END AS c FROM r JOIN e ON e.stream_id=r.stream_id AND e.seq=r.seq+1)))
+SELECT stream_id, {} AS seq, fired_at AS time FROM r WHERE fire"""
+
+
+@query(FIRES.format("seq"), "stream_event", recursive=True)
 def debounce_fires(b):
     rows = b.stream_event.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return counts.debounce(rows, "stream_id", "seq", "t", "triggered", 2, 3600.0)
@@ -47,18 +58,18 @@ def _event_stream(b):
     return (events.option("pathGlobFilter", name) if name else events).parquet(folder)
 
 
-@query()
+@query(FIRES.format("us"), "stream_event", recursive=True)
 def streaming_debounce_fires(b):
     rows = _event_stream(b).select(F.col("user_id").alias("stream_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") == "error").alias("hit"))
     rows = rows.withColumns({"order": F.col("us"), "t": F.col("us") / 1e6})
-    out = counts.debounce_stream(rows, "stream_id", "order", "t", "hit", 2, 3600.0)
+    out = counts.debounce_stream(rows, "stream_id", "order", "t", "hit", 2, 3600.0, tie="event_id")
     return counts.run_available(out, fresh_path(b.spark, "fires"), fresh_path(b.spark, "state"))
 
 
-@query()
+@query(SLIDING, "stream_event")
 def streaming_sliding_windows(b):
-    rows = _event_stream(b).select(F.col("user_id").alias("stream_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.round(F.col("value") * 100).cast("long").alias("v"))
-    return counts.run_available(counts.sliding_stream(rows, "stream_id", "us", "v", 16, 4), fresh_path(b.spark, "windows"), fresh_path(b.spark, "state"))
+    rows = _event_stream(b).select(F.col("user_id").alias("stream_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.round(F.col("value") * 100).cast("long").alias("v"))
+    return counts.run_available(counts.sliding_stream(rows, "stream_id", "us", "v", 16, 4, tie="event_id"), fresh_path(b.spark, "windows"), fresh_path(b.spark, "state"))
 
 
 @query("SELECT CAST(time_bucket(INTERVAL '6 hours', ts) AS TIMESTAMP) AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
@@ -112,7 +123,7 @@ def expected_counts(b):
     return audit.expected_counts(b.table("events"), "event_type", want)
 
 
-@query()
+@query("""SELECT CAST(SUM(CAST('0x' || SUBSTR(sha256(concat_ws(chr(31), COALESCE(CAST(doc_id AS VARCHAR), chr(0)), COALESCE(text, chr(0)), COALESCE(lang, chr(0)), COALESCE(source, chr(0)))), 1, 12) AS BIGINT)) AS VARCHAR) AS digest, COUNT(*) AS "rows" FROM documents""")
 def table_digest(b):
     return audit.table_digest(b.table("documents"), ["doc_id", "text", "lang", "source"])
 
@@ -210,10 +221,10 @@ def slugs(b):
     return b.table("pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
-@query("""SELECT token_id, CASE WHEN m<0.25 THEN 'unknown' ELSE 'class' || (list_position(p, m)-1) END AS label, (list_position(p, m)<>1 AND m>=0.25) OR MOD(token_id,10)>=8 AS anomaly FROM (SELECT token_id, p, list_max(p) AS m FROM (SELECT token_id, [CAST(x AS DOUBLE)/4 for x in embedding[1:4]] AS p FROM token))""", "token")
+@query("""SELECT token_id, CASE WHEN m<0.25 THEN 'unknown' ELSE 'class' || (list_position(p, m)-1) END AS label, (list_position(p, m)<>1 AND m>=0.25) OR MOD(token_id,10)>=8 AS anomaly FROM (SELECT token_id, p, list_max(p) AS m FROM (SELECT token_id, [CAST(x AS DOUBLE)/4 for x in embedding] AS p FROM token))""", "token")
 def fusion_label(b):
-    p = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") / 4)
-    label, anomaly = text.fuse_labels(F.col("p"), [f"class{i}" for i in range(4)], F.col("token_id") % 10, 8, 0.25)
+    p = F.transform("embedding", lambda x: x.cast("double") / 4)
+    label, anomaly = text.fuse_labels(F.col("p"), [f"class{i}" for i in range(64)], F.col("token_id") % 10, 8, 0.25)
     return b.token.select("token_id", p.alias("p")).select("token_id", label.alias("label"), anomaly.alias("anomaly"))
 
 
@@ -254,12 +265,11 @@ def manifest_jsonl_round_trip(b):
     return records.read_jsonl(b.spark, path, records.MANIFEST).select("video_id", "is_anomaly", "num_frames", "duration_seconds", F.coalesce(F.size("annotations"), F.lit(0)).cast("long").alias("annotations"))
 
 
-@query("SELECT 'v' || video_id AS video_id, CASE WHEN y=1 THEN 'Fall' ELSE 'Normal' END AS category, CASE WHEN y=1 THEN CAST(frame_start AS VARCHAR) || '-' || frame_end END AS spans, CAST(NULL AS VARCHAR) AS issue FROM clip WHERE clip_index=0", "clip")
+@query("SELECT 'v' || video_id || 'x' || clip_index AS video_id, CASE WHEN y=1 THEN 'Fall' ELSE 'Normal' END AS category, CASE WHEN y=1 THEN CAST(frame_start AS VARCHAR) || '-' || frame_end END AS spans, CAST(NULL AS VARCHAR) AS issue FROM clip", "clip")
 def temporal_annotation_text(b):
-    first = b.clip.filter("clip_index = 0")
-    line = F.concat_ws("  ", F.concat(F.lit("V"), F.col("video_id"), F.lit(".mp4")), F.when(F.col("y") == 1, "Fall").otherwise("Normal"), F.when(F.col("y") == 1, F.col("frame_start") + 1).otherwise(-1).cast("string"), F.when(F.col("y") == 1, F.col("frame_end")).otherwise(-1).cast("string"), F.lit("-1"), F.lit("-1"))
+    line = F.concat_ws("  ", F.concat(F.lit("V"), F.col("video_id"), F.lit("x"), F.col("clip_index"), F.lit(".mp4")), F.when(F.col("y") == 1, "Fall").otherwise("Normal"), F.when(F.col("y") == 1, F.col("frame_start") + 1).otherwise(-1).cast("string"), F.when(F.col("y") == 1, F.col("frame_end")).otherwise(-1).cast("string"), F.lit("-1"), F.lit("-1"))
     path = fresh_path(b.spark, "annotations")
-    first.select(line.alias("value")).write.text(path)
+    b.clip.select(line.alias("value")).write.text(path)
     got = texts.temporal_annotations(texts.lines(b.spark, path))
     shown = F.when(F.size("spans") > 0, F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ","))
     return got.select("video_id", "category", shown.alias("spans"), "issue")

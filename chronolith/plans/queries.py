@@ -15,13 +15,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *views: str):
+def query(sql: str | None = None, *views: str, recursive: bool = False):
     """Registers a function of the bindings under its name, with the SQL for the same rows."""
 
     def add(f: Callable[[Bindings], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Bindings(spark, sf_dir))
         if sql is not None:
-            ORACLES[f.__name__] = (with_views(*views) + (",\n" if sql.lstrip().startswith(",") else "\n") + sql.lstrip().lstrip(",")) if views else sql
+            head = with_views(*views)
+            head = head.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else head
+            ORACLES[f.__name__] = (head + (",\n" if sql.lstrip().startswith(",") else "\n") + sql.lstrip().lstrip(",")) if views else sql
         return f
 
     return add

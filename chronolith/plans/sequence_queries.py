@@ -94,7 +94,11 @@ def balanced_fit_sources(b):
     return selection.balanced_take(b.video, "video_id", "weak_label", 40)
 
 
-@query()
+@query(""", g AS (SELECT weak_label, video_id//7 AS grp, COUNT(*) AS n, MIN(video_id) AS f FROM video GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY weak_label ORDER BY f, grp) AS i FROM g),
+r AS (SELECT DISTINCT weak_label, CAST(0 AS BIGINT) AS i, CAST(200 AS BIGINT) AS room, CAST(-1 AS BIGINT) AS grp, FALSE AS took FROM o
+UNION ALL SELECT o.weak_label, o.i, CASE WHEN o.n<=r.room THEN r.room-o.n ELSE r.room END, o.grp, o.n<=r.room FROM r JOIN o ON o.weak_label=r.weak_label AND o.i=r.i+1 WHERE r.room>0)
+SELECT v.video_id, v.weak_label, r.grp FROM video v JOIN r ON r.took AND r.weak_label=v.weak_label AND r.grp=v.video_id//7""", "video", recursive=True)
 def capped_group_take(b):
     rows = b.video.select("video_id", "weak_label", F.floor(F.col("video_id") / 7).alias("grp"))
     return sequences.capped_take(rows, "weak_label", "grp", "video_id", 200)

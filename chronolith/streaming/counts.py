@@ -72,31 +72,37 @@ def debounce(rows: DataFrame, key: str, seq: str, time: str, flag: str, least: i
     return placed.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, seq long, time double")
 
 
-def debounce_stream(rows: DataFrame, key: str, seq: str, time: str, flag: str, least: int, cooldown: float) -> DataFrame:
-    """``debounce`` for a streaming frame; the state of a key is its counter and the time it last fired."""
+def debounce_stream(rows: DataFrame, key: str, seq: str, time: str, flag: str, least: int, cooldown: float, tie: str | None = None) -> DataFrame:
+    """``debounce`` for a streaming frame; the state of a key is its counter and the time it last fired.
+
+    Rows of one ``seq`` come in order of ``tie``.
+    """
     kind = dict(rows.dtypes)[key]
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, last = state.get if state.exists else (0, None)
         d, out = Debounce(least, cooldown, count, last), []
-        for s, t, f in pd.concat(list(parts)).sort_values("seq")[["seq", "time", "flag"]].itertuples(index=False):
+        for s, t, f in pd.concat(list(parts)).sort_values(["seq", "tie"])[["seq", "time", "flag"]].itertuples(index=False):
             if d.push(t, bool(f)):
                 out.append((k[0], s, t))
         state.update((d.count, d.last))
         yield pd.DataFrame(out, columns=[key, "seq", "time"])
 
-    slim = rows.select(key, F.col(seq).alias("seq"), F.col(time).cast("double").alias("time"), F.col(flag).cast("int").alias("flag"))
+    slim = rows.select(key, F.col(seq).alias("seq"), F.col(time).cast("double").alias("time"), F.col(flag).cast("int").alias("flag"), F.col(tie or seq).alias("tie"))
     return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seq long, time double", "count long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def sliding_stream(rows: DataFrame, key: str, seq: str, value: str, length: int, stride: int) -> DataFrame:
-    """``sliding`` for a streaming frame; the state of a key is its last ``length`` values and how many there were."""
+def sliding_stream(rows: DataFrame, key: str, seq: str, value: str, length: int, stride: int, tie: str | None = None) -> DataFrame:
+    """``sliding`` for a streaming frame; the state of a key is its last ``length`` values and how many there were.
+
+    Rows of one ``seq`` come in order of ``tie``.
+    """
     kind = dict(rows.dtypes)[key]
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         out = []
-        for v in pd.concat(list(parts)).sort_values("seq")["value"]:
+        for v in pd.concat(list(parts)).sort_values(["seq", "tie"])["value"]:
             kept = [*kept, int(v)][-length:]
             n += 1
             if n >= length and (n - length) % stride == 0:
@@ -104,7 +110,7 @@ def sliding_stream(rows: DataFrame, key: str, seq: str, value: str, length: int,
         state.update((kept, n))
         yield pd.DataFrame(out, columns=[key, "seq", "total", "largest"])
 
-    slim = rows.select(key, F.col(seq).alias("seq"), F.col(value).cast("long").alias("value"))
+    slim = rows.select(key, F.col(seq).alias("seq"), F.col(value).cast("long").alias("value"), F.col(tie or seq).alias("tie"))
     return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seq long, total long, largest long", "kept array<long>, n long", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -271,3 +271,68 @@ def test_names_groups_categories_and_redaction(spark):
     line = '{"a": {"api_key": "x\\"y", "session-cookie": 5, "keyboard": "q"}, "token": null, "tokens": "kept"}'
     one = spark.createDataFrame([(line,)], "t string").select(text.redact_json(F.col("t")).alias("t")).first()["t"]
     assert one == '{"a": {"api_key": "<redacted>", "session-cookie": "<redacted>", "keyboard": "q"}, "token": "<redacted>", "tokens": "kept"}'
+
+
+def test_numbered_within_labels(spark):
+    import random
+
+    from chronolith.operators import selection
+
+    r = random.Random(5)
+    data = [(i, r.choice(["a", "b", None])) for i in r.sample(range(10_000), 500)]
+    df = spark.createDataFrame(data, "item long, label string").repartition(7)
+    got = {(x.item, x.label): (x.i, x.n) for x in selection.numbered(df, "label", selection.number_parts(df, "item"), ["item"]).collect()}
+    want = {}
+    for label in ("a", "b", None):
+        items = sorted(i for i, v in data if v == label)
+        want |= {(item, label): (k, len(items)) for k, item in enumerate(items)}
+    assert got == want
+    empty = df.filter("item < 0")
+    assert selection.numbered(empty, "label", selection.number_parts(empty, "item"), ["item"]).count() == 0
+
+
+def test_capped_take_against_greedy(spark):
+    import random
+
+    from chronolith.operators import sequences
+
+    r = random.Random(9)
+    rows = [(g * 100 + k, g % 2, g) for g in range(60) for k in range(r.randint(1, 9))]
+    df = spark.createDataFrame(rows, "item long, label int, grp long")
+    want = set()
+    for label in (0, 1):
+        left = 23
+        for g in range(label, 60, 2):
+            own = [x for x in rows if x[2] == g]
+            if len(own) <= left:
+                left -= len(own)
+                want |= set(own)
+    assert {(x.item, x.label, x.grp) for x in sequences.capped_take(df, "label", "grp", "item", 23).collect()} == want
+
+
+def test_align_gaps_and_empty_rows(spark):
+    from chronolith.operators import intervals
+
+    a = spark.createDataFrame([(1, 0, 4, 10), (1, 4, 4, 99), (1, 6, 9, 11)], "k long, a long, b long, v long")
+    b = spark.createDataFrame([(1, 2, 7, "x")], "k long, a long, b long, w string")
+    got = sorted(map(tuple, intervals.align([(a, "a", "b", "v"), (b, "a", "b", "w")], "k").collect()))
+    assert got == [(1, 0, 2, 10, None), (1, 2, 4, 10, "x"), (1, 4, 6, None, "x"), (1, 6, 7, 11, "x"), (1, 7, 9, 11, None)]
+
+
+def test_stab_across_blocks(spark):
+    from chronolith.operators import intervals
+
+    tiles = spark.createDataFrame([(1, 0, 200, "long"), (1, 200, 201, "one"), (1, 300, 300, "none")], "k long, a long, b long, v string")
+    points = spark.createDataFrame([(1, 0), (1, 199), (1, 200), (1, 250), (1, 300), (2, 5)], "k long, f long")
+    assert sorted((x.f, x.v) for x in intervals.stab(tiles, points, "k", "a", "b", "f").collect()) == [(0, "long"), (199, "long"), (200, "one")]
+
+
+def test_ranking_loss_cyclic_uneven(spark):
+    from chronolith.operators import losses
+
+    bags = spark.createDataFrame([(1, 1, 5.0), (2, 0, 1.0), (3, 0, 4.0), (4, 1, 2.0), (5, 0, 6.0)], "k long, y int, m double")
+    pairs = [(5.0, 1.0), (2.0, 4.0), (5.0, 6.0)]
+    got = losses.ranking_loss_cyclic(bags, "k", "y", "m", 3.0).first()
+    assert abs(got.loss - sum(max(0.0, 3 - p + q) for p, q in pairs) / 3) < 1e-12 and got.pairs == 3
+    none = losses.ranking_loss_cyclic(bags.filter("y = 1"), "k", "y", "m", 3.0).first()
+    assert none.loss is None and none.pairs == 0
