@@ -14,8 +14,8 @@ def canonical_id(value: Column) -> Column:
 
 
 def relative_path(value: Column) -> Column:
-    """Path with forward slashes; null for an absolute one, a drive, or empty, '.' or '..' parts."""
-    p = F.regexp_replace(value, r"\\", "/")
+    """Path with forward slashes, trimmed; null for an absolute one, a drive, or empty, '.' or '..' parts."""
+    p = F.regexp_replace(F.trim(value), r"\\", "/")
     bad = p.rlike(r"^/|^[A-Za-z]:|(^|/)(\.{0,2})(/|$)")
     return F.when(~bad, p)
 

@@ -43,6 +43,24 @@ def dense_max_frames(clips: DataFrame, key: str, start: str, end: str, score: st
     return clips.select(key, F.explode(F.sequence(start, F.col(end) - 1)).alias("frame"), score).groupBy(key, "frame").agg(F.max(score).alias("score"), F.count("*").alias("contributors"))
 
 
+def dense_issues(clips: DataFrame, key: str, start: str, end: str, score: str, videos: DataFrame, total: str) -> DataFrame:
+    """Videos whose windows can't be made into a score for each frame, and why, the first reason that holds.
+
+    ``no intervals``; ``not finite`` scores; an ``invalid interval`` (null, negative, reversed or empty, or beyond the
+    video); ``uncovered`` frames. ``videos``: key and number of frames. Read it beside ``dense_mean_runs`` and
+    ``dense_max_frames``, which take what they are given.
+    """
+    s = F.col(score).cast("double")
+    finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) != float("inf"))
+    valid = F.coalesce((F.col(start) >= 0) & (F.col(end) > F.col(start)), F.lit(False))
+    flags = clips.groupBy(key).agg(F.min(finite).alias("__finite"), F.min(valid).alias("__valid"), F.max(end).alias("__hi"))
+    parts = boundaries(clips.filter(valid), key, start, end, {}).filter("depth > 0")
+    covered = parts.groupBy(key).agg(F.sum(F.col("hi") - F.col("lo")).alias("__covered"))
+    j = videos.select(key, total).join(flags, key, "left").join(covered, key, "left")
+    reason = F.when(F.col("__finite").isNull(), "no intervals").when(~F.col("__finite"), "not finite").when(~F.col("__valid") | (F.col("__hi") > F.col(total)), "invalid interval").when(F.col("__covered") < F.col(total), "uncovered")
+    return j.select(key, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def coverage(clips: DataFrame, key: str, start: str, end: str, frames: DataFrame, total: str) -> DataFrame:
     """covered, gap and overlap frames, ratio and completeness of each video; ``frames``: key and number of frames."""
     parts = boundaries(clips, key, start, end, {})

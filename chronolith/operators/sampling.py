@@ -42,17 +42,26 @@ def effective_stride(frames: Column, clip_frames: int, stride: int) -> Column:
     return F.when(frames >= (clip_frames - 1) * stride + 1, stride).when(frames >= clip_frames, 1)
 
 
-def dense_windows(videos: DataFrame, key: str, frames: str, clip_frames: int, stride: int, window: int) -> DataFrame:
+def dense_windows(videos: DataFrame, key: str, frames: str, clip_frames: int, stride: int, window: int, stride1_if_needed: bool = False) -> DataFrame:
     """clip_index, start, end, end_anchored of sliding windows; a last one is anchored at the end where frames remain.
 
-    Videos shorter than a clip's span give no row.
+    Videos shorter than a clip's span give no row; with ``stride1_if_needed`` they take consecutive frames if those fit.
+    ``short_videos`` lists the others.
     """
-    span = (clip_frames - 1) * stride + 1
-    last = F.col(frames) - span
+    step = effective_stride(F.col(frames), clip_frames, stride) if stride1_if_needed else F.lit(stride)
+    span = (clip_frames - 1) * step + 1
+    fits = videos.select(key, (F.col(frames) - span).cast("long").alias("__last"), span.cast("long").alias("__span")).filter("__last >= 0")
+    last = F.col("__last")
     regular = F.sequence(F.lit(0).cast("long"), last, F.lit(window).cast("long"))
     starts = F.when(last % window == 0, regular).otherwise(F.concat(regular, F.array(last)))
-    rows = videos.filter(last >= 0).select(key, last.alias("__last"), F.posexplode(starts).alias("clip_index", "start"))
-    return rows.select(key, F.col("clip_index").cast("long").alias("clip_index"), "start", (F.col("start") + span).alias("end"), ((F.col("start") % window) != 0).alias("end_anchored"))
+    rows = fits.select(key, "__span", F.posexplode(starts).alias("clip_index", "start"))
+    return rows.select(key, F.col("clip_index").cast("long").alias("clip_index"), "start", (F.col("start") + F.col("__span")).alias("end"), ((F.col("start") % window) != 0).alias("end_anchored"))
+
+
+def short_videos(videos: DataFrame, key: str, frames: str, clip_frames: int, stride: int, stride1_if_needed: bool = False) -> DataFrame:
+    """Videos from which no window can be taken, with the frames that it needs."""
+    need = clip_frames if stride1_if_needed else (clip_frames - 1) * stride + 1
+    return videos.filter((F.col(frames) < need) | F.col(frames).isNull()).select(key, frames, F.lit(need).cast("long").alias("needed"))
 
 
 def uniform_full_clips(videos: DataFrame, key: str, frames: str, segments: int, clip_frames: int, stride: int) -> DataFrame:

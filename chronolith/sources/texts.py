@@ -54,19 +54,38 @@ def captions(rows: DataFrame) -> DataFrame:
 
 
 def variable_spans(rows: DataFrame) -> DataFrame:
-    """``name s e s e ...``: video_id, spans, and whether the numbers come in pairs."""
+    """``name s e s e ...``: video_id, spans, whether the numbers come in pairs, and what is wrong with the line.
+
+    Lines that begin with # are comments; the pair -1 -1 stands for no span. The issue names an odd count, an end that
+    isn't a number, a reversed or negative span, or spans that contradict the name: ``_label_A`` has none, others some.
+    """
     t = F.split(F.trim("value"), r"\s+")
     nums = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x: x.try_cast("long"))
-    r = rows.select(canonical_id(t[0]).alias("video_id"), nums.alias("nums"))
+    r = rows.filter(~F.ltrim("value").startswith("#")).select(canonical_id(t[0]).alias("video_id"), t[0].contains("_label_A").alias("normal"), t[0].contains("_label_").alias("named"), nums.alias("nums"))
     pairs = F.transform(F.when(F.size("nums") >= 2, F.sequence(F.lit(0), F.floor(F.size("nums") / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get("nums", 2 * i).alias("start"), F.get("nums", 2 * i + 1).alias("end")))
-    return r.select("video_id", pairs.alias("spans"), (F.size("nums") % 2 == 0).alias("even"))
+    even = F.size("nums") % 2 == 0
+    spans = F.filter(pairs, lambda s: ~((s["start"] == -1) & (s["end"] == -1)) | s["start"].isNull() | s["end"].isNull())
+    out = r.select("video_id", "normal", "named", "nums", spans.alias("spans"), even.alias("even"))
+    issue = F.when(~even, "odd count").when(F.exists("nums", lambda x: x.isNull()), "number").when(F.exists("spans", lambda s: (s["start"] < 0) | (s["end"] < s["start"])), "order")
+    issue = issue.when(F.col("named") & (F.col("normal") == (F.size("spans") > 0)), "label")
+    return out.select("video_id", "spans", "even", issue.alias("issue"))
+
+
+#: The class tokens of labels in names.
+LABEL_TOKENS = ("B1", "B2", "B4", "B5", "B6", "G")
 
 
-def label_classes(name: Column) -> Column:
-    """Classes of ``..._label_B1-B2-0.mp4`` in order, without trailing zeros; an empty array for ``A``; null for another form."""
-    body = F.regexp_extract(name, r"_label_([A-Z][0-9]*(?:-(?:[A-Z][0-9]*|0))*)(?:\.[a-z0-9]+)?$", 1)
-    parts = F.filter(F.split(body, "-"), lambda x: (x != "0") & (x != "A"))
-    return F.when(body != "", parts)
+def label_classes(path: Column) -> Column:
+    """Tokens of the one ``_label_`` field of an .mp4 name, trailing zeros kept: ``A`` alone, or one to three slots of
+    different known classes followed by zeros. Null for another form."""
+    stem = F.regexp_extract(F.element_at(F.split(F.regexp_replace(path, r"\\", "/"), "/"), -1), r"^(.*)\.mp4$", 1)
+    field = F.split(stem, "_label_")
+    tokens = F.split(F.get(field, F.lit(1)), "-")
+    known = F.array(*map(F.lit, LABEL_TOKENS))
+    classes = F.filter(tokens, lambda x: x != "0")
+    padded = F.concat(classes, F.array_repeat(F.lit("0"), F.size(tokens) - F.size(classes)))
+    ok = (F.size(tokens) <= 3) & (F.size(classes) >= 1) & (F.size(F.array_distinct(classes)) == F.size(classes)) & (padded == tokens) & F.forall(classes, lambda x: F.array_contains(known, x))
+    return F.when((F.size(field) == 2) & (field[0] != "") & (ok | (tokens == F.array(F.lit("A")))), tokens)
 
 
 def training_log(rows: DataFrame, line: str = "line", text: str = "value") -> DataFrame:
@@ -111,11 +130,16 @@ def zip_entries(data: bytes) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def zip_directory(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, crc, packed, size of the members of the archives' central directories below a folder."""
+def zip_members(archives: DataFrame) -> DataFrame:
+    """path, name, crc, packed, size of the members of archives (path, content); any tail that holds the central directory will do."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame([(p, *e) for p, c in zip(part["path"], part["content"]) for e in zip_entries(c)], columns=["path", "name", "crc", "packed", "size"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, crc long, packed long, size long")
+    return archives.select("path", "content").mapInPandas(run, "path string, name string, crc long, packed long, size long")
+
+
+def zip_directory(spark: SparkSession, path: str) -> DataFrame:
+    """The members of the archives below a folder."""
+    return zip_members(spark.read.format("binaryFile").load(path))

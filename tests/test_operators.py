@@ -168,9 +168,9 @@ def test_annotation_lines(spark):
 
 
 def test_labels_and_times(spark):
-    df = spark.createDataFrame([("x__#1_label_B1-B2-0.mp4", "1:02:03"), ("y_label_A.mp4", "2:30"), ("z.mp4", "-1:00")], "n string, t string")
+    df = spark.createDataFrame([("x__#1_label_B1-B2-0.mp4", "1:02:03"), ("y_label_A.mp4", "2:30"), ("z.mp4", "-1:00"), ("a/_label_A.mp4", ""), ("w_label_B1-0-G.mp4", ""), ("w_label_B3.mp4", ""), ("w_label_G.avi", "")], "n string, t string")
     got = df.select(texts.label_classes(F.col("n")), text.clock_seconds(F.col("t"))).collect()
-    assert [tuple(r) for r in got] == [(["B1", "B2"], 3723.0), ([], 150.0), (None, None)]
+    assert [tuple(r) for r in got] == [(["B1", "B2", "0"], 3723.0), (["A"], 150.0)] + [(None, None)] * 5
 
 
 def test_zip_directory(spark, tmp_path):
@@ -221,6 +221,20 @@ def test_captions_and_spans(spark):
     assert tuple(got[0]) == ("abuse028_x264", 1.0, 62.5, "A man falls") and got[1]["start"] is None
     spans = texts.variable_spans(spark.createDataFrame([("v1 3 9 12 20",), ("v2",), ("v3 1 2 3",)], "value string")).collect()
     assert [([tuple(s) for s in r["spans"]], r["even"]) for r in spans] == [([(3, 9), (12, 20)], True), ([], True), ([(1, 2)], False)]
+    rows = ["# a comment", "a_label_A.mp4 -1 -1", "b_label_A.mp4 3 9", "c_label_G.mp4", "d_label_G.mp4 5 2", "e_label_G.mp4 1 x", "f_label_G.mp4 1 2 3", "g_label_G.mp4 4 4"]
+    got = texts.variable_spans(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
+    assert [r["issue"] for r in got] == [None, "label", "label", "order", "number", "odd count", None]
+
+
+def test_dense_issues_and_short_videos(spark):
+    clips = [("ok", 0, 4, 1.0), ("ok", 4, 8, 1.0), ("nan", 0, 8, float("nan")), ("nan", 9, 8, 1.0), ("null", 0, 8, None), ("rev", 4, 4, 1.0), ("rev", 0, 8, 1.0), ("long", 0, 9, 1.0), ("gap", 0, 3, 1.0), ("gap", 4, 8, 1.0), ("neg", -1, 8, 1.0)]
+    videos = spark.createDataFrame([(k, 8) for k in ("ok", "nan", "null", "rev", "long", "gap", "neg", "none")], "id string, n long")
+    got = intervals.dense_issues(spark.createDataFrame(clips, "id string, a long, b long, s double"), "id", "a", "b", "s", videos, "n").collect()
+    assert dict(map(tuple, got)) == {"nan": "not finite", "null": "not finite", "rev": "invalid interval", "long": "invalid interval", "gap": "uncovered", "neg": "invalid interval", "none": "no intervals"}
+    v = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2), ("d", None)], "id string, n long")
+    took = sampling.dense_windows(v, "id", "n", 3, 2, 1, stride1_if_needed=True).collect()
+    assert [(r["id"], r["start"], r["end"]) for r in took] == [("a", 0, 5), ("b", 0, 3)]
+    assert [r["id"] for r in sampling.short_videos(v, "id", "n", 3, 2, True).collect()] == ["c", "d"]
 
 
 def test_paths_and_names(spark):
