@@ -80,3 +80,20 @@ def label_sidecar(rows: DataFrame, key: str, label: str) -> DataFrame:
     """key, label and the number of members of the label; counts are joined, so no label's rows meet in one task."""
     counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("members"))
     return rows.select(key, label).join(counts, F.col(label).eqNullSafe(F.col("__label"))).select(key, label, "members")
+
+
+def sampling_comparability(rows: DataFrame, case: str, coordinates: list[str], reference: str) -> DataFrame:
+    """Whether each other case sampled the same coordinates as the reference: case, frames, reasons, comparable.
+
+    Coordinates are summed as 48-bit parts of SHA-256 digests of whole rows, place in the order included, so nothing is
+    sorted or gathered. Reasons: a null among the coordinates, other coordinates, another number of frames.
+    """
+    lacking = F.lit(False)
+    for c in coordinates:
+        lacking = lacking | F.col(c).isNull()
+    digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in coordinates]).cast("binary"), 256)
+    each = rows.groupBy(case).agg(F.sum(F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(38,0)")).alias("__sum"), F.count("*").alias("frames"), F.max(lacking).alias("__lacking"))
+    first = each.filter(F.col(case) == reference).select(F.col("__sum").alias("__sum0"), F.col("frames").alias("__frames0"), F.col("__lacking").alias("__lacking0"))
+    j = each.filter(F.col(case) != reference).crossJoin(F.broadcast(first))  # one row
+    reasons = F.array_compact(F.array(F.when(F.col("__lacking") | F.col("__lacking0"), "null coordinate"), F.when(F.col("__sum") != F.col("__sum0"), "coordinates"), F.when(F.col("frames") != F.col("__frames0"), "frames")))
+    return j.select(case, "frames", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("comparable"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 import io
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from chronolith.functions import text
-from chronolith.operators import intervals, sampling, sequences, stats, store
+from chronolith.operators import audit, intervals, sampling, sequences, stats, store
 from chronolith.plans.queries import query
 from chronolith.sources import records, texts
 from chronolith.sources.paths import fresh_path
+from chronolith.streaming import counts
 
 # ---- line formats: the tables as lines, written and read back
 
@@ -165,3 +167,44 @@ def dense_issues(b):
     )
     videos = b.video.select("video_id", (F.col("num_frames") + F.when(sixth == 4, 1).when(sixth == 5, -1).otherwise(0)).alias("frames"))
     return intervals.dense_issues(clips, "video_id", "frame_start", "frame_end", "score", videos, "frames")
+
+
+# ---- arrays of records, samplings and the order of steps
+
+
+def _saved(part: pd.Series) -> pd.Series:
+    def npy(x) -> bytes:
+        out = io.BytesIO()
+        np.save(out, np.asarray(x, np.float32).reshape(2, -1))
+        return out.getvalue()
+
+    return part.map(npy)
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS video_id, CASE WHEN MOD(vec_id,7)=0 THEN 'missing' WHEN MOD(vec_id,11)=0 THEN 'sha256' WHEN MOD(vec_id,13)=0 THEN 'shape' END AS issue,
+CASE WHEN MOD(vec_id,7)<>0 AND MOD(vec_id,11)<>0 AND MOD(vec_id,13)<>0 THEN ROUND(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))),9) END AS total FROM embeddings""")
+def feature_arrays(b):
+    """Vectors as .npy contents, and an index that names them; some files lack, some records name another digest or shape."""
+    saved = F.pandas_udf(_saved, "binary")
+    v = b.table("embeddings").select("vec_id", F.concat("vec_id", F.lit(".npy")).alias("path"), F.size("embedding").alias("n"), saved("embedding").alias("content"))
+    rows = F.when(F.col("vec_id") % 13 == 0, 3).otherwise(2)
+    about = F.struct("path", F.array(rows, (F.col("n") / 2).cast("int")).alias("shape"), F.lit("float32").alias("dtype"), F.when(F.col("vec_id") % 11 == 0, F.sha2("content", 224)).otherwise(F.sha2("content", 256)).alias("sha256"), F.octet_length("content").cast("long").alias("nbytes"))
+    index = v.select(F.col("vec_id").cast("string").alias("video_id"), F.lit("0").alias("clip_id"), F.create_map(F.lit("features"), about).alias("arrays"))
+    got = records.load_arrays(index, v.filter("vec_id % 7 <> 0").select("path", "content"))
+    return got.select("video_id", "issue", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 9).alias("total"))
+
+
+@query(""", c AS (SELECT 'all' AS run, * FROM clip UNION ALL SELECT 'again', * FROM clip UNION ALL SELECT 'even', * FROM clip WHERE MOD(clip_index,2)=0), n AS (SELECT run, COUNT(*) AS frames FROM c GROUP BY 1), k AS (SELECT COUNT(*) AS frames FROM clip)
+SELECT run, n.frames, CASE WHEN run='even' THEN concat_ws(',', 'coordinates', CASE WHEN n.frames<>k.frames THEN 'frames' END) WHEN run='moved' THEN 'coordinates' ELSE '' END AS reasons, run='again' AS comparable
+FROM (SELECT * FROM n UNION ALL SELECT 'moved', frames FROM k) n, k WHERE run<>'all'""", "clip")
+def sampling_comparability(b):
+    """Samplings held against that of all clips: the same again, only every other clip, and all of them moved by a frame."""
+    own = lambda name, rows, by=0: rows.select(F.lit(name).alias("run"), "video_id", "clip_index", (F.col("frame_start") + by).alias("frame"))
+    rows = own("all", b.clip).unionByName(own("again", b.clip)).unionByName(own("even", b.clip.filter("clip_index % 2 = 0"))).unionByName(own("moved", b.clip, 1))
+    return audit.sampling_comparability(rows, "run", ["video_id", "clip_index", "frame"], "all")
+
+
+@query("SELECT stream_id, event_id, ts, highest_before FROM (SELECT stream_id, event_id, ts, MAX(ts) OVER (PARTITION BY stream_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest_before FROM stream_event) WHERE ts<=highest_before", "stream_event")
+def stream_order_issues(b):
+    """Events that arrive, by their id, with a time that isn't above those before."""
+    return counts.out_of_order(b.stream_event.select("stream_id", "event_id", "ts"), "stream_id", ["event_id"], "ts")

@@ -6,6 +6,11 @@ their text in ``_corrupt_record``. Writers go through Spark's committer, so read
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +77,30 @@ def append_metrics(rows: DataFrame, path: str) -> None:
 def reuse_ratio(telemetry: DataFrame) -> DataFrame:
     """Telemetry with the share of its input tokens that were reused; null without input."""
     return telemetry.withColumn("reuse_ratio", F.when(F.col("input_tokens") > 0, F.col("reused_tokens") / F.col("input_tokens")))
+
+
+def load_arrays(index: DataFrame, files: DataFrame) -> DataFrame:
+    """The arrays of the index's records: video_id, clip_id, name, shape, values as doubles in row order, and an issue.
+
+    ``files``: path, content of .npy files, such as Spark's ``binaryFile`` source gives. The issue is a missing file, another
+    SHA-256 or size than the record says, or another shape or type; such arrays have no values.
+    """
+    wanted = index.select("video_id", "clip_id", F.explode("arrays").alias("name", "a")).select("video_id", "clip_id", "name", F.col("a.path").alias("path"), F.struct("a.shape", "a.dtype", "a.sha256", "a.nbytes").alias("a"))
+    found = wanted.join(files.select("path", "content"), "path", "left")
+    issue = F.when(F.col("content").isNull(), "missing").when(F.sha2("content", 256) != F.lower("a.sha256"), "sha256").when(F.octet_length("content") != F.col("a.nbytes"), "size")
+    checked = found.withColumn("issue", issue).withColumn("content", F.when(F.col("issue").isNull(), F.col("content")))
+    fields = "video_id string, clip_id string, name string"
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                if r.content is None:
+                    out.append((r.video_id, r.clip_id, r.name, None, None, r.issue))
+                    continue
+                x = np.load(io.BytesIO(r.content), allow_pickle=False)
+                other = "shape" if list(x.shape) != list(r.shape) else "dtype" if str(x.dtype) != r.dtype else None
+                out.append((r.video_id, r.clip_id, r.name, None if other else list(x.shape), None if other else x.astype(np.float64).ravel(), other))
+            yield pd.DataFrame(out, columns=["video_id", "clip_id", "name", "shape", "values", "issue"])
+
+    return checked.select("video_id", "clip_id", "name", "content", "issue", "a.shape", "a.dtype").mapInPandas(decode, f"{fields}, shape array<int>, values array<double>, issue string")

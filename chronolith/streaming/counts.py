@@ -114,6 +114,12 @@ def sliding_stream(rows: DataFrame, key: str, seq: str, value: str, length: int,
     return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seq long, total long, largest long", "kept array<long>, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def out_of_order(rows: DataFrame, key: str, arrival: list[str], step: str) -> DataFrame:
+    """Rows whose step isn't above all steps of their key that arrived before, with the highest of those."""
+    before = F.max(step).over(W.partitionBy(key).orderBy(*arrival).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("highest_before", before).filter(F.col(step) <= F.col("highest_before"))
+
+
 def window_counts(rows: DataFrame, time: str, by: str, width: str, late: str) -> DataFrame:
     """Rows per event-time window and value, with a watermark; the same on streams and tables."""
     r = rows.withColumn("__t", F.col(time).cast("timestamp"))
