@@ -95,11 +95,11 @@ def predictions_append(b):
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey*2 FROM customer)
-UNION ALL SELECT CAST(NULL AS BIGINT), k FROM (SELECT DISTINCT c_custkey*2 AS k FROM customer) WHERE k NOT IN (SELECT o_custkey FROM orders)""")
+UNION ALL SELECT CAST(-1 AS BIGINT), k FROM (SELECT DISTINCT c_custkey*2 AS k FROM customer) WHERE k NOT IN (SELECT o_custkey FROM orders)""")
 def run_subset(b):
-    """Rows of the wanted keys, and a row without an order for each wanted key that has none."""
+    """Rows of the wanted keys, and a row with order -1 for each wanted key that has none."""
     kept, missing = store.subset(b.table("orders").select("o_orderkey", "o_custkey"), b.table("customer").select((F.col("c_custkey") * 2).alias("o_custkey")), "o_custkey")
-    return kept.select("o_orderkey", "o_custkey").unionByName(missing.select(F.lit(None).cast("long").alias("o_orderkey"), "o_custkey"))
+    return kept.select("o_orderkey", "o_custkey").unionByName(missing.select(F.lit(-1).cast("long").alias("o_orderkey"), "o_custkey"))
 
 
 @query(""", s AS (SELECT video_id, clip_index FROM clip WHERE MOD(video_id,2)=0 UNION ALL SELECT video_id, clip_index FROM clip WHERE MOD(video_id,2)=1 OR MOD(video_id,3)=0)
@@ -115,9 +115,9 @@ def shards_merge(b):
 # ---- names, decisions, strides and checks of windows
 
 
-@query("""SELECT page_id, CASE MOD(page_id,5) WHEN 0 THEN p WHEN 1 THEN p || '/x' END AS path FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)""")
+@query("""SELECT page_id, CASE WHEN p LIKE '%/' THEN NULL WHEN MOD(page_id,5)=0 THEN p WHEN MOD(page_id,5)=1 THEN p || '/x' END AS path FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)""")
 def relative_paths(b):
-    """Paths with slashes of both kinds pass; absolute ones, drives and those with '..' don't."""
+    """Paths with slashes of both kinds pass; absolute ones, drives, empty parts and '..' don't."""
     p = F.regexp_replace("url", "^[a-z]+://", "")
     kinds = F.array(p, F.concat(F.lit(" "), F.regexp_replace(p, "/", r"\\"), F.lit(r"\x ")), F.concat(F.lit("/"), p), F.concat(F.lit("C:"), p), F.concat(p, F.lit("/../x")))
     return b.table("pages").select("page_id", text.relative_path(F.element_at(kinds, (F.col("page_id") % 5).cast("int") + 1)).alias("path"))
@@ -204,7 +204,8 @@ def sampling_comparability(b):
     return audit.sampling_comparability(rows, "run", ["video_id", "clip_index", "frame"], "all")
 
 
-@query("SELECT stream_id, event_id, ts, highest_before FROM (SELECT stream_id, event_id, ts, MAX(ts) OVER (PARTITION BY stream_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest_before FROM stream_event) WHERE ts<=highest_before", "stream_event")
+@query("SELECT l_orderkey, l_linenumber, l_shipdate, highest_before FROM (SELECT *, MAX(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest_before FROM lineitem) WHERE l_shipdate<=highest_before")
 def stream_order_issues(b):
-    """Events that arrive, by their id, with a time that isn't above those before."""
-    return counts.out_of_order(b.stream_event.select("stream_id", "event_id", "ts"), "stream_id", ["event_id"], "ts")
+    """Steps of an order, arriving by their line, whose date isn't above those before."""
+    arrival = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    return counts.out_of_order(b.table("lineitem").select("l_orderkey", *arrival), "l_orderkey", arrival, "l_shipdate").drop("l_partkey", "l_suppkey")
