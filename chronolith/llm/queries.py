@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ann, decontamination, language_id, lm_scoring, mixing, secrets, simhash, token_counts, toxicity, warc
+from chronolith.llm import ann, decontamination, language_id, lm_scoring, mixing, repeated_runs, secrets, sentence_pieces, simhash, token_counts, toxicity, warc, whitening
 from chronolith.llm.common import held_out, table
 
 
@@ -59,6 +59,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = docs.select("doc_id", F.coalesce(repeated_runs.planted("doc_id", F.col("text")), F.col("text")).alias("text"))
+    return repeated_runs.digest(repeated_runs.find_runs(made))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.fit_and_whiten(table(spark, sf_dir, "embeddings"), 4).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentence_pieces.digest(sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -89,5 +106,28 @@ FROM f
 """
 
 
+#: crc32 from its table of 256 remainders; runs from all pairs of equal words of a text, grouped by their distance.
+OP11_SQL = r"""
+WITH c AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w0, CAST(doc_id AS VARCHAR) AS s FROM documents),
+h AS (SELECT rid, doc_id, w0, len(w0) AS n, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(s) + 1), lambda i: ascii(s[i]))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM d, c),
+g AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_concat(w0[1:a], list_transform(range(n - a), lambda i: w0[a + i % p + 1])) END AS w FROM p),
+e AS (SELECT rid, n, unnest(w) AS x, unnest(range(n)) AS i FROM w),
+m AS (SELECT b.rid, b.i - a.i AS q, a.i AS i FROM e a JOIN e b ON a.rid = b.rid AND a.x = b.x AND b.i > a.i AND b.i - a.i <= a.n // 4),
+k AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM m),
+r AS (SELECT rid, MIN(i) AS start, COUNT(*) + q AS length, q FROM k GROUP BY rid, q, k HAVING COUNT(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT rid, start, length, MIN(q) AS period FROM r GROUP BY rid, start, length),
+t AS (SELECT rid, COUNT(*) AS n_runs, arg_min(struct_pack(start := start, length := length, period := period), (-length, start, period)) AS best,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM u GROUP BY rid),
+o AS (SELECT DISTINCT rid, i FROM (SELECT rid, unnest(range(start + period, start + length)) AS i FROM u)),
+l AS (SELECT e.rid, string_agg(x, ' ' ORDER BY i) AS kept FROM e ANTI JOIN o USING (rid, i) GROUP BY e.rid)
+SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(COALESCE(lines, '')) AS runs_sha256, sha256(COALESCE(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN t USING (rid) LEFT JOIN l USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op5_decontamination": OP5_SQL, "op10_warc": OP10_SQL, "op11_runs": OP11_SQL}
