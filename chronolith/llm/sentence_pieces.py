@@ -9,10 +9,10 @@ Why this is exact: the merges inside of two neighbouring pieces are made by scor
 lies around them. So no merge crosses any border of a sequence of pieces if none crosses the border of any two
 neighbours; and that sequence is the only one the merges can give. It holds for any scores, ties included.
 
-No piece has a space mark after another character (looked at when the model is loaded; otherwise a whole text is
-one stretch), so texts are cut before each run of marks, and a task keeps what it found for short stretches. The
+Texts are cut where two neighbouring characters are side by side in no piece, as before a space mark that follows a letter;
+no merge crosses such a place. A task encodes each distinct stretch once, short ones together, and keeps their ids. The
 memory of a task is bounded in bytes: ``CACHE_BYTES`` for stretches, ``CACHE_PAIRS`` for tested pairs (both are emptied
-when full, which changes no result), and some 20 bytes a character for the table and ids of the longest stretch.
+when full, which changes no result), and some 100 bytes a character for a block of texts.
 
 Nothing is shuffled: each task reads its own split, so a lost executor costs only its splits.
 
@@ -23,36 +23,37 @@ ids without the nulls; an id outside of the vocabulary is an error, as in the li
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_BYTES, CACHE_PAIRS = 128 << 20, 1_000_000
-#: Stretches of more characters aren't kept.
+CACHE_BYTES, CACHE_PAIRS = 64 << 20, 500_000
+#: Stretches of more characters have a table of their own; the others are encoded together.
 LONG = 64
 #: Characters of text that become rows of one batch.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 
 #: Fixed value: the mark that stands for a space.
 MARK = "▁"
+#: Ends texts that are encoded together; no text can have it.
+BORDER = "\ud800"
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 NEVER = float("-inf")
 
 
-class Pieces:
-    """Pieces of a model with their scores, histories of their merges, and an automaton over those that merges can give."""
+class Vocabulary:
+    """Pieces of a model file, and the decoding of their ids."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -67,17 +68,67 @@ class Pieces:
         self.pieces = [(p.piece, p.type) for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        self.end_id = next(i for i, p in enumerate(model.pieces) if p.piece == model.trainer_spec.eos_piece)
+        self.unknown_surface = model.trainer_spec.unk_surface
+
+    def surfaces(self) -> list[bytes]:
+        """What each id adds to a text: bytes for byte pieces, nothing for control pieces."""
+        made = {CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[1:-1], 16)]), UNKNOWN: lambda p: self.unknown_surface.encode(), NORMAL: lambda p: p.replace(MARK, " ").encode()}
+        return [made[kind](p) for p, kind in self.pieces]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: bytes next to each other make characters, invalid ones the replacement character each."""
+        out, run, start = [], bytearray(), True
+
+        def flush() -> None:
+            at = 0
+            while at < len(run):
+                size = next((n for n in range(1, 5) if is_character(run[at : at + n])), 0)
+                out.append(run[at : at + size].decode() if size else "�")
+                at += size or 1
+            run.clear()
+
+        for i in ids:
+            if not 0 <= i < len(self.pieces):
+                raise IndexError(f"id {i} is outside of the vocabulary")
+            piece, kind = self.pieces[i]
+            if kind == BYTE:
+                run.append(int(piece[1:-1], 16))
+                continue
+            flush()
+            start = start and not any(out)
+            if kind == NORMAL:
+                if start and self.prefix and piece.startswith(MARK):
+                    piece, start = piece[1:], False
+                out.append(piece.replace(MARK, " "))
+            elif kind == UNKNOWN:
+                out.append(self.unknown_surface)
+        flush()
+        return "".join(out)
+
+
+class Encoder(Vocabulary):
+    """Histories of the pieces' merges, an automaton over those that merges can give, and what was encoded before."""
+
+    def __init__(self, path: str):
+        import ahocorasick
+
+        super().__init__(path)
         self.byte_ids = [0] * 256
         for i, (piece, kind) in enumerate(self.pieces):
             if kind == BYTE:
                 self.byte_ids[int(piece[1:-1], 16)] = i
-        self.end_id = next(i for i, p in enumerate(model.pieces) if p.piece == model.trainer_spec.eos_piece)
-        self.unknown = next((i for i, (_, kind) in enumerate(self.pieces) if kind == UNKNOWN), -1)
-        self.unknown_surface = model.trainer_spec.unk_surface
-        inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.stretch = re.compile("(?s).+" if inner else f"{MARK}*[^{MARK}]+|{MARK}+")
         # tokens are the pieces that merges give, and the characters that only longer pieces have
         self.alphabet = {c for p in self.ids for c in p}
+        self.singles = self.alphabet & self.ids.keys()
+        # characters that no piece has side by side are never joined: kinds of characters, and which may follow which
+        beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        kinds = {c: k for k, c in enumerate(sorted({c for pair in beside for c in pair}), 1)}
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in kinds]] = list(kinds.values())
+        self.joined = np.zeros((len(kinds) + 1, len(kinds) + 1), bool)
+        for one, two in beside:
+            self.joined[kinds[one], kinds[two]] = True
         self.histories: list[tuple[list[float], list[str], list[str]]] = []
         self.own_ids: list[list[int]] = []  # of each token, from its end
         self.sizes: list[int] = []
@@ -85,14 +136,24 @@ class Pieces:
         for token in [*self.ids, *sorted(self.alphabet - self.ids.keys())]:
             history, left = self.merges(token)
             if left == [token]:
-                self.automaton.add_word(token, (len(self.sizes), len(token)))
+                self.automaton.add_word(token, len(self.sizes))
                 self.histories.append(history)
                 self.own_ids.append([self.ids[token]] if token in self.ids else [self.byte_ids[b] for b in reversed(token.encode())])
                 self.sizes.append(len(token))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.kept: dict[str, list[int]] = {}
-        self.kept_bytes = 0
+        self.size_of, self.id_of = np.array(self.sizes), np.array([i[0] for i in self.own_ids], np.int32)
+        self.forget_pairs()
+        self.forget()
+
+    def forget_pairs(self) -> None:
+        """Tested pairs by hash: a key (first token times the number of tokens, plus the second), and whether they fit."""
+        self.pair_keys, self.pair_fits, self.n_pairs = np.full(4 * CACHE_PAIRS, -1), np.zeros(4 * CACHE_PAIRS, bool), 0
+        self.pairs: dict[int, bool] = {}  # the same for long stretches
+
+    def forget(self) -> None:
+        """Ids of stretches, one behind the other, and where those of each stretch start; number 0 is the end of a text."""
+        self.number = {BORDER: 0}
+        self.flat, self.starts, self.kept_bytes = array("i", [self.end_id]), array("q", [0, 1]), 0
 
     def merges(self, text: str) -> tuple[tuple[list[float], list[str], list[str]], list[str]]:
         """Scores of the merges of a short text in order (none: never), its first and last symbol before each; and what is left."""
@@ -121,100 +182,142 @@ class Pieces:
             else:
                 j += 1
 
+    def fit(self, keys: np.ndarray) -> np.ndarray:
+        """Whether pairs of tokens are compatible, by their keys."""
+        out, todo = np.empty(len(keys), bool), np.arange(len(keys))
+        slot = slots(keys, len(self.pair_keys))
+        while len(todo):
+            there = self.pair_keys[slot]
+            found = there == keys[todo]
+            out[todo[found]] = self.pair_fits[slot[found]]
+            if (there[~found] < 0).any():  # new pairs
+                new = np.unique(keys[todo[~found][there[~found] < 0]])
+                if self.n_pairs + len(new) > CACHE_PAIRS:
+                    self.forget_pairs()
+                for key in new.tolist():
+                    self.learn_pair(key)
+                rest = todo[~found]
+                out[rest] = self.fit(keys[rest])
+                return out
+            todo, slot = todo[~found], (slot[~found] + 1) % len(self.pair_keys)
+        return out
+
+    def learn_pair(self, key: int) -> None:
+        at = slots(key, len(self.pair_keys))
+        while self.pair_keys[at] >= 0:
+            if self.pair_keys[at] == key:
+                return
+            at = (at + 1) % len(self.pair_keys)
+        self.pair_keys[at], self.pair_fits[at] = key, self.compatible(*divmod(key, len(self.sizes)))
+        self.n_pairs += 1
+
     def last_pieces(self, text: str) -> list[int]:
         """For each prefix of a text of the alphabet (from one character on) the last token of its encoding."""
         table: list[int] = []
-        pairs, tested, n, done = self.pairs, self.pairs.get, len(self.sizes), -1
-        for end, (token, size) in self.automaton.iter(text):  # all tokens that end at a position, the longest first
+        sizes, n, done, pairs = self.sizes, len(self.sizes), -1, self.pairs
+        for end, token in self.automaton.iter(text):  # all tokens that end at a position, the longest first
             if end == done:
                 continue
-            if size <= end:
-                before = table[end - size]
-                fits = tested(before * n + token)
+            if sizes[token] <= end:
+                key = table[end - sizes[token]] * n + token
+                fits = pairs.get(key)
                 if fits is None:
                     if len(pairs) >= CACHE_PAIRS:
                         pairs.clear()
-                    fits = pairs[before * n + token] = self.compatible(before, token)
+                    fits = pairs[key] = self.compatible(*divmod(key, n))
                 if not fits:
                     continue
             table.append(token)
             done = end
         return table
 
-    def encode_stretch(self, text: str) -> list[int]:
-        known = self.kept.get(text)
-        if known is not None:
-            return known
+    def long_stretch(self, text: str) -> list[int]:
+        """Ids of a stretch that is long, or has characters without a piece of their own."""
         out: list[int] = []
-        parts = [(True, text)] if self.alphabet.issuperset(text) else [(k, "".join(g)) for k, g in groupby(text, self.alphabet.__contains__)]
-        for inside, part in parts:  # what no piece has stays apart
+        for inside, part in groupby(text, self.alphabet.__contains__):  # what no piece has stays apart
+            part = "".join(part)
             if not inside:
                 out.extend(self.byte_ids[b] for b in part.encode())
                 continue
             table, found, at = self.last_pieces(part), [], len(part) - 1
             while at >= 0:
-                token = table[at]
-                found += self.own_ids[token]
-                at -= self.sizes[token]
+                found += self.own_ids[table[at]]
+                at -= self.sizes[table[at]]
             out.extend(reversed(found))
-        if len(text) <= LONG:
-            if self.kept_bytes > CACHE_BYTES:
-                self.kept.clear()
-                self.kept_bytes = 0
-            self.kept_bytes += 250 + 12 * len(text)  # text, list and entry, counted generously
-            self.kept[text] = out
         return out
 
-    def encode(self, text: str) -> array:
-        """Ids of a text without begin and end."""
-        out = array("i")
-        if text:
-            known = self.kept
-            for part in self.stretch.finditer((self.prefix + text).replace(" ", MARK)):
-                part = part.group()
-                out.extend(known.get(part) or self.encode_stretch(part))
-        return out
-
-    def surfaces(self) -> list[bytes]:
-        """What each id adds to a text: bytes for byte pieces, nothing for control pieces."""
-        made = {CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[1:-1], 16)]), UNKNOWN: lambda p: self.unknown_surface.encode(), NORMAL: lambda p: p.replace(MARK, " ").encode()}
-        return [made[kind](p) for p, kind in self.pieces]
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes next to each other make characters, invalid ones the replacement character each."""
-        out, run, start = [], bytearray(), True
-
-        def flush() -> None:
-            at = 0
-            while at < len(run):
-                size = next((n for n in range(1, 5) if is_character(run[at : at + n])), 0)
-                out.append(run[at : at + size].decode() if size else "�")
-                at += size or 1
-            run.clear()
-
-        for i in ids:
-            if not 0 <= i < len(self.pieces):
-                raise IndexError(f"id {i} is outside of the vocabulary")
-            piece, kind = self.pieces[i]
-            if kind == BYTE:
-                run.append(int(piece[1:-1], 16))
-                continue
-            flush()
-            start = start and not any(out)
-            if kind == NORMAL:
-                if start and self.prefix and piece.startswith(MARK):
-                    piece, start = piece[1:], False
-                out.append(piece.replace(MARK, " "))
-            elif kind == UNKNOWN:
-                out.append(self.unknown_surface)
-        flush()
-        return "".join(out)
-
-
-@lru_cache(1)
-def loaded(path: str) -> Pieces:
-    """The model in ``path``, once for each Python worker."""
-    return Pieces(path)
+    def short_stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches of pieces' characters, and how many each has: all tables are filled a position at a time."""
+        texts.sort()  # neighbours share their way through the automaton
+        texts.sort(key=len, reverse=True)
+        sizes = np.array([len(t) for t in texts])
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(BORDER.join(texts))), np.int64).reshape(-1, 2)
+        token, many = found[:, 1], np.bincount(found[:, 0], minlength=int(begin[-1] + sizes[-1]))
+        first, table, n = np.cumsum(many) - many, np.full(len(many), -1), len(self.sizes)
+        for k in range(int(sizes[0])):
+            at = begin[: np.searchsorted(-sizes, -k, "left")] + k
+            match = first[at]
+            while len(at):  # the tokens that end here, the longest first
+                own = token[match]
+                size = self.size_of[own]
+                good = size > k
+                inner = np.flatnonzero(~good)
+                good[inner] = self.fit(table[at[inner] - size[inner]] * n + own[inner])
+                table[at[good]] = own[good]
+                at, match = at[~good], match[~good] + 1
+        where, at, rounds = np.arange(len(texts)), begin + sizes - 1, []
+        while len(where):  # tokens from the end backwards
+            own = table[at]
+            rounds.append((where, self.id_of[own]))
+            at = at - self.size_of[own]
+            more = at >= begin[where]
+            where, at = where[more], at[more]
+        counts = np.bincount(np.concatenate([w for w, _ in rounds]), minlength=len(texts))
+        last, out = np.cumsum(counts) - 1, np.empty(int(counts.sum()), np.int32)
+        for k, (w, i) in enumerate(rounds):
+            out[last[w] - k] = i
+        return out, counts
+
+    def learn(self, new: list[str]) -> None:
+        short = [t for t in new if len(t) <= LONG and self.singles.issuperset(t)]
+        for k in range(0, len(short), 50_000):
+            part = short[k : k + 50_000]
+            ids, counts = self.short_stretches(part)
+            self.number.update(zip(part, range(len(self.starts) - 1, len(self.starts) - 1 + len(part))))
+            self.starts.frombytes((self.starts[-1] + np.cumsum(counts)).astype(np.int64).tobytes())
+            self.flat.frombytes(ids.tobytes())
+        for t in new:
+            if t not in self.number:
+                self.number[t] = len(self.starts) - 1
+                self.flat.extend(self.long_stretch(t))
+                self.starts.append(len(self.flat))
+        self.kept_bytes += sum(200 + 8 * len(t) for t in new)  # key, entry and ids, counted generously
+
+    def encode(self, texts: list[str], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one behind the other, and how many each text has; without begin, with an end id if ``end``."""
+        if self.kept_bytes > CACHE_BYTES:
+            self.forget()
+        whole = "".join([f"{t and self.prefix + t}{BORDER}" for t in texts]).replace(" ", MARK)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[codes]
+        cuts = np.concatenate([[0], np.flatnonzero(~self.joined[kind[:-1], kind[1:]]) + 1, [len(codes)]])
+        places = cuts.tolist()
+        parts = [whole[a:b] for a, b in zip(places, places[1:])]
+        self.learn([p for p in set(parts) if p not in self.number])
+        which = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        starts = np.frombuffer(self.starts, np.int64)
+        start, size = starts[which], np.where(which > 0, starts[which + 1] - starts[which], int(end))
+        ends = np.cumsum(size)
+        at = np.repeat(start - ends + size, size) + np.arange(size.sum())
+        return np.frombuffer(self.flat, np.int32)[at], np.diff(ends[which == 0], prepend=0)
+
+
+def slots(keys: np.ndarray | int, n: int) -> np.ndarray | int:
+    return ((keys * 0x9E3779B97F4A7C1 & 2**62 - 1) >> 20) % n
+
+
+vocabulary, encoder = lru_cache(1)(Vocabulary), lru_cache(1)(Encoder)  # once for each Python worker
 
 
 def is_character(b: bytes) -> bool:
@@ -242,17 +345,11 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
-        tail = array("i", [pieces.end_id] if end else [])
+        pieces = encoder(model)
         for batch in batches:
             for part in pieces_of_text(batch, 1):
-                ids, offsets = array("i"), array("i", [0])
-                for text in part.column(1):
-                    ids.extend(pieces.encode(text.as_py()))
-                    ids.extend(tail)
-                    offsets.append(len(ids))
-                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
-                lists = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)]), values)
+                ids, sizes = pieces.encode(part.column(1).to_pylist(), end)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, ids array<int>")
@@ -263,7 +360,7 @@ def decode(encoded: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: s
     slim = encoded.select(F.col(id_col).alias("doc_id"), F.array_compact(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
+        pieces = vocabulary(model)
         surfaces = pa.array(pieces.surfaces(), pa.binary())
         # rows whose first id is an ordinary piece with a mark and whose control ids are at the end are joined at once
         plain = pa.array([kind == NORMAL and p.startswith(MARK) and bool(pieces.prefix) for p, kind in pieces.pieces])
