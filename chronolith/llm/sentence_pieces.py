@@ -317,7 +317,14 @@ def slots(keys: np.ndarray | int, n: int) -> np.ndarray | int:
     return ((keys * 0x9E3779B97F4A7C1 & 2**62 - 1) >> 20) % n
 
 
-vocabulary, encoder = lru_cache(1)(Vocabulary), lru_cache(1)(Encoder)  # once for each Python worker
+@lru_cache(1)  # once for each Python worker
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def is_character(b: bytes) -> bool:
