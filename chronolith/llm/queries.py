@@ -72,8 +72,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentence_pieces.digest(sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model))
+    return sentence_pieces.digest(sentence_pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

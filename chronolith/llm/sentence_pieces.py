@@ -34,11 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_BYTES, CACHE_PAIRS = 64 << 20, 500_000
+CACHE_BYTES, CACHE_PAIRS = 32 << 20, 500_000
 #: Stretches of more characters have a table of their own; the others are encoded together.
 LONG = 64
 #: Characters of text that become rows of one batch.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 512 << 10
 
 #: Fixed value: the mark that stands for a space.
 MARK = "▁"
@@ -347,55 +347,65 @@ def pieces_of_text(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatc
         yield batch.slice(at)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], model: str, end: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of batches of doc_id and text."""
+    pieces = encoder(model)
+    for batch in batches:
+        for part in pieces_of_text(batch, 1):
+            ids, sizes = pieces.encode(part.column(1).to_pylist(), end)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], pieces: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids and text of batches of doc_id and ids."""
+    surfaces = pa.array(pieces.surfaces(), pa.binary())
+    # rows whose first id is an ordinary piece with a mark and whose control ids are at the end are joined at once
+    plain = pa.array([kind == NORMAL and p.startswith(MARK) and bool(pieces.prefix) for p, kind in pieces.pieces])
+    control = pa.array([kind == CONTROL for _, kind in pieces.pieces])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            lists = part.column(1)
+            ids = lists.flatten()
+            joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), surfaces.take(lists.values)), b"")
+            easy, inner, start = plain.take(ids).to_numpy(zero_copy_only=False), control.take(ids), 0
+            texts = []
+            for row, n in enumerate(pc.list_value_length(lists).to_pylist()):
+                one = None
+                if n > 1 and easy[start] and not pc.any(inner.slice(start, n - 1)).as_py():
+                    try:
+                        one = joined[row].as_py()[1:].decode()
+                    except UnicodeDecodeError:
+                        one = None
+                texts.append(pieces.decode(ids.slice(start, n).to_pylist()) if one is None else one)
+                start += n
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), dict(docs.dtypes)[id_col]
+
+
 def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
     """doc_id and ids (array<int>) of each row's text, with an end id if ``end``; ``model`` is a file that every executor can open."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim, kind = _texts(docs, id_col, text_col)
+    return slim.mapInArrow(lambda batches: encoded(batches, model, end), f"doc_id {kind}, ids array<int>")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = encoder(model)
-        for batch in batches:
-            for part in pieces_of_text(batch, 1):
-                ids, sizes = pieces.encode(part.column(1).to_pylist(), end)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
+def decode(ids: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id, ids and text of each row's ids."""
+    slim = ids.select(F.col(id_col).alias("doc_id"), F.array_compact(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))).cast("array<int>").alias("ids"))
+    return slim.mapInArrow(lambda batches: decoded(batches, vocabulary(model)), f"doc_id {dict(slim.dtypes)['doc_id']}, ids array<int>, text string")
 
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, ids array<int>")
 
+def round_trip(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
+    """doc_id, ids and the text that the ids give: ``decode`` of ``encode``, both in one worker."""
+    slim, kind = _texts(docs, id_col, text_col)
+    return slim.mapInArrow(lambda batches: decoded(encoded(batches, model, end), encoder(model)), f"doc_id {kind}, ids array<int>, text string")
 
-def decode(encoded: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, ids and text of each row's ids."""
-    slim = encoded.select(F.col(id_col).alias("doc_id"), F.array_compact(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))).cast("array<int>").alias("ids"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(model)
-        surfaces = pa.array(pieces.surfaces(), pa.binary())
-        # rows whose first id is an ordinary piece with a mark and whose control ids are at the end are joined at once
-        plain = pa.array([kind == NORMAL and p.startswith(MARK) and bool(pieces.prefix) for p, kind in pieces.pieces])
-        control = pa.array([kind == CONTROL for _, kind in pieces.pieces])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = part.column(1)
-                ids = lists.flatten()
-                joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), surfaces.take(lists.values)), b"")
-                firsts, ends = [], pc.list_value_length(lists).to_pylist()
-                easy, inner, start = plain.take(ids).to_pylist() if len(ids) else [], control.take(ids), 0
-                texts = []
-                for row, n in enumerate(ends):
-                    one = None
-                    if n > 1 and easy[start] and not pc.any(inner.slice(start, n - 1)).as_py():
-                        try:
-                            one = joined[row].as_py()[1:].decode()
-                        except UnicodeDecodeError:
-                            one = None
-                    texts.append(pieces.decode(ids.slice(start, n).to_pylist()) if one is None else one)
-                    start += n
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
-
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, ids array<int>, text string")
-
-
-def digest(decoded: DataFrame) -> DataFrame:
+
+def digest(rows: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -207,6 +207,7 @@ def test_pieces_of_texts(spark, model, library):
         ids = library.encode(text or "", add_eos=True)
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
     assert got == sorted(want, key=str)
+    assert sorted(map(tuple, sentence_pieces.digest(sentence_pieces.round_trip(docs, model)).collect()), key=str) == got
     assert sentence_pieces.encode(docs.limit(0), model).count() == 0
     assert sentence_pieces.encode(frame(spark, [(1, "hi")]), model, end=False).first()["ids"] == library.encode("hi")
 
