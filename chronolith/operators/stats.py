@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -100,148 +98,3 @@ def decision(point: Column, lower: Column, upper: Column, valid: Column, draws:
     ok = point.isNotNull() & (valid >= math.ceil(0.999 * draws))
     verdict = F.when(~ok, "NA").when(snap(lower) >= margin, "supported").when(snap(upper) < margin, "inferior").otherwise("inconclusive")
     return F.when(ok, "available").otherwise("NA"), verdict
-
-
-def indexed(df: DataFrame, by: str, key: str, each: int = 100_000) -> DataFrame:
-    """``df`` with ``idx``: 0, 1, ... within ``by`` in the order of a hash of ``key``; slices of the hash are numbered apart."""
-    slices = max(1, -(-df.count() // each))
-    h = F.xxhash64(key)
-    d = df.withColumns({"__h": h, "__s": F.least(F.floor((h.cast("double") / 2.0**64 + 0.5) * slices), F.lit(slices - 1)).cast("int")})
-    before = F.coalesce(F.sum("count").over(W.partitionBy(by).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = d.groupBy(by, "__s").count().select(by, "__s", before.alias("__before"))  # a row for each slice
-    out = d.withColumn("__r", F.row_number().over(W.partitionBy(by, "__s").orderBy("__h", key))).join(F.broadcast(sizes), [by, "__s"])
-    return out.withColumn("idx", F.col("__before") + F.col("__r") - 1).drop("__h", "__s", "__r", "__before")
-
-
-#: Draws that are made at a time; block -1 is the point, with every video once.
-DRAW_BLOCK = 64
-
-
-def draw_weights(seed: int, block: int, sizes: dict[int, int], draws: int) -> dict[int, np.ndarray]:
-    """How often each draw of a block has each video: multinomial in each stratum, whose size every draw keeps."""
-    if block < 0:
-        return {s: np.ones((1, n)) for s, n in sizes.items()}
-    rng, size = np.random.default_rng([seed, block]), min(DRAW_BLOCK, draws - block * DRAW_BLOCK)
-    return {s: rng.multinomial(n, np.full(n, 1.0 / n), size=size).astype(np.float64) for s, n in sorted(sizes.items()) if n}
-
-
-def paired_bootstrap(hist: DataFrame, videos: DataFrame, key: str, label: str, draws: int = 10_000, seed: int = 20260918, each: int = 100_000) -> DataFrame:
-    """Paired bootstrap over videos, in strata by weak label, of the differences of ROC AUC, PR area and step AP.
-
-    ``hist``: key, system (0 or 1), score, pos_frames, neg_frames. Rows are dealt to score ranges of about ``each``. A
-    range adds up the weighted frames of all draws; what lies above it in each draw follows from the sums of the ranges,
-    and with that the range gives its part of the three curves. Draws are made from seeds in the tasks, so none is kept.
-    A row per metric: metric, point, lower, upper, valid_draws, status, decision; bounds of 95 % with invalid draws at
-    the worst end. A task holds the weights of ``DRAW_BLOCK`` draws.
-    """
-    numbered = indexed(videos.select(key, F.col(label).alias("stratum")), "stratum", key)
-    sizes = {r["stratum"]: r["count"] for r in videos.groupBy(F.col(label).alias("stratum")).count().collect()}
-    blocks = range(-1, -(-draws // DRAW_BLOCK))
-    rows = hist.join(numbered, key).select("system", F.col("score").cast("double").alias("score"), "pos_frames", "neg_frames", "stratum", "idx")
-    parts = max(1, -(-hist.count() // each))
-    cuts = rows.agg(F.percentile_approx("score", [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000)).first()[0] if parts > 1 else []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
-    # draws are dealt to chunks as well, so that few ranges still make many tasks
-    chunks = min(16, len(blocks))
-    rows = rows.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col("score")))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def curve(own: pd.DataFrame, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weighted frames by draw and distinct score, from the highest score down."""
-        w = draw_weights(seed, block, sizes, draws)
-        mine = np.concatenate([w[s][:, own["idx"][own["stratum"] == s]] for s in w], 1)
-        own = pd.concat([own[own["stratum"] == s] for s in w])
-        order = np.argsort(-own["score"].to_numpy(), kind="stable")
-        score = own["score"].to_numpy()[order]
-        at = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
-        return tuple(np.add.reduceat(mine[:, order] * own[c].to_numpy(np.float64)[order], at, 1) for c in ("pos_frames", "neg_frames"))
-
-    def sums(k, own):
-        got = [(b, *(x.sum(1).tobytes() for x in curve(own, b))) for b in blocks if (b + 1) % chunks == k[2]]
-        return pd.DataFrame([(int(k[0]), int(k[1]), *g) for g in got], columns=["system", "part", "block", "p", "n"])
-
-    groups = rows.groupBy("system", "part", "chunk")
-    total = groups.applyInPandas(sums, "system int, part int, block int, p binary, n binary")
-
-    def above(k, own):
-        own = own.sort_values("part", ascending=False)
-        p, n = (np.stack([np.frombuffer(x) for x in own[c]]) for c in ("p", "n"))
-        return pd.DataFrame({"system": int(k[0]), "part": own["part"], "block": int(k[1]), "p": [x.tobytes() for x in np.cumsum(p, 0) - p], "n": [x.tobytes() for x in np.cumsum(n, 0) - n],
-                             "np": [n.sum(0).tobytes()] * len(own), "pp": [p.sum(0).tobytes()] * len(own)})
-
-    before = total.groupBy("system", "block").applyInPandas(above, "system int, part int, block int, p binary, n binary, np binary, pp binary")
-
-    def contribute(k, own, given):
-        out = []
-        for r in given.itertuples(index=False):
-            p0, n0, all_n = (np.frombuffer(x)[:, None] for x in (r.p, r.n, r.np))
-            p, n = curve(own, r.block)
-            tp, fp = p0 + np.cumsum(p, 1), n0 + np.cumsum(n, 1)
-            precise = np.divide(tp, tp + fp, out=np.ones_like(tp), where=tp + fp > 0)
-            first = np.divide(p0, p0 + n0, out=np.ones_like(p0), where=p0 + n0 > 0)
-            last = np.concatenate([first, precise[:, :-1]], 1)
-            each_ = ((p * (all_n - fp + n / 2)).sum(1), (p * (last + precise) / 2).sum(1), (p * precise).sum(1))
-            out.append((int(k[0]), int(r.block), *(x.tobytes() for x in each_), r.pp, r.np))
-        return pd.DataFrame(out, columns=["system", "block", "roc", "pr", "ap", "p", "n"])
-
-    given = groups.cogroup(before.withColumn("chunk", (F.col("block") + 1) % chunks).groupBy("system", "part", "chunk")).applyInPandas(lambda k, a, b: contribute(k, a, b), "system int, block int, roc binary, pr binary, ap binary, p binary, n binary")
-
-    def deltas(k, own):
-        value = {}
-        for s, mine in own.groupby("system"):
-            p, n = np.frombuffer(mine["p"].iloc[0]), np.frombuffer(mine["n"].iloc[0])
-            of = lambda c: np.sum([np.frombuffer(x) for x in mine[c]], axis=0)  # noqa: E731, B023
-            with np.errstate(invalid="ignore", divide="ignore"):
-                real = (p > 0) & (n > 0)
-                value[s] = {"frame_roc_auc": np.where(real, of("roc") / (p * n), np.nan), "frame_pr_auc": np.where(real, of("pr") / p, np.nan), "frame_ap": np.where(real, of("ap") / p, np.nan)}
-        rows_ = [(m, int(k[0]), float(x)) for m in value[0] for x in value[1][m] - value[0][m]]
-        return pd.DataFrame(rows_, columns=["metric", "block", "delta"])
-
-    d = given.groupBy("block").applyInPandas(deltas, "metric string, block int, delta double")
-    drawn, fine = F.col("block") >= 0, ~F.isnan("delta")
-    end = lambda worst, q: F.percentile(F.when(drawn, F.when(fine, F.col("delta")).otherwise(F.lit(worst))), F.lit(q))
-    out = d.groupBy("metric").agg(F.max(F.when(~drawn & fine, F.col("delta"))).alias("point"), end(-1.0, 0.025).alias("lower"), end(1.0, 0.975).alias("upper"), F.count(F.when(drawn & fine, 1)).alias("valid_draws"))
-    status, verdict = decision(F.col("point"), F.col("lower"), F.col("upper"), F.col("valid_draws"), draws)
-    bound = lambda c: F.when(status == "available", F.col(c)).alias(c)
-    return out.select("metric", "point", bound("lower"), bound("upper"), F.col("valid_draws").cast("int").alias("valid_draws"), status.alias("status"), verdict.alias("decision"))
-
-
-def hedges_bootstrap(videos: DataFrame, key: str, value: str, label: str, replicates: int = 2000, seed: int = 20260918, rounds: int = 20) -> DataFrame:
-    """Bounds of 95 % of Hedges' g over draws of the videos of each class; draws without variance are drawn again.
-
-    lower, upper, valid_draws, attempts. A draw's means and variances follow from its weighted sums of 1, x and x^2, which
-    each slice of the videos adds up for its own; ``rounds`` times the replicates are drawn at most.
-    """
-    numbered = indexed(videos.filter(F.col(value).isNotNull()).select(key, F.col(label).alias("stratum"), F.col(value).cast("double").alias("x")), "stratum", key)
-    sizes = {r["stratum"]: r["count"] for r in numbered.groupBy("stratum").count().collect()}
-    null = videos.sparkSession.createDataFrame([(None, None, 0, 0)], "lower double, upper double, valid_draws int, attempts int")
-    if any(sizes.get(s, 0) < 2 for s in (0, 1)):
-        return null
-    centre = numbered.agg(F.avg("x")).first()[0]  # sums of squares about it keep their digits
-    got: list[float] = []
-    attempts = 0
-    while len(got) < replicates and attempts < rounds * replicates:
-        n_draws = min(max(256, 2 * (replicates - len(got))), rounds * replicates - attempts)
-        own_seed = seed + attempts
-
-        def add(k, own, own_seed=own_seed, n_draws=n_draws):
-            out = []
-            for b in range(-(-n_draws // DRAW_BLOCK)):
-                w = draw_weights(own_seed, b, sizes, n_draws)[int(k[0])][:, own["idx"]]
-                x = own["x"].to_numpy() - centre
-                out += [(int(k[0]), b * DRAW_BLOCK + i, float(s1), float(s2)) for i, (s1, s2) in enumerate(zip(w @ x, w @ (x * x)))]
-            return pd.DataFrame(out, columns=["stratum", "draw", "s1", "s2"])
-
-        part = numbered.withColumn("slice", F.floor(F.col("idx") / 100_000)).groupBy("stratum", "slice").applyInPandas(lambda k, own: add(k, own), "stratum int, draw int, s1 double, s2 double")
-        n1, n0 = sizes[1], sizes[0]
-        c = lambda s, x: F.sum(F.when(F.col("stratum") == s, F.col(x)))
-        sums = part.groupBy("draw").agg(c(1, "s1").alias("a1"), c(1, "s2").alias("b1"), c(0, "s1").alias("a0"), c(0, "s2").alias("b0"))
-        spread = (F.col("b1") - F.col("a1") ** 2 / n1) + (F.col("b0") - F.col("a0") ** 2 / n0)
-        scale = F.abs(F.col("b1")) + F.abs(F.col("b0"))
-        g = (1 - 3 / (4.0 * (n1 + n0) - 9)) * (F.col("a1") / n1 - F.col("a0") / n0) / F.sqrt(spread / (n1 + n0 - 2))
-        rows = sums.filter(spread > 1e-12 * scale).select("draw", g.alias("g")).orderBy("draw").limit(replicates - len(got)).collect()  # one number for each draw
-        got += [r["g"] for r in rows]
-        attempts += n_draws
-    if not got:
-        return null
-    lower, upper = np.percentile(got, [2.5, 97.5])
-    return videos.sparkSession.createDataFrame([(float(lower), float(upper), len(got), attempts)], null.schema)

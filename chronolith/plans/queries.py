@@ -159,19 +159,6 @@ def gini_coefficient(b):
     return stats.gini(b.clip, "video_id", "score_c").withColumn("gini", r9("gini"))
 
 
-@query()
-def paired_bootstrap_ci(b):
-    t = b.tile
-    both = [metrics.histogram(t, c, "label", "frame_start", "frame_end", ("video_id",)).withColumnRenamed(c, "score").withColumn("system", F.lit(i)) for i, c in enumerate(("dense_c", "method_c"))]
-    return stats.paired_bootstrap(both[0].unionByName(both[1]), b.video.select("video_id", "weak_label"), "video_id", "weak_label")
-
-
-@query()
-def hedges_bootstrap_ci(b):
-    one = _videos(b).groupBy("video_id").agg(F.avg("video_mean").alias("x"), F.max("weak_label").alias("weak_label"))
-    return stats.hedges_bootstrap(one, "video_id", "x", "weak_label")
-
-
 @query(GROUPS.replace("clip GROUP", "tile GROUP").replace("score_c", "dense_c").replace("SUM(y)", "SUM(label)").replace("1-y", "1-label").split("d AS (")[0].rstrip().rstrip(",") + """, m AS (SELECT method_c, SUM(label) p, SUM(1-label) n FROM tile GROUP BY method_c),
 k AS (SELECT p, n, COALESCE(SUM(n) OVER (ORDER BY method_c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) nb FROM m)
 SELECT ROUND((SELECT CAST(SUM(p*(2*nb+n)) AS DOUBLE)/(2.0*SUM(p)*SUM(n)) FROM k)-(SELECT CAST(SUM(p*(2*nb+n)) AS DOUBLE)/(2.0*SUM(p)*SUM(n)) FROM a),9) AS auc_delta""", "tile")
@@ -469,12 +456,12 @@ def farthest_point_fill(b):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from chronolith.plans import more_queries, sequence_queries, source_queries  # noqa: F401  they register their own
+    from chronolith.plans import more_queries, resampling_queries, sequence_queries, source_queries  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronolith.plans import more_queries, sequence_queries, source_queries  # noqa: F401
+    from chronolith.plans import more_queries, resampling_queries, sequence_queries, source_queries  # noqa: F401
 
     return dict(ORACLES)
