@@ -90,11 +90,9 @@ def numbered(df: DataFrame, cell: str, key: str, each: int = SLICE) -> DataFrame
     return out.withColumn("idx", F.col("__before") + F.col("__r") - 1).drop("__h", "__s", "__r", "__before")
 
 
-def slot_counts(sizes: DataFrame, draws: tuple[int, int], each: int) -> DataFrame | None:
-    """cell, slice, draw, count for cells (cell, n) of more than ``each`` items; None without any."""
+def slot_counts(sizes: DataFrame, draws: tuple[int, int], each: int) -> DataFrame:
+    """cell, slice, draw, count for cells (cell, n) of more than ``each`` items."""
     large = sizes.filter(F.col("n") > each)
-    if large.isEmpty():
-        return None
     tasks = large.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(each).cast("long")))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
     tasks = tasks.repartition(F.col("cell"), F.col("first"), F.col("part"))
 
@@ -109,8 +107,8 @@ def slot_counts(sizes: DataFrame, draws: tuple[int, int], each: int) -> DataFram
     return tasks.mapInPandas(deal, "cell string, slice long, draw long, count long").groupBy("cell", "slice", "draw").agg(F.sum("count").alias("count"))
 
 
-def draws_of(part: pd.DataFrame, draws: tuple[int, int], chunk: int, chunks: int, each: int, given: pd.DataFrame | None, block: int | None = None) -> Iterator[tuple[str, pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Cell, items, draws and weights for the cells or the slice in ``part`` (cell, idx, n), some (or ``block``) draws at a time."""
+def draws_of(part: pd.DataFrame, draws: tuple[int, int], chunk: int, chunks: int, each: int, given: pd.DataFrame | None, block: int | None = None) -> Iterator[tuple[str, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Cell, items, their places, draws, and weights (draws by places) for the cells or the slice in ``part`` (cell, idx, n), some (or ``block``) draws at a time."""
     for (cell, slice_), own in part.groupby(["cell", "slice"], sort=True):
         n = int(own["n"].iloc[0])
         size = min(n, (slice_ + 1) * each) - slice_ * each
@@ -121,10 +119,10 @@ def draws_of(part: pd.DataFrame, draws: tuple[int, int], chunk: int, chunks: int
             counts = np.zeros(len(mine), np.int64)
             got = given[(given["cell"] == cell) & (given["slice"] == slice_)]
             counts[np.searchsorted(mine, got["draw"])] = got["count"]
-        step = block or max(1, AT_ONCE // max(size, len(own)))
+        step = block or max(1, AT_ONCE // size)
         for k in range(0, len(mine), step):
             d = mine[k : k + step]
-            yield cell, own, d, weights(text, d, size, None if counts is None else counts[k : k + step])[:, at]
+            yield cell, own, at, d, weights(text, d, size, None if counts is None else counts[k : k + step]).astype(np.float64)
 
 
 def sliced(items: DataFrame, draws: tuple[int, int], each: int) -> tuple[DataFrame, DataFrame | None, int]:
@@ -132,13 +130,13 @@ def sliced(items: DataFrame, draws: tuple[int, int], each: int) -> tuple[DataFra
 
     Rows are only multiplied by chunks if there are too few groups to keep a cluster busy.
     """
-    total = items.count()
+    total, largest = items.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     buckets = max(1, min(4096, total // 4096))
     rows = items.withColumn("slice", F.floor(F.col("idx") / each).cast("long"))
     group = F.when(F.col("n") > each, F.concat_ws("|", F.col("cell"), F.col("slice"))).otherwise(F.pmod(F.xxhash64("cell"), F.lit(buckets)).cast("string"))
-    chunks = max(1, min(16, 64 // buckets))
+    chunks = max(1, min(16, 64 // buckets, total * (draws[1] - draws[0]) // 20_000_000))
     rows = rows.withColumn("group", group).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    counts = slot_counts(items.groupBy("cell").agg(F.max("n").alias("n")), draws, each)
+    counts = slot_counts(items.groupBy("cell").agg(F.max("n").alias("n")), draws, each) if largest > each else None
     if counts is not None:
         counts = counts.withColumns({"group": F.concat_ws("|", F.col("cell"), F.col("slice")), "chunk": ((F.col("draw") - draws[0]) % chunks).cast("int")})
     return rows, counts, chunks
@@ -153,8 +151,9 @@ def resampled_sums(items: DataFrame, draws: tuple[int, int], each: int = SLICE)
 
     def add(key: tuple, part: pd.DataFrame, given: pd.DataFrame | None = None) -> pd.DataFrame:
         out = [pd.DataFrame({"cell": [], "n": [], "draw": [], "s1": [], "s2": []})]
-        for cell, own, d, w in draws_of(part, draws, int(key[1]), chunks, each, given):
-            x = own["x"].to_numpy()
+        for cell, own, at, d, w in draws_of(part, draws, int(key[1]), chunks, each, given):
+            x = np.zeros(w.shape[1])
+            x[at] = own["x"].to_numpy()
             out.append(pd.DataFrame({"cell": cell, "n": own["n"].iloc[0], "draw": d, "s1": w @ x, "s2": w @ (x * x)}))
         return pd.concat(out)
 
@@ -199,7 +198,7 @@ def matched_contrast(videos: DataFrame, by: list[str], strata: list[str], key: s
     kept = rows.filter(~F.col("__unknown")).alias("a").join(groups.filter(whole).alias("b"), same).select(*[F.col(f"a.{x}") for x in [*by, *strata, key, label]], F.col(f"a.{value}").cast("double").alias("x"), "b.p", "b.n0", "b.centre")
     kept = kept.withColumns({"cell": _cell(seed, "matched", *by, *strata, label), "x": F.col("x") - F.col("centre")})
     cells = kept.groupBy(*by, "cell").agg((F.max(F.least("p", "n0")) * F.max(F.when(F.col(label) == 1, 1).otherwise(-1))).alias("signed"))
-    sums = resampled_sums(numbered(kept.select("cell", key, "x"), "cell", key, each), (0, draws), each)
+    sums = resampled_sums(kept_table(numbered(kept.select("cell", key, "x"), "cell", key, each)), (0, draws), each)
     per_draw = sums.join(cells, "cell").groupBy(*by, "draw").agg(F.sum(F.col("signed") * F.col("s1") / F.col("n")).alias("moved"))
     low, high = _ends(F.col("moved"))
     spread = per_draw.groupBy(*by).agg(low.alias("lo"), high.alias("hi"), (F.max("moved") - F.min("moved")).alias("range"), F.count("*").alias("draws"), F.max(F.abs("moved")).alias("top"))
@@ -233,7 +232,7 @@ def hedges_contrast(rows: DataFrame, by: list[str], key: str, value: str, label:
     point = point.withColumn("g", F.when(~few & (pooled > 0), shrink * (F.col("mean_pos") - F.col("mean_neg")) / F.sqrt(pooled)))
     same = [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}")) for x in by]
     kept = rows.alias("a").join(point.filter("g IS NOT NULL").alias("b"), same).select(*[F.col(f"a.{x}") for x in [*by, key, label]], (F.col("a.__x") - F.col("b.centre")).alias("x"))
-    kept = numbered(kept.withColumn("cell", _cell(seed, "hedges", *by, label)), "cell", key, each)
+    kept = kept_table(numbered(kept.withColumn("cell", _cell(seed, "hedges", *by, label)), "cell", key, each))
     cells = kept.groupBy(*by, label, "cell").agg(F.lit(1).alias("one")).drop("one")
     tried, done = 0, None
     todo = kept
@@ -303,6 +302,8 @@ def contrast_report(videos: DataFrame, by: list[str], category: str, strata: lis
 
 #: Draws that share a row of sums, and videos of a slice.
 BLOCK, VIDEOS = 64, 16_384
+#: Numbers that a task makes of frames at a time.
+WIDE = 1 << 22
 
 
 def paired_bootstrap(hist: DataFrame, videos: DataFrame, key: str, label: str, draws: int = 10_000, seed: int = 20260918, each: int = 100_000, slice_: int = VIDEOS) -> DataFrame:
@@ -325,15 +326,29 @@ def paired_bootstrap(hist: DataFrame, videos: DataFrame, key: str, label: str, d
     def add(key_: tuple, part: pd.DataFrame, given: pd.DataFrame | None = None) -> pd.DataFrame:
         part = part.sort_values(["system", "part", "score"], kind="stable")
         out, at_block = [], {}
-        for c, own, d, w in draws_of(part, (0, draws), int(key_[1]), chunks, slice_, given, BLOCK):
+        for c, own, at, _, w in draws_of(part, (0, draws), int(key_[1]), chunks, slice_, given, BLOCK):
             slice_no = (c, int(own["slice"].iloc[0]))
-            block = int(key_[1]) + chunks * at_block.get(slice_no, 0)
-            at_block[slice_no] = at_block.get(slice_no, 0) + 1
-            names = own[["system", "part", "score"]].to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(1)]))
-            p, n = (np.add.reduceat(w * own[x].to_numpy(np.float64), first, 1).T for x in ("pos_frames", "neg_frames"))
-            for k, i in enumerate(first):
-                out.append((int(names[i, 0]), int(names[i, 1]), float(names[i, 2]), block, p[k].tobytes(), n[k].tobytes()))
+            if slice_no not in at_block:  # the frames of each video at each score, in columns
+                names = own[["system", "part", "score"]].to_numpy()
+                first = np.concatenate([[True], (names[1:] != names[:-1]).any(1)])
+                at_block[slice_no] = [0, names[first], np.cumsum(first) - 1]
+            k, names, column = at_block[slice_no]
+            at_block[slice_no][0] += 1
+            # few scores: products with the videos' frames in columns; many: each row's weight, summed by score; some at a time
+            dense = len(names) * w.shape[1] <= 16 * len(own)
+            wide = max(1, WIDE // (w.shape[1] if dense else BLOCK))
+            edges = np.searchsorted(column, np.arange(len(names) + 1))
+            lo = 0
+            while lo < len(names):
+                hi = min(lo + wide, len(names)) if dense else max(lo + 1, int(np.searchsorted(edges, edges[lo] + wide, "right")) - 1)
+                mine = slice(edges[lo], edges[hi])
+                frames = [own[x].to_numpy(np.float64)[mine] for x in ("pos_frames", "neg_frames")]
+                if dense:
+                    p, n = ((w @ np.bincount(at[mine] * (hi - lo) + column[mine] - lo, x, w.shape[1] * (hi - lo)).reshape(-1, hi - lo)).T for x in frames)
+                else:
+                    p, n = (np.add.reduceat(w[:, at[mine]] * x, edges[lo:hi] - edges[lo], 1).T for x in frames)
+                out += [(int(a), int(b), float(s), int(key_[1]) + chunks * k, x.tobytes(), y.tobytes()) for (a, b, s), x, y in zip(names[lo:hi], p, n)]
+                lo = hi
         return pd.DataFrame(out, columns=["system", "part", "score", "block", "p", "n"])
 
     schema, groups = "system int, part int, score double, block int, p binary, n binary", rows.groupBy("group", "chunk")

@@ -96,13 +96,21 @@ def contrast_report(b):
     return got.withColumns({c: r6(c) for c in ("effect", "mean_difference", "ci_low", "ci_high", "overlap", "common_language")})
 
 
+# scores are whole hundredths up to 10: the frames of a video at each are columns, so that each pick meets one row
+AT = [(system, score, x) for system in (0, 1) for score in range(11) for x in "pn"]
+PIVOT = ", ".join(f"SUM(CASE WHEN system={a} AND score={b} THEN ph.{x} ELSE 0 END) AS {x}{a}_{b}" for a, b, x in AT)
+SUMS = ", ".join(f"SUM({x}{a}_{b}) AS {x}{a}_{b}" for a, b, x in AT)
+TALL = " UNION ALL ".join(f"SELECT draw, {a} AS system, {b} AS score, p{a}_{b} AS p, n{a}_{b} AS n FROM pj" for a, b, x in AT if x == "p")
+
+
 @query(f""", ph AS (SELECT video_id, 0 AS system, dense_c AS score, SUM((frame_end-frame_start)*label) AS p, SUM((frame_end-frame_start)*(1-label)) AS n FROM tile GROUP BY video_id, dense_c
  UNION ALL SELECT video_id, 1, method_c, SUM((frame_end-frame_start)*label), SUM((frame_end-frame_start)*(1-label)) FROM tile GROUP BY video_id, method_c),
 pi AS (SELECT video_id, '{SEED}|paired|' || weak_label AS cell, ROW_NUMBER() OVER (PARTITION BY weak_label ORDER BY {ORDER}) - 1 AS idx FROM video),
 pc AS (SELECT cell, COUNT(*) AS n FROM pi GROUP BY cell),
 {picks("pc", 10_000, "pp")},
-pw AS (SELECT cell, draw, idx, COUNT(*) AS w FROM pp GROUP BY cell, draw, idx UNION ALL SELECT cell, -1, idx, 1 FROM pi),
-ps AS (SELECT draw, system, score, SUM(w*p) AS p, SUM(w*ph.n) AS n FROM pw JOIN pi USING (cell, idx) JOIN ph USING (video_id) GROUP BY draw, system, score),
+pk AS (SELECT pi.cell, pi.idx, {PIVOT} FROM pi JOIN ph USING (video_id) GROUP BY pi.cell, pi.idx),
+pj AS (SELECT draw, {SUMS} FROM pp JOIN pk USING (cell, idx) GROUP BY draw UNION ALL SELECT -1, {SUMS} FROM pk),
+ps AS ({TALL}),
 pu AS (SELECT draw, system, p, SUM(p) OVER w AS tp, SUM(n) OVER w AS fp, n, SUM(p) OVER (PARTITION BY draw, system) AS pt, SUM(n) OVER (PARTITION BY draw, system) AS nt, score FROM ps
  WINDOW w AS (PARTITION BY draw, system ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 pv AS (SELECT *, CASE WHEN tp+fp>0 THEN tp/(tp+fp) ELSE 1 END AS pr, CASE WHEN tp-p+fp-n>0 THEN (tp-p)/(tp-p+fp-n) ELSE 1 END AS last FROM pu),

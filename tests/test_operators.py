@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import text
-from chronolith.operators import audit, intervals, losses, metrics, neardup, sampling, selection, stats, store, vectors
+from chronolith.operators import audit, intervals, losses, metrics, neardup, resampling, sampling, selection, stats, store, vectors
 from chronolith.sources import records, texts
 from chronolith.streaming import counts
 
@@ -84,37 +84,109 @@ def brute_metrics(scores, pos, neg):
     return [auc / sum(p) / sum(n), pr / sum(p), ap / sum(p)]
 
 
-@pytest.mark.parametrize("each", [100_000, 20])
-def test_bootstrap_against_brute_force(spark, each):
+@pytest.mark.parametrize("each, slice_, scores", [(100_000, 16_384, 9), (20, 16_384, 9), (20, 2, 9), (100_000, 3, 10**6)])
+def test_bootstrap_against_brute_force(spark, each, slice_, scores):
     import random
 
     r = random.Random(4)
-    rows = [(v, s, r.randint(0, 9), r.randint(0, 3) * (v % 2), r.randint(0, 4)) for v in range(9) for s in (0, 1) for _ in range(4)]
+    rows = [(v, s, r.randint(0, scores), r.randint(0, 3) * (v % 2), r.randint(0, 4)) for v in range(9) for s in (0, 1) for _ in range(4)]
     hist = spark.createDataFrame(rows, "video long, system int, score int, pos_frames long, neg_frames long")
     videos = spark.createDataFrame([(v, v % 2) for v in range(9)], "video long, label int")
-    got = {x["metric"]: x for x in stats.paired_bootstrap(hist, videos, "video", "label", draws=150, each=each).collect()}
-    idx = {x["video"]: x["idx"] for x in stats.indexed(videos, "label", "video").collect()}
-    assert sorted(idx[v] for v in range(9) if v % 2) == [0, 1, 2, 3] and sorted(idx[v] for v in range(0, 9, 2)) == [0, 1, 2, 3, 4]
+    got = {x["metric"]: x for x in resampling.paired_bootstrap(hist, videos, "video", "label", draws=150, each=each, slice_=slice_).collect()}
+    items = resampling.numbered(videos.select("video", F.concat(F.lit("20260918|paired|"), "label").alias("cell")), "cell", "video", slice_).collect()
+    assert sorted((x["cell"][-1], x["idx"], x["n"]) for x in items) == [("0", i, 5) for i in range(5)] + [("1", i, 4) for i in range(4)]
+    w = {}
+    for cell, n in {(x["cell"], x["n"]) for x in items}:
+        if n <= slice_:
+            w[cell] = resampling.weights(cell, np.arange(150), n)
+        else:
+            c = resampling.dealt(cell, np.arange(150), n, np.arange(n), slice_)
+            w[cell] = np.concatenate([resampling.weights(f"{cell}|{k}", np.arange(150), min(slice_, n - k * slice_), c[:, k]) for k in range(c.shape[1])], 1)
+        assert (w[cell].sum(1) == n).all() and w[cell].std() > 0.5
+    own = {x["video"]: (x["cell"], x["idx"]) for x in items}
     deltas = []
-    for block in (-1, 0, 1, 2):
-        w = stats.draw_weights(20260918, block, {0: 5, 1: 4}, 150)
-        assert (w[0].sum(1) == 5).all() and (w[1].sum(1) == 4).all()
-        for d in range(len(w[0])):
-            each_ = [brute_metrics(*zip(*[(sc, p * w[v % 2][d][idx[v]], n * w[v % 2][d][idx[v]]) for v, s, sc, p, n in rows if s == system])) for system in (0, 1)]
-            deltas.append([b - a for a, b in zip(*each_)])
-    assert len(deltas) == 151
+    for d in range(-1, 150):
+        times = {v: 1 if d < 0 else w[c][d, i] for v, (c, i) in own.items()}
+        each_ = [brute_metrics(*zip(*[(sc, p * times[v], n * times[v]) for v, s, sc, p, n in rows if s == system])) for system in (0, 1)]
+        deltas.append([b - a for a, b in zip(*each_)])
     for i, m in enumerate(("frame_roc_auc", "frame_pr_auc", "frame_ap")):
-        draws = sorted(x[i] for x in deltas[1:])
+        draws = np.array([x[i] for x in deltas[1:]])
         assert got[m]["point"] == pytest.approx(deltas[0][i]) and got[m]["valid_draws"] == 150 and got[m]["status"] == "available"
-        at = 0.025 * 149
-        assert got[m]["lower"] == pytest.approx(draws[int(at)] + (at % 1) * (draws[int(at) + 1] - draws[int(at)]))
-
-
-def test_hedges_bootstrap_redraws(spark):
-    videos = spark.createDataFrame([(0, 1.0, 0), (1, 2.0, 0), (2, 4.0, 1), (3, 5.0, 1)], "v long, x double, y int")
-    a = stats.hedges_bootstrap(videos, "v", "x", "y", replicates=300).first()
-    assert a["valid_draws"] == 300 and a["attempts"] > 300 and a["lower"] <= a["upper"]
-    assert stats.hedges_bootstrap(videos.filter("y = 0"), "v", "x", "y").first()["lower"] is None
+        assert [got[m]["lower"], got[m]["upper"]] == pytest.approx(np.percentile(draws, [2.5, 97.5]).tolist())
+
+
+def test_draws_are_uniform():
+    w = resampling.weights("a", np.arange(20_000), 5)
+    assert abs(w.mean(0) - 1).max() < 0.03 and abs(w.var(0) - 0.8).max() < 0.05  # binomial(5, 1/5)
+    c = resampling.dealt("a", np.arange(5000), 10, np.arange(10), 4)
+    assert abs(c.mean(0) - [4, 4, 2]).max() < 0.1 and (c.sum(1) == 10).all()
+    assert len({tuple(x) for x in resampling.weights("a", np.arange(100), 50).tolist()}) == 100
+    assert (resampling.weights("a", np.arange(3, 9), 7) == resampling.weights("a", np.arange(20), 7)[3:9]).all()
+
+
+def test_hedges_contrast_redraws(spark):
+    rows = [("a", 0, 1.0, 0), ("a", 1, 2.0, 0), ("a", 2, 4.0, 1), ("a", 3, 5.0, 1), ("b", 4, 1.0, 0), ("c", 5, 1.0, 0), ("c", 6, 1.0, 0), ("c", 7, 3.0, 1), ("c", 8, 3.0, 1), (None, 9, 1.0, 0), (None, 10, 5.0, 0), (None, 11, 9.0, 1), (None, 12, 7.0, 1),
+            (None, 13, None, 1), (None, 14, 1.0, None)]
+    df = spark.createDataFrame(rows, "site string, v long, x double, y int")
+    got = {r["site"]: r for r in resampling.hedges_contrast(df, ["site"], "v", "x", "y", draws=300).collect()}
+    a = got["a"]
+    assert a["valid_draws"] == 300 and 300 < a["attempts"] < 600 and a["ci_low"] <= a["ci_high"] and a["status"] == "available"
+    assert (got["b"]["reason"], got["c"]["reason"], got[None]["reason"]) == ("too_few", "no_variance", None)
+    assert got["c"]["mean_difference"] == 2.0 and got["c"]["effect"] is None and got["c"]["ci_low"] is None
+    # the draws by hand: the first 300 with variance
+    cell = {y: f"20260918|hedges|a|{y}" for y in (0, 1)}
+    items = resampling.numbered(df.filter("site = 'a'").withColumn("cell", F.concat(F.lit("20260918|hedges|a|"), "y")), "cell", "v").collect()
+    values = {c: np.array([r["x"] for r in sorted((r for r in items if r["cell"] == c), key=lambda r: r["idx"])]) for c in cell.values()}
+    g, attempts = [], 0
+    for d in range(6000):
+        p, n = (np.repeat(values[cell[y]], resampling.weights(cell[y], np.array([d]), 2)[0]) for y in (1, 0))
+        spread = p.var(ddof=1) + n.var(ddof=1)
+        attempts += 1
+        if spread > 0:
+            g.append((1 - 3 / 7) * (p.mean() - n.mean()) / np.sqrt(spread / 2))
+        if len(g) == 300:
+            break
+    assert attempts == a["attempts"] and [a["ci_low"], a["ci_high"]] == pytest.approx(np.percentile(g, [2.5, 97.5]).tolist())
+    assert resampling.hedges_contrast(df.limit(0), ["site"], "v", "x", "y", draws=50).count() == 0
+
+
+MATCHED = "site string, video string, x double, y int, motion string, light string"
+
+
+def matched(spark, rows, **more):
+    df = spark.createDataFrame([("s", v, float(x), y, m, b) for v, x, y, m, b in rows], MATCHED)
+    return resampling.matched_contrast(df, ["site"], ["motion", "light"], "video", "x", "y", **more).first()
+
+
+def test_matched_contrast(spark):
+    one = [("n0", 0, 0, "low", "low"), ("n1", 2, 0, "low", "low"), ("p0", 1, 1, "low", "low"), ("p1", 5, 1, "low", "low")]
+    fixed = matched(spark, [("n0", 0, 0, "low", "low"), ("p0", 2, 1, "low", "low"), *[(f"n{i}", 0, 0, "high", "high") for i in (1, 2, 3)], ("p1", 10, 1, "high", "high"), ("p2", 10, 1, "high", "high")], draws=200)
+    assert fixed["effect"] == pytest.approx(22 / 3) and fixed["weight_mass"] == 3 and fixed["reason"] == "degenerate"
+    # all 16 equally likely draws of one stratum give -1 to 5, 1 2 3 4 3 2 1 times
+    got = matched(spark, one, draws=16_000)
+    assert got["effect"] == 2 and (got["ci_low"], got["ci_high"]) == (-1, 5) and got["valid_draws"] == 16_000 and got["status"] == "available"
+    w = {y: resampling.weights(f"20260918|matched|s|low|low|{y}", np.arange(16_000), 2) for y in (0, 1)}
+    both = (w[1] @ np.array([1, 5]) - w[0] @ np.array([0, 2])) / 2
+    assert np.abs(np.bincount((both + 1).astype(int), minlength=7) / 16_000 - np.array([1, 2, 3, 4, 3, 2, 1]) / 16).max() < 0.015
+    alone = matched(spark, [("n0", 0, 0, "low", "low"), ("p0", 1, 1, "low", "low"), ("n1", 2, 0, "high", "high"), ("p1", 3, 1, "high", "high")], draws=100)
+    assert alone["reason"] == "degenerate" and alone["effect"] == 1 and alone["ci_low"] is None and alone["valid_draws"] == 100
+    sides = matched(spark, one + [("n2", 100, 0, "high", "high"), ("p2", -100, 1, None, "high"), ("p3", 7, 1, "unknown", "low")], draws=100)
+    assert (sides["effect"], sides["retained_normal"], sides["retained_positive"], sides["excluded_unknown"], sides["excluded_one_sided"], sides["weight_mass"]) == (2, 2, 2, 2, 1, 2)
+    few = matched(spark, one[:3], draws=100)
+    assert few["reason"] == "too_few" and few["effect"] is None and few["valid_draws"] == 0
+    # strata whose mean differences are alike still have draws that differ; the order of rows and other sites change nothing
+    same = [(f"{k}{g}{i}", off + v + (k == "p"), int(k == "p"), g, g) for g, off in (("low", 0), ("high", 100)) for i, v in enumerate((0, 10)) for k in "np"]
+    a, b = matched(spark, same, draws=1000), matched(spark, same[::-1], draws=1000)
+    assert a == b and a["effect"] == pytest.approx(1) and a["ci_high"] - a["ci_low"] > 1
+    assert resampling.matched_contrast(spark.createDataFrame([], MATCHED), ["site"], ["motion"], "video", "x", "y", draws=10).count() == 0
+
+
+def test_large_cells_are_drawn_in_slices(spark):
+    df = spark.createDataFrame([("s", str(i), float(i % 17), i % 2, "m", "b") for i in range(600)], MATCHED)
+    whole = resampling.matched_contrast(df, ["site"], ["motion"], "video", "x", "y", draws=400).first()
+    parts = resampling.matched_contrast(df, ["site"], ["motion"], "video", "x", "y", draws=400, each=50).first()
+    assert parts["effect"] == pytest.approx(whole["effect"]) and parts["valid_draws"] == 400
+    assert parts["ci_high"] - parts["ci_low"] == pytest.approx(whole["ci_high"] - whole["ci_low"], rel=0.2)
 
 
 def test_decision_keeps_the_margin(spark):
