@@ -86,6 +86,15 @@ def auc_pair_matrix(b):
     return metrics.pair_wins(hist, "grp", "dense_c")
 
 
+@query(""", h AS (SELECT stream_id, value_c, SUM(triggered) AS pos, SUM(1-triggered) AS neg FROM stream_event GROUP BY 1, 2)
+SELECT p.stream_id, n.stream_id AS other, CAST(SUM(p.pos*n.neg*CASE WHEN p.value_c>n.value_c THEN 2 ELSE 1 END) AS BIGINT) AS twice_wins
+FROM h p JOIN h n ON p.value_c>=n.value_c WHERE p.pos>0 AND n.neg>0 GROUP BY 1, 2""", "stream_event")
+def auc_pair_matrix_streams(b):
+    """Every pair of streams."""
+    hist = b.stream_event.groupBy("stream_id", "value_c").agg(F.sum("triggered").alias("pos_frames"), F.sum(1 - F.col("triggered")).alias("neg_frames"))
+    return metrics.pair_wins(hist, "stream_id", "value_c")
+
+
 # ---- statistics
 
 TWO_LEVEL = """, c AS (SELECT site, video_id, clip_id, AVG(value_c) m, MAX(weak_label) weak_label FROM probe GROUP BY site, video_id, clip_id),

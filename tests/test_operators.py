@@ -115,6 +115,23 @@ def test_bootstrap_against_brute_force(spark, each, slice_, scores):
         assert [got[m]["lower"], got[m]["upper"]] == pytest.approx(np.percentile(draws, [2.5, 97.5]).tolist())
 
 
+@pytest.mark.parametrize("keys_each, rows_each", [(512, 1_000_000), (3, 10), (1, 1)])
+def test_pair_wins_against_brute_force(spark, keys_each, rows_each):
+    import random
+
+    r = random.Random(12)
+    rows = [(r.choice([None, "a", "b", "c", "d", "e", "f", "g"]), r.choice([None, *range(9)]), r.randint(0, 2), r.randint(0, 2) * 10**r.choice([0, 9])) for _ in range(120)]
+    hist = spark.createDataFrame(rows, "k string, score int, pos_frames long, neg_frames long")
+    want = {}
+    for k, s, p, _ in rows:
+        for o, t, _, n in rows:
+            wins = p * n * (2 if s > t else 1) if None not in (k, s, o, t) and s >= t else 0
+            if wins:
+                want[k, o] = want.get((k, o), 0) + wins
+    assert {(x["k"], x["other"]): x["twice_wins"] for x in metrics.pair_wins(hist, "k", "score", keys_each, rows_each).collect()} == want
+    assert metrics.pair_wins(hist.limit(0), "k", "score").count() == 0
+
+
 def test_draws_are_uniform():
     w = resampling.weights("a", np.arange(20_000), 5)
     assert abs(w.mean(0) - 1).max() < 0.03 and abs(w.var(0) - 0.8).max() < 0.05  # binomial(5, 1/5)
