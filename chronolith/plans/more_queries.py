@@ -10,7 +10,7 @@ from chronolith.operators import audit, losses, neardup, selection, stats, store
 from chronolith.plans.queries import query, r6, r9
 from chronolith.sources import records, texts
 from chronolith.sources.paths import fresh_path
-from chronolith.streaming import counts
+from chronolith.streaming import cache_state, counts
 
 # ---- streams
 
@@ -72,6 +72,54 @@ def streaming_sliding_windows(b):
     return counts.run_available(counts.sliding_stream(rows, "stream_id", "us", "v", 16, 4, tie="event_id"), fresh_path(b.spark, "windows"), fresh_path(b.spark, "state"))
 
 
+#: One step for each event of a stream, as in FIRES: the state of the cache goes from event to event.
+CACHE_STEPS = """, q AS MATERIALIZED (SELECT e.user_id AS stream_id, e.event_id, ROW_NUMBER() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS seq, epoch_us(e.ts) AS us, epoch_us(e.ts)//3600000000 AS step, v.value_c AS v,
+ CASE WHEN e.event_type='signup' THEN 'init' WHEN e.event_type='purchase' AND MOD(v.value_c,2)=0 THEN 'finalise' ELSE 'step' END AS op, CASE WHEN MOD(v.value_c,5)=0 THEN 'replace' ELSE 'append' END AS mode,
+ CASE WHEN e.event_type='click' THEN 'token' ELSE 'kv' END AS ukind, CASE WHEN MOD(v.value_c,7)=0 THEN 'k' ELSE 'k,v' END AS unames,
+ list_transform(range(1+MOD(v.value_c,3)), lambda i: CAST(v.value_c+i+CASE WHEN MOD(v.value_c,7)=0 THEN 0 ELSE 1 END AS DOUBLE)) AS news FROM events e JOIN stream_event v ON v.stream_id=e.user_id AND v.event_id=e.event_id),
+r AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS us, CAST(0 AS BIGINT) AS step, '' AS op, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS run, FALSE AS active, CAST(0 AS BIGINT) AS last,
+ CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS names, CAST([] AS DOUBLE[]) AS places FROM q
+UNION ALL SELECT stream_id, event_id, seq, us, step, op, reason, run+CASE WHEN reason IS NULL AND op='init' THEN 1 ELSE 0 END, CASE WHEN reason IS NULL AND op<>'step' THEN op='init' ELSE active END, CASE WHEN reason IS NULL AND op<>'finalise' THEN step ELSE last END,
+ CASE WHEN reason IS NOT NULL OR op='finalise' THEN kind WHEN op='init' THEN NULL ELSE ukind END, CASE WHEN reason IS NOT NULL OR op='finalise' THEN names WHEN op='init' THEN NULL ELSE unames END,
+ CASE WHEN reason IS NOT NULL OR op='finalise' THEN places WHEN op='init' THEN [] WHEN mode='replace' OR names IS NULL THEN news ELSE list_concat(places, news)[-10:] END
+FROM (SELECT q.*, r.run, r.active, r.last, r.kind, r.names, r.places, CASE WHEN (q.op='init')=r.active THEN CASE WHEN r.active THEN 'active' ELSE 'inactive' END WHEN q.op='finalise' THEN NULL WHEN q.op='step' AND q.step<=r.last THEN 'step_not_above' WHEN q.op='init' THEN NULL
+ WHEN MOD(q.v,11)=0 THEN 'lengths' WHEN q.mode='append' AND r.names IS NOT NULL AND r.kind<>q.ukind THEN 'kind' WHEN q.mode='append' AND r.names IS NOT NULL AND r.names<>q.unames THEN 'tensors' END AS reason
+ FROM r JOIN q ON q.stream_id=r.stream_id AND q.seq=r.seq+1))
+SELECT stream_id, us, event_id, op, step, reason, run, CAST(len(places) AS BIGINT) AS length, COALESCE(list_sum(places), 0.0) AS total FROM r WHERE seq>0"""
+
+
+def _cache_updates(events):
+    """Events as steps of a cache: a sign-up opens a run, an even purchase ends it, others add to it or replace it."""
+    v, us = F.round(F.col("value") * 100).cast("long"), F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(F.col("user_id").alias("stream_id"), us.alias("us"), "event_id", "event_type", v.alias("v"), F.floor(us / 3_600_000_000).alias("step"))
+    kind, n = F.col("event_type"), (1 + F.col("v") % 3).cast("int")
+    op = F.when(kind == "signup", "init").when((kind == "purchase") & (F.col("v") % 2 == 0), "finalise").otherwise("step")
+    k = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.col("v") + i).cast("double"))
+    ones = F.array_repeat(F.lit(1.0), n)
+    single = F.col("v") % 7 == 0
+    times = F.array_repeat(F.col("step").cast("double"), n + F.when(F.col("v") % 11 == 0, 1).otherwise(0))
+    return rows.select(
+        "stream_id", "us", "event_id", "step", op.alias("op"), F.when(F.col("v") % 5 == 0, "replace").otherwise("append").alias("mode"), F.when(kind == "click", "token").otherwise("kv").alias("kind"),
+        F.when(single, F.array(F.lit("k"))).otherwise(F.array(F.lit("v"), F.lit("k"))).alias("names"), F.when(single, F.array(k)).otherwise(F.array(ones, k)).alias("values"), times.alias("times"),
+    )
+
+
+@query(CACHE_STEPS, "stream_event", recursive=True)
+def cache_steps(b):
+    return cache_state.follow(_cache_updates(b.table("events")), "stream_id", ["us", "event_id"], 10)
+
+
+@query(CACHE_STEPS, "stream_event", recursive=True)
+def streaming_cache_steps(b):
+    name, before = "spark.sql.streaming.stateStore.providerClass", b.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    b.spark.conf.set(name, cache_state.ROCKS)
+    try:
+        out = cache_state.follow_stream(_cache_updates(_event_stream(b)), "stream_id", ["us", "event_id"], 10)
+        return counts.run_available(out, fresh_path(b.spark, "steps"), fresh_path(b.spark, "state"))
+    finally:
+        b.spark.conf.set(name, before)
+
+
 @query("SELECT CAST(time_bucket(INTERVAL '6 hours', ts) AS TIMESTAMP) AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
 def window_counts(b):
     return counts.window_counts(b.table("events"), "ts", "event_type", "6 hours", "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

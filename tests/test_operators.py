@@ -1,5 +1,7 @@
 """Known values and edge cases of the operators."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import text
 from chronolith.operators import audit, intervals, losses, metrics, neardup, resampling, sampling, selection, stats, store, vectors
 from chronolith.sources import records, texts
-from chronolith.streaming import counts
+from chronolith.streaming import cache_state, counts
 
 
 def scores(spark, y, s):
@@ -439,3 +441,54 @@ def test_ranking_loss_cyclic_uneven(spark):
     assert abs(got.loss - sum(max(0.0, 3 - p + q) for p, q in pairs) / 3) < 1e-12 and got.pairs == 3
     none = losses.ranking_loss_cyclic(bags.filter("y = 1"), "k", "y", "m", 3.0).first()
     assert none.loss is None and none.pairs == 0
+
+
+CACHE = "k string, seq long, op string, step long, mode string, kind string, names array<string>, values array<array<double>>, times array<double>"
+
+
+def cache_rows(n, seed=3):
+    import random
+
+    r = random.Random(seed)
+
+    def one(i):
+        m, names = r.randint(0, 3), r.choice([["a", "b"], ["b", "a"], ["a", "b"], ["a"], [], None, ["a", "a"]])
+        values = [[float(r.randint(0, 9)) for _ in range(m)] for _ in range(len(names or []) + (r.random() < 0.05))]
+        op, step = r.choice(["init"] + ["step"] * 12 + ["finalise", None, "stop"]), i // 2 + r.randint(-1, 2) if r.random() < 0.97 else None
+        return r.choice(["x", "y", None]), i, op, step, r.choice(["append"] * 4 + ["replace", "keep"]), r.choice(["kv", "kv", "kv", "token"]), names, values, [i + k * (1.0 if r.random() < 0.9 else -1.0) for k in range(m)]
+
+    return [one(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("keep", [None, 5])
+def test_cache_stream_equals_batch_over_several_batches(spark, tmp_path, keep):
+    df = spark.createDataFrame(cache_rows(320), CACHE)
+    batch = sorted(map(tuple, cache_state.follow(df, "k", ["seq"], keep).collect()), key=str)
+    assert {r[4] for r in batch} >= {None, "active", "inactive", "unknown_op", "step_not_above", "mode", "names", "tensors", "kind"} and len(batch) == 320
+    for part in range(4):
+        df.filter(F.floor(F.col("seq") / 80) == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are read in the order of their times
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, cache_state.ROCKS)
+    try:
+        stream = spark.readStream.schema(CACHE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        got = counts.run_available(cache_state.follow_stream(stream, "k", ["seq"], keep), f"{tmp_path}/out", f"{tmp_path}/state")
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, got.collect()), key=str) == batch
+    assert cache_state.accepted(got).count() + cache_state.refused(got).count() == 320
+
+
+def test_cache_steps_by_hand(spark):
+    two = lambda *v: [[float(x) for x in v], [1.0] * len(v)]
+    rows = [
+        ("a", 1, "step", 1, "append", "kv", ["k", "v"], two(1), [0.0]), ("a", 2, "init", 5, None, None, None, None, None), ("a", 3, "init", 6, None, None, None, None, None), ("a", 4, "step", 5, "append", "kv", ["k", "v"], two(1), [0.0]),
+        ("a", 5, "step", 6, "append", "kv", ["v", "k"], [[1.0, 1.0], [3.0, 4.0]], [0.0, 1.0]), ("a", 6, "step", 7, "append", "token", ["k", "v"], two(1), [2.0]), ("a", 7, "step", 7, "append", "kv", ["k"], [[1.0]], [2.0]),
+        ("a", 8, "step", 7, "append", "kv", ["k", "v"], two(1), [0.5]), ("a", 9, "step", 7, "append", "kv", ["k", "v"], two(1), [2.0, 3.0]), ("a", 10, "step", 7, "append", "kv", ["k", "v"], two(10), [1.0]),
+        ("a", 11, "step", 8, "replace", "token", ["k"], [[2.0]], [0.0]), ("a", 12, "finalise", None, None, None, None, None, None), ("a", 13, "step", 9, "append", "token", ["k"], [[2.0]], [9.0]), ("a", 14, "init", 0, None, None, None, None, None),
+    ]
+    got = sorted(cache_state.follow(spark.createDataFrame(rows, CACHE), "k", ["seq"]).collect(), key=lambda r: r["seq"])
+    assert [r["reason"] for r in got] == ["inactive", None, "active", "step_not_above", None, "kind", "tensors", "times", "lengths", None, None, None, "inactive", None]
+    assert [r["length"] for r in got] == [0, 0, 0, 0, 2, 2, 2, 2, 2, 3, 1, 1, 1, 0] and got[9]["total"] == 20.0 and [r["run"] for r in got][-2:] == [1, 2]
+    assert cache_state.follow(spark.createDataFrame([], CACHE), "k", ["seq"]).count() == 0
