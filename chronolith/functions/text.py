@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def canonical_id(value: Column) -> Column:
-    """Base name without a known suffix and without a clip suffix, trimmed, in lower case."""
+    """Base name without a known suffix and without a clip suffix, trimmed, in lower case; null if nothing is left.
+
+    Fixed values: the suffixes.
+    """
     name = F.element_at(F.split(F.regexp_replace(value, r"\\", "/"), "/"), -1)
     bare = F.regexp_replace(name, r"(?i)\.(mp4|avi|mkv|mov|webm|npy|npz|txt|fc6-1)$", "")
-    return F.lower(F.trim(F.regexp_replace(bare, r"(?i)(__\d+|_c)$", "")))
+    name = F.lower(F.trim(F.regexp_replace(bare, r"(?i)(__\d+|_c)$", "")))
+    return F.when(F.length(name) > 0, name)
 
 
 def relative_path(value: Column) -> Column:
@@ -74,15 +82,60 @@ def hamming_hex(a: Column, b: Column) -> Column:
 SECRET_NAME = r"(?i)(?:^|[_-])(?:password|passwd|secret|token|api[_-]?key|cookie|credentials?|authorization)$"
 
 
+SECRET = re.compile(SECRET_NAME)
+
+
 def redact(value: Column, key: Column) -> Column:
     """The value, hidden where its key names a secret."""
     return F.when(key.rlike(SECRET_NAME), F.lit("<redacted>")).otherwise(value)
 
 
+#: Parts of JSON text: strings (an open one too), brackets, colons and commas, other values.
+JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{}:,]|[^\s\[\]{}:,"]+', re.S)
+
+
+def without_secrets(text: str) -> str:
+    """JSON text with whatever stands under a secret's name hidden: scalars, arrays and objects; all else stays as written.
+
+    Text that breaks off is hidden to its end, if it breaks off under such a name.
+    """
+    out, kept, parts = [], 0, list(JSON_PART.finditer(text))
+    at = 0
+    while at + 1 < len(parts):
+        key = parts[at].group()
+        at += 1
+        if not key.startswith('"') or parts[at].group() != ":":
+            continue
+        try:
+            name = json.loads(key, strict=False)
+        except ValueError:
+            name = key[1:-1]
+        if not SECRET.search(name):
+            continue
+        at += 1
+        first, depth = at, 0
+        while at < len(parts):
+            depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(parts[at].group(), 0)
+            if depth < 0:  # the value is missing
+                break
+            at += 1
+            if depth == 0:
+                break
+        if at == first:
+            continue
+        out += [text[kept : parts[first].start()], '"<redacted>"']
+        kept = parts[at - 1].end() if depth == 0 else len(text)
+    return "".join([*out, text[kept:]])
+
+
 def redact_json(text: Column) -> Column:
-    """JSON text whose strings, numbers and literals under a secret's name are hidden, at any depth."""
-    name = SECRET_NAME.removeprefix("(?i)(?:^|[_-])").removesuffix("$")
-    return F.regexp_replace(text, r'(?i)("(?:[^"\\]*[_-])?' + name + r'"\s*:\s*)("(?:[^"\\]|\\.)*"|[-+.\w]+)', '$1"<redacted>"')
+    """``without_secrets`` of a column; null for null."""
+
+    @F.pandas_udf("string")
+    def hide(texts: pd.Series) -> pd.Series:
+        return pd.Series([without_secrets(t) if isinstance(t, str) else None for t in texts], dtype=object)
+
+    return hide(text)
 
 
 def fingerprint(*columns: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -39,9 +41,30 @@ def bag_attention(rows: DataFrame, bag: str, item: str, score: str, value: str,
     return e.groupBy(bag).agg(F.sum(F.col("p") * F.col("v")).alias("pooled"), F.max("p").alias("top"), F.when(F.count("*") > 1, h / F.log(F.count("*").cast("double"))).otherwise(0.0).alias("entropy"))
 
 
-def distance_kernel(rows: DataFrame, key: str, position: str, value: str, reach: int) -> DataFrame:
-    """Mean of the values weighted by exp(-|i - j| / e) over the positions at most ``reach`` away."""
-    near = rows.select(key, F.col(position).alias("j"), F.col(value).alias("v"), F.explode(F.sequence(F.col(position) - reach, F.col(position) + reach)).alias(position))
-    weight = F.exp(-F.abs(F.col(position) - F.col("j")) / F.exp(F.lit(1.0)))
-    sums = near.groupBy(key, position).agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("smoothed"))
-    return rows.select(key, position).join(sums, [key, position])
+#: Positions of a block of ``distance_kernel``: a step over it weighs exp(-256 / e), 1e-41.
+KERNEL_BLOCK = 256
+
+
+def distance_kernel(rows: DataFrame, key: str, position: str, value: str) -> DataFrame:
+    """Mean of the values weighted by exp(-|i - j| / e) over all positions j of the key.
+
+    A scan each way: within blocks of positions by running sums, and what earlier and later blocks add from their own
+    sums. Blocks further off than the next weigh less than 1e-41 of a position's own value, below any digit of a double, so a
+    position needs three blocks. Null positions and values take no part.
+    """
+    e = math.e
+    own = rows.filter(F.col(position).isNotNull() & F.col(value).isNotNull()).select(key, position, F.col(value).cast("double").alias("v"), F.floor(F.col(position) / KERNEL_BLOCK).alias("b"))
+    at = F.col(position) - F.col("b") * KERNEL_BLOCK  # 0 to 255: exp(256 / e) is 1e41, well inside a double
+    up, down = F.exp(at / e), F.exp(-at / e)
+    w = W.partitionBy(key, "b").orderBy(position)
+    before, after = w.rangeBetween(W.unboundedPreceding, 0), w.rangeBetween(1, W.unboundedFollowing)
+    part = lambda x: down * F.sum(x * up).over(before) + up * F.coalesce(F.sum(x * down).over(after), F.lit(0.0))
+    inner = own.select(key, position, "b", at.alias("at"), part(F.col("v")).alias("s"), part(F.lit(1.0)).alias("n"))
+    # a block's sum as seen from its next block's start, and from its previous block's last position
+    sums = own.groupBy(key, "b").agg(*[F.sum(x * f).alias(name) for name, x, f in (("sa", F.col("v"), F.exp((at - KERNEL_BLOCK) / e)), ("na", F.lit(1.0), F.exp((at - KERNEL_BLOCK) / e)), ("sb", F.col("v"), F.exp(-(at + 1) / e)), ("nb", F.lit(1.0), F.exp(-(at + 1) / e)))])
+    left = sums.select(F.col(key).alias("lk"), (F.col("b") + 1).alias("lb"), "sa", "na")
+    right = sums.select(F.col(key).alias("rk"), (F.col("b") - 1).alias("rb"), "sb", "nb")
+    j = inner.join(left, F.col(key).eqNullSafe(F.col("lk")) & (F.col("b") == F.col("lb")), "left").join(right, F.col(key).eqNullSafe(F.col("rk")) & (F.col("b") == F.col("rb")), "left")
+    fall, rise, none = F.exp(-F.col("at") / e), F.exp((F.col("at") - (KERNEL_BLOCK - 1)) / e), F.lit(0.0)
+    add = lambda c, a, b: F.col(c) + F.coalesce(F.col(a) * fall, none) + F.coalesce(F.col(b) * rise, none)
+    return j.select(key, position, (add("s", "sa", "sb") / add("n", "na", "nb")).alias("smoothed"))

@@ -73,20 +73,32 @@ def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def canonical_leakage(rows: DataFrame, item: str, split: str) -> DataFrame:
-    return split_leakage(rows, canonical_id(F.col(item).cast("string")), split)
+    """Leakage between splits by canonical ids; rows without one belong to nothing and leak nowhere."""
+    known = rows.filter(canonical_id(F.col(item).cast("string")).isNotNull())
+    return split_leakage(known, canonical_id(F.col(item).cast("string")), split)
 
 
-def label_sidecar(rows: DataFrame, key: str, label: str) -> DataFrame:
-    """key, label and the number of members of the label; counts are joined, so no label's rows meet in one task."""
-    counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("members"))
-    return rows.select(key, label).join(counts, F.col(label).eqNullSafe(F.col("__label"))).select(key, label, "members")
+#: The labels that analyses may read beside a clip.
+SIDECAR = ("video_id", "partition", "weak_label", "temporal_label", "label_source", "scene_group", "motion_bin", "category_for_analysis_only", "pseudo_positive")
+
+
+def label_sidecar(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The ``SIDECAR`` columns of each clip, and nothing else of it; columns that the rows lack are null.
+
+    A clip that several rows have takes the last by ``order`` (nulls first); without an order, clips must have one row.
+    """
+    have = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in SIDECAR]
+    if order is None:
+        return rows.select(key, *have)
+    last = rows.select(F.col(key), F.struct(F.col(order).alias("__order"), *have).alias("row")).groupBy(key).agg(F.max("row").alias("row"))
+    return last.select(key, *[F.col(f"row.{c}").alias(c) for c in SIDECAR])
 
 
 def sampling_comparability(rows: DataFrame, case: str, coordinates: list[str], reference: str) -> DataFrame:
     """Whether each other case sampled the same coordinates as the reference: case, frames, reasons, comparable.
 
     Coordinates are summed as 48-bit parts of SHA-256 digests of whole rows, place in the order included, so nothing is
-    sorted or gathered. Reasons: a null among the coordinates, other coordinates, another number of frames.
+    sorted or gathered. Reasons: no reference, a null among the coordinates, other coordinates, another number of frames.
     """
     lacking = F.lit(False)
     for c in coordinates:
@@ -94,6 +106,6 @@ def sampling_comparability(rows: DataFrame, case: str, coordinates: list[str], r
     digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in coordinates]).cast("binary"), 256)
     each = rows.groupBy(case).agg(F.sum(F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(38,0)")).alias("__sum"), F.count("*").alias("frames"), F.max(lacking).alias("__lacking"))
     first = each.filter(F.col(case) == reference).select(F.col("__sum").alias("__sum0"), F.col("frames").alias("__frames0"), F.col("__lacking").alias("__lacking0"))
-    j = each.filter(F.col(case) != reference).crossJoin(F.broadcast(first))  # one row
-    reasons = F.array_compact(F.array(F.when(F.col("__lacking") | F.col("__lacking0"), "null coordinate"), F.when(F.col("__sum") != F.col("__sum0"), "coordinates"), F.when(F.col("frames") != F.col("__frames0"), "frames")))
+    j = each.filter(~F.col(case).eqNullSafe(F.lit(reference))).join(F.broadcast(first), F.lit(True), "left")  # one row at most
+    reasons = F.array_compact(F.array(F.when(F.col("__frames0").isNull(), "no reference"), F.when(F.col("__lacking") | F.col("__lacking0"), "null coordinate"), F.when(F.col("__sum") != F.col("__sum0"), "coordinates"), F.when(F.col("frames") != F.col("__frames0"), "frames")))
     return j.select(case, "frames", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("comparable"))

@@ -42,11 +42,31 @@ def adjacent_change(rows: DataFrame, key: str, order: str, vec: str) -> DataFram
 
 
 def pair_redundancy(rows: DataFrame, key: str, item: str, vec: str, threshold: float) -> DataFrame:
-    """Mean cosine of the pairs within each group of bounded size, and the share of pairs above the threshold."""
+    """Mean cosine of the pairs within each group of bounded size, and the share of pairs at or above the threshold."""
     a = rows.select(key, F.col(item).alias("a"), F.col(vec).alias("va"))
     b = rows.select(key, F.col(item).alias("b"), F.col(vec).alias("vb"))
     pairs = a.join(b, key).filter("a < b").select(key, cosine("va", "vb").alias("cos"))
-    return pairs.groupBy(key).agg(F.avg("cos").alias("mean_cos"), F.avg((F.col("cos") > threshold).cast("double")).alias("redundancy"), F.count("*").alias("pairs"))
+    return pairs.groupBy(key).agg(F.avg("cos").alias("mean_cos"), F.avg((F.col("cos") >= threshold).cast("double")).alias("redundancy"), F.count("*").alias("pairs"))
+
+
+def coordinate_redundancy(rows: DataFrame, key: str, frame: str, row: str, col: str, vec: str, threshold: float) -> DataFrame:
+    """Cosines of neighbouring tokens: within a frame at distance 1 (right and below), and at the same place of the next frame.
+
+    key, kind (spatial or temporal), pairs, mean_cos, redundancy (share at or above the threshold) and coverage (pairs over those that the key's
+    largest grid would have). Neighbours are found by equality of shifted coordinates, so no group's pairs are formed.
+    Rows with a null coordinate or vector take no part.
+    """
+    own = rows.select(*[F.col(c).alias(n) for c, n in ((key, "__k"), (frame, "__f"), (row, "__r"), (col, "__c"), (vec, "__v"))]).dropna(subset=["__f", "__r", "__c", "__v"])
+    # each token is asked for by its neighbour to the left, the one above, and the one before
+    shifts = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("__f") - f).alias("f"), (F.col("__r") - r).alias("r"), (F.col("__c") - c).alias("c")) for k, f, r, c in (("spatial", 0, 0, 1), ("spatial", 0, 1, 0), ("temporal", 1, 0, 0))])
+    asked = own.select(F.col("__k").alias("__ak"), F.col("__v").alias("__w"), F.explode(shifts).alias("s")).select("__ak", "__w", *[F.col(f"s.{c}").alias(f"__a{c}") for c in ("kind", "f", "r", "c")])
+    pairs = own.join(asked, [F.col("__k").eqNullSafe(F.col("__ak")), *[F.col(f"__{c}") == F.col(f"__a{c}") for c in "frc"]])
+    found = pairs.select("__k", F.col("__akind").alias("kind"), cosine("__v", "__w").alias("cos")).groupBy("__k", "kind").agg(F.count("cos").alias("pairs"), F.avg("cos").alias("mean_cos"), F.avg((F.col("cos") >= threshold).cast("double")).alias("redundancy"))
+    size = lambda c: F.max(c) - F.min(c) + 1
+    grid = own.groupBy(F.col("__k").alias("__gk")).agg(size("__f").alias("fs"), size("__r").alias("rs"), size("__c").alias("cs"))
+    inner = F.col("fs") * (F.col("rs") * (F.col("cs") - 1) + (F.col("rs") - 1) * F.col("cs"))
+    most = F.when(F.col("kind") == "spatial", inner).otherwise((F.col("fs") - 1) * F.col("rs") * F.col("cs"))
+    return found.join(grid, F.col("__k").eqNullSafe(F.col("__gk"))).select(F.col("__k").alias(key), "kind", "pairs", "mean_cos", "redundancy", (F.col("pairs") / most).alias("coverage"))
 
 
 def mean_merge(rows: DataFrame, key: str, item: str, vec: str) -> DataFrame:

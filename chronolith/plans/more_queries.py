@@ -125,6 +125,15 @@ def window_counts(b):
     return counts.window_counts(b.table("events"), "ts", "event_type", "6 hours", "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("""SELECT event_id, '{"event": '||event_id||', "run": {"API-Key": "<redacted>", "tokens": ['||user_id||'], "steps": [{"session_cookie": "<redacted>", "type": "'||event_type||'"}, {"to\\u006ben": "<redacted>"}]}, "password": "<redacted>"}' AS metadata FROM events""")
+def metadata_redaction(b):
+    """Nested metadata of events; scalars, arrays and objects under secrets' names are hidden."""
+    made = F.format_string(
+        '{"event": %d, "run": {"API-Key": {"a": "x}", "b": [1, "]"]}, "tokens": [%d], "steps": [{"session_cookie": ["a", {"token": %d}], "type": "%s"}, {"to\\u006ben": null}]}, "password": -1.5e3}', "event_id", "user_id", "event_id", "event_type"
+    )
+    return b.table("events").select("event_id", text.redact_json(made).alias("metadata"))
+
+
 # ---- audits
 
 @query(""", s AS (SELECT video_id, num_frames, CASE WHEN MOD(video_id, 5)=0 THEN 'test' ELSE 'train' END AS split FROM video), k AS (SELECT CAST(video_id//3 AS VARCHAR) AS key, split FROM s)

@@ -439,11 +439,48 @@ def adjacent_cosine_change(b):
 
 
 @query(f""", p AS (SELECT a.group_id, {COS.format('a.embedding', 'b.embedding')} AS c FROM token a JOIN token b ON a.group_id=b.group_id AND a.token_id<b.token_id)
-SELECT group_id, ROUND(AVG(c),6) AS mean_cos, ROUND(AVG(CASE WHEN c>0.1 THEN 1.0 ELSE 0.0 END),6) AS redundancy, COUNT(*) AS pairs FROM p GROUP BY group_id""", "token")
+SELECT group_id, ROUND(AVG(c),6) AS mean_cos, ROUND(AVG(CASE WHEN c>=0.1 THEN 1.0 ELSE 0.0 END),6) AS redundancy, COUNT(*) AS pairs FROM p GROUP BY group_id""", "token")
 def pairwise_cosine_redundancy(b):
     return vectors.pair_redundancy(b.token, "group_id", "token_id", "embedding", 0.1).withColumns({"mean_cos": r6("mean_cos"), "redundancy": r6("redundancy")})
 
 
+#: Tokens as grids: 64 to a video, in 4 frames of 4 by 4; every 13th is missing.
+GRID = """, t AS (SELECT token_id//64 AS video, MOD(token_id,64)//16 AS f, MOD(token_id,16)//4 AS r, MOD(token_id,4) AS c, embedding FROM token WHERE MOD(token_id,13)<>0),
+"""
+
+
+@query(GRID + f"""p AS (SELECT a.video, CASE WHEN a.f=b.f THEN 'spatial' ELSE 'temporal' END AS kind, {COS.format('a.embedding', 'b.embedding')} AS x FROM t a JOIN t b ON a.video=b.video AND (a.f=b.f AND ABS(a.r-b.r)+ABS(a.c-b.c)=1 AND a.r<=b.r AND a.c<=b.c OR b.f=a.f+1 AND a.r=b.r AND a.c=b.c)),
+g AS (SELECT video, MAX(f)-MIN(f)+1 fs, MAX(r)-MIN(r)+1 rs, MAX(c)-MIN(c)+1 cs FROM t GROUP BY video)
+SELECT video, kind, COUNT(*) AS pairs, ROUND(AVG(x),6) AS mean_cos, ROUND(AVG(CASE WHEN x>=0.1 THEN 1.0 ELSE 0.0 END),6) AS redundancy, ROUND(COUNT(*)/CAST(CASE kind WHEN 'spatial' THEN MAX(fs*(rs*(cs-1)+(rs-1)*cs)) ELSE MAX((fs-1)*rs*cs) END AS DOUBLE),6) AS coverage
+FROM p JOIN g USING (video) GROUP BY video, kind""", "token")
+def coordinate_redundancy(b):
+    i = F.col("token_id")
+    rows = b.token.filter(i % 13 != 0).select(F.floor(i / 64).alias("video"), F.floor(i % 64 / 16).alias("f"), F.floor(i % 16 / 4).alias("r"), (i % 4).alias("c"), "embedding")
+    return vectors.coordinate_redundancy(rows, "video", "f", "r", "c", "embedding", 0.1).withColumns({c: r6(c) for c in ("mean_cos", "redundancy", "coverage")})
+
+
+@query(""", l AS (SELECT pair_id, token_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM token), w AS (SELECT pair_id, token_id, i, x, EXP(label-MAX(label) OVER (PARTITION BY pair_id)) AS w FROM l),
+m AS (SELECT pair_id, i, SUM(w*x)/SUM(w) AS x, MIN(token_id) AS anchor FROM w GROUP BY pair_id, i)
+SELECT pair_id, MIN(anchor) AS anchor, ROUND(SUM(x),6) AS total, ROUND(SUM(x*i),5) AS moment FROM m GROUP BY pair_id""", "token")
+def pair_gated_merge(b):
+    m = vectors.gated_merge(b.token.withColumn("gate", F.col("label").cast("double")), "pair_id", "token_id", "embedding", "gate")
+    total = F.aggregate("merged", F.lit(0.0), lambda s, x: s + x)
+    moment = F.aggregate(F.transform("merged", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return m.select("pair_id", "anchor", r6(total).alias("total"), F.round(moment, 5).alias("moment"))
+
+
+@query(""", l AS (SELECT token_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM token), k AS (SELECT *, x>0 AND MOD(token_id,9)>0 AS m FROM l), t AS (SELECT token_id, MAX(x) FILTER (m) AS top FROM k GROUP BY token_id),
+e AS (SELECT token_id, i, CASE WHEN m THEN EXP(x-top) ELSE 0 END AS e FROM k JOIN t USING (token_id)), p AS (SELECT token_id, i, COALESCE(e/NULLIF(SUM(e) OVER (PARTITION BY token_id),0),0) AS p FROM e)
+SELECT token_id, ROUND(SUM(p),6) AS total, ROUND(MAX(p),6) AS top, ROUND(SUM(p*i),5) AS centre FROM p GROUP BY token_id""", "token")
+def masked_softmax(b):
+    """Softmax over the positive entries; every ninth token has its whole mask off."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    mask = F.transform("embedding", lambda v: (v > 0) & (F.col("token_id") % 9 > 0))
+    p = b.token.select("token_id", vectors.masked_softmax(x, mask).alias("p"))
+    fold = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return p.select("token_id", r6(fold(F.col("p"))).alias("total"), r6(F.array_max("p")).alias("top"), F.round(fold(F.transform("p", lambda v, i: v * (i + 1))), 5).alias("centre"))
+
+
 @query(""", l AS (SELECT pair_id, token_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM token),
 m AS (SELECT pair_id, i, AVG(CAST(x AS DOUBLE)) AS x, MIN(token_id) AS anchor FROM l GROUP BY 1, 2)
 SELECT pair_id, MIN(anchor) AS anchor, ROUND(SUM(x),6) AS total, ROUND(SUM(x*i),5) AS moment FROM m GROUP BY pair_id""", "token")

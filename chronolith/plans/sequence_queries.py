@@ -110,9 +110,9 @@ def attention_pooling(b):
     return attention.bag_attention(b.clip, "video_id", "clip_index", "score_c", "alt_c", 2.0).withColumns({c: r9(c) for c in ("pooled", "top", "entropy")})
 
 
-@query("""SELECT a.video_id, a.clip_index, ROUND(SUM(EXP(-ABS(a.clip_index-b.clip_index)/EXP(1.0))*b.score_c)/SUM(EXP(-ABS(a.clip_index-b.clip_index)/EXP(1.0))),9) AS smoothed FROM clip a JOIN clip b ON a.video_id=b.video_id AND ABS(a.clip_index-b.clip_index)<=3 GROUP BY 1, 2""", "clip")
+@query("""SELECT a.video_id, a.clip_index, ROUND(SUM(EXP(-ABS(a.clip_index-b.clip_index)/EXP(1.0))*b.score_c)/SUM(EXP(-ABS(a.clip_index-b.clip_index)/EXP(1.0))),9) AS smoothed FROM clip a JOIN clip b ON a.video_id=b.video_id GROUP BY 1, 2""", "clip")
 def temporal_prior(b):
-    return attention.distance_kernel(b.clip, "video_id", "clip_index", "score_c", 3).withColumn("smoothed", r9("smoothed"))
+    return attention.distance_kernel(b.clip, "video_id", "clip_index", "score_c").withColumn("smoothed", r9("smoothed"))
 
 
 @query(""", e AS (SELECT token_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM token), f AS (SELECT token_id, list_transform(v, lambda x: exp(x-list_max(v))) AS e FROM e), p AS (SELECT token_id, list_transform(e, lambda x: x/list_sum(e)) AS p FROM f)
@@ -135,7 +135,7 @@ def feature_grid_pr(b):
     return metrics.precision_recall(b.tile, "dense_c", "label", weight=F.lit(16)).select(r9("pr_trapezoid").alias("pr_area"))
 
 
-@query("""SELECT url, lower(trim(regexp_replace(regexp_replace(list_last(string_split(url, '/')), '(?i)\\.(mp4|avi|mkv|mov|webm|npy|npz|txt|fc6-1)$', ''), '(?i)(__\\d+|_c)$', ''))) AS canonical, 'source:unknown' AS grp FROM pages""")
+@query("""SELECT url, NULLIF(lower(trim(regexp_replace(regexp_replace(list_last(string_split(url, '/')), '(?i)\\.(mp4|avi|mkv|mov|webm|npy|npz|txt|fc6-1)$', ''), '(?i)(__\\d+|_c)$', ''))), '') AS canonical, 'source:unknown' AS grp FROM pages""")
 def canonical_names(b):
     return b.table("pages").select("url", text.canonical_id(F.col("url")).alias("canonical"), text.source_group(F.col("url")).alias("grp"))
 
@@ -205,9 +205,18 @@ def epoch_accumulation(b):
     return losses.accumulate_epochs(b.table("lineitem"), "l_linenumber", "l_discount", "l_quantity").select(F.col("l_linenumber").alias("epoch"), "batches", F.col("samples").cast("double").alias("samples"), r6("loss").alias("loss"))
 
 
-@query("""SELECT CAST(vec_id AS BIGINT) AS video_id, label, COUNT(*) OVER (PARTITION BY label) AS members FROM embeddings""")
+@query("""SELECT video_id||':'||clip_index AS clip_id, CAST(video_id AS VARCHAR) AS video_id, CASE MOD(video_id,5) WHEN 0 THEN 'test' ELSE 'train' END AS partition, CAST(CASE WHEN MOD(video_id,11)>0 THEN y END AS BIGINT) AS weak_label, CAST(NULL AS VARCHAR) AS temporal_label,
+ 'weak' AS label_source, 'scene'||MOD(video_id,7) AS scene_group, CASE WHEN score_c<3 THEN 'low' WHEN score_c<7 THEN 'mid' ELSE 'high' END AS motion_bin, CASE WHEN y=1 THEN 'Abuse' ELSE 'Normal' END AS category_for_analysis_only, alt_c>6 AS pseudo_positive FROM clip""", "clip")
 def label_sidecar(b):
-    return audit.label_sidecar(b.table("embeddings"), "vec_id", "label").select(F.col("vec_id").cast("long").alias("video_id"), "label", "members")
+    """Each clip's labels; of the two rows that some clips have, the later one counts."""
+    v, y = F.col("video_id"), F.col("y")
+    rows = b.clip.select(
+        F.concat(v.cast("string"), F.lit(":"), F.col("clip_index").cast("string")).alias("clip_id"), v.cast("string").alias("video_id"), F.when(v % 5 == 0, "test").otherwise("train").alias("partition"), F.when(v % 11 > 0, y).cast("long").alias("weak_label"),
+        F.lit("weak").alias("label_source"), F.concat(F.lit("scene"), (v % 7).cast("string")).alias("scene_group"), F.when(F.col("score_c") < 3, "low").when(F.col("score_c") < 7, "mid").otherwise("high").alias("motion_bin"),
+        F.when(y == 1, "Abuse").otherwise("Normal").alias("category_for_analysis_only"), (F.col("alt_c") > 6).alias("pseudo_positive"), F.lit(1).alias("version"),
+    )
+    older = rows.filter("weak_label = 1").withColumns({"version": F.lit(0), "scene_group": F.lit("old")})
+    return audit.label_sidecar(rows.unionByName(older), "clip_id", "version")
 
 
 @query("""SELECT video_id, list(struct_pack(lo:=lo, hi:=hi, label:=label) ORDER BY lo) AS runs, CAST(SUM(hi-lo) AS BIGINT) AS frames FROM (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import text
-from chronolith.operators import audit, intervals, losses, metrics, neardup, resampling, sampling, selection, stats, store, vectors
+from chronolith.operators import attention, audit, intervals, losses, metrics, neardup, resampling, sampling, selection, stats, store, vectors
 from chronolith.sources import records, texts
 from chronolith.streaming import cache_state, counts
 
@@ -492,3 +492,53 @@ def test_cache_steps_by_hand(spark):
     assert [r["reason"] for r in got] == ["inactive", None, "active", "step_not_above", None, "kind", "tensors", "times", "lengths", None, None, None, "inactive", None]
     assert [r["length"] for r in got] == [0, 0, 0, 0, 2, 2, 2, 2, 2, 3, 1, 1, 1, 0] and got[9]["total"] == 20.0 and [r["run"] for r in got][-2:] == [1, 2]
     assert cache_state.follow(spark.createDataFrame([], CACHE), "k", ["seq"]).count() == 0
+
+
+def test_redaction_of_subtrees(spark):
+    cases = {
+        '{"token": {"a": "x"}, "b": 1}': '{"token": "<redacted>", "b": 1}', '{"cookie": ["a", "b"], "c": [{"password" : 1.5}]}': '{"cookie": "<redacted>", "c": [{"password" : "<redacted>"}]}', '{"x": "token", "tokens": "k"}': '{"x": "token", "tokens": "k"}',
+        '{"my-secret": "}{\\"", "y": ["token", ":"]}': '{"my-secret": "<redacted>", "y": ["token", ":"]}', '{"to\\u006ben": {"token": 1}}': '{"to\\u006ben": "<redacted>"}', '{"a": {"token": }}': '{"a": {"token": }}', '{"token": {"a": 1': '{"token": "<redacted>"', '{"token": "ab': '{"token": "<redacted>"',
+        "": "", "no json": "no json", '["token", 1]': '["token", 1]', '{"authorization":null}': '{"authorization":"<redacted>"}',
+    }
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    assert {r["t"]: r["o"] for r in rows.select("t", text.redact_json(F.col("t")).alias("o")).collect()} == {**cases, None: None}
+    deep = '{"a":' * 3000 + '{"token":' + "[" * 3000 + "]" * 3000 + "}" + "}" * 3000
+    assert text.without_secrets(deep) == '{"a":' * 3000 + '{"token":"<redacted>"}' + "}" * 3000
+
+
+def test_sidecar_takes_the_last_row_and_only_labels(spark):
+    rows = spark.createDataFrame([("c1", "v", 1, "old", 0), ("c1", "v", 0, "new", 1), ("c2", "w", None, None, 0)], "clip_id string, video_id string, weak_label int, scene_group string, version int").withColumn("path", F.lit("p"))
+    got = {r["clip_id"]: r for r in audit.label_sidecar(rows, "clip_id", "version").collect()}
+    assert got["c1"].asDict() == {"clip_id": "c1", "video_id": "v", "partition": None, "weak_label": 0, "temporal_label": None, "label_source": None, "scene_group": "new", "motion_bin": None, "category_for_analysis_only": None, "pseudo_positive": None}
+    assert got["c2"]["weak_label"] is None and audit.label_sidecar(rows.limit(0), "clip_id").count() == 0
+
+
+def test_comparability_without_a_reference(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "run string, frame int")
+    got = {r["run"]: (r["reasons"], r["comparable"]) for r in audit.sampling_comparability(rows, "run", ["frame"], "none").collect()}
+    assert got == {"a": ("no reference", False), "b": ("no reference", False)}
+
+
+def test_ids_without_a_name_leak_nowhere(spark):
+    rows = spark.createDataFrame([("a/.mp4", "train"), ("b/.mp4", "test"), ("x/v.mp4", "train"), ("y/V_C.avi", "test")], "path string, split string")
+    assert [r["key"] for r in audit.canonical_leakage(rows, "path", "split").collect()] == ["v"]
+
+
+def test_distance_kernel_sums_over_all_positions(spark):
+    import math
+    import random
+
+    r = random.Random(5)
+    rows = [(k, p, r.uniform(-9, 9)) for k, n in (("a", 1500), (None, 3)) for p in sorted(r.sample(range(-700, 5000), n))] + [("a", 4, 1.0), ("a", 4, 2.0), ("b", 10**12, 3.0), ("b", 10**12 + 900, -3.0), ("a", None, 1.0), ("a", 3, None)]
+    got = {}
+    for x in attention.distance_kernel(spark.createDataFrame(rows, "k string, p long, v double"), "k", "p", "v").collect():
+        got[x["k"], x["p"]] = x["smoothed"]
+    for k, p in r.sample(sorted(got, key=str), 150) + [("a", 4), ("b", 10**12)]:
+        w = [(math.exp(-abs(p - q) / math.e), v) for kk, q, v in rows if kk == k and q is not None and v is not None]
+        assert got[k, p] == pytest.approx(sum(a * v for a, v in w) / sum(a for a, _ in w), rel=1e-9, abs=1e-12)
+
+
+def test_coordinate_redundancy(spark):
+    rows = [(1, 0, 0, 0, [1.0, 0.0]), (1, 0, 0, 1, [1.0, 0.0]), (1, 0, 1, 0, [0.0, 1.0]), (1, 1, 0, 0, [1.0, 1.0]), (1, 1, 5, None, [1.0, 1.0]), (2, 0, 0, 0, [1.0, 1.0])]
+    got = {(r["k"], r["kind"]): tuple(r)[2:] for r in vectors.coordinate_redundancy(spark.createDataFrame(rows, "k long, f long, r long, c long, v array<double>"), "k", "f", "r", "c", "v", 1.0).collect()}
+    assert got[1, "spatial"] == (2, 0.5, 0.5, 2 / 8) and got[1, "temporal"] == (1, pytest.approx(0.5**0.5), 0.0, 1 / 4) and len(got) == 2
