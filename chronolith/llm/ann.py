@@ -136,7 +136,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosines in double precision of the rows of a with q."""
+    """Cosines in double precision of the rows of a with q.
+
+    Both are scaled by powers of two first, which changes no digit of the result, and keeps very large and small values in range.
+    """
+    a = np.ldexp(a, -np.frexp(np.abs(a).max(1, keepdims=True))[1])
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
     return (a @ q) / (np.sqrt((a * a).sum(1)) * np.sqrt((q * q).sum()))
 
 

@@ -103,7 +103,7 @@ def known_grams(rows: np.ndarray, each: int) -> tuple[np.ndarray, float]:
 def fit_language_model(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 128, ridge: float = 1e-2) -> LanguageModel:
     """Learns from the rows where ``train`` holds, the language isn't null and the text has a letter."""
     rows = docs.filter(train).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(11)).alias("h")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # the smallest hashes of each language; the table is bounded by MAX_LANGUAGES * per_language
     sketch = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
@@ -113,7 +113,8 @@ def fit_language_model(docs: DataFrame, train: Column, *, id_col: str = "doc_id"
         return LanguageModel([], np.zeros((0, BUCKETS), np.uint8), np.zeros((1, 0)))
     # keep about twice the wanted number by hash range, then the exact smallest ones on that small remainder
     width = F.create_map(*[x for r in sketch for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * per_language / max(r["n"], 1))))])
-    near = rows.filter(F.pmod("h", F.lit(1 << 30)) < width[F.col("lang")] * float(1 << 30)).limit(4 * per_language * len(sketch))
+    # rows of the same language, id and text count once, so no language takes another's place
+    near = rows.filter(F.pmod("h", F.lit(1 << 30)) < width[F.col("lang")] * float(1 << 30)).dropDuplicates(["lang", "h"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

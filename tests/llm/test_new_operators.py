@@ -228,3 +228,44 @@ def test_full_caches_change_nothing(model, library, monkeypatch):
     for _ in range(200):
         text = " ".join("".join(rng.choice("aehinotrs") for _ in range(rng.randint(1, 12))) for _ in range(10))
         assert pieces.encode([text])[0].tolist() == library.encode(text)
+
+
+# corrections of earlier operators ----------------------------------------------------------------------------------
+
+
+def test_no_language_is_lost_to_null_ids(spark):
+    from chronolith.llm import language_id
+
+    rng = random.Random(12)
+    word = {"en": "the of and to in is that for with as".split(), "de": "der die und ist nicht mit ein auch für".split()}
+    some = lambda n: " ".join(rng.choice(word[n]) for _ in range(8))
+    rows = [(None, some("en"), "en") for _ in range(6000)] + [(None, "the of and", "en")] * 3000 + [(i, some("de"), "de") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = language_id.fit_language_model(df, F.lit(True))
+    assert model.languages == ["de", "en"]
+    got = language_id.identify(df.select("text", "lang"), model).groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right")).collect()
+    assert all(r["right"] > 0.95 for r in got)
+
+
+def test_nearest_of_very_large_and_small_vectors(spark):
+    from chronolith.llm import ann
+
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(300, 8))
+    sizes = 10.0 ** rng.choice([-200, -100, 0, 100, 200], 300)
+    df = spark.createDataFrame([(i, (a * s).tolist()) for i, (a, s) in enumerate(zip(v, sizes))], "vec_id long, embedding array<double>")
+    got = {}
+    index, shards = ann.build_index(df, 6, shard_rows=64)
+    assert shards > 3
+    for r in ann.search(index, shards, df.filter("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    right = 0
+    for q in range(0, 300, 50):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        want = np.argsort(-cos)[:5].tolist()
+        mine = sorted(got[q])
+        assert all(np.isfinite(s) and s == pytest.approx(cos[i], abs=1e-12) for _, i, s in mine)
+        right += len({i for _, i, _ in mine} & set(want))
+    assert right >= 28  # of 30, over several shards
