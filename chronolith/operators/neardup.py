@@ -24,6 +24,7 @@ def block_pairs(digests: DataFrame, key: str, pos: str, digest: str, blocks: int
     a = digests.select(key, pos, F.col(digest).alias("da"))
     b = digests.select(F.col(key).alias("other"), pos, F.col(digest).alias("db"))
     same = pairs.join(a, key).join(b, ["other", pos]).withColumn("match", (hamming_hex(F.col("da"), F.col("db")) <= radius).cast("int"))
-    w = W.partitionBy(key, "other").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    islands = same.withColumn("off", F.sum(1 - F.col("match")).over(w)).groupBy(key, "other", "off").agg(F.sum("match").alias("len"))
+    # a position that one of both lacks ends a row of matches
+    w = W.partitionBy(key, "other").orderBy(pos)
+    islands = same.filter("match = 1").withColumn("off", F.col(pos) - F.row_number().over(w)).groupBy(key, "other", "off").agg(F.sum("match").alias("len"))
     return islands.groupBy(key, "other").agg(F.sum("len").alias("matches"), F.max("len").alias("longest")).filter((F.col("matches") >= least) & (F.col("longest") >= run))

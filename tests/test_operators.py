@@ -241,6 +241,10 @@ def test_near_pairs(spark):
     rows = [(k, p, f"{p * 1000 + (k == 9) * 7:08x}" * 4) for k in (1, 2) for p in range(5)] + [(3, p, f"{p + 77777:08x}" * 4) for p in range(5)]
     got = neardup.block_pairs(spark.createDataFrame(rows, "k long, pos int, h string"), "k", "pos", "h").collect()
     assert [(r["k"], r["other"], r["matches"], r["longest"]) for r in got] == [(1, 2, 5, 5)]
+    gap = [r for r in rows if r[:2] != (2, 2)]  # a position that one lacks ends the row of matches
+    assert neardup.block_pairs(spark.createDataFrame(gap, "k long, pos int, h string"), "k", "pos", "h").count() == 0
+    got = neardup.block_pairs(spark.createDataFrame(gap, "k long, pos int, h string"), "k", "pos", "h", run=2).collect()
+    assert [(r["matches"], r["longest"]) for r in got] == [(4, 2)]
 
 
 def test_upsert_refuses_repeats(spark):
