@@ -502,12 +502,12 @@ def farthest_point_fill(b):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from chronolith.plans import more_queries, resampling_queries, sequence_queries, source_queries  # noqa: F401  they register their own
+    from chronolith.plans import grid_queries, more_queries, resampling_queries, sequence_queries, source_queries  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronolith.plans import more_queries, resampling_queries, sequence_queries, source_queries  # noqa: F401
+    from chronolith.plans import grid_queries, more_queries, resampling_queries, sequence_queries, source_queries  # noqa: F401
 
     return dict(ORACLES)
