@@ -31,6 +31,35 @@ def top_mass(p: Column, k: int) -> Column:
     return _sum(F.slice(F.sort_array(p, asc=False), 1, k))
 
 
+def class_row(p: Column, at: int) -> Column:
+    """A class token's weights over the other positions, made to add up to 1; null if they add up to 0 or there are none.
+
+    ``at`` is the class token's position; ``p`` the row of weights of its query.
+    """
+    rest = F.filter(p, lambda x, i: i != at)
+    return let(rest, lambda r: let(_sum(r), lambda total: F.when(total > 0, F.transform(r, lambda x: x / total))))
+
+
+def incoming(rows: DataFrame, key: str, weights: str, k: int = 4) -> DataFrame:
+    """What the keys of each attention matrix receive: entropy over its maximum, mass of the top ``k``, and Gini coefficient.
+
+    A row is a query's weights, which add up to 1; all queries of a key have one length. What a key position receives is
+    its mean over the queries, summed before the shuffle. One position gives entropy 0. Rows that are null, empty, or hold
+    null, negative or non-finite weights, or add up to other than 1 by over 0.002, take no part; nor do keys without others.
+    """
+    ok = F.forall(weights, lambda x: F.coalesce((x >= 0) & ~F.isnan(x) & (x != float("inf")), F.lit(False)))
+    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    cells = rows.filter(F.coalesce((F.size(weights) > 0) & ok & (F.abs(total - 1) <= 0.002), F.lit(False))).select(key, F.posexplode(weights).alias("pos", "x"))
+    mean = cells.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    # positions are ordered by what they receive once, which gives the top and the ranks of the Gini coefficient
+    w = W.partitionBy(key)
+    placed = mean.select(key, "x", F.row_number().over(w.orderBy("x", "pos")).alias("r"), F.count("*").over(w).alias("m"))
+    x, r, m = F.col("x"), F.col("r"), F.col("m")
+    sums = placed.groupBy(key).agg(F.max("m").alias("m"), (-F.sum(F.when(x > 0, x * F.log(x)).otherwise(0.0))).alias("h"), F.sum(F.when(r > m - k, x)).alias("top"), F.sum(r * x).alias("rx"), F.sum(x).alias("t"))
+    entropy = F.when(m > 1, F.col("h") / F.log(m.cast("double"))).otherwise(0.0)
+    return sums.select(key, entropy.alias("incoming_entropy"), F.col("top").alias("incoming_top"), (2.0 * F.col("rx") / (m * F.col("t")) - (m + 1.0) / m).alias("incoming_gini"))
+
+
 def bag_attention(rows: DataFrame, bag: str, item: str, score: str, value: str, temperature: float = 1.0) -> DataFrame:
     """Softmax-weighted mean of a value over each bag, its largest weight, and the normalised entropy of the weights."""
     w = W.partitionBy(bag)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from chronolith.operators import grids, roles
-from chronolith.plans.queries import query, r9
+from chronolith.operators import attention, grids, roles
+from chronolith.plans.queries import query, r6, r9
+from chronolith.sources import records
+from chronolith.sources.paths import fresh_path
 
 # ---- grids of times
 
@@ -65,3 +71,69 @@ def prepared_roles(b):
     m = b.table("orders").select("o_orderkey", volume.alias("volume"), name.alias("name"), F.lit(1000).cast("long").alias("size"))
     files = m.filter("o_orderkey % 5 <> 0").select(F.concat("volume", F.lit("/"), "name").alias("path"), F.when(k % 7 == 0, 999).otherwise(1000).cast("long").alias("size"))
     return roles.prepare(m.drop("o_orderkey"), files, 202709)
+
+
+# ---- digests and bundles
+
+
+@query("SELECT c_nationkey AS nation, CAST(SUM(octet_length(encode(line))) AS BIGINT) AS length, sha256(string_agg(line, '' ORDER BY c_custkey)) AS sha256 FROM (SELECT c_nationkey, c_custkey, c_custkey || ' ' || c_name || chr(10) AS line FROM customer) GROUP BY 1")
+def file_digests(b):
+    """A file of the customers of each nation, written and hashed."""
+    path = fresh_path(b.spark, "digests")
+    lines = b.table("customer").select("c_nationkey", "c_custkey", F.concat("c_custkey", F.lit(" "), "c_name").alias("value"))
+    lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast(b.table("customer").schema["c_nationkey"].dataType)
+    return records.file_digests(b.spark, path).select(nation.alias("nation"), "length", "sha256")
+
+
+def _bundled(vec_id: pd.Series, part: pd.Series) -> pd.Series:
+    def npz(i, x) -> bytes:
+        out = io.BytesIO()
+        x = np.asarray(x, np.float32)
+        half = {"first": x[: len(x) // 2]} if i % 11 == 0 else {"first": x[: len(x) // 2], "second": x[len(x) // 2 :].reshape(2, -1)}
+        np.savez(out, **half)
+        return out.getvalue()
+
+    return pd.Series([npz(i, x) for i, x in zip(vec_id, part)])
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, len(embedding)//2 AS h FROM embeddings),
+n AS (SELECT *, unnest(['head', 'tail']) AS name FROM v), i AS (SELECT *, CASE WHEN vec_id%13=0 THEN 'paths' WHEN vec_id%7=0 THEN 'missing' WHEN vec_id%5=0 THEN 'sha256' WHEN name='tail' AND vec_id%11=0 THEN 'member' WHEN name='tail' AND vec_id%3=0 THEN 'shape' END AS issue FROM n)
+SELECT CAST(vec_id AS VARCHAR) AS video_id, name, issue, CASE WHEN issue IS NULL THEN ROUND(list_sum(CASE WHEN name='head' THEN e[1:h] ELSE e[h+1:] END),9) END AS total FROM i""")
+def feature_bundles(b):
+    """Vectors as .npz bundles of two members; records that name two bundles, none that exists, or another digest, member or shape."""
+    saved = F.pandas_udf(_bundled, "binary")
+    k = F.col("vec_id")
+    v = b.table("embeddings").select("vec_id", F.concat("vec_id", F.lit(".npz")).alias("path"), F.floor(F.size("embedding") / 2).cast("int").alias("h"), saved("vec_id", "embedding").alias("content"))
+    digest = F.when(k % 5 == 0, F.sha2("content", 224)).otherwise(F.sha2("content", 256))
+    shape = F.when(k % 3 == 0, F.array("h")).otherwise(F.array(F.lit(2), F.floor(F.col("h") / 2).cast("int")))
+    about = lambda path, key, shape: F.struct(path.alias("path"), F.lit(key).alias("key"), shape.alias("shape"), F.lit("float32").alias("dtype"), digest.alias("sha256"), (F.col("h") * 4).cast("long").alias("nbytes"))
+    other = F.when(k % 13 == 0, F.lit("other.npz")).otherwise(F.col("path"))
+    index = v.select(k.cast("string").alias("video_id"), F.lit("0").alias("clip_id"), F.lit("npz").alias("storage_format"), F.create_map(F.lit("head"), about(F.col("path"), "first", F.array("h")), F.lit("tail"), about(other, "second", shape)).alias("arrays"))
+    got = records.load_arrays(index, v.filter("vec_id % 7 <> 0").select("path", "content"))
+    return got.select("video_id", "name", "issue", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 9).alias("total"))
+
+
+# ---- attention by columns
+
+ATTENTION = """, e AS (SELECT token_id, group_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM token), f AS (SELECT token_id, group_id, list_transform(v, lambda x: exp(x-list_max(v))) AS e FROM e),
+p AS (SELECT token_id, group_id, list_transform(e, lambda x: x/list_sum(e)) AS p FROM f)"""
+
+
+def _attention(b):
+    return b.token.select("token_id", "group_id", attention.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
+
+
+@query(ATTENTION + """, c AS (SELECT group_id, pos, AVG(x) AS x FROM (SELECT group_id, unnest(p) AS x, generate_subscripts(p, 1) AS pos FROM p) GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_id ORDER BY x, pos) AS r, COUNT(*) OVER (PARTITION BY group_id) AS m FROM c)
+SELECT group_id, ROUND(-SUM(x*LN(x))/LN(MAX(m)),6) AS incoming_entropy, ROUND(SUM(CASE WHEN r>m-4 THEN x ELSE 0 END),6) AS incoming_top, ROUND(2*SUM(r*x)/(MAX(m)*SUM(x))-(MAX(m)+1.0)/MAX(m),6) AS incoming_gini FROM r GROUP BY group_id""", "token")
+def incoming_attention(b):
+    """What positions receive, by matrix column: the tokens of a group are its queries."""
+    return attention.incoming(_attention(b), "group_id", "p").withColumns({c: r6(F.col(c)) for c in ("incoming_entropy", "incoming_top", "incoming_gini")})
+
+
+@query(ATTENTION + """, c AS (SELECT token_id, list_transform(p[2:], lambda x: x/list_sum(p[2:])) AS q FROM p)
+SELECT token_id, ROUND(-list_sum(list_transform(q, lambda x: x*ln(x)))/ln(len(q)),6) AS entropy, ROUND(list_sum(list_reverse_sort(q)[1:4]),6) AS top4 FROM c""", "token")
+def class_attention(b):
+    """Each token's weights without the first position, renormalised."""
+    q = _attention(b).select("token_id", attention.class_row(F.col("p"), 0).alias("q"))
+    return q.select("token_id", r6(attention.entropy(F.col("q"))).alias("entropy"), r6(attention.top_mass(F.col("q"), 4)).alias("top4"))

@@ -6,11 +6,17 @@ their text in ``_corrupt_record``. Writers go through Spark's committer, so read
 
 from __future__ import annotations
 
+import hashlib
 import io
-from collections.abc import Iterator
+import re
+import zipfile
+import zlib
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,25 +88,96 @@ def reuse_ratio(telemetry: DataFrame) -> DataFrame:
 def load_arrays(index: DataFrame, files: DataFrame) -> DataFrame:
     """The arrays of the index's records: video_id, clip_id, name, shape, values as doubles in row order, and an issue.
 
-    ``files``: path, content of .npy files, such as Spark's ``binaryFile`` source gives. The issue is a missing file, another
-    SHA-256 or size than the record says, or another shape or type; such arrays have no values.
+    ``files``: path, content of .npy files or .npz bundles, such as Spark's ``binaryFile`` source gives. A record whose
+    ``storage_format`` is npz has its arrays in one bundle, each under its ``key`` or, without one, its name; the bundle's
+    digest is checked before any member is read, and it is read once for a record. The issue is a missing file,
+    ``paths`` (an npz record that names several), another SHA-256 or size than the record says, ``unreadable`` content, a
+    ``member`` that the bundle lacks, or another shape or type; such arrays have no values. Sizes of npz files aren't
+    compared, since a record says those of its arrays. Records without arrays have no rows.
     """
-    wanted = index.select("video_id", "clip_id", F.explode("arrays").alias("name", "a")).select("video_id", "clip_id", "name", F.col("a.path").alias("path"), F.struct("a.shape", "a.dtype", "a.sha256", "a.nbytes").alias("a"))
-    found = wanted.join(files.select("path", "content"), "path", "left")
-    issue = F.when(F.col("content").isNull(), "missing").when(F.sha2("content", 256) != F.lower("a.sha256"), "sha256").when(F.octet_length("content") != F.col("a.nbytes"), "size")
-    checked = found.withColumn("issue", issue).withColumn("content", F.when(F.col("issue").isNull(), F.col("content")))
-    fields = "video_id string, clip_id string, name string"
+    has = lambda c: c in index.columns
+    keyed = "key" in index.schema["arrays"].dataType.valueType.names
+    npz = F.coalesce(F.col("storage_format") == "npz", F.lit(False)) if has("storage_format") else F.lit(False)
+    one = F.size(F.array_distinct(F.transform(F.map_values("arrays"), lambda a: a["path"]))) == 1
+    key = F.coalesce(F.col("a.key"), F.col("name")) if keyed else F.col("name")
+    wanted = index.select("video_id", "clip_id", npz.alias("npz"), (npz & ~one).alias("several"), F.explode("arrays").alias("name", "a"))
+    about = F.struct("name", key.alias("key"), F.col("a.shape").alias("shape"), F.col("a.dtype").alias("dtype"), F.lower("a.sha256").alias("sha256"), F.col("a.nbytes").alias("nbytes"))
+    # the arrays that a record has in one file come together, so that its content is moved and read once
+    grouped = wanted.select("video_id", "clip_id", "npz", "several", F.col("a.path").alias("path"), about.alias("about")).groupBy("video_id", "clip_id", "npz", "several", "path").agg(F.array_sort(F.collect_list("about")).alias("about"))
+    found = grouped.join(files.select("path", "content"), "path", "left")
+    digest = F.when(F.col("content").isNotNull() & ~F.col("several"), F.sha2("content", 256))
+    fields = "video_id string, clip_id string, name string, shape array<int>, values array<double>, issue string"
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
-                if r.content is None:
-                    out.append((r.video_id, r.clip_id, r.name, None, None, r.issue))
-                    continue
-                x = np.load(io.BytesIO(r.content), allow_pickle=False)
-                other = "shape" if list(x.shape) != list(r.shape) else "dtype" if str(x.dtype) != r.dtype else None
-                out.append((r.video_id, r.clip_id, r.name, None if other else list(x.shape), None if other else x.astype(np.float64).ravel(), other))
+                at = _arrays(r.content, r.npz) if r.content is not None and any(a["sha256"] == r.digest for a in r.about) else None
+                for a in r.about:
+                    x, issue = None, "paths" if r.several else "missing" if r.content is None else "sha256" if a["sha256"] != r.digest else None
+                    if issue is None and not r.npz and len(r.content) != a["nbytes"]:
+                        issue = "size"
+                    if issue is None:
+                        x, issue = at(a["key"])
+                    if issue is None:
+                        issue = "shape" if list(x.shape) != list(a["shape"]) else "dtype" if str(x.dtype) != a["dtype"] else None
+                    fine = issue is None
+                    out.append((r.video_id, r.clip_id, a["name"], list(x.shape) if fine else None, x.astype(np.float64).ravel() if fine else None, issue))
             yield pd.DataFrame(out, columns=["video_id", "clip_id", "name", "shape", "values", "issue"])
 
-    return checked.select("video_id", "clip_id", "name", "content", "issue", "a.shape", "a.dtype").mapInPandas(decode, f"{fields}, shape array<int>, values array<double>, issue string")
+    return found.select("video_id", "clip_id", "npz", "several", "about", "content", digest.alias("digest")).mapInPandas(decode, fields)
+
+
+def _arrays(content: bytes, npz: bool) -> Callable[[str], tuple[np.ndarray | None, str | None]]:
+    """Gives the array of a key, or why there is none; a bundle's members are read only when asked for."""
+    try:
+        got = np.load(io.BytesIO(content), allow_pickle=False)
+    except (ValueError, OSError, EOFError, zipfile.BadZipFile):
+        return lambda key: (None, "unreadable")
+    if isinstance(got, np.ndarray):
+        return lambda key: (None, "unreadable") if npz else (got, None)
+
+    def member(key: str) -> tuple[np.ndarray | None, str | None]:
+        if not npz or key not in got.files:
+            return None, "member" if npz else "unreadable"
+        try:
+            return got[key], None
+        except (ValueError, OSError, EOFError, zipfile.BadZipFile, zlib.error):
+            return None, "unreadable"
+
+    return member
+
+
+#: Bytes up to which a file goes through Spark's reader as one value, and the bytes of a block of a larger one.
+WHOLE_FILE, FILE_BLOCK = 64 << 20, 8 << 20
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """path, length and SHA-256 (lower-case hex) of every file below a folder that isn't empty, of any size.
+
+    Files up to ``whole`` bytes are hashed as Spark reads them. Larger ones are opened by their tasks and hashed block by
+    block, so no file is ever one value; they need a file system that Arrow can open. Spark's
+    reader lists no empty files, so they have no row; a folder without files gives none either.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.filter(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(sha256=[_digest(p) for p in part["path"]])
+
+    large = files.filter(F.col("length") > whole).select("path", "length").mapInPandas(run, "path string, length long, sha256 string")
+    return small.union(large)
+
+
+def _digest(path: str) -> str:
+    digest = hashlib.sha256()
+    local = re.sub(r"^file:/*", "/", path)
+    if local.startswith("/"):
+        fs, name = pafs.LocalFileSystem(), local
+    else:
+        fs, name = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+    with fs.open_input_stream(name) as stream:
+        while block := stream.read(FILE_BLOCK):
+            digest.update(block)
+    return digest.hexdigest()

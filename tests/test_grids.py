@@ -1,11 +1,14 @@
-"""Irregular grids and roles of archive members against brute force and known values."""
+"""Irregular grids, roles of archive members, digests, bundles and attention by columns against brute force and known values."""
 
 import hashlib
+import io
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from chronolith.operators import grids, roles
+from chronolith.operators import attention, grids, roles
+from chronolith.sources import records
 
 NAN, INF = float("nan"), float("inf")
 
@@ -82,3 +85,71 @@ def test_members_that_have_no_role(spark):
     got = [(r["issue"], r["role"], r["status"]) for r in roles.prepare(members, none, 7).collect()]
     assert sorted(got, key=str) == sorted([(i, None, "missing") for i in ("extension", "extension", "extension", "duplicate", "duplicate", "both splits", "both splits", "labels")], key=str)
     assert roles.prepare(members.limit(0), none, 7).count() == 0
+
+
+def test_incoming_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    p = rng.random((7, 9)) ** 3
+    p /= p.sum(1, keepdims=True)
+    rows = [("a", r.tolist()) for r in p] + [("b", [1.0])] + [("c", None), ("c", []), ("c", [0.5, 0.4]), ("c", [1.5, -0.5]), ("c", [NAN, 1.0]), ("c", [None, 1.0])]
+    got = {r["k"]: r for r in attention.incoming(spark.createDataFrame(rows, "k string, p array<double>"), "k", "p").collect()}
+    m = np.sort(p.mean(0))
+    gini = np.abs(m[:, None] - m).sum() / (2 * len(m) ** 2 * m.mean())
+    assert set(got) == {"a", "b"}
+    assert tuple(got["a"])[1:] == pytest.approx((-(m * np.log(m)).sum() / np.log(9), m[-4:].sum(), gini))
+    assert tuple(got["b"])[1:] == (0.0, 1.0, 0.0)
+
+
+def test_class_row(spark):
+    rows = spark.createDataFrame([([0.5, 0.25, 0.25],), ([1.0, 0.0],), ([1.0],), (None,)], "p array<double>")
+    assert [r[0] for r in rows.select(attention.class_row(F.col("p"), 0)).collect()] == [[0.5, 0.5], None, None, None]
+
+
+def test_file_digests_by_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "FILE_BLOCK", 1000)
+    (tmp_path / "below it").mkdir()
+    contents = {"empty": b"", "a b#1.bin": bytes(range(256)) * 50, "below it/c%20.bin": b"x" * 5000}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    want = sorted((len(c), hashlib.sha256(c).hexdigest()) for c in contents.values() if c)  # empty files are not listed
+    for whole in (0, 6000, records.WHOLE_FILE):
+        got = records.file_digests(spark, str(tmp_path), whole).collect()
+        assert sorted((r["length"], r["sha256"]) for r in got) == want
+
+
+def test_bundles(spark):
+    def saved(**arrays):
+        out = io.BytesIO()
+        np.savez(out, **arrays)
+        return out.getvalue()
+
+    good = saved(x=np.arange(6, dtype=np.float32).reshape(2, 3), y=np.arange(2))
+    plain = io.BytesIO()
+    np.save(plain, np.arange(3, dtype=np.float32))
+    files = {"good": good, "plain": plain.getvalue(), "noise": b"PK\x03\x04 not an archive", "cut": good[: len(good) // 2]}
+
+    def record(video, fmt, **arrays):
+        return video, "0", fmt, {n: (path, key, shape, dtype, hashlib.sha256(files.get(path, b"")).hexdigest().upper() if sha is None else sha, len(files.get(path, b""))) for n, (path, key, shape, dtype, sha) in arrays.items()}
+
+    f4 = "float32"
+    index = [
+        record("ok", "npz", x=("good", None, [2, 3], f4, None), z=("good", "y", [2], "int64", None)),
+        record("gone", "npz", x=("nowhere", None, [2], f4, None)),
+        record("two", "npz", x=("good", None, [2, 3], f4, None), y=("plain", None, [3], f4, None)),
+        record("digest", "npz", x=("good", None, [2, 3], f4, "0"), y=("good", None, [2], "int64", None)),
+        record("inside", "npz", w=("good", None, [1], f4, None), x=("good", None, [3, 2], f4, None), y=("good", None, [2], f4, None)),
+        record("not npz", "npz", x=("plain", None, [3], f4, None)),
+        record("not npy", "npy", x=("good", None, [2, 3], f4, None)),
+        record("noise", "npz", x=("noise", None, [1], f4, None)),
+        record("cut", "npz", x=("cut", None, [1], f4, None)),
+        record("npy", "npy", x=("plain", None, [3], f4, None)),
+        record("none", None),
+    ]
+    schema = "video_id string, clip_id string, storage_format string, arrays map<string, struct<path: string, key: string, shape: array<int>, dtype: string, sha256: string, nbytes: long>>"
+    got = records.load_arrays(spark.createDataFrame(index, schema), spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")).collect()
+    assert {(r["video_id"], r["name"]): r["issue"] for r in got} == {
+        ("ok", "x"): None, ("ok", "z"): None, ("gone", "x"): "missing", ("two", "x"): "paths", ("two", "y"): "paths", ("digest", "x"): "sha256", ("digest", "y"): None,
+        ("inside", "w"): "member", ("inside", "x"): "shape", ("inside", "y"): "dtype", ("not npz", "x"): "unreadable", ("not npy", "x"): "unreadable", ("noise", "x"): "unreadable",
+        ("cut", "x"): "unreadable", ("npy", "x"): None,
+    }
+    assert {(r["video_id"], r["name"]): (r["shape"], r["values"]) for r in got if r["issue"] is None}["ok", "x"] == ([2, 3], [0.0, 1.0, 2.0, 3.0, 4.0, 5.0])
