@@ -32,6 +32,35 @@ def key_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left_only")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right_only")))
 
 
+def row_diff(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``columns`` that the two tables don't have equally often: the columns, expected, actual and issue.
+
+    ``missing`` and ``unexpected`` rows are in one table only, ``repeated`` in both. Nulls equal each other. Both tables are
+    counted in one aggregation, before which copies are counted where they are.
+    """
+    side = lambda df, e, a: df.select(*columns, F.lit(e).alias("__e"), F.lit(a).alias("__a"))
+    n = side(expected, 1, 0).unionByName(side(actual, 0, 1)).groupBy(*columns).agg(F.sum("__e").alias("expected"), F.sum("__a").alias("actual"))
+    issue = F.when(F.col("actual") == 0, "missing").when(F.col("expected") == 0, "unexpected").otherwise("repeated")
+    return n.filter("expected <> actual").withColumn("issue", issue)
+
+
+def pair_issues(train: DataFrame, test: DataFrame, key: str, split: str) -> DataFrame:
+    """key, table and reason of what keeps two manifests from being a train and a test one; no row if nothing does.
+
+    ``split``: a row names another split than its table's, or none; ``repeated``: a key has several rows in its table;
+    ``leakage``: a key has rows in both (as of either); ``no id``: the key is null or empty. Keys are compared as
+    ``canonical_id`` has them. A key is named once for each table and reason.
+    """
+    side = lambda df, name: df.select(canonical_id(F.col(key).cast("string")).alias("key"), F.lit(name).alias("table"), F.col(split).alias("__split"))
+    rows = side(train, "train").unionByName(side(test, "test"))
+    each = rows.groupBy("key", "table").agg(F.count("*").alias("__n"), F.max((~F.col("__split").eqNullSafe(F.col("table"))).cast("int")).alias("__other"))
+    tables = rows.groupBy("key").agg(F.count_distinct("table").alias("__tables"))
+    j = each.join(tables.filter("key IS NOT NULL"), "key", "left")
+    named = F.col("key").isNotNull()
+    reasons = F.array_compact(F.array(F.when(~named, "no id"), F.when(F.col("__other") == 1, "split"), F.when(named & (F.col("__n") > 1), "repeated"), F.when(F.col("__tables") > 1, "leakage")))
+    return j.select("key", "table", F.explode(reasons).alias("reason"))
+
+
 def tiling_issues(tiles: DataFrame, key: str, start: str, end: str, total: DataFrame, frames: str) -> DataFrame:
     """Keys whose intervals don't tile [0, frames) exactly, with the first reason."""
     w = W.partitionBy(key).orderBy(start)

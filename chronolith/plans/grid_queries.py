@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from chronolith.operators import attention, grids, roles
+from chronolith.operators import attention, audit, grids, neardup, roles
 from chronolith.plans.queries import query, r6, r9
 from chronolith.sources import records
 from chronolith.sources.paths import fresh_path
@@ -137,3 +137,53 @@ def class_attention(b):
     """Each token's weights without the first position, renormalised."""
     q = _attention(b).select("token_id", attention.class_row(F.col("p"), 0).alias("q"))
     return q.select("token_id", r6(attention.entropy(F.col("q"))).alias("entropy"), r6(attention.top_mass(F.col("q"), 4)).alias("top4"))
+
+
+# ---- near-duplicate sequences of digests
+
+
+@query(""", t AS (SELECT group_id, token_id%10 AS pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM token), e AS (SELECT group_id*5+k AS id, pos, v, CAST(share AS DOUBLE) AS share FROM t, (VALUES (0,0),(1,0.05),(2,-0.05),(3,0.1),(4,-0.1)) AS x(k,share)),
+d AS (SELECT id, pos, array_to_string(list_transform(range(1,65), lambda j: CASE WHEN v[j]+share*v[j%64+1]>0 THEN '1' ELSE '0' END),'') AS h FROM e), s AS (SELECT id, pos, b, substr(h,CAST(b*16+1 AS INT),16) AS sl FROM d, range(4) AS r(b)),
+c AS (SELECT DISTINCT a.id, b.id AS other FROM s a JOIN s b ON a.pos=b.pos AND a.b=b.b AND a.sl=b.sl AND a.id<b.id),
+m AS (SELECT c.id, other, x.pos FROM c JOIN d x ON x.id=c.id JOIN d y ON y.id=c.other AND y.pos=x.pos WHERE hamming(x.h,y.h)<=6),
+i AS (SELECT id, other, COUNT(*) AS len FROM (SELECT *, pos-ROW_NUMBER() OVER (PARTITION BY id,other ORDER BY pos) AS gap FROM m) GROUP BY id, other, gap)
+SELECT id, other, CAST(SUM(len) AS BIGINT) AS matches, MAX(len) AS longest FROM i GROUP BY 1, 2 HAVING SUM(len)>=4 AND MAX(len)>=3""", "token")
+def near_dup_vectors(b):
+    """Groups of ten vectors and four versions of each, a little of the next dimension mixed in, by the signs of 64 dimensions.
+
+    Versions differ in none to over six bits of a digest, so the radius decides about matches.
+    """
+    x = F.transform("embedding", lambda c: c.cast("double"))
+    t = b.token.filter("embedding IS NOT NULL").select("group_id", (F.col("token_id") % 10).alias("pos"), x.alias("v"))
+    share = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("share")) for k, s in enumerate((0.0, 0.05, -0.05, 0.1, -0.1))]))
+    e = t.withColumn("x", share).select((F.col("group_id") * 5 + F.col("x.k")).alias("id"), "pos", "v", F.col("x.share").alias("share"))
+    turned = F.concat(F.slice("v", 2, 63), F.slice("v", 1, 1))
+    bits = F.array_join(F.zip_with(F.slice("v", 1, 64), turned, lambda a, c: F.when(a + F.col("share") * c > 0, "1").otherwise("0")), "")
+    digest = F.concat(*[F.lpad(F.lower(F.conv(F.substring("bits", 16 * i + 1, 16), 2, 16)), 4, "0") for i in range(4)])
+    return neardup.block_pairs(e.select("id", "pos", bits.alias("bits")).select("id", "pos", digest.alias("h")), "id", "pos", "h", width=4)
+
+
+# ---- membership
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderstatus FROM orders), a AS (SELECT CASE WHEN o_orderkey%9<>0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey%101=0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey%97<>0),
+n AS (SELECT o_custkey, o_orderstatus, SUM(e) AS expected, SUM(1-e) AS actual FROM (SELECT *, 1 AS e FROM e UNION ALL SELECT *, 0 FROM a) GROUP BY 1, 2)
+SELECT o_custkey, o_orderstatus, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual, CASE WHEN actual=0 THEN 'missing' WHEN expected=0 THEN 'unexpected' ELSE 'repeated' END AS issue FROM n WHERE expected<>actual""")
+def registry_diff(b):
+    """Orders against a copy of them in which some customers are null, some states are others and some rows lack."""
+    o = b.table("orders")
+    k = F.col("o_orderkey")
+    copy = o.filter(k % 97 != 0).select(F.when(k % 9 != 0, F.col("o_custkey")).alias("o_custkey"), F.when(k % 101 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    return audit.row_diff(o, copy, ["o_custkey", "o_orderstatus"])
+
+
+@query("""WITH r AS (SELECT CASE WHEN o_orderkey%50=0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS key, CASE WHEN o_custkey%3=0 OR o_orderkey%40=0 THEN 'test' ELSE 'train' END AS tab, CASE WHEN o_orderkey%30=0 THEN NULL WHEN o_custkey%3=0 THEN 'test' ELSE 'train' END AS split FROM orders WHERE o_orderkey%4=0 OR o_custkey%2=0),
+g AS (SELECT key, tab, COUNT(*) AS n, bool_or(split IS DISTINCT FROM tab) AS other FROM r GROUP BY 1, 2), t AS (SELECT key, COUNT(*) AS tabs FROM g WHERE key IS NOT NULL GROUP BY 1),
+j AS (SELECT g.*, COALESCE(tabs,0) AS tabs FROM g LEFT JOIN t ON t.key=g.key)
+SELECT key, tab AS "table", 'no id' AS reason FROM j WHERE key IS NULL UNION ALL SELECT key, tab, 'split' FROM j WHERE other UNION ALL SELECT key, tab, 'repeated' FROM j WHERE key IS NOT NULL AND n>1 UNION ALL SELECT key, tab, 'leakage' FROM j WHERE tabs>1""")
+def manifest_pair_issues(b):
+    """Orders as rows of a train and a test manifest of customers, some in both, some without an id or with another split."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    own = F.when(c % 3 == 0, "test").otherwise("train")
+    rows = b.table("orders").filter((k % 4 == 0) | (c % 2 == 0)).select(F.when(k % 50 != 0, c.cast("string")).alias("video_id"), F.when(k % 30 != 0, own).alias("split"), ((c % 3 == 0) | (k % 40 == 0)).alias("test"))
+    return audit.pair_issues(rows.filter("NOT test"), rows.filter("test"), "video_id", "split")

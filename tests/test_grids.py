@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.operators import attention, grids, roles
+from chronolith.operators import attention, audit, grids, neardup, roles
 from chronolith.sources import records
 
 NAN, INF = float("nan"), float("inf")
@@ -153,3 +153,47 @@ def test_bundles(spark):
         ("cut", "x"): "unreadable", ("npy", "x"): None,
     }
     assert {(r["video_id"], r["name"]): (r["shape"], r["values"]) for r in got if r["issue"] is None}["ok", "x"] == ([2, 3], [0.0, 1.0, 2.0, 3.0, 4.0, 5.0])
+
+
+def test_crowded_slices_meet_in_chunks(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    rows = []
+    for key in range(40):
+        for pos in range(6):
+            if rng.random() < 0.9:
+                flips = rng.choice(48, rng.integers(0, 6), replace=False)  # the first 16 bits stay: one crowded slice for each position
+                rows.append((key, pos, f"{int(base[pos]) ^ sum(1 << int(f) for f in flips):016x}"))
+    df = spark.createDataFrame(rows, "k long, p int, d string")
+    digests: dict = {}
+    for key, pos, d in rows:
+        digests.setdefault(key, {})[pos] = int(d, 16)
+    want = {}
+    for x in range(40):
+        for y in range(x + 1, 40):
+            hit = [p for p in range(6) if p in digests[x] and p in digests[y] and (digests[x][p] ^ digests[y][p]).bit_count() <= 6]
+            runs = [sum(q in hit for q in range(p, p + n)) == n and n for p in range(6) for n in range(1, 7)]
+            if len(hit) >= 4 and max(runs) >= 3:
+                want[x, y] = len(hit), max(runs)
+    assert 50 < len(want) < 780
+    for chunk in (1, 7, 1000):
+        got = neardup.block_pairs(df, "k", "p", "d", width=4, chunk=chunk).collect()
+        assert {(r["k"], r["other"]): (r["matches"], r["longest"]) for r in got} == want and len(got) == len(want)
+
+
+def test_row_diff(spark):
+    a = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "c"), (None, None)], "x int, y string")
+    b = spark.createDataFrame([("a", 1, True), (None, 2, True), (None, 2, True), ("d", 3, True), (None, None, False)], "y string, x int, z boolean")
+    assert {tuple(r) for r in audit.row_diff(a, b, ["x", "y"]).collect()} == {(1, "a", 2, 1, "repeated"), (3, "c", 1, 0, "missing"), (3, "d", 0, 1, "unexpected")}
+    assert audit.row_diff(a, a, ["x", "y"]).count() == 0 and audit.row_diff(a.limit(0), b.limit(0), ["x", "y"]).count() == 0
+
+
+def test_pair_issues(spark):
+    schema = "v string, s string"
+    train = spark.createDataFrame([("a.mp4", "train"), ("b", "train"), ("b", "train"), ("c", "test"), (None, "train"), ("d", None)], schema)
+    test = spark.createDataFrame([("A", "test"), ("e", "test"), ("", "test")], schema)
+    got = {(r["key"], r["table"], r["reason"]) for r in audit.pair_issues(train, test, "v", "s").collect()}
+    a = next(k for k, t, r in got if r == "leakage")
+    assert got == {(a, "train", "leakage"), (a, "test", "leakage"), ("b", "train", "repeated"), ("c", "train", "split"), ("d", "train", "split"), (None, "train", "no id"), (None, "test", "no id")}
+    assert audit.pair_issues(train.filter("v = 'a.mp4'"), test.filter("v = 'e'"), "v", "s").count() == 0
+    assert audit.pair_issues(train.limit(0), test.limit(0), "v", "s").count() == 0
