@@ -138,6 +138,41 @@ def redact_json(text: Column) -> Column:
     return hide(text)
 
 
+#: Items that metadata may hold beside a record.
+METADATA_ITEMS = 2048
+
+
+def _outline(text: Column) -> Column:
+    """JSON text with ``s`` for every string."""
+    return F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', " s ")
+
+
+def _json_tokens(text: Column) -> Column:
+    return F.regexp_count(_outline(text), F.lit(r"[\[\]{},:]|[^\s\[\]{},:]+"))
+
+
+def metadata_items(text: Column) -> Column:
+    """Items of JSON text at any depth: one for each member of an object or array and one for each scalar.
+
+    Counted in one pass over the text, so depth costs nothing. An empty object or array that is all of it has 0, a lone
+    scalar 1. Null for null; meaningless for text that isn't JSON.
+    """
+    plain = F.regexp_replace(_outline(text), r"\s+", "")
+    members = F.regexp_count(plain, F.lit(",")) + F.regexp_count(plain, F.lit(r"[\[{](?![\]}])"))
+    return members + F.regexp_count(plain, F.lit(r"(?<![\w.+-])[\w.+-]+(?![\w.+:-])"))
+
+
+def metadata_issue(text: Column, most: int = METADATA_ITEMS) -> Column:
+    """Why metadata can't be kept beside a record, the first that holds; null if it can, or is null.
+
+    ``not finite``: NaN or an infinity outside strings; ``invalid``: not JSON, or a repeated name; ``items``: over ``most``.
+    """
+    odd = _outline(text).rlike(r"(?:^|[:,\[])\s*[+-]?(?:NaN|Infinity)\s*(?:[,\]}]|$)")
+    # the parser stops after the first value, so what it read must have as many tokens as the text
+    read = F.to_json(F.try_parse_json(text))
+    return F.when(odd, "not finite").when(text.isNotNull() & (read.isNull() | (_json_tokens(read) != _json_tokens(text))), "invalid").when(metadata_items(text) > most, "items")
+
+
 def fingerprint(*columns: Column) -> Column:
     """SHA-256 of the columns as JSON in the given order, nulls included."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from chronolith.functions import text
 from chronolith.operators import attention, audit, grids, neardup, roles
 from chronolith.plans.queries import query, r6, r9
 from chronolith.sources import records
@@ -187,3 +188,38 @@ def manifest_pair_issues(b):
     own = F.when(c % 3 == 0, "test").otherwise("train")
     rows = b.table("orders").filter((k % 4 == 0) | (c % 2 == 0)).select(F.when(k % 50 != 0, c.cast("string")).alias("video_id"), F.when(k % 30 != 0, own).alias("split"), ((c % 3 == 0) | (k % 40 == 0)).alias("test"))
     return audit.pair_issues(rows.filter("NOT test"), rows.filter("test"), "video_id", "split")
+
+
+# ---- telemetry and nested metadata
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CAST(FLOOR(value) AS BIGINT) AS input, event_id%30 AS reused, value FROM events),
+g AS (SELECT * FROM e WHERE event_id%13<>0 AND event_id%17<>0 AND event_id%19<>0 AND reused<=input AND value-20>=0)
+SELECT CAST(user_id AS VARCHAR) AS video_id, mode, COUNT(*) AS steps, CAST(SUM(reused) AS BIGINT) AS reused_tokens, ROUND(AVG(CASE WHEN input>0 THEN reused/CAST(input AS DOUBLE) ELSE 0 END),9) AS reuse_ratio FROM (SELECT *, CASE WHEN event_id%2=0 THEN 'fixed' ELSE 'streaming' END AS mode FROM g) GROUP BY 1, 2""")
+def cache_telemetry(b):
+    """Events as telemetry rows, some of which are refused, written and read again; sums for each video and mode."""
+    k = F.col("event_id")
+    rows = b.table("events").select(
+        F.lit("run").alias("run_id"), F.concat(F.lit("sha256:"), F.when(k % 13 == 0, "0").otherwise(F.sha2(F.lit("encoder"), 256))).alias("encoder_fingerprint"),
+        F.when(k % 17 != 0, F.col("user_id").cast("string")).alias("video_id"), k.cast("string").alias("clip_id"), F.when(k % 2 == 0, "fixed").otherwise("streaming").alias("mode"),
+        F.lit("kv").alias("cache_type"), (k % 30 > 0).alias("cache_hit"), F.floor("value").alias("input_tokens"), (k % 30).cast("long").alias("reused_tokens"), F.lit(1).cast("long").alias("output_tokens"),
+        F.lit(0).cast("long").alias("cache_bytes"), (F.col("value") - 20).alias("encode_ms"), F.when(k % 19 == 0, '{"a": NaN}').otherwise(F.col("props")).alias("metadata"), F.lit("").alias("created_at"),
+    )
+    path = fresh_path(b.spark, "telemetry")
+    records.write_telemetry(rows, path, "run")
+    got = records.read_jsonl(b.spark, path, records.CACHE_TELEMETRY)
+    return got.groupBy("video_id", "mode").agg(F.count("*").alias("steps"), F.sum("reused_tokens").alias("reused_tokens"), r9(F.avg("reuse_ratio")).alias("reuse_ratio"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, to_json(list(text ORDER BY text))::VARCHAR AS texts, json_object('n', COUNT(*), 'turn', turn, 'none', NULL, 'empty', json_array(), 'deep', json_array(json_array(json_object('role', list(role ORDER BY role), '"quoted, [', 1.5e3)), 'x')) AS about FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT conv_id, turn, '{"texts": ' || texts || ', "about": ' || about || '}' AS js FROM c), t AS (SELECT j.conv_id, j.turn, COUNT(*)-1+COUNT(*) FILTER (WHERE t.type NOT IN ('OBJECT','ARRAY')) AS items FROM j, json_tree(j.js) AS t GROUP BY 1, 2)
+SELECT conv_id, turn, items, CASE WHEN conv_id%11=0 THEN 'invalid' WHEN conv_id%7=0 THEN 'not finite' WHEN items>21 THEN 'items' END AS issue FROM t""")
+def metadata_limits(b):
+    """Nested metadata with the texts of a turn; items at any depth, and what can't be kept with at most 21 of them."""
+    rows = b.table("conversations").filter("text IS NOT NULL AND role IS NOT NULL").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("text")).alias("texts"), F.array_sort(F.collect_list("role")).alias("role"), F.count("*").alias("n"))
+    deep = F.to_json(F.struct("role", F.lit(1500.0).alias('"quoted, [')))
+    tail = F.concat(F.lit('"none": null, "empty": [ ], "deep": [['), deep, F.lit('], "x"]}}'))
+    js = F.concat(F.lit('{"texts": '), F.to_json("texts"), F.lit(', "about": {"n": '), "n", F.lit(', "turn": '), "turn", F.lit(", "), tail)
+    k = F.col("conv_id")
+    broken = F.when(k % 11 == 0, F.concat(js, F.lit("}"))).when(k % 7 == 0, F.concat(F.lit('{"a": [1, -Infinity], "b": '), js, F.lit("}"))).otherwise(js)
+    return rows.select("conv_id", "turn", text.metadata_items(js).cast("long").alias("items"), text.metadata_issue(broken, 21).alias("issue"))

@@ -12,6 +12,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import quote
 
 import numpy as np
@@ -20,11 +21,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.functions.text import metadata_issue
+
 SPAN = "struct<start: double, end: double, unit: string>"
 ANNOTATION = f"struct<scope: string, label: string, is_anomaly: boolean, span: {SPAN}, text: string, source: string, metadata: map<string, string>>"
 MANIFEST = f"schema_version int, video_id string, path string, split string, category string, is_anomaly boolean, annotations array<{ANNOTATION}>, num_frames long, fps double, duration_seconds double, metadata map<string, string>"
 FEATURE_INDEX = "video_id string, clip_id string, clip_index long, encoder_fingerprint string, storage_format string, arrays map<string, struct<path: string, shape: array<int>, dtype: string, sha256: string, nbytes: long>>, start_s double, end_s double, frame_start long, frame_end long, metadata map<string, string>"
 PREDICTION = "run_id string, video_id string, clip_id string, clip_index long, start_s double, end_s double, frame_start long, frame_end long, anomaly_score double, predicted_label string, ground_truth int, encoder_fingerprint string, metadata map<string, string>, created_at string"
+CACHE_TELEMETRY = "run_id string, encoder_fingerprint string, video_id string, clip_id string, mode string, cache_type string, cache_hit boolean, input_tokens long, reused_tokens long, output_tokens long, cache_bytes long, encode_ms double, reuse_ratio double, metadata string, created_at string"
+#: The modes and kinds of cache telemetry.
+TELEMETRY_MODES, CACHE_TYPES = ("fixed", "streaming"), ("none", "kv", "token", "visual_memory", "state", "hybrid")
 TRUTH = "video_id string, weak_label int, num_frames long, intervals array<struct<start: long, end: long, label: int>>"
 LABELS_CSV = ("video_id", "video_path", "label", "camera_id", "start_time", "end_time", "note")
 
@@ -85,6 +91,37 @@ def reuse_ratio(telemetry: DataFrame) -> DataFrame:
     return telemetry.withColumn("reuse_ratio", F.when(F.col("input_tokens") > 0, F.col("reused_tokens") / F.col("input_tokens")))
 
 
+def telemetry_issues(rows: DataFrame, run_id: str | None = None) -> DataFrame:
+    """``rows`` (the columns of ``CACHE_TELEMETRY`` but its ratio) with a reason, null for rows that can be written.
+
+    The first of: ``ids`` (null or empty), ``run`` (another than ``run_id``), ``fingerprint`` (not sha256: and 64 lower-case
+    digits), ``mode``, ``cache_type``, ``counts`` (null or negative), ``reused`` (more than the input), ``encode_ms`` (null,
+    negative or not finite), ``cache_hit`` (null), ``metadata`` (as ``text.metadata_issue`` has it).
+    """
+    broken = lambda ok: ~F.coalesce(ok, F.lit(False))
+    all_of = lambda *conditions: reduce(lambda a, c: a & c, conditions)
+    ms = F.col("encode_ms")
+    rules = [
+        ("ids", broken(all_of(*[F.col(c) != "" for c in ("run_id", "video_id", "clip_id")]))), ("run", F.lit(False) if run_id is None else F.col("run_id") != run_id),
+        ("fingerprint", broken(F.col("encoder_fingerprint").rlike(r"^sha256:[0-9a-f]{64}\z"))), ("mode", broken(F.col("mode").isin(*TELEMETRY_MODES))), ("cache_type", broken(F.col("cache_type").isin(*CACHE_TYPES))),
+        ("counts", broken(all_of(*[F.col(c) >= 0 for c in ("input_tokens", "reused_tokens", "output_tokens", "cache_bytes")]))), ("reused", F.col("reused_tokens") > F.col("input_tokens")),
+        ("encode_ms", broken(~F.isnan(ms) & (ms >= 0) & (ms != float("inf")))), ("cache_hit", F.col("cache_hit").isNull()), ("metadata", metadata_issue(F.col("metadata")).isNotNull()),
+    ]
+    return rows.withColumn("reason", F.coalesce(*[F.when(bad, name) for name, bad in rules]))
+
+
+def write_telemetry(rows: DataFrame, path: str, run_id: str, mode: str = "append") -> DataFrame:
+    """Writes the rows without a reason as JSON lines, with their share of reused tokens (0 without input); gives the refused ones.
+
+    Both sides see one reading of ``rows`` only if its source is stable; the refused rows are worked out when they are read.
+    """
+    checked = telemetry_issues(rows, run_id)
+    ratio = F.when(F.col("input_tokens") > 0, F.col("reused_tokens") / F.col("input_tokens")).otherwise(0.0)
+    good = checked.filter("reason IS NULL").drop("reason").withColumn("reuse_ratio", ratio)
+    write_jsonl(good, path, mode)
+    return checked.filter("reason IS NOT NULL")
+
+
 def load_arrays(index: DataFrame, files: DataFrame) -> DataFrame:
     """The arrays of the index's records: video_id, clip_id, name, shape, values as doubles in row order, and an issue.
 

@@ -2,11 +2,13 @@
 
 import hashlib
 import io
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronolith.functions import text
 from chronolith.operators import attention, audit, grids, neardup, roles
 from chronolith.sources import records
 
@@ -197,3 +199,42 @@ def test_pair_issues(spark):
     assert got == {(a, "train", "leakage"), (a, "test", "leakage"), ("b", "train", "repeated"), ("c", "train", "split"), ("d", "train", "split"), (None, "train", "no id"), (None, "test", "no id")}
     assert audit.pair_issues(train.filter("v = 'a.mp4'"), test.filter("v = 'e'"), "v", "s").count() == 0
     assert audit.pair_issues(train.limit(0), test.limit(0), "v", "s").count() == 0
+
+
+def items(x):
+    if isinstance(x, dict):
+        return sum(1 + items(v) for v in x.values())
+    return sum(1 + items(v) for v in x) if isinstance(x, list) else 1
+
+
+def test_metadata_items_are_those_of_a_walk(spark):
+    values = [{}, [], 1, "a", None, True, -1.5e-3, "", {"a": []}, [[]], [[], {}], {"a": {"b": [1, 2, {"c": None}]}}, ["x, y: [z]", 'q"uo\\te, {', "\n\t"], {"k:, [": "NaN"}, [1, -2.5, "s", False, None, {"e": 1e9}], {"é": ["ü", "日本"]}]
+    values.append(list(range(3000)))
+    deep: list = [1]
+    for _ in range(200):
+        deep = [deep]
+    values.append(deep)
+    texts = [json.dumps(v, indent=i) for v in values for i in (None, 2)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", text.metadata_items(F.col("t")).alias("n"), text.metadata_issue(F.col("t")).alias("issue")).collect()
+    for r in got:
+        n = items(json.loads(r["t"]))
+        assert (r["n"], r["issue"]) == (n, "items" if n > 2048 else None), r["t"][:80]
+    odd = {None: None, "NaN": "not finite", '{"a": [1, -Infinity]}': "not finite", '{"a": "NaN"}': None, "": "invalid", "{": "invalid", "[1,]": "invalid", "[1] 2": "invalid", "1 2": "invalid", '"a""b"': "invalid", "[1] []": "invalid", "1}, {": "invalid", '{"a": 1}}': "invalid", " [ 1 ] ": None, "nope": "invalid", '{"a": 1, "a": 2}': "invalid"}
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.metadata_issue(F.col("t")).alias("issue")).collect()
+    assert {r["t"]: r["issue"] for r in got} == odd
+
+
+def test_telemetry_rows(spark, tmp_path):
+    good = dict(run_id="r", encoder_fingerprint="sha256:" + "0" * 64, video_id="v", clip_id="c", mode="fixed", cache_type="kv", cache_hit=True, input_tokens=4, reused_tokens=1, output_tokens=0, cache_bytes=0, encode_ms=0.0, metadata=None, created_at="")
+    odd = [("ids", dict(video_id="")), ("ids", dict(clip_id=None)), ("run", dict(run_id="s")), ("fingerprint", dict(encoder_fingerprint="sha256:" + "A" * 64)), ("fingerprint", dict(encoder_fingerprint="sha256:" + "0" * 64 + "\n")), ("mode", dict(mode="x")), ("cache_type", dict(cache_type=None)), ("counts", dict(cache_bytes=-1)), ("counts", dict(output_tokens=None)), ("reused", dict(reused_tokens=5)), ("encode_ms", dict(encode_ms=NAN)), ("encode_ms", dict(encode_ms=-1.0)), ("encode_ms", dict(encode_ms=INF)), ("cache_hit", dict(cache_hit=None)), ("metadata", dict(metadata="{"))]
+    cases = [(None, {}), (None, dict(input_tokens=0, reused_tokens=0)), *odd]
+    schema = records.CACHE_TELEMETRY.replace("reuse_ratio double, ", "")
+    order = [c.split()[0] for c in schema.split(", ")]
+    df = spark.createDataFrame([tuple((good | d)[c] for c in order) for _, d in cases], schema)
+    path = str(tmp_path / "t")
+    refused = records.write_telemetry(df, path, "r").collect()
+    assert sorted(r["reason"] for r in refused) == sorted(r for r, _ in odd)
+    records.write_telemetry(df.limit(0), path, "r")
+    back = records.read_jsonl(spark, path, records.CACHE_TELEMETRY).collect()
+    assert sorted(r["reuse_ratio"] for r in back) == [0.0, 0.25] and {r["metadata"] for r in back} == {None}
