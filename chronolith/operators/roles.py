@@ -48,7 +48,9 @@ def prepare(members: DataFrame, files: DataFrame, seed: int, test_volume: str =
         F.sha2(source_prefix(name).cast("binary"), 256).alias("source"), label_classes(name).alias("__classes"),
     )
     again = rows.filter("video_id IS NOT NULL").groupBy("video_id").agg(F.count("*").alias("__n"), F.min("split").alias("__a"), F.max("split").alias("__z")).filter("__n > 1")
-    rows = rows.join(again, "video_id", "left")
+    # null ids and sources take a place of their own in the joins, so that they don't all meet in one task
+    apart = lambda c: F.coalesce(F.col(c), F.concat(F.lit("/"), "path"))
+    rows = rows.withColumn("__id", apart("video_id")).join(again.withColumnRenamed("video_id", "__id"), "__id", "left")
     issue = F.when(~F.col("__named"), "extension").when(F.col("__a") != F.col("__z"), "both splits").when(F.col("__n") > 1, "duplicate").when((F.col("split") == "train") & F.col("__classes").isNull(), "labels")
     rows = rows.withColumn("issue", issue)
 
@@ -59,7 +61,7 @@ def prepare(members: DataFrame, files: DataFrame, seed: int, test_volume: str =
     about = sources.select("source", (F.col("__test") & F.col("__train")).alias("__shared")).join(roles, "source", "left")
     there = files.groupBy("path").agg(F.max("size").alias("__there"))
 
-    j = rows.join(about, "source", "left").join(there, "path", "left")
+    j = rows.withColumn("__source", apart("source")).join(about.withColumnRenamed("source", "__source"), "__source", "left").join(there, "path", "left")
     taken = F.col("issue").isNull() & (F.col("split") == "train")
     labels = F.when(F.col("split") == "train", F.array_join("__classes", "-"))
     status = F.when(F.col("__there").isNull(), "missing").when(F.col("__there") == F.col("__size"), "available").otherwise("size mismatch")
