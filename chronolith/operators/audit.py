@@ -28,8 +28,11 @@ def duplicate_groups(rows: DataFrame, key: Column, item: str) -> DataFrame:
 
 def key_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only, with the side."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("left_only")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right_only")))
+    own = lambda df, mine: df.select(key, F.lit(mine).alias("__l"), F.lit(not mine).alias("__r"))
+    both = own(left, True).union(own(right, False)).groupBy(key).agg(F.max("__l").alias("__l"), F.max("__r").alias("__r"))
+    none = F.col(key).isNull()  # a null key meets none
+    sides = F.array_compact(F.array(F.when(F.col("__l") & (none | ~F.col("__r")), "left_only"), F.when(F.col("__r") & (none | ~F.col("__l")), "right_only")))
+    return both.select(key, F.explode(sides).alias("side"))
 
 
 def row_diff(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:

@@ -81,23 +81,111 @@ def coverage_rollup(summary: DataFrame) -> DataFrame:
     )
 
 
+#: Frames of a block. Intervals are cut at its multiples, so at most ``BLOCK * (BLOCK + 1) / 2`` different ones meet in a block.
+BLOCK = 64
+
+
+def _cells(df: DataFrame, key: str, start: str, end: str, **states: Column) -> DataFrame:
+    """key, block, lo, hi (inside the block) and ``states``, aggregated over the equal parts of intervals; empty intervals have none."""
+    named = {f"__{k}": F.col(c).cast("long") for k, c in (("a", start), ("z", end))}
+    rows = df.withColumns(named).filter("__z > __a").withColumn("__b", F.explode(F.sequence(F.shiftright("__a", 6), F.shiftright(F.col("__z") - 1, 6))))
+    at = lambda c: (c - F.col("__b") * BLOCK).cast("int")
+    rows = rows.withColumns({"__lo": F.greatest(at(F.col("__a")), F.lit(0)), "__hi": at(F.least(F.col("__z"), F.col("__b") * BLOCK + BLOCK))})
+    return rows.groupBy(key, "__b", "__lo", "__hi").agg(*[c.alias(k) for k, c in states.items()])
+
+
+def _states(score: str, order: str, reduction: str) -> dict[str, Column]:
+    o = F.col(order)
+    ranked = lambda pick, pick_by: F.when(pick(o).isNotNull(), F.struct(pick(o).alias("o"), pick_by(score, order).alias("s")))
+    kinds = {"max": {"x": F.max(score)}, "mean": {"x": F.sum(score), "n": F.count(score)}, "first": {"x": ranked(F.min, F.min_by)}, "last": {"x": ranked(F.max, F.max_by)}}
+    return kinds[reduction]
+
+
+def _reduced(reduction: str) -> Column:
+    """The reduction of the states in ``__cover``; null where it is empty."""
+    x = F.col("__cover.x")
+    if reduction == "mean":
+        total = lambda c: F.aggregate(F.transform(c, lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+        return F.try_divide(total(x), total(F.col("__cover.n")))
+    return {"max": F.array_max(x), "first": F.array_min(x)["s"], "last": F.array_max(x)["s"]}[reduction]
+
+
+def _pieces(cells: DataFrame, key: str, more: DataFrame | None = None, merge: Column | None = None) -> DataFrame:
+    """key, ``__b``, ``__lo``, ``__hi``, ``__cover`` (cells over it) of the pieces of each block between boundaries of its cells.
+
+    ``more``: key, ``__b`` and a value ``__m`` whose aggregate ``merge`` stays beside; with it its blocks are kept, else those of
+    ``cells``. Cells and values of a block meet in one aggregation.
+    """
+    part = F.struct("__lo", "__hi", *[c for c in cells.columns if c not in (key, "__b", "__lo", "__hi")])
+    rows = cells.select(key, "__b", part.alias("__p"))
+    if more is not None:
+        kinds = dict(more.dtypes)
+        rows = rows.withColumn("__m", F.lit(None).cast(kinds["__m"])).union(more.select(key, "__b", F.lit(None).cast(dict(rows.dtypes)["__p"]), "__m"))
+    met = rows.groupBy(key, "__b").agg(F.collect_list("__p").alias("__p"), *([merge.alias("__m")] if more is not None else []))
+    if more is not None:
+        met = met.filter("__m IS NOT NULL")
+    edges = F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0), F.lit(BLOCK)), F.col("__p.__lo"), F.col("__p.__hi"))))
+    cut = met.withColumn("__e", edges).select("*", F.posexplode("__e").alias("__i", "__lo")).withColumn("__hi", F.get("__e", F.col("__i") + 1)).filter("__hi IS NOT NULL")
+    over = F.filter("__p", lambda p: (p["__lo"] <= F.col("__lo")) & (p["__hi"] > F.col("__lo")))
+    return cut.withColumn("__cover", over).drop("__p", "__e", "__i")
+
+
+def _on_frames(clips: DataFrame, masks: DataFrame, key: str, start: str, end: str, score: str, order: str, reduction: str, fill: float) -> DataFrame:
+    """Scores at the frames whose bits are set in the masks (key, block, ``__m``)."""
+    pieces = _pieces(_cells(clips, key, start, end, **_states(score, order, reduction)), key, masks, F.bit_or("__m"))
+    value = F.coalesce(_reduced(reduction).cast("double"), F.lit(float(fill)))
+    out = pieces.select(key, "__b", "__m", value.alias("score"), F.explode(F.sequence("__lo", F.col("__hi") - 1)).alias("__f"))
+    return out.filter(F.call_function("shiftright", "__m", "__f").bitwiseAND(F.lit(1)) == 1).select(key, (F.col("__b") * BLOCK + F.col("__f")).alias("frame"), "score")
+
+
 def project(clips: DataFrame, grid: DataFrame, key: str, start: str, end: str, score: str, order: str, reduction: str, fill: float = 0.0) -> DataFrame:
     """Scores of the intervals over each grid point (key, frame) by max, mean, first or last; ``fill`` where there is none.
 
-    Grid points and the intervals' frames meet in one aggregation, so nothing is joined.
+    Grid points and the intervals meet in blocks of frames, in one aggregation: points as bits, intervals as pieces, so
+    neither a join nor a row for each frame of an interval is made. ``project_all`` takes all frames of a video.
+    """
+    frame = F.col("frame").cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(frame, F.lit(BLOCK)).cast("int"))
+    masks = grid.filter(frame.isNotNull()).select(key, F.shiftright(frame, 6).alias("__b"), bit.alias("__m")).groupBy(key, "__b").agg(F.bit_or("__m").alias("__m"))
+    return _on_frames(clips, masks, key, start, end, score, order, reduction, fill)
+
+
+def project_all(clips: DataFrame, videos: DataFrame, key: str, frames: str, start: str, end: str, score: str, order: str, reduction: str, fill: float = 0.0) -> DataFrame:
+    """``project`` on the frames 0 to ``frames`` - 1 of each video, which are made last; videos without frames give none."""
+    n = F.col(frames).cast("long")
+    rows = videos.filter(n > 0).select(key, n.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(n - 1, 6))).alias("__b"))
+    left = (F.col("__n") - F.col("__b") * BLOCK).cast("int")
+    mask = F.when(left >= BLOCK, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), left) - 1)
+    return _on_frames(clips, rows.select(key, "__b", mask.alias("__m")), key, start, end, score, order, reduction, fill)
+
+
+def dense_max_runs(clips: DataFrame, key: str, start: str, end: str, score: str) -> DataFrame:
+    """Maximum and number of the windows over each frame, as maximal runs of equal ones."""
+    pieces = _pieces(_cells(clips, key, start, end, x=F.max(score), n=F.count("*")), key).filter(F.size("__cover") > 0)
+    at = lambda c: F.col("__b") * BLOCK + F.col(c)
+    count = F.aggregate("__cover", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return merge_equal(pieces.select(key, at("__lo").alias("lo"), at("__hi").alias("hi"), F.array_max("__cover.x").alias("score"), count.alias("contributors")), key, "lo", "hi", ["score", "contributors"])
+
+
+def scored_labels(clips: DataFrame, labels: DataFrame, key: str, start: str, end: str, score: str, order: str, reduction: str, label: str, label_start: str, label_end: str, fill: float = 0.0) -> DataFrame:
+    """score, p, n, c: positive, negative and all labelled frames at each distinct score; labels are intervals.
+
+    A frame without a score has ``fill``. Frames with several labels count for each.
     """
-    types = dict(clips.dtypes)
-    points = clips.select(key, F.explode(F.sequence(F.col(start).cast("long"), F.col(end).cast("long") - 1)).alias("frame"), F.col(score).alias("__s"), F.col(order).alias("__o"), F.lit(0).cast("long").alias("__g"))
-    wanted = grid.select(key, F.col("frame").cast("long").alias("frame"), F.lit(None).cast(types[score]).alias("__s"), F.lit(None).cast(types[order]).alias("__o"), F.lit(1).cast("long").alias("__g"))
-    reduce_ = {"max": F.max("__s"), "mean": F.avg("__s"), "first": F.min_by("__s", "__o"), "last": F.max_by("__s", "__o")}[reduction]
-    seen = points.union(wanted).groupBy(key, "frame").agg(reduce_.alias("score"), F.sum("__g").alias("__g"))
-    return seen.filter(F.col("__g") > 0).select(key, "frame", F.coalesce(F.col("score").cast("double"), F.lit(float(fill))).alias("score"))
+    own = _cells(labels, key, label_start, label_end, p=F.sum(label), n=F.sum(1 - F.col(label)), c=F.count("*"))
+    own = own.select(key, "__b", F.struct("__lo", "__hi", "p", "n", "c").alias("__m"))
+    pieces = _pieces(_cells(clips, key, start, end, **_states(score, order, reduction)), key, own, F.collect_list("__m")).filter(F.size("__m") > 0)
+    width = lambda m: F.greatest(F.least(F.col("__hi"), m["__hi"]) - F.greatest(F.col("__lo"), m["__lo"]), F.lit(0))
+    kinds = {c: "double" if dict(labels.dtypes)[label] in ("float", "double") else "long" for c in "pn"} | {"c": "long"}
+    counted = lambda c, t: F.aggregate("__m", F.lit(0).cast(t), lambda s, m: s + (F.coalesce(m[c], F.lit(0)) * width(m)).cast(t)).alias(c)
+    frames = [counted(c, t) for c, t in kinds.items()]
+    rows = pieces.select(F.coalesce(_reduced(reduction).cast("double"), F.lit(float(fill))).alias("score"), *frames)
+    return rows.filter("c > 0").groupBy("score").agg(*[F.sum(c).alias(c) for c in kinds])
 
 
 def last_writer_labels(videos: DataFrame, spans: DataFrame, key: str, frames: str, start: str, end: str, label: str, order: str) -> DataFrame:
     """Frames with a label: the latest annotation over a frame decides, also back to 0; without any it is 0."""
-    grid = videos.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col(frames).cast("long") - 1)).alias("frame"))
-    out = project(spans, grid, key, start, end, label, order, "last")
+    out = project_all(spans, videos, key, frames, start, end, label, order, "last")
     return out.select(key, "frame", F.col("score").cast(dict(spans.dtypes)[label]).alias("label"))
 
 

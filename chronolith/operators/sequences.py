@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chronolith.operators import intervals, metrics
+from chronolith.sources.paths import kept_table
 
 
 def feature_sequences(manifest: DataFrame, index: DataFrame, key: str, order: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -23,16 +24,22 @@ def feature_sequences(manifest: DataFrame, index: DataFrame, key: str, order: st
     return good, joined.filter(reason.isNotNull()).select(key, reason.alias("reason"))
 
 
-def evaluate_predictions(predictions: DataFrame, labels: DataFrame, key: str, start: str, end: str, score: str, order: str, reduction: str = "max") -> DataFrame:
-    """Frame metrics of interval predictions against frame labels (key, frame, label); both sides must have the same keys."""
+def evaluate_predictions(predictions: DataFrame, labels: DataFrame, key: str, start: str, end: str, score: str, order: str, reduction: str = "max", label_span: tuple[str, str] | None = None) -> DataFrame:
+    """Frame metrics of interval predictions against labels of frames (key, frame, label); both sides must have the same keys.
+
+    ``label_span`` names the bounds of labels that are said by intervals (key, start, end, label) instead of by frames.
+    Everything follows from the labelled frames at each distinct score, which are summed once.
+    """
     from chronolith.operators.audit import key_diff, require_empty
 
     require_empty(key_diff(predictions, labels, key), "keys of predictions and labels differ")
-    scored = intervals.project(predictions, labels.select(key, "frame"), key, start, end, score, order, reduction)
-    rows = labels.join(scored, [key, "frame"])
-    auc, pr = metrics.roc_auc(rows, "score", "label"), metrics.precision_recall(rows, "score", "label")
-    counts = rows.agg(F.count("*").alias("frames"), F.sum("label").alias("positive_frames"), F.count_distinct(key).alias("videos"))
-    return auc.select("auc").join(pr).join(counts)
+    a, z = label_span or ("frame", "__after")
+    spans = labels if label_span else labels.withColumn(z, F.col(a) + 1)
+    groups = kept_table(intervals.scored_labels(predictions, spans, key, start, end, score, order, reduction, "label", a, z), "scores")
+    rows = groups.select("score", F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.col(c).alias("w")) for y, c in ((1, "p"), (0, "n"))])).alias("f")).select("score", "f.*")
+    auc, pr = metrics.roc_auc(rows, "score", "y", weight=F.col("w")), metrics.precision_recall(rows, "score", "y", weight=F.col("w"))
+    counts = groups.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("frames"), F.sum("p").alias("positive_frames"))
+    return auc.select("auc").join(pr).join(counts).join(labels.agg(F.count_distinct(key).alias("videos")))
 
 
 def attach_captions(videos: DataFrame, captions: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -26,8 +26,8 @@ g AS (SELECT score, SUM(label) p, SUM(1-label) n FROM lb JOIN pt USING (video_id
 c AS (SELECT p, n, COALESCE(SUM(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) nb, SUM(p) OVER w tp, SUM(n) OVER w fp, SUM(p) OVER () total FROM g WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT ROUND(SUM(p*(2*nb+n))/(2.0*SUM(p)*SUM(n)),9) AS auc, ROUND(SUM(p/total*(tp/(tp+fp))),9) AS step_ap, CAST(SUM(p+n) AS BIGINT) AS frames, CAST(SUM(p) AS BIGINT) AS positive_frames, (SELECT COUNT(DISTINCT video_id) FROM lb) AS videos FROM c""", "clip", "tile")
 def evaluate_predictions(b):
-    labels = b.tile.select("video_id", F.explode(F.sequence("frame_start", F.col("frame_end") - 1)).alias("frame"), "label")
-    r = sequences.evaluate_predictions(b.clip, labels, "video_id", "frame_start", "frame_end", "score_c", "clip_index")
+    labels = b.tile.select("video_id", "frame_start", "frame_end", "label")
+    r = sequences.evaluate_predictions(b.clip, labels, "video_id", "frame_start", "frame_end", "score_c", "clip_index", label_span=("frame_start", "frame_end"))
     return r.select(r9("auc").alias("auc"), r9("step_ap").alias("step_ap"), "frames", "positive_frames", "videos")
 
 
