@@ -2,8 +2,8 @@
 
 A cell of n items (say, the videos of a label in a stratum) is drawn anew by n slots; slot k of draw d takes an item by
 a hash of (seed, cell, d, k). So any task, and SQL, can make any draw without the others. A cell of more than ``each`` items is cut in slices: its
-slots are dealt to the slices first, and a slice then draws as many of its own items as it got. That is the same
-multinomial, and a task holds the weights of one slice (or of small cells one after the other) for ``AT_ONCE`` numbers at most.
+slots are dealt to halves of the slices by binomials, down to a slice, which then draws as many of its own items as it got. That is the
+same multinomial, each task follows its own halves, and it holds the weights of one slice (or of small cells one after the other) for ``AT_ONCE`` numbers at most.
 
 Items are numbered within their cell in the order of a hash of their key, in hash ranges numbered apart.
 """
@@ -58,16 +58,29 @@ def weights(cell: str, draws: np.ndarray, n: int, counts: np.ndarray | None = No
     return np.stack([np.bincount(((numbers(own, draws[i : i + 1], np.arange(c))[0].astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.int64), minlength=n) for i, c in enumerate(counts.tolist())])
 
 
+def halves(cell: str, draws: np.ndarray, n: int, slots: int, each: int, only: int | None = None) -> dict[int, np.ndarray]:
+    """Slice: how many of the slots each draw deals to it, for all slices of a cell of n items or the one asked for.
+
+    A half of some slices gets a binomial of what they all get, from a generator of its own, so every task that follows it
+    sees the same numbers. Numbers are made for all draws up to the last, in order, and don't depend on which are asked for.
+    """
+    out, todo = {}, [(0, -(-n // each), np.full(int(draws.max()) + 1 if len(draws) else 0, slots, np.int64))]
+    while todo:
+        lo, hi, counts = todo.pop()
+        if hi - lo == 1:
+            out[lo] = counts[draws]
+            continue
+        mid = (lo + hi) // 2
+        one, two = words(f"{cell}|split|{lo}|{hi}")
+        left = np.random.Generator(np.random.Philox(key=one << 32 | two)).binomial(counts, (mid - lo) * each / (min(hi * each, n) - lo * each))
+        todo += [half for half in ((lo, mid, left), (mid, hi, counts - left)) if only is None or half[0] <= only < half[1]]
+    return out
+
+
 def dealt(cell: str, draws: np.ndarray, n: int, slots: np.ndarray, each: int) -> np.ndarray:
     """How many of the slots each draw (row) deals to each slice of a cell of n items."""
-    own, slices = words(f"{cell}|split"), -(-n // each)
-    out = np.zeros((len(draws), slices), np.int64)
-    for i in range(len(draws)):
-        high, low = (numbers(own, draws[i : i + 1], 2 * slots + k)[0].astype(np.float64) for k in (0, 1))
-        # 53 bits of randomness: exact in a double
-        item = np.floor((high * 2.0**21 + np.floor(low / 2.0**11)) / 2.0**53 * n).astype(np.int64)
-        out[i] = np.bincount(item // each, minlength=slices)
-    return out
+    got = halves(cell, draws, n, len(slots), each)
+    return np.stack([got[i] for i in range(-(-n // each))], 1)
 
 
 def order_hash(key: str) -> Column:
@@ -90,56 +103,33 @@ def numbered(df: DataFrame, cell: str, key: str, each: int = SLICE) -> DataFrame
     return out.withColumn("idx", F.col("__before") + F.col("__r") - 1).drop("__h", "__s", "__r", "__before")
 
 
-def slot_counts(sizes: DataFrame, draws: tuple[int, int], each: int) -> DataFrame:
-    """cell, slice, draw, count for cells (cell, n) of more than ``each`` items."""
-    large = sizes.filter(F.col("n") > each)
-    tasks = large.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(each).cast("long")))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    tasks = tasks.repartition(F.col("cell"), F.col("first"), F.col("part"))
-
-    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples(index=False):
-                d = np.arange(draws[0] + r.part, draws[1], 16)
-                got = dealt(r.cell, d, r.n, np.arange(r.first, min(r.first + each, r.n)), each)
-                row, col = np.nonzero(got)
-                yield pd.DataFrame({"cell": r.cell, "slice": col, "draw": d[row], "count": got[row, col]})
-
-    return tasks.mapInPandas(deal, "cell string, slice long, draw long, count long").groupBy("cell", "slice", "draw").agg(F.sum("count").alias("count"))
-
-
-def draws_of(part: pd.DataFrame, draws: tuple[int, int], chunk: int, chunks: int, each: int, given: pd.DataFrame | None, block: int | None = None) -> Iterator[tuple[str, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+def draws_of(part: pd.DataFrame, draws: tuple[int, int], chunk: int, chunks: int, each: int, block: int | None = None) -> Iterator[tuple[str, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
     """Cell, items, their places, draws, and weights (draws by places) for the cells or the slice in ``part`` (cell, idx, n), some (or ``block``) draws at a time."""
     for (cell, slice_), own in part.groupby(["cell", "slice"], sort=True):
         n = int(own["n"].iloc[0])
         size = min(n, (slice_ + 1) * each) - slice_ * each
         text, at = (cell, own["idx"].to_numpy()) if n <= each else (f"{cell}|{slice_}", own["idx"].to_numpy() - slice_ * each)
         mine = np.arange(draws[0] + chunk, draws[1], chunks)
-        counts = None
-        if n > each:
-            counts = np.zeros(len(mine), np.int64)
-            got = given[(given["cell"] == cell) & (given["slice"] == slice_)]
-            counts[np.searchsorted(mine, got["draw"])] = got["count"]
+        counts = halves(cell, mine, n, n, each, int(slice_))[int(slice_)] if n > each else None
         step = block or max(1, AT_ONCE // size)
         for k in range(0, len(mine), step):
             d = mine[k : k + step]
             yield cell, own, at, d, weights(text, d, size, None if counts is None else counts[k : k + step]).astype(np.float64)
 
 
-def sliced(items: DataFrame, draws: tuple[int, int], each: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """Items dealt to groups (small cells together, slices of large cells apart) and chunks of draws; slot counts; chunks.
+def sliced(items: DataFrame, draws: tuple[int, int], each: int) -> tuple[DataFrame, int]:
+    """Items dealt to groups (small cells together, slices of large cells apart) and chunks of draws; chunks.
 
     Rows are only multiplied by chunks if there are too few groups to keep a cluster busy.
     """
-    total, largest = items.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    total = items.count()
     buckets = max(1, min(4096, total // 4096))
     rows = items.withColumn("slice", F.floor(F.col("idx") / each).cast("long"))
     group = F.when(F.col("n") > each, F.concat_ws("|", F.col("cell"), F.col("slice"))).otherwise(F.pmod(F.xxhash64("cell"), F.lit(buckets)).cast("string"))
-    chunks = max(1, min(16, 64 // buckets, total * (draws[1] - draws[0]) // 20_000_000))
-    rows = rows.withColumn("group", group).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    counts = slot_counts(items.groupBy("cell").agg(F.max("n").alias("n")), draws, each) if largest > each else None
-    if counts is not None:
-        counts = counts.withColumns({"group": F.concat_ws("|", F.col("cell"), F.col("slice")), "chunk": ((F.col("draw") - draws[0]) % chunks).cast("int")})
-    return rows, counts, chunks
+    rows = rows.withColumn("group", group)
+    groups = max(1, rows.select("group").distinct().count())
+    chunks = max(1, min(16, -(-64 // groups), total * (draws[1] - draws[0]) // 20_000_000))
+    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), chunks
 
 
 def resampled_sums(items: DataFrame, draws: tuple[int, int], each: int = SLICE) -> DataFrame:
@@ -147,20 +137,17 @@ def resampled_sums(items: DataFrame, draws: tuple[int, int], each: int = SLICE)
 
     ``items``: cell (string, which also seeds its draws), idx and n as ``numbered`` gives them, x (double).
     """
-    rows, counts, chunks = sliced(items.select("cell", "idx", "n", "x"), draws, each)
+    rows, chunks = sliced(items.select("cell", "idx", "n", "x"), draws, each)
 
-    def add(key: tuple, part: pd.DataFrame, given: pd.DataFrame | None = None) -> pd.DataFrame:
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"cell": [], "n": [], "draw": [], "s1": [], "s2": []})]
-        for cell, own, at, d, w in draws_of(part, draws, int(key[1]), chunks, each, given):
+        for cell, own, at, d, w in draws_of(part, draws, int(key[1]), chunks, each):
             x = np.zeros(w.shape[1])
             x[at] = own["x"].to_numpy()
             out.append(pd.DataFrame({"cell": cell, "n": own["n"].iloc[0], "draw": d, "s1": w @ x, "s2": w @ (x * x)}))
         return pd.concat(out)
 
-    schema, groups = "cell string, n long, draw long, s1 double, s2 double", rows.groupBy("group", "chunk")
-    if counts is None:
-        return groups.applyInPandas(lambda k, part: add(k, part), schema)
-    sums = groups.cogroup(counts.groupBy("group", "chunk")).applyInPandas(lambda k, part, given: add(k, part, given), schema)
+    sums = rows.groupBy("group", "chunk").applyInPandas(lambda k, part: add(k, part), "cell string, n long, draw long, s1 double, s2 double")
     return sums.groupBy("cell", "n", "draw").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
 
 
@@ -316,23 +303,23 @@ def paired_bootstrap(hist: DataFrame, videos: DataFrame, key: str, label: str, d
     shuffled grow with the distinct scores of a slice times the draws.
     """
     cell = numbered(videos.select(key, _cell(seed, "paired", label).alias("cell")), "cell", key, slice_)
-    rows = hist.join(cell, key).select("cell", "idx", "n", "system", F.col("score").cast("double").alias("score"), "pos_frames", "neg_frames")
-    parts = max(1, -(-hist.count() // each))
+    rows = kept_table(hist.join(cell, key).select("cell", "idx", "n", "system", F.col("score").cast("double").alias("score"), "pos_frames", "neg_frames"), "frames")
+    parts = max(1, -(-rows.count() // each))
     cuts = rows.agg(F.percentile_approx("score", [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000)).first()[0] if parts > 1 else []
     cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
     rows = rows.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col("score"))))
-    rows, counts, chunks = sliced(rows, (0, draws), slice_)
+    rows, chunks = sliced(rows, (0, draws), slice_)
 
-    def add(key_: tuple, part: pd.DataFrame, given: pd.DataFrame | None = None) -> pd.DataFrame:
+    def add(key_: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["system", "part", "score"], kind="stable")
         out, at_block = [], {}
-        for c, own, at, _, w in draws_of(part, (0, draws), int(key_[1]), chunks, slice_, given, BLOCK):
+        for c, own, at, _, w in draws_of(part, (0, draws), int(key_[1]), chunks, slice_, BLOCK):
             slice_no = (c, int(own["slice"].iloc[0]))
             if slice_no not in at_block:  # the frames of each video at each score, in columns
                 names = own[["system", "part", "score"]].to_numpy()
                 first = np.concatenate([[True], (names[1:] != names[:-1]).any(1)])
-                at_block[slice_no] = [0, names[first], np.cumsum(first) - 1]
-            k, names, column = at_block[slice_no]
+                at_block[slice_no] = [0, names[first], np.cumsum(first) - 1, {}]
+            k, names, column, made = at_block[slice_no]
             at_block[slice_no][0] += 1
             # few scores: products with the videos' frames in columns; many: each row's weight, summed by score; some at a time
             dense = len(names) * w.shape[1] <= 16 * len(own)
@@ -344,18 +331,17 @@ def paired_bootstrap(hist: DataFrame, videos: DataFrame, key: str, label: str, d
                 mine = slice(edges[lo], edges[hi])
                 frames = [own[x].to_numpy(np.float64)[mine] for x in ("pos_frames", "neg_frames")]
                 if dense:
-                    p, n = ((w @ np.bincount(at[mine] * (hi - lo) + column[mine] - lo, x, w.shape[1] * (hi - lo)).reshape(-1, hi - lo)).T for x in frames)
+                    if lo not in made:  # of one product only, so that a task holds ``WIDE`` numbers
+                        made.clear()
+                        made[lo] = np.concatenate([np.bincount(at[mine] * (hi - lo) + column[mine] - lo, x, w.shape[1] * (hi - lo)).reshape(-1, hi - lo) for x in frames], 1)
+                    p, n = np.split((w @ made[lo]).T, 2)
                 else:
                     p, n = (np.add.reduceat(w[:, at[mine]] * x, edges[lo:hi] - edges[lo], 1).T for x in frames)
                 out += [(int(a), int(b), float(s), int(key_[1]) + chunks * k, x.tobytes(), y.tobytes()) for (a, b, s), x, y in zip(names[lo:hi], p, n)]
                 lo = hi
         return pd.DataFrame(out, columns=["system", "part", "score", "block", "p", "n"])
 
-    schema, groups = "system int, part int, score double, block int, p binary, n binary", rows.groupBy("group", "chunk")
-    if counts is None:
-        sums = groups.applyInPandas(lambda k, part: add(k, part), schema)
-    else:
-        sums = groups.cogroup(counts.groupBy("group", "chunk")).applyInPandas(lambda k, part, given: add(k, part, given), schema)
+    sums = rows.groupBy("group", "chunk").applyInPandas(lambda k, part: add(k, part), "system int, part int, score double, block int, p binary, n binary")
 
     def merge(key_: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("score", ascending=False, kind="stable")
