@@ -32,6 +32,24 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
 
 
+#: Rows of a table that a task takes where they are dealt by key.
+TASK_ROWS = 250_000
+
+
+def tasks(df: DataFrame) -> int:
+    """As many tasks as the rows need, and no fewer than the session's number of partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` where its rows need more tasks than the session's number of partitions.
+
+    What is grouped or ordered by the key afterwards stays in those tasks, so their memory doesn't grow with the table.
+    """
+    parts = tasks(df)
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 class Bindings:
     """Lazily bound views of the tables in a folder."""
 
@@ -41,10 +59,14 @@ class Bindings:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def clip_tasks(self) -> int:
+        return tasks(self.table("lineitem"))
+
     @cached_property
     def clip(self) -> DataFrame:
         order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-        rows = self.table("lineitem").select(
+        rows = dealt(self.table("lineitem"), "l_orderkey").select(
             F.col("l_orderkey").alias("video_id"),
             (F.row_number().over(order) - 1).cast("long").alias("clip_index"),
             F.round(F.col("l_discount") * 100).cast("long").alias("score_c"),
@@ -70,7 +92,7 @@ class Bindings:
 
     @cached_property
     def stream_event(self) -> DataFrame:
-        return self.table("events").select(
+        return dealt(self.table("events"), "user_id").select(
             F.col("user_id").alias("stream_id"), "event_id", "ts",
             F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"),
             F.when(F.col("event_type") == "error", 1).otherwise(0).alias("triggered"),
