@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def _ordered(key: str, *order: str):
+def _ordered(key: str | list[str], *order: str):
     return W.partitionBy(key).orderBy(*order)
 
 
-def boundaries(df: DataFrame, key: str, start: str, end: str, sums: dict[str, Column]) -> DataFrame:
+def boundaries(df: DataFrame, key: str | list[str], start: str, end: str, sums: dict[str, Column]) -> DataFrame:
     """Elementary intervals between neighbouring boundaries: lo, hi, depth and the running sums of ``sums`` inside."""
+    keys = [key] if isinstance(key, str) else key
     signs = [F.struct(F.col(start).alias("pos"), F.lit(1).alias("d"), *[v.alias(k) for k, v in sums.items()]), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d"), *[(-v).alias(k) for k, v in sums.items()])]
-    steps = df.select(key, F.explode(F.array(*signs)).alias("e")).select(key, "e.*").groupBy(key, "pos").agg(F.sum("d").alias("d"), *[F.sum(k).alias(k) for k in sums])
-    up_to = _ordered(key, "pos").rowsBetween(W.unboundedPreceding, 0)
-    out = steps.select(key, F.col("pos").alias("lo"), F.lead("pos").over(_ordered(key, "pos")).alias("hi"), F.sum("d").over(up_to).alias("depth"), *[F.sum(k).over(up_to).alias(k) for k in sums])
+    steps = df.select(*keys, F.explode(F.array(*signs)).alias("e")).select(*keys, "e.*").groupBy(*keys, "pos").agg(F.sum("d").alias("d"), *[F.sum(k).alias(k) for k in sums])
+    up_to = _ordered(keys, "pos").rowsBetween(W.unboundedPreceding, 0)
+    out = steps.select(*keys, F.col("pos").alias("lo"), F.lead("pos").over(_ordered(keys, "pos")).alias("hi"), F.sum("d").over(up_to).alias("depth"), *[F.sum(k).over(up_to).alias(k) for k in sums])
     return out.filter("hi IS NOT NULL")
 
 
@@ -85,7 +86,7 @@ def coverage_rollup(summary: DataFrame) -> DataFrame:
 BLOCK = 64
 
 
-def _cells(df: DataFrame, key: str, start: str, end: str, **states: Column) -> DataFrame:
+def cells_of(df: DataFrame, key: str, start: str, end: str, **states: Column) -> DataFrame:
     """key, block, lo, hi (inside the block) and ``states``, aggregated over the equal parts of intervals; empty intervals have none."""
     named = {f"__{k}": F.col(c).cast("long") for k, c in (("a", start), ("z", end))}
     rows = df.withColumns(named).filter("__z > __a").withColumn("__b", F.explode(F.sequence(F.shiftright("__a", 6), F.shiftright(F.col("__z") - 1, 6))))
@@ -101,12 +102,15 @@ def _states(score: str, order: str, reduction: str) -> dict[str, Column]:
     return kinds[reduction]
 
 
+def total_of(state: str) -> Column:
+    return F.aggregate("__cover", F.lit(0.0), lambda s, c: s + F.coalesce(c[state].cast("double"), F.lit(0.0)))
+
+
 def _reduced(reduction: str) -> Column:
     """The reduction of the states in ``__cover``; null where it is empty."""
     x = F.col("__cover.x")
     if reduction == "mean":
-        total = lambda c: F.aggregate(F.transform(c, lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-        return F.try_divide(total(x), total(F.col("__cover.n")))
+        return F.try_divide(total_of("x"), total_of("n"))
     return {"max": F.array_max(x), "first": F.array_min(x)["s"], "last": F.array_max(x)["s"]}[reduction]
 
 
@@ -130,12 +134,24 @@ def _pieces(cells: DataFrame, key: str, more: DataFrame | None = None, merge: Co
     return cut.withColumn("__cover", over).drop("__p", "__e", "__i")
 
 
+def masks_of(videos: DataFrame, key: str, frames: str) -> DataFrame:
+    """Key, block and bits of the frames 0 to ``frames`` - 1 of each video."""
+    n = F.col(frames).cast("long")
+    rows = videos.filter(n > 0).select(key, n.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(n - 1, 6))).alias("__b"))
+    left = (F.col("__n") - F.col("__b") * BLOCK).cast("int")
+    mask = F.when(left >= BLOCK, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), left) - 1)
+    return rows.select(key, "__b", mask.alias("__m"))
+
+
+def at_frames(cells: DataFrame, masks: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """key, frame and ``values`` (of ``__cover``) at the frames whose bits are set in the masks (key, block, ``__m``)."""
+    pieces = _pieces(cells, key, masks, F.bit_or("__m"))
+    out = pieces.select(key, "__b", "__m", *[v.alias(k) for k, v in values.items()], F.explode(F.sequence("__lo", F.col("__hi") - 1)).alias("__f"))
+    return out.filter(F.call_function("shiftright", "__m", "__f").bitwiseAND(F.lit(1)) == 1).select(key, (F.col("__b") * BLOCK + F.col("__f")).alias("frame"), *values)
+
+
 def _on_frames(clips: DataFrame, masks: DataFrame, key: str, start: str, end: str, score: str, order: str, reduction: str, fill: float) -> DataFrame:
-    """Scores at the frames whose bits are set in the masks (key, block, ``__m``)."""
-    pieces = _pieces(_cells(clips, key, start, end, **_states(score, order, reduction)), key, masks, F.bit_or("__m"))
-    value = F.coalesce(_reduced(reduction).cast("double"), F.lit(float(fill)))
-    out = pieces.select(key, "__b", "__m", value.alias("score"), F.explode(F.sequence("__lo", F.col("__hi") - 1)).alias("__f"))
-    return out.filter(F.call_function("shiftright", "__m", "__f").bitwiseAND(F.lit(1)) == 1).select(key, (F.col("__b") * BLOCK + F.col("__f")).alias("frame"), "score")
+    return at_frames(cells_of(clips, key, start, end, **_states(score, order, reduction)), masks, key, {"score": F.coalesce(_reduced(reduction).cast("double"), F.lit(float(fill)))})
 
 
 def project(clips: DataFrame, grid: DataFrame, key: str, start: str, end: str, score: str, order: str, reduction: str, fill: float = 0.0) -> DataFrame:
@@ -152,16 +168,12 @@ def project(clips: DataFrame, grid: DataFrame, key: str, start: str, end: str, s
 
 def project_all(clips: DataFrame, videos: DataFrame, key: str, frames: str, start: str, end: str, score: str, order: str, reduction: str, fill: float = 0.0) -> DataFrame:
     """``project`` on the frames 0 to ``frames`` - 1 of each video, which are made last; videos without frames give none."""
-    n = F.col(frames).cast("long")
-    rows = videos.filter(n > 0).select(key, n.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(n - 1, 6))).alias("__b"))
-    left = (F.col("__n") - F.col("__b") * BLOCK).cast("int")
-    mask = F.when(left >= BLOCK, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), left) - 1)
-    return _on_frames(clips, rows.select(key, "__b", mask.alias("__m")), key, start, end, score, order, reduction, fill)
+    return _on_frames(clips, masks_of(videos, key, frames), key, start, end, score, order, reduction, fill)
 
 
 def dense_max_runs(clips: DataFrame, key: str, start: str, end: str, score: str) -> DataFrame:
     """Maximum and number of the windows over each frame, as maximal runs of equal ones."""
-    pieces = _pieces(_cells(clips, key, start, end, x=F.max(score), n=F.count("*")), key).filter(F.size("__cover") > 0)
+    pieces = _pieces(cells_of(clips, key, start, end, x=F.max(score), n=F.count("*")), key).filter(F.size("__cover") > 0)
     at = lambda c: F.col("__b") * BLOCK + F.col(c)
     count = F.aggregate("__cover", F.lit(0).cast("long"), lambda s, x: s + x["n"])
     return merge_equal(pieces.select(key, at("__lo").alias("lo"), at("__hi").alias("hi"), F.array_max("__cover.x").alias("score"), count.alias("contributors")), key, "lo", "hi", ["score", "contributors"])
@@ -172,9 +184,9 @@ def scored_labels(clips: DataFrame, labels: DataFrame, key: str, start: str, end
 
     A frame without a score has ``fill``. Frames with several labels count for each.
     """
-    own = _cells(labels, key, label_start, label_end, p=F.sum(label), n=F.sum(1 - F.col(label)), c=F.count("*"))
+    own = cells_of(labels, key, label_start, label_end, p=F.sum(label), n=F.sum(1 - F.col(label)), c=F.count("*"))
     own = own.select(key, "__b", F.struct("__lo", "__hi", "p", "n", "c").alias("__m"))
-    pieces = _pieces(_cells(clips, key, start, end, **_states(score, order, reduction)), key, own, F.collect_list("__m")).filter(F.size("__m") > 0)
+    pieces = _pieces(cells_of(clips, key, start, end, **_states(score, order, reduction)), key, own, F.collect_list("__m")).filter(F.size("__m") > 0)
     width = lambda m: F.greatest(F.least(F.col("__hi"), m["__hi"]) - F.greatest(F.col("__lo"), m["__lo"]), F.lit(0))
     kinds = {c: "double" if dict(labels.dtypes)[label] in ("float", "double") else "long" for c in "pn"} | {"c": "long"}
     counted = lambda c, t: F.aggregate("__m", F.lit(0).cast(t), lambda s, m: s + (F.coalesce(m[c], F.lit(0)) * width(m)).cast(t)).alias(c)
@@ -189,19 +201,22 @@ def last_writer_labels(videos: DataFrame, spans: DataFrame, key: str, frames: st
     return out.select(key, "frame", F.col("score").cast(dict(spans.dtypes)[label]).alias("label"))
 
 
-def overlap_targets(tokens: DataFrame, spans: DataFrame, key: str, t0: str, t1: str, s0: str, s1: str, label: str, least: float, reference: str = "token") -> DataFrame:
+def overlap_targets(tokens: DataFrame, spans: DataFrame, key: str, t0: str, t1: str, s0: str, s1: str, label: str, least: float, reference: str = "token", tasks: int | None = None) -> DataFrame:
     """Target of each interval: 1 if a positive span overlaps it by at least the fraction of the token or of the union.
 
-    Spans and tokens meet in blocks of frames of their key, so no token meets spans far away.
+    Spans and tokens meet in blocks of frames of their key, so no token meets spans far away; ``tasks``: how many share the
+    blocks (the session's number of partitions by default).
     """
     step = 64
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / step), F.floor((F.col(b) - 1) / step))
-    left = tokens.select(key, t0, t1, F.explode(cells(t0, t1)).alias("__cell"))
-    right = spans.filter(F.col(label) > 0).select(key, F.col(s0).alias("__s0"), F.col(s1).alias("__s1"), F.explode(cells(s0, s1)).alias("__cell"))
+    split = lambda df, *by: df if tasks is None else df.repartition(tasks, *by)
+    left = split(tokens.select(key, t0, t1, F.explode_outer(cells(t0, t1)).alias("__cell")), key, "__cell")
+    right = split(spans.filter(F.col(label) > 0).select(key, F.col(s0).alias("__s0"), F.col(s1).alias("__s1"), F.explode(cells(s0, s1)).alias("__cell")), key, "__cell")
     inter = F.least(t1, "__s1") - F.greatest(t0, "__s0")
     whole = F.col(t1) - F.col(t0) if reference == "token" else F.greatest(t1, "__s1") - F.least(t0, "__s0")
-    hit = left.join(right, [key, "__cell"]).filter((inter > 0) & (inter >= F.lit(least) * whole)).select(key, t0, t1).distinct().withColumn("target", F.lit(1))
-    return tokens.select(key, t0, t1).distinct().join(hit, [key, t0, t1], "left").select(key, t0, t1, F.coalesce("target", F.lit(0)).alias("target"))
+    hit = F.col("__s0").isNotNull() & (inter > 0) & (inter >= F.lit(least) * whole)
+    met = left.join(right, [key, "__cell"], "left").select(key, t0, t1, F.when(hit, 1).otherwise(0).alias("target"))
+    return split(met, key, t0, t1).groupBy(key, t0, t1).agg(F.max("target").alias("target"))
 
 
 def align(tables: list[tuple[DataFrame, str, str, str]], key: str) -> DataFrame:
