@@ -55,19 +55,22 @@ def candidate_spans(spans: DataFrame, key: str, start: str, end: str, shifts: li
     return rows.select(key, "candidate", "shift", "inclusive", F.greatest(F.lit(0), F.col(start) + F.col("shift")).alias("lo"), (F.col(end) + F.col("shift") + F.col("inclusive").cast("int")).alias("hi"))
 
 
-def compare_candidates(candidates: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+def compare_candidates(candidates: DataFrame, truth: DataFrame, key: str, names: list[int] | None = None) -> DataFrame:
     """Frames that differ from the truth for each candidate, and the videos without any difference.
 
-    ``truth``: key, lo, hi of positive spans. Both sides are unions of intervals, so differing frames follow from a
-    sweep over the boundaries rather than from frames.
+    ``truth``: key, lo, hi of positive spans. ``names``: the candidates, read from their rows by default. Both sides are unions
+    of intervals, so differing frames follow from a sweep over the boundaries rather than from frames; rows that are dealt by
+    key stay where they are.
     """
-    names = candidates.select("candidate").distinct()
-    both = candidates.select(key, "candidate", "lo", "hi", F.lit(1).alias("side")).unionByName(truth.join(F.broadcast(names)).select(key, "candidate", "lo", "hi", F.lit(0).alias("side")))
-    both = both.withColumn("kc", F.struct(key, "candidate"))
-    parts = intervals.boundaries(both, "kc", "lo", "hi", {"mine": F.col("side"), "theirs": 1 - F.col("side")})
+    if names is None:
+        theirs = truth.join(F.broadcast(candidates.select("candidate").distinct()))
+    else:
+        theirs = truth.withColumn("candidate", F.explode(F.array(*map(F.lit, names))))
+    both = candidates.select(key, "candidate", "lo", "hi", F.lit(1).alias("side")).unionByName(theirs.select(key, "candidate", "lo", "hi", F.lit(0).alias("side")))
+    parts = intervals.boundaries(both, [key, "candidate"], "lo", "hi", {"mine": F.col("side"), "theirs": 1 - F.col("side")})
     differs = (F.col("mine") > 0) != (F.col("theirs") > 0)
-    per = parts.groupBy("kc").agg(F.coalesce(F.sum(F.when(differs, F.col("hi") - F.col("lo"))), F.lit(0)).alias("wrong"))
-    return per.groupBy(F.col("kc.candidate").alias("candidate")).agg(F.sum("wrong").alias("wrong_frames"), F.count(F.when(F.col("wrong") == 0, 1)).alias("exact_videos"), F.count("*").alias("videos"))
+    per = parts.groupBy(key, "candidate").agg(F.coalesce(F.sum(F.when(differs, F.col("hi") - F.col("lo"))), F.lit(0)).alias("wrong"))
+    return per.groupBy("candidate").agg(F.sum("wrong").alias("wrong_frames"), F.count(F.when(F.col("wrong") == 0, 1)).alias("exact_videos"), F.count("*").alias("videos"))
 
 
 def cube(facts: DataFrame, dims: list[str], value: str, pivot: str, names: list) -> tuple[DataFrame, DataFrame]:

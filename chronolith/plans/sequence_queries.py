@@ -47,7 +47,7 @@ SELECT candidate, CAST(SUM(wrong) AS BIGINT) AS wrong_frames, COUNT(*) FILTER (w
 def coordinate_hypotheses(b):
     spans = b.annotation.filter("is_anomaly = 1")
     c = sequences.candidate_spans(spans, "video_id", "span_start", "span_end", [-1, 0, 1], [False, True])
-    return sequences.compare_candidates(c, spans.select("video_id", F.col("span_start").alias("lo"), F.col("span_end").alias("hi")), "video_id")
+    return sequences.compare_candidates(c, spans.select("video_id", F.col("span_start").alias("lo"), F.col("span_end").alias("hi")), "video_id", list(range(6)))
 
 
 @query("""SELECT o_orderpriority, COUNT(*) FILTER (o_orderstatus='F') AS f, COUNT(*) FILTER (o_orderstatus='O') AS o, COUNT(*) FILTER (o_orderstatus='P') AS p FROM orders GROUP BY 1""")
