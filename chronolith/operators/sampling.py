@@ -24,10 +24,10 @@ def fixed_clip(region_start: Column, region_end: Column, clip_frames: int, strid
     """(indices, valid): a clip at the start or centre of a region; frames beyond its end repeat the last valid one."""
     span, length = (clip_frames - 1) * stride + 1, region_end - region_start
     offset = F.when(length > span, F.floor((length - span) / 2).cast("long")).otherwise(0) if position == "center" else F.lit(0)
-    steps = F.sequence(F.lit(0), F.lit(clip_frames - 1))
-    raw = F.transform(steps, lambda i: region_start + offset + i * stride)
-    last = F.array_max(F.filter(raw, lambda x: x < region_end))
-    return F.transform(raw, lambda x: F.least(x, last)), F.transform(raw, lambda x: x < region_end)
+    raw = [region_start + offset + i * stride for i in range(clip_frames)]
+    last = F.greatest(*[F.when(x < region_end, x) for x in raw]) if clip_frames > 1 else F.when(raw[0] < region_end, raw[0])
+    # arrays of columns rather than lambdas, which Spark compiles
+    return F.array(*[F.least(x, last) for x in raw]), F.array(*[x < region_end for x in raw])
 
 
 def segment_clips(videos: DataFrame, key: str, frames: str, segments: int = 32, clip_frames: int = 16, stride: int = 2, position: str = "center") -> DataFrame:
