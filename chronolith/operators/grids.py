@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from chronolith.operators import intervals
+
 REDUCTIONS = ("max", "mean", "first", "last")
 
 
@@ -89,3 +91,28 @@ def project_times(rows: DataFrame, grid: DataFrame, key: str, start: str, end: s
     seen = known.union(wanted).withColumn("piece", F.last("piece", ignorenulls=True).over(up_to)).filter("kind = 1")
     inside = F.col("pos").isNotNull() & (F.col("pos") < F.col("piece.hi"))
     return seen.select("row.*", *[F.when(inside, F.col(f"piece.{n}")).otherwise(float(fill)).alias(n) for n in names])
+
+
+def project_rate(rows: DataFrame, videos: DataFrame, key: str, start: str, end: str, score: str, order: str, frames: str, fps: str, reductions: tuple[str, ...] = REDUCTIONS, fill: float = 0.0) -> DataFrame:
+    """``project_times`` on all frames of ``frame_times``, for videos with one row for each key: key, frame and scores.
+
+    The bounds of an interval become the frames whose times they reach, by the same division, so intervals meet frames in
+    blocks and neither times nor frames are ordered or shuffled. Holds below 2^50 frames.
+    """
+    about = videos.select(F.col(key).alias("__k"), F.col(frames).cast("long").alias("__n"), F.coalesce(F.col(fps).cast("double"), F.lit(1.0)).alias("__rate"))
+    about = about.filter(finite(F.col("__rate")) & (F.col("__rate") > 0) & (F.col("__n") > 0))
+    a, z, s = (F.col(c).cast("double") for c in (start, end, score))
+    valid = rows.filter(finite(a) & finite(z) & finite(s) & (z > a)).select(key, a.alias("__s"), z.alias("__e"), s.alias("__x"), F.col(order).alias("__o"))
+    rate, n = F.col("__rate"), F.col("__n")
+
+    def reached(at: str, name: str) -> tuple[str, Column]:  # the first frame at or after a time
+        return name, F.greatest(F.lit(0), F.least(F.col(at) * rate, n.cast("double")).cast("long") - 2)
+
+    met = valid.join(about, F.col(key) == F.col("__k")).withColumns(dict([reached("__s", "__f"), reached("__e", "__g")]))
+    first = lambda c, at: F.least(n, F.coalesce(*[F.when((F.col(c) + i) / rate >= F.col(at), F.col(c) + i) for i in range(5)], n))
+    met = met.select(key, first("__f", "__s").alias("__from"), first("__g", "__e").alias("__to"), "__x", "__o")
+    ranked = F.struct(F.col("__o").alias("o"), F.col("__x").alias("s"))
+    states = {"max": {"max": F.max("__x")}, "mean": {"sum": F.sum("__x"), "n": F.count("*")}, "first": {"first": F.min(ranked)}, "last": {"last": F.max(ranked)}}
+    values = {"max": lambda: F.array_max("__cover.max"), "mean": lambda: F.try_divide(intervals.total_of("sum"), intervals.total_of("n")), "first": lambda: F.array_min("__cover.first")["s"], "last": lambda: F.array_max("__cover.last")["s"]}
+    cells = intervals.cells_of(met, key, "__from", "__to", **{k: c for r in reductions for k, c in states[r].items()})
+    return intervals.at_frames(cells, intervals.masks_of(videos, key, frames), key, {f"score_{r}": F.coalesce(values[r](), F.lit(float(fill))) for r in reductions})

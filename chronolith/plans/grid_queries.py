@@ -30,8 +30,8 @@ def project_seconds_rate(b):
     """Intervals in seconds on the frames of videos of 24 or 30 frames a second."""
     at = F.col("clip_index") * F.lit(0.3)
     iv = b.clip.select("video_id", "clip_index", "score_c", at.alias("a"), (at + F.lit(0.65) * (1 + F.col("clip_index") % 3)).alias("z"))
-    grid = grids.frame_times(b.video.withColumn("fps", F.when(F.col("video_id") % 2 == 0, 24.0).otherwise(30.0)), "video_id", "num_frames", "fps")
-    return _rounded(grids.project_times(iv, grid, "video_id", "a", "z", "score_c", "clip_index", "time").drop("time"))
+    videos = b.video.withColumn("fps", F.when(F.col("video_id") % 2 == 0, 24.0).otherwise(30.0))
+    return _rounded(grids.project_rate(iv, videos, "video_id", "a", "z", "score_c", "clip_index", "num_frames", "fps"))
 
 
 @query(""", iv AS (SELECT user_id, epoch(ts) AS a, epoch(ts)+600*(1+event_id%97) AS z, CAST(ROUND(value*100) AS DOUBLE) AS s, event_id AS o FROM events),

@@ -87,3 +87,79 @@ def test_evaluation_by_frames_and_by_intervals(spark):
     assert one["auc"] == pytest.approx(auc) and one == two and (one["frames"], one["positive_frames"], one["videos"]) == (len(flat), len(p), 2)
     with pytest.raises(ValueError, match="differ"):
         sequences.evaluate_predictions(df.filter("k = 'a'"), labels, "k", "a", "z", "s", "o", label_span=("x", "y"))
+
+
+def test_clips_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    from chronolith.plans import bindings
+
+    b = lambda: bindings.Bindings(spark, "/root/testdata/sf0.001")
+    rows = b().table("lineitem").count()
+    plain = sorted(map(tuple, b().clip.collect()))
+    monkeypatch.setattr(bindings, "TASK_ROWS", rows // 9)
+    many = b()
+    assert many.clip.rdd.getNumPartitions() >= 9 and many.clip_tasks >= 9 and sorted(map(tuple, many.clip.collect())) == plain
+    one = intervals.dense_mean_runs(many.clip, "video_id", "frame_start", "frame_end", "score_c")
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 and one.rdd.getNumPartitions() >= 9
+
+
+def test_targets_in_more_tasks(spark):
+    tokens = [("a", i, i + 16) for i in range(0, 200, 8)] + [("a", 0, 16), ("b", 3, 9), ("c", None, 4)]
+    spans = [("a", 5, 8, 1), ("a", 60, 130, 1), ("a", 100, 101, 0), ("b", 0, 100, 1), ("b", 0, 99, 1)]
+    t, s = spark.createDataFrame(tokens, "k string, a long, z long"), spark.createDataFrame(spans, "k string, s long, e long, y int")
+    meets = lambda k, a, z: any(k == q and y and min(z, e) - max(a, f) >= 0.25 * (z - a) and min(z, e) > max(a, f) for q, f, e, y in spans)
+    want = {(k, a, z): int(a is not None and meets(k, a, z)) for k, a, z in tokens}
+    for tasks in (None, 7):
+        out = intervals.overlap_targets(t, s, "k", "a", "z", "s", "e", "y", 0.25, tasks=tasks)
+        assert {(r["k"], r["a"], r["z"]): r["target"] for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_candidates_that_are_named(spark):
+    spans = spark.createDataFrame([("a", 3, 8), ("a", 20, 30), ("b", 1, 2)], "k string, lo long, hi long")
+    c = sequences.candidate_spans(spans, "k", "lo", "hi", [-1, 0, 1], [False, True])
+    one, two = (sorted(map(tuple, sequences.compare_candidates(c, spans, "k", *more).collect())) for more in ((), (list(range(6)),)))
+    assert one == two and one[2] == (2, 0, 2, 2)
+
+
+def test_slots_of_slices_are_dealt_without_a_number_for_each():
+    """Every task that follows the halves to its slice finds what the whole deal gives it."""
+    import numpy as np
+
+    from chronolith.operators import resampling
+
+    draws = np.arange(5, 40, 3)
+    whole = resampling.halves("c", np.arange(50), 10**9 + 7, 10**9 + 7, 2 * 10**8)
+    assert (sum(whole.values()) == 10**9 + 7).all() and len(whole) == 6
+    for i in range(6):
+        assert (resampling.halves("c", draws, 10**9 + 7, 10**9 + 7, 2 * 10**8, i)[i] == whole[i][draws]).all()
+    assert abs(whole[0].mean() / 2e8 - 1) < 0.001 and whole[0].std() > 1000 and abs(whole[5].mean() - 7) < 3
+
+
+def test_rates_against_times(spark):
+    """Frames of a rate are the same by bounds in frames as by their times, also where a time meets a bound."""
+    from chronolith.operators import grids
+
+    r = random.Random(7)
+    rows = [(r.choice("abcde"), a, a + r.choice([0.0, 1 / 24, 0.1, 3.0]), float(r.randint(0, 9)), r.choice([None, 1, 2, 3])) for a in (r.choice([i / 24, i * 0.3, -0.5]) for i in range(120))]
+    rows += [("a", float("nan"), 1.0, 1.0, 1), ("a", 0.0, float("inf"), 1.0, 1), ("a", 0.0, 5.0, None, 1), (None, 0.0, 5.0, 1.0, 1), ("a", -9.0, 9e9, 4.0, 2)]
+    df = spark.createDataFrame(rows, "k string, a double, z double, s double, o int")
+    videos = spark.createDataFrame([("a", 100, 24.0), ("b", 70, 30.0), ("c", 64, None), ("d", 5, 0.0), ("e", 129, 23.976), ("f", 2, 10.0), (None, 2, 10.0), ("g", 0, 1.0)], "k string, n long, fps double")
+    want = grids.project_times(df, grids.frame_times(videos, "k", "n", "fps"), "k", "a", "z", "s", "o", "time", fill=-1.0).drop("time").collect()
+    got = grids.project_rate(df, videos, "k", "a", "z", "s", "o", "n", "fps", fill=-1.0)
+    assert got.columns == ["k", "frame", "score_max", "score_mean", "score_first", "score_last"]
+    plain = lambda rows: sorted(((x[0] or "", x[1], x[2], round(x[3], 9), x[4], x[5]) for x in rows))
+    assert plain(got.collect()) == plain(want) and len(want) == 372
+
+
+def test_clips_of_short_and_of_empty_regions(spark):
+    from chronolith.operators import sampling
+
+    df = spark.createDataFrame([(0, 20), (3, 5), (4, 4), (0, 100), (7, 16)], "a long, z long")
+    for clip, stride, position in ((8, 2, "center"), (4, 3, "start")):
+        indices, valid = sampling.fixed_clip(F.col("a"), F.col("z"), clip, stride, position)
+        out = df.select("a", "z", indices.alias("i"), valid.alias("v"))
+        assert "lambda" not in out._jdf.queryExecution().analyzed().toString()
+        for a, z, i, v in out.collect():
+            span = (clip - 1) * stride + 1
+            raw = [a + (max(0, (z - a - span) // 2) if position == "center" else 0) + k * stride for k in range(clip)]
+            inside = [x for x in raw if x < z]
+            assert i == [min(x, max(inside)) if inside else x for x in raw] and v == [x < z for x in raw]
