@@ -546,3 +546,33 @@ def test_coordinate_redundancy(spark):
     rows = [(1, 0, 0, 0, [1.0, 0.0]), (1, 0, 0, 1, [1.0, 0.0]), (1, 0, 1, 0, [0.0, 1.0]), (1, 1, 0, 0, [1.0, 1.0]), (1, 1, 5, None, [1.0, 1.0]), (2, 0, 0, 0, [1.0, 1.0])]
     got = {(r["k"], r["kind"]): tuple(r)[2:] for r in vectors.coordinate_redundancy(spark.createDataFrame(rows, "k long, f long, r long, c long, v array<double>"), "k", "f", "r", "c", "v", 1.0).collect()}
     assert got[1, "spatial"] == (2, 0.5, 0.5, 2 / 8) and got[1, "temporal"] == (1, pytest.approx(0.5**0.5), 0.0, 1 / 4) and len(got) == 2
+
+
+def test_pair_wins_with_scores_that_are_no_numbers(spark):
+    rows = [("a", float("nan"), 2, 1), ("a", 1.0, 1, 0), ("b", float("nan"), 0, 3), ("b", 0.5, 1, 5), ("b", float("inf"), 1, 0)]
+    hist = spark.createDataFrame(rows, "k string, score double, pos_frames long, neg_frames long")
+    # NaN ties with itself and lies above all, as in Spark's order
+    want = {("a", "a"): 2, ("a", "b"): 2 * (3 + 2 * 5) + 2 * 5, ("b", "b"): 5 + 2 * 5}
+    assert {(r["k"], r["other"]): r["twice_wins"] for r in metrics.pair_wins(hist, "k", "score").collect()} == want
+
+
+@pytest.mark.parametrize("weight", [1, 10**8])
+def test_pair_of_blocks_in_pieces(monkeypatch, weight):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    made = lambda kinds: [(r.choice("abcdefg"), r.choice(kinds), r.randint(1, 3) * r.choice([1, weight])) for _ in range(80)]
+    pos, neg = made(range(20)), made([None, *range(20)])
+    want = {}
+    for k, s, p in pos:
+        for o, t, n in neg:
+            if t is None or s >= t:
+                want[k, o] = want.get((k, o), 0) + p * n * (1 if s == t else 2)
+    arrays = [pa.array([dict(zip(("key", "score", "w"), x)) for x in side], pa.struct({"key": pa.string(), "score": pa.float64(), "w": pa.int64()})) for side in (pos, neg)]
+    monkeypatch.setattr(metrics, "PAIR_PIECE", 3)
+    monkeypatch.setattr(metrics, "PAIR_SCORES", 4)
+    batches = list(metrics._block_wins(*arrays))
+    got = {(x["key"], x["other"]): x["twice_wins"] for b in batches for x in b.to_pylist()}
+    assert len(batches) == 9 and got == want
