@@ -15,7 +15,7 @@ def canonical_id(value: Column) -> Column:
 
     Fixed values: the suffixes.
     """
-    name = F.element_at(F.split(F.regexp_replace(value, r"\\", "/"), "/"), -1)
+    name = F.substring_index(F.translate(value, "\\", "/"), "/", -1)
     bare = F.regexp_replace(name, r"(?i)\.(mp4|avi|mkv|mov|webm|npy|npz|txt|fc6-1)$", "")
     name = F.lower(F.trim(F.regexp_replace(bare, r"(?i)(__\d+|_c)$", "")))
     return F.when(F.length(name) > 0, name)
@@ -37,11 +37,11 @@ def slug(value: Column, fallback: str = "item") -> Column:
 
 def clock_seconds(value: Column) -> Column:
     """Seconds of m:s or h:m:s; null for anything else."""
-    p = F.split(F.trim(value), ":")
-    ok = F.trim(value).rlike(r"^(\d+:)?\d+:\d+(\.\d+)?$")
-    n = F.size(p)
-    total = F.get(p, n - 1).cast("double") + 60 * F.get(p, n - 2).cast("double") + F.when(n == 3, 3600 * F.get(p, F.lit(0)).cast("double")).otherwise(0.0)
-    return F.when(ok, total)
+    t = F.trim(value)
+    part = lambda c: c.cast("double")
+    hours = F.when(F.substring_index(t, ":", 2) != t, 3600 * part(F.substring_index(t, ":", 1))).otherwise(0.0)
+    total = part(F.substring_index(t, ":", -1)) + 60 * part(F.substring_index(F.substring_index(t, ":", -2), ":", 1)) + hours
+    return F.when(t.rlike(r"^(\d+:)?\d+:\d+(\.\d+)?$"), total)
 
 
 def source_group(member: Column) -> Column:

@@ -50,7 +50,9 @@ def captions(rows: DataFrame) -> DataFrame:
     """``video start end ##caption`` with m:s times: video_id, start, end, caption; lines of another form give nulls."""
     p = r"^(\S+)\s+(\S+)\s+(\S+)\s+##\s*(.*)$"
     g = lambda i: F.regexp_extract("value", p, i)
-    return rows.select(canonical_id(g(1)).alias("video_id"), clock_seconds(g(2)).alias("start"), clock_seconds(g(3)).alias("end"), g(4).alias("caption"))
+    # columns of their own, so that a line is matched once for each part and not again wherever the part is used
+    parts = rows.select(*[g(i).alias(c) for i, c in enumerate(("video_id", "start", "end", "caption"), 1)])
+    return parts.select(canonical_id(F.col("video_id")).alias("video_id"), clock_seconds(F.col("start")).alias("start"), clock_seconds(F.col("end")).alias("end"), "caption")
 
 
 def variable_spans(rows: DataFrame) -> DataFrame:

@@ -576,3 +576,15 @@ def test_pair_of_blocks_in_pieces(monkeypatch, weight):
     batches = list(metrics._block_wins(*arrays))
     got = {(x["key"], x["other"]): x["twice_wins"] for b in batches for x in b.to_pylist()}
     assert len(batches) == 9 and got == want
+
+
+def test_clocks_and_captions_by_parts(spark):
+    clocks = {"0:07": 7.0, " 1:02.5 ": 62.5, "2:00:01": 7201.0, "1:2:3:4": None, "5": None, "a:1": None, ":1": None, "1:": None, "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in clocks], "t string")
+    assert {r["t"]: r["s"] for r in rows.select("t", text.clock_seconds(F.col("t")).alias("s")).collect()} == clocks
+    names = {r"a\b/C.MP4": "c", "x__12.npy": "x", "v_c": "v", ".mp4": None, "": None, "d/": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in names], "n string")
+    assert {r["n"]: r["i"] for r in rows.select("n", text.canonical_id(F.col("n")).alias("i")).collect()} == names
+    # each part of a line is matched once: the plan names each part's pattern once
+    plan = texts.captions(rows.select(F.col("n").alias("value")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("##\\s*(.*)$") == 4
