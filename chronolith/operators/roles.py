@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.operators.selection import split_by_hash
+from chronolith.sources.paths import kept_table
 from chronolith.sources.texts import label_classes
 
 ROLES = ("fit", "confirm", "select")
@@ -22,10 +23,10 @@ def member_name(path: Column) -> Column:
 
 def source_prefix(path: Column) -> Column:
     """What stands before the one ``__#`` of a name, in lower case; null where that is missing, repeated or at an end."""
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
     name = F.regexp_replace(stem, r"_label_(?!.*_label_).*$", "")
-    parts = F.split(name, "__#")
-    return F.when((F.size(parts) == 2) & (parts[0] != "") & (parts[1] != ""), F.lower(parts[0]))
+    prefix = F.regexp_extract(name, r"(?s)^(?!.*__#.*__#)(.+)__#.", 1)
+    return F.when(prefix != "", F.lower(prefix))
 
 
 def prepare(members: DataFrame, files: DataFrame, seed: int, test_volume: str = "test_videos") -> DataFrame:
@@ -39,15 +40,18 @@ def prepare(members: DataFrame, files: DataFrame, seed: int, test_volume: str =
     them one test and one train), ``labels`` (a train name without valid classes). Such members have no role, and their
     sources don't count. Empty tables give no rows; without files all are missing.
     """
-    name = member_name(F.col("name"))
+    # the name as a column of its own, so that it isn't made again wherever it is used
+    name = F.col("__name")
     named = F.coalesce(name.rlike(r"[^/]\.mp4$"), F.lit(False))
-    rows = members.select(
+    rows = members.select("volume", "name", "size", member_name(F.col("name")).alias("__name")).select(
         F.concat_ws("/", "volume", F.regexp_replace("name", r"\\", "/")).alias("path"), F.col("size").alias("__size"),
         F.when(F.col("volume") == test_volume, "test").otherwise("train").alias("split"), named.alias("__named"),
         F.when(named, F.sha2(F.lower(F.regexp_replace(name, r"\.mp4$", "")).cast("binary"), 256)).alias("video_id"),
         F.sha2(source_prefix(name).cast("binary"), 256).alias("source"), label_classes(name).alias("__classes"),
     )
-    again = rows.filter("video_id IS NOT NULL").groupBy("video_id").agg(F.count("*").alias("__n"), F.min("split").alias("__a"), F.max("split").alias("__z")).filter("__n > 1")
+    # written, since each of the readers below would make the names, digests and classes of all members anew
+    rows = kept_table(rows, "members")
+    again = rows.filter("video_id IS NOT NULL").groupBy("video_id").agg(F.count("*").alias("__n"), F.min(F.col("split") == "test").alias("__a"), F.max(F.col("split") == "test").alias("__z")).filter("__n > 1")
     # null ids and sources take a place of their own in the joins, so that they don't all meet in one task
     apart = lambda c: F.coalesce(F.col(c), F.concat(F.lit("/"), "path"))
     rows = rows.withColumn("__id", apart("video_id")).join(again.withColumnRenamed("video_id", "__id"), "__id", "left")
@@ -55,7 +59,7 @@ def prepare(members: DataFrame, files: DataFrame, seed: int, test_volume: str =
     rows = rows.withColumn("issue", issue)
 
     sound = rows.filter("issue IS NULL AND source IS NOT NULL")
-    sources = sound.groupBy("source").agg(F.max(F.col("split") == "test").alias("__test"), F.max(F.col("split") == "train").alias("__train"))
+    sources = kept_table(sound.groupBy("source").agg(F.max(F.col("split") == "test").alias("__test"), F.max(F.col("split") == "train").alias("__train")), "sources")
     train = sources.filter("__train").select("source", F.lit(0).alias("all"))
     roles = split_by_hash(train, "source", "all", str(seed), ROLES).select("source", F.col("part").alias("__role"))
     about = sources.select("source", (F.col("__test") & F.col("__train")).alias("__shared")).join(roles, "source", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,19 +76,19 @@ def variable_spans(rows: DataFrame) -> DataFrame:
 
 #: The class tokens of labels in names.
 LABEL_TOKENS = ("B1", "B2", "B4", "B5", "B6", "G")
+#: The fields that they make: ``A``, or one to three different tokens with zeros behind them in up to three slots.
+LABEL_FIELDS = ("A", *("-".join([*some, *["0"] * zeros]) for n in (1, 2, 3) for some in permutations(LABEL_TOKENS, n) for zeros in range(4 - n)))
 
 
 def label_classes(path: Column) -> Column:
     """Tokens of the one ``_label_`` field of an .mp4 name, trailing zeros kept: ``A`` alone, or one to three slots of
     different known classes followed by zeros. Null for another form."""
-    stem = F.regexp_extract(F.element_at(F.split(F.regexp_replace(path, r"\\", "/"), "/"), -1), r"^(.*)\.mp4$", 1)
-    field = F.split(stem, "_label_")
-    tokens = F.split(F.get(field, F.lit(1)), "-")
-    known = F.array(*map(F.lit, LABEL_TOKENS))
-    classes = F.filter(tokens, lambda x: x != "0")
-    padded = F.concat(classes, F.array_repeat(F.lit("0"), F.size(tokens) - F.size(classes)))
-    ok = (F.size(tokens) <= 3) & (F.size(classes) >= 1) & (F.size(F.array_distinct(classes)) == F.size(classes)) & (padded == tokens) & F.forall(classes, lambda x: F.array_contains(known, x))
-    return F.when((F.size(field) == 2) & (field[0] != "") & (ok | (tokens == F.array(F.lit("A")))), tokens)
+    base = F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+    head = F.substring_index(base, "_label_", 1)
+    field = F.regexp_extract(F.substring_index(base, "_label_", -1), r"^([A-Z0-9-]+)\.mp4$", 1)
+    once = (head != "") & (head != base) & (F.substring_index(base, "_label_", 2) == base)
+    one_line = ~head.rlike(r"[\n\r\x{85}\x{2028}\x{2029}]")
+    return F.when(field.isin(*LABEL_FIELDS) & once & one_line, F.split(field, "-"))
 
 
 def training_log(rows: DataFrame, line: str = "line", text: str = "value") -> DataFrame:

@@ -238,3 +238,16 @@ def test_telemetry_rows(spark, tmp_path):
     records.write_telemetry(df.limit(0), path, "r")
     back = records.read_jsonl(spark, path, records.CACHE_TELEMETRY).collect()
     assert sorted(r["reuse_ratio"] for r in back) == [0.0, 0.25] and {r["metadata"] for r in back} == {None}
+
+
+def test_members_are_named_once(spark):
+    """The written members are read again; no later step makes a digest of a name."""
+    members = spark.createDataFrame([("train_1", f"Videos/F__#{i}_label_A.mp4", 1) for i in range(4)], MEMBERS)
+    got = roles.prepare(members, spark.createDataFrame([], "path string, size long"), 7)
+    assert got.count() == 4 and "_label_" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_source_prefixes(spark):
+    want = {"A b__#1_label_A.mp4": "a b", "d/X__#y.z": "x", "a__#b__#c_label_A.mp4": None, "__#b": None, "a__#": None, "a__#_label_A.mp4": None, "a": None, "": None, None: None, "a_label___#b_label_A.mp4": "a_label_"}
+    rows = spark.createDataFrame([(k,) for k in want], "n string")
+    assert {r["n"]: r["s"] for r in rows.select("n", roles.source_prefix(F.col("n")).alias("s")).collect()} == want

@@ -588,3 +588,12 @@ def test_clocks_and_captions_by_parts(spark):
     # each part of a line is matched once: the plan names each part's pattern once
     plan = texts.captions(rows.select(F.col("n").alias("value")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("##\\s*(.*)$") == 4
+
+
+def test_label_fields_of_names(spark):
+    want = {"a_label_A.mp4": "A", "d/a_label_B1-G-0.mp4": "B1-G-0", r"d\a_label_B6-0-0.mp4": "B6-0-0", "a_label_B1-B2-B4.mp4": "B1-B2-B4"}
+    names = want | dict.fromkeys(["a_label_A-0.mp4", "a_label_B1-B1.mp4", "a_label_0.mp4", "a_label_0-B1.mp4", "a_label_B1-0-0-0.mp4", "_label_A.mp4", "a_label_label_A.mp4", "a_label_x_label_A.mp4", "a_label_.mp4", "A.mp4", "a_label_A.avi", "a_label_A/b.mp4", "a\nb_label_A.mp4", "a_label_B3.mp4", "", None])
+    rows = spark.createDataFrame([(k,) for k in names], "n string")
+    assert {r["n"]: r["f"] for r in rows.select("n", F.array_join(texts.label_classes(F.col("n")), "-").alias("f")).collect()} == names
+    # a label is read without functions of higher order, which Spark doesn't compile
+    assert "lambda" not in rows.select(texts.label_classes(F.col("n")))._jdf.queryExecution().executedPlan().toString()
