@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,13 +95,33 @@ class Steps:
 
 def _plain(x):
     """A value from pandas with arrays as lists and missing numbers as None."""
-    if hasattr(x, "tolist") and not isinstance(x, (int, float, str)):
-        x = x.tolist()
+    if isinstance(x, np.ndarray):
+        items = x.tolist()
+        return [_plain(v) for v in items] if x.dtype == object else [None if v != v else v for v in items]
     if isinstance(x, (list, tuple)):
         return [_plain(v) for v in x]
+    if hasattr(x, "tolist") and not isinstance(x, (int, float, str)):
+        x = x.tolist()
     return None if x is None or x is pd.NA or x != x else x
 
 
+def _given(part: pd.DataFrame) -> Iterator[tuple]:
+    """The values of ``COLUMNS``, row by row; each column is taken out of pandas at once."""
+    columns = [[_plain(x) for x in part[c].tolist()] for c in COLUMNS]
+    at = COLUMNS.index("step")
+    columns[at] = [None if x is None else int(x) for x in columns[at]]
+    return zip(*columns)
+
+
+def _in_order(part: pd.DataFrame, order: list[str]) -> pd.DataFrame:
+    """``part`` in order, nulls last; rows that are in order already stay as they are."""
+    keys = [part[c].to_numpy() for c in reversed(order)]
+    if any(k.dtype == object for k in keys):
+        return part.sort_values(order, kind="stable")
+    at = np.lexsort(keys)
+    return part if (at[1:] > at[:-1]).all() else part.take(at)
+
+
 def _slim(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.select(F.col(key).alias("__key"), F.struct(*order).alias("__order"), *[F.col(c) for c in order], *[F.col(c).cast("long") if c == "step" else F.col(c) for c in COLUMNS])
 
@@ -120,16 +141,13 @@ def follow(rows: DataFrame, key: str, order: list[str], keep: int | None = None)
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = object(), Steps()
         for part in parts:
-            out = []
-            for row in part.itertuples(index=False, name=None):
-                row = dict(zip(part.columns, row))
-                k = _plain(row["__key"])
+            out, keys, places = [], part["__key"].tolist(), zip(*[part[c] for c in order])
+            for k, place, given in zip(keys, places, _given(part)):
+                k = _plain(k)
                 if k != current:
                     current, state = k, Steps()
-                given = [_plain(row[c]) for c in COLUMNS]
-                given[1] = None if given[1] is None else int(given[1])
                 reason = state.push(*given, keep)
-                out.append((k, *[row[c] for c in order], *state.result(given[0], given[1], reason)))
+                out.append((k, *place, *state.result(given[0], given[1], reason)))
             yield pd.DataFrame(out, columns=[key, *order, "op", "step", "reason", "run", "length", "total"])
 
     return placed.drop("__order").mapInPandas(run, _schema(rows, key, order))
@@ -150,14 +168,9 @@ class Follower(StatefulProcessor):
             run, active, last, kind, names, *_ = got
             state = Steps(run, active, last, kind, None if names is None else tuple(names), [(t, list(v)) for t, v in self.places.get()])
         state.added = []
-        part = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out = []
-        for row in part.itertuples(index=False, name=None):
-            row = dict(zip(part.columns, row))
-            given = [_plain(row[c]) for c in COLUMNS]
-            given[1] = None if given[1] is None else int(given[1])
-            reason = state.push(*given, self.keep)
-            out.append((key[0], *[row[c] for c in self.order], *state.result(given[0], given[1], reason)))
+        parts = list(rows)
+        part = _in_order(parts[0] if len(parts) == 1 else pd.concat(parts), self.order)
+        out = [state.result(given[0], given[1], state.push(*given, self.keep)) for given in _given(part)]
         total = float(sum(sum(v) for _, v in state.places))
         self.head.update((state.run, state.active, state.last, state.kind, None if state.names is None else list(state.names), len(state.places), total, state.places[-1][0] if state.places else None))
         if state.added is None:
@@ -167,7 +180,8 @@ class Follower(StatefulProcessor):
                 self.places.clear()
         elif state.added:
             self.places.appendList(state.added)
-        yield pd.DataFrame(out, columns=[self.key, *self.order, "op", "step", "reason", "run", "length", "total"])
+        columns = dict(zip(("op", "step", "reason", "run", "length", "total"), map(list, zip(*out))))
+        yield pd.DataFrame({self.key: [key[0]] * len(out), **{c: part[c].to_numpy() for c in self.order}, **columns})
 
     def close(self) -> None:
         pass

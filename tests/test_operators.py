@@ -597,3 +597,15 @@ def test_label_fields_of_names(spark):
     assert {r["n"]: r["f"] for r in rows.select("n", F.array_join(texts.label_classes(F.col("n")), "-").alias("f")).collect()} == names
     # a label is read without functions of higher order, which Spark doesn't compile
     assert "lambda" not in rows.select(texts.label_classes(F.col("n")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cache_rows_are_taken_by_columns():
+    import numpy as np
+    import pandas as pd
+
+    obj = lambda *x: np.array([*x, None], object)[:-1]
+    part = pd.DataFrame({"a": [2, 1, 1], "b": [0, 5, 4], "op": ["step"] * 3, "step": [1.0, float("nan"), 3.0], "mode": ["append"] * 3, "kind": ["kv"] * 3})
+    part["names"], part["values"], part["times"] = [obj("k"), None, obj("k", "v")], [obj(np.array([1.0, np.nan])), None, obj(np.array([1.0]), np.array([2.0]))], [np.array([0.0, np.nan]), None, np.array([1.0])]
+    placed = cache_state._in_order(part, ["a", "b"])
+    assert list(placed["b"]) == [4, 5, 0] and cache_state._in_order(placed, ["a", "b"]) is placed
+    assert list(cache_state._given(placed)) == [("step", 3, "append", "kv", ["k", "v"], [[1.0], [2.0]], [1.0]), ("step", None, "append", "kv", None, None, None), ("step", 1, "append", "kv", ["k"], [[1.0, None]], [0.0, None])]
