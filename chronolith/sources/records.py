@@ -122,6 +122,10 @@ def write_telemetry(rows: DataFrame, path: str, run_id: str, mode: str = "append
     return checked.filter("reason IS NOT NULL")
 
 
+#: Values of arrays after which ``load_arrays`` hands on what it has read, within a batch of records.
+VALUES_AT_ONCE = 1 << 16
+
+
 def load_arrays(index: DataFrame, files: DataFrame) -> DataFrame:
     """The arrays of the index's records: video_id, clip_id, name, shape, values as doubles in row order, and an issue.
 
@@ -145,26 +149,33 @@ def load_arrays(index: DataFrame, files: DataFrame) -> DataFrame:
     digest = F.when(F.col("content").isNotNull() & ~F.col("several"), F.sha2("content", 256))
     fields = "video_id string, clip_id string, name string, shape array<int>, values array<double>, issue string"
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for r in part.itertuples(index=False):
-                at = _arrays(r.content, r.npz) if r.content is not None and any(a["sha256"] == r.digest for a in r.about) else None
-                for a in r.about:
-                    x, issue = None, "paths" if r.several else "missing" if r.content is None else "sha256" if a["sha256"] != r.digest else None
-                    if issue is None and not r.npz and len(r.content) != a["nbytes"]:
-                        issue = "size"
-                    if issue is None:
-                        x, issue = at(a["key"])
-                    if issue is None:
-                        issue = "shape" if list(x.shape) != list(a["shape"]) else "dtype" if str(x.dtype) != a["dtype"] else None
-                    fine = issue is None
-                    out.append((r.video_id, r.clip_id, a["name"], list(x.shape) if fine else None, x.astype(np.float64).ravel() if fine else None, issue))
-            yield pd.DataFrame(out, columns=["video_id", "clip_id", "name", "shape", "values", "issue"])
-
+    decode = lambda parts: (piece for part in parts for piece in _decoded(part))
     return found.select("video_id", "clip_id", "npz", "several", "about", "content", digest.alias("digest")).mapInPandas(decode, fields)
 
 
+def _decoded(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The arrays of a batch of records, in pieces of about ``VALUES_AT_ONCE`` values."""
+    columns, out, held = ["video_id", "clip_id", "name", "shape", "values", "issue"], [], 0
+    for r in part.itertuples(index=False):
+        at = _arrays(r.content, r.npz) if r.content is not None and any(a["sha256"] == r.digest for a in r.about) else None
+        for a in r.about:
+            x, issue = None, "paths" if r.several else "missing" if r.content is None else "sha256" if a["sha256"] != r.digest else None
+            if issue is None and not r.npz and len(r.content) != a["nbytes"]:
+                issue = "size"
+            if issue is None:
+                x, issue = at(a["key"])
+            if issue is None:
+                issue = "shape" if list(x.shape) != list(a["shape"]) else "dtype" if str(x.dtype) != a["dtype"] else None
+            fine = issue is None
+            out.append((r.video_id, r.clip_id, a["name"], list(x.shape) if fine else None, x.astype(np.float64).ravel() if fine else None, issue))
+            held += x.size if fine else 1
+            if held >= VALUES_AT_ONCE:
+                yield pd.DataFrame(out, columns=columns)
+                out, held = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
 def _arrays(content: bytes, npz: bool) -> Callable[[str], tuple[np.ndarray | None, str | None]]:
     """Gives the array of a key, or why there is none; a bundle's members are read only when asked for."""
     try:

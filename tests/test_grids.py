@@ -251,3 +251,17 @@ def test_source_prefixes(spark):
     want = {"A b__#1_label_A.mp4": "a b", "d/X__#y.z": "x", "a__#b__#c_label_A.mp4": None, "__#b": None, "a__#": None, "a__#_label_A.mp4": None, "a": None, "": None, None: None, "a_label___#b_label_A.mp4": "a_label_"}
     rows = spark.createDataFrame([(k,) for k in want], "n string")
     assert {r["n"]: r["s"] for r in rows.select("n", roles.source_prefix(F.col("n")).alias("s")).collect()} == want
+
+
+def test_arrays_are_handed_on_in_pieces(monkeypatch):
+    import pandas as pd
+
+    content = io.BytesIO()
+    np.save(content, np.arange(6.0, dtype=np.float32))
+    about = {"name": "f", "key": "f", "shape": [6], "dtype": "float32", "sha256": "d", "nbytes": len(content.getvalue())}
+    part = pd.DataFrame([("v", str(i), False, False, [about], content.getvalue() if i % 5 else None, "d") for i in range(10)], columns=["video_id", "clip_id", "npz", "several", "about", "content", "digest"])
+    monkeypatch.setattr(records, "VALUES_AT_ONCE", 12)
+    pieces = list(records._decoded(part))
+    got = pd.concat(pieces)
+    assert max(map(len, pieces)) <= 3 and list(got["clip_id"]) == [str(i) for i in range(10)]
+    assert [i for i in got["issue"]] == ["missing" if i % 5 == 0 else None for i in range(10)] and all(sum(v) == 15.0 for v in got["values"] if v is not None)
