@@ -556,6 +556,22 @@ def test_pair_wins_with_scores_that_are_no_numbers(spark):
     assert {(r["k"], r["other"]): r["twice_wins"] for r in metrics.pair_wins(hist, "k", "score").collect()} == want
 
 
+def test_pair_wins_hold_few_rows_of_a_common_key(spark, monkeypatch):
+    rows = [("common", s, 1, 2) for s in range(300)] + [(f"k{i}", 5 * i, i % 2, 1) for i in range(60)]
+    hist = spark.createDataFrame(rows, "k string, score int, pos_frames long, neg_frames long")
+    want = {}
+    for k, s, p, _ in rows:
+        for o, t, _, n in rows:
+            if p * n and s >= t:
+                want[k, o] = want.get((k, o), 0) + p * n * (2 if s > t else 1)
+    met, original = [], type(hist).mapInArrow
+    monkeypatch.setattr(type(hist), "mapInArrow", lambda df, *a: met.append(df) or original(df, *a))
+    assert {(r["k"], r["other"]): r["twice_wins"] for r in metrics.pair_wins(hist, "k", "score", 20, 100).collect()} == want
+    # a side of a task: ranges divide the common key, and rows come one by one, not as arrays that an aggregate gathers
+    assert max(r["count"] for r in met[0].groupBy("at").count().collect()) <= 200
+    assert "collect_list" not in met[0]._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("weight", [1, 10**8])
 def test_pair_of_blocks_in_pieces(monkeypatch, weight):
     import random
