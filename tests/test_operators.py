@@ -594,6 +594,29 @@ def test_pair_of_blocks_in_pieces(monkeypatch, weight):
     assert len(batches) == 9 and got == want
 
 
+@pytest.mark.parametrize("cost, met", [(0.01, 1_000_000), (0.01, 7), (1, 7), (300, 7)])
+@pytest.mark.parametrize("weight", [1, 10**7])
+def test_pair_of_blocks_in_bins(monkeypatch, weight, cost, met):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(6)
+    scores = [None, float("nan"), float("inf"), *range(60)]
+    order = lambda s: (0, 0) if s is None else (2, 0) if s != s else (1, s)
+    made = lambda kinds: [(r.choice("abcdefg"), r.choice(kinds), r.randint(1, 3) * r.choice([1, weight])) for _ in range(200)]
+    pos, neg = made(scores[1:]), made(scores)
+    want = {}
+    for k, s, p in pos:
+        for o, t, n in neg:
+            if order(s) >= order(t):
+                want[k, o] = want.get((k, o), 0) + p * n * (1 if order(s) == order(t) else 2)
+    arrays = [pa.array([dict(zip(("key", "score", "w"), x)) for x in side], pa.struct({"key": pa.string(), "score": pa.float64(), "w": pa.int64()})) for side in (pos, neg)]
+    for name, value in {"PAIR_PIECE": 3, "PAIR_SCORES": 4, "PAIR_COST": cost, "PAIR_MET": met}.items():
+        monkeypatch.setattr(metrics, name, value)
+    assert {(x["key"], x["other"]): x["twice_wins"] for b in metrics._block_wins(*arrays) for x in b.to_pylist()} == want
+
+
 def test_clocks_and_captions_by_parts(spark):
     clocks = {"0:07": 7.0, " 1:02.5 ": 62.5, "2:00:01": 7201.0, "1:2:3:4": None, "5": None, "a:1": None, ":1": None, "1:": None, "": None, None: None}
     rows = spark.createDataFrame([(k,) for k in clocks], "t string")
